@@ -9,8 +9,9 @@ powers of two, which need no padding.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,11 @@ class Limits:
     waiting: int = 256
 
 
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level tokenizers' rule: printable bytes stand for themselves, the others follow from 256 on.
+_BYTE_CHARS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
+
+
 class _Packer:
     """Packs a stream of (key, ids, loss tokens); yields pieces (key, start, ids, total, loss, sequence, offset)."""
 
@@ -125,34 +131,80 @@ class _Packer:
 class WordEncoder:
     """Token ids of whole texts by a tokenizer that never joins words across ASCII white space.
 
-    Words are encoded once and remembered, up to `most` of them; then the memory starts anew.
+    Words are encoded once and remembered, up to `most` of them; then the memory starts anew. A word that is
+    letters and then closing marks, and whose lower case needs no normalising, is known by its letters: the
+    tokenizer takes letters and marks apart, so its ids are those of the two parts.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    MARKS = ".,;:!?*%&$#|"
+
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
+        self.apart = all(self._parts_agree(w) for w in ("Word,", "Él!!", "straße.", "x&&&"))
         self.clear()
 
+    def _parts_agree(self, word: str) -> bool:
+        core = word.rstrip(self.MARKS)
+        return self._core(core.lower()) + self._whole(word[len(core) :]) == self._whole(word)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _core(self, core: str) -> list[int]:
+        """Ids of lower-case letters: as byte-level tokenizers do, each byte stands for a printable character."""
+        if not core.isascii():
+            core = core.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return [t.id for t in self.model.tokenize(core)] if core else []
+
     def clear(self) -> None:
         self.index: dict[str, int] = {"": 0}
+        self.cores: dict[str, list[int]] = {}
+        self.tails: dict[str, list[int]] = {"": []}
         self.offsets = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
+    def _ids(self, word: str) -> list[int] | np.ndarray:
+        core = word.rstrip(self.MARKS)
+        low = core.lower()
+        if not (self.apart and (low == "" or low.isalpha() and (low.isascii() or max(low) < "\u0590" and "Σ" not in core and is_normalized("NFC", core) and is_normalized("NFC", low)))):
+            return self._whole(word)
+        tail = word[len(core) :]
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails = {"": []}
+            self.tails[tail] = self._whole(tail)
+        if not low:
+            return self.tails[tail]
+        at = self.cores.get(low)
+        if at is None:
+            ids = self._core(low)
+            if low != word:
+                # remembered as a word of its own, to be found under any marks and capitals
+                self._append(low, ids)
+            self.cores[low] = self.used - len(ids) << 20 | len(ids) if low != word else self.used << 20 | len(ids)
+        else:
+            begin, size = at >> 20, at & 0xFFFFF
+            ids = self.flat[begin : begin + size].tolist()
+        return ids + self.tails[tail] if tail else ids
+
+    def _append(self, word: str, ids: list[int]) -> None:
+        k = self.index.setdefault(word, len(self.index))
+        if k + 2 > len(self.offsets):
+            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.offsets[k + 1] = self.used
+
     def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                k, ids = len(self.index), e.ids
-                self.index[word] = k
-                if k + 2 > len(self.offsets):
-                    self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.offsets[k + 1] = self.used
+        for word in new:
+            if word not in self.index:
+                self._append(word, self._ids(word))
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """The ids of each text, then `end`."""
