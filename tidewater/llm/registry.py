@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP10_SQL, op10_chat_format
 from .merkle import op4_merkle_fingerprints
 from .packing import op9_vector_packing
+from .quality import op6_quality_classifier
+from .sentencepiece import op5_sentencepiece
+from .token_counts import op7_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_merkle_fingerprints": op4_merkle_fingerprints,
+        "op5_sentencepiece": op5_sentencepiece,
+        "op6_quality_classifier": op6_quality_classifier,
+        "op7_token_counts": op7_token_counts,
         "op9_vector_packing": op9_vector_packing,
         "op10_chat_format": op10_chat_format,
     }
