@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP10_SQL, op10_chat_format
+from .jaccard import op3_jaccard_join
 from .merkle import op4_merkle_fingerprints
 from .packing import op9_vector_packing
+from .pii import op8_pii
 from .quality import op6_quality_classifier
 from .sentencepiece import op5_sentencepiece
 from .token_counts import op7_token_counts
@@ -16,10 +18,12 @@ from .token_counts import op7_token_counts
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_merkle_fingerprints": op4_merkle_fingerprints,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_token_counts": op7_token_counts,
+        "op8_pii": op8_pii,
         "op9_vector_packing": op9_vector_packing,
         "op10_chat_format": op10_chat_format,
     }
