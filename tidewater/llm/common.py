@@ -44,6 +44,11 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df (narrow rows, saved), marked for broadcast only if it has at most `rows` rows; else joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 # ---- words and their hashes -------------------------------------------------------------------
 
 _RNG = np.random.default_rng(20240229)

@@ -22,14 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, components, prepare, saved, windows, word_hashes, words
+from .common import chunks, components, if_small, prepare, saved, windows, word_hashes, words
 
 #: Shingles put last in prefixes: at most so many, each in at least so many documents.
 COMMON_SHINGLES, COMMON_FROM = 100_000, 48
 #: Least hashes that the cheap round compares, and how many must agree.
 SKETCH, SKETCH_AGREE = 6, 3
-#: Up to so many wanted documents are sent to every task; beyond, texts are joined by shuffle.
-BROADCAST_ROWS = 200_000
 TILE_ROWS = 2_000
 BITS = 2048
 
@@ -113,9 +111,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, perce
     wanted = tiles.select("a", "_tile", F.col("b").alias("node"), F.lit(1).alias("member"))
     wanted = wanted.unionByName(tiles.select("a", "_tile", F.col("a").alias("node"), F.lit(0).alias("member")).distinct())
     wanted = saved(wanted.join(nodes, "node"))
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = docs.select(F.col("doc_id").alias("node"), "text")
-    rows = texts.join(F.broadcast(wanted) if few else wanted, "node").select("a", "_tile", "member", "node", "set_key", "text")
+    rows = texts.join(if_small(wanted), "node").select("a", "_tile", "member", "node", "set_key", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

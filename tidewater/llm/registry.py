@@ -13,11 +13,15 @@ from .packing import op9_vector_packing
 from .pii import op8_pii
 from .quality import op6_quality_classifier
 from .sentencepiece import op5_sentencepiece
+from .substrings import op2_substring_dedup
 from .token_counts import op7_token_counts
+from .topk import OP1_SQL, op1_exact_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_exact_topk": op1_exact_topk,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_merkle_fingerprints": op4_merkle_fingerprints,
         "op5_sentencepiece": op5_sentencepiece,
@@ -30,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": OP10_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op10_chat_format": OP10_SQL}
