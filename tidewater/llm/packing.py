@@ -9,6 +9,7 @@ powers of two, which need no padding.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from unicodedata import is_normalized
@@ -128,6 +129,17 @@ class _Packer:
         self.left = np.array([self.l.tokens, self.l.segments, self.l.loss])
 
 
+class _Learned(dict):
+    """Places of words; one that is missing is encoded and added."""
+
+    def __init__(self, encoder: WordEncoder):
+        super().__init__({"": 0})
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> int:
+        return self.encoder._append(word, self.encoder._ids(word))
+
+
 class WordEncoder:
     """Token ids of whole texts by a tokenizer that never joins words across ASCII white space.
 
@@ -160,14 +172,11 @@ class WordEncoder:
         return [t.id for t in self.model.tokenize(core)] if core else []
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {"": 0}
-        self.cores: dict[str, list[int]] = {}
+        self.index = _Learned(self)
         self.tails: dict[str, list[int]] = {"": []}
-        self.offsets = np.zeros(1 << 16, np.int64)
-        self.flat = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+        self.offsets, self.flat = array("q", [0, 0]), array("I")
 
-    def _ids(self, word: str) -> list[int] | np.ndarray:
+    def _ids(self, word: str) -> list[int]:
         core = word.rstrip(self.MARKS)
         low = core.lower()
         if not (self.apart and (low == "" or low.isalpha() and (low.isascii() or max(low) < "\u0590" and "Σ" not in core and is_normalized("NFC", core) and is_normalized("NFC", low)))):
@@ -179,32 +188,22 @@ class WordEncoder:
             self.tails[tail] = self._whole(tail)
         if not low:
             return self.tails[tail]
-        at = self.cores.get(low)
-        if at is None:
+        if low == word:
+            return self._core(low)
+        # letters are remembered as a word of their own, to be found under any marks and capitals
+        k = self.index.get(low)
+        if k is None:
             ids = self._core(low)
-            if low != word:
-                # remembered as a word of its own, to be found under any marks and capitals
-                self._append(low, ids)
-            self.cores[low] = self.used - len(ids) << 20 | len(ids) if low != word else self.used << 20 | len(ids)
+            self._append(low, ids)
         else:
-            begin, size = at >> 20, at & 0xFFFFF
-            ids = self.flat[begin : begin + size].tolist()
+            ids = self.flat[self.offsets[k] : self.offsets[k + 1]].tolist()
         return ids + self.tails[tail] if tail else ids
 
-    def _append(self, word: str, ids: list[int]) -> None:
-        k = self.index.setdefault(word, len(self.index))
-        if k + 2 > len(self.offsets):
-            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.offsets[k + 1] = self.used
-
-    def _learn(self, new: list[str]) -> None:
-        for word in new:
-            if word not in self.index:
-                self._append(word, self._ids(word))
+    def _append(self, word: str, ids: list[int]) -> int:
+        self.index[word] = k = len(self.offsets) - 1
+        self.flat.extend(ids)
+        self.offsets.append(len(self.flat))
+        return k
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """The ids of each text, then `end`."""
@@ -218,18 +217,16 @@ class WordEncoder:
             split.append(t.split(" "))
         out = []
         for ws in split:
-            try:
-                found = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
-            except KeyError:
-                self._learn(list(dict.fromkeys(w for w in ws if w not in self.index)))
-                found = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
-            begin = self.offsets[found]
-            size = self.offsets[found + 1] - begin
+            found = np.fromiter(map(self.index.__getitem__, ws), np.int64, len(ws))
+            offsets, flat = np.frombuffer(self.offsets, np.int64), np.frombuffer(self.flat, np.uint32)
+            begin = offsets[found]
+            size = offsets[found + 1] - begin
             total = int(size.sum())
             ids = np.empty(total + 1, np.uint32)
-            ids[:total] = self.flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(total)]
+            ids[:total] = flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(total)]
             ids[total] = end
             out.append(ids)
+            del offsets, flat  # the arrays can't grow while they are seen
         return out
 
 

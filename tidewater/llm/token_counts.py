@@ -12,6 +12,18 @@ from .common import prepare
 from .pieces import MARK, load_pieces
 
 
+class _Known(dict):
+    """Counts of words; one that is missing is counted and added."""
+
+    def __init__(self, counter: Counter):
+        super().__init__({"": 0})
+        self.counter = counter
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = self.counter.word(word)
+        return n
+
+
 class Counter:
     """Counts the pieces of words; remembers up to `most` words, then starts anew."""
 
@@ -25,7 +37,7 @@ class Counter:
         self.automaton.make_automaton()
         self.single = {p for p, _, _ in table.pieces if len(p) == 1}
         self.unknown, self.most = table.unknown_score, most
-        self.known: dict[str, int] = {"": 0}
+        self.known = _Known(self)
 
     def word(self, word: str) -> int:
         n = len(word)
@@ -53,16 +65,9 @@ class Counter:
             return 0
         # no piece spans a space's mark or a line feed, so words between them are independent
         words = (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
-        known = self.known
-        try:
-            return sum(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > self.most:
-                self.known = known = {"": 0}
-            for w in words:
-                if w not in known:
-                    known[w] = self.word(w)
-            return sum(map(known.__getitem__, words))
+        if len(self.known) > self.most:
+            self.known = _Known(self)
+        return sum(map(self.known.__getitem__, words))
 
 
 _COUNTERS: dict[str, Counter] = {}
