@@ -19,13 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, components, if_small, prepare, saved, windows, word_hashes, words
 
 #: Shingles put last in prefixes: at most so many, each in at least so many documents.
-COMMON_SHINGLES, COMMON_FROM = 100_000, 48
+COMMON_SHINGLES, COMMON_FROM = 200_000, 12
 #: Least hashes that the cheap round compares, and how many must agree.
 SKETCH, SKETCH_AGREE = 6, 3
 TILE_ROWS = 2_000
@@ -48,12 +48,12 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def _ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """A set in the order of prefixes: common shingles last, else by hash."""
+def _ordered(s: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """A set in the order of prefixes (common shingles last, else by hash) and how many of it aren't common."""
     if not len(common):
-        return s
+        return s, len(s)
     late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-    return np.concatenate([s[~late], s[late]])
+    return np.concatenate([s[~late], s[late]]), int((~late).sum())
 
 
 def _signed(a: np.ndarray) -> pa.Array:
@@ -180,19 +180,22 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, keys, sketch, prefix = [], [], [], []
+            n, own, keys, sketch, prefix = [], [], [], [], []
             for s in shingle_sets(b.column(1), k):
                 n.append(len(s))
                 keys.append(_set_key(s) if len(s) else None)
                 sketch.append(s[:SKETCH])
-                prefix.append(_ordered(s, common)[: len(s) - -(-percent * len(s) // 100) + 1] if len(s) else s)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), _lists(sketch), _lists(prefix)], ["doc_id", "n_shingles", "set_key", "sketch", "prefix"])
+                ordered, rare = _ordered(s, common)
+                own.append(rare)
+                prefix.append(ordered[: len(s) - -(-percent * len(s) // 100) + 1] if len(s) else s)
+            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(keys, pa.binary()), _lists(sketch), _lists(prefix)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "rare", "set_key", "sketch", "prefix"])
 
-    signed = docs.mapInArrow(signatures, "doc_id long, n_shingles long, set_key binary, sketch array<long>, prefix array<long>")
+    signed = docs.mapInArrow(signatures, "doc_id long, n_shingles long, rare long, set_key binary, sketch array<long>, prefix array<long>")
     signed = saved(signed)
     rows = signed.select("doc_id", "n_shingles", "set_key")
-    classes = signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch", "prefix")).alias("r"))
-    classes = saved(classes.select("set_key", F.col("r.doc_id").alias("node"), F.col("r.n_shingles").alias("n"), "r.sketch", "r.prefix"))
+    classes = signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "rare", "sketch", "prefix")).alias("r"))
+    classes = saved(classes.select("set_key", F.col("r.doc_id").alias("node"), F.col("r.n_shingles").alias("n"), "r.rare", "r.sketch", "r.prefix"))
     nodes = classes.select("node", "set_key")
 
     # the cheap round: leaders of sketch hashes
@@ -205,14 +208,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     first = saved(components(links))
 
     # the exact round: prefixes, between components of the first
-    labelled = classes.join(first, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), "prefix")
-    dealt = labelled.select(F.explode("prefix").alias("h"), "node", "n", "component")
-    dealt = dealt.repartition("h").sortWithinPartitions("h", "n", "node")
+    labelled = classes.join(first, "node", "left").select("node", "n", "rare", F.coalesce("component", "node").alias("component"), "prefix")
+    dealt = labelled.select(F.posexplode("prefix").alias("i", "h"), "node", F.col("n").cast("int").alias("n"), F.col("rare").cast("int").alias("rare"), "component")
+    dealt = dealt.select("h", "node", "n", "component", "i", "rare").repartition("h").sortWithinPartitions("h", "n", "node")
 
     def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in batches:
-            block = np.column_stack([b.column(i).to_numpy() for i in range(4)])
+            block = np.column_stack([b.column(i).to_numpy().astype(np.int64) for i in range(6)])
             block = block if rest is None else np.concatenate([rest, block])
             cut = int(np.searchsorted(block[:, 0], block[-1, 0], "left"))
             rest = block[cut:]
@@ -220,14 +223,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         if rest is not None:
             yield from _cross_pairs(rest, percent)
 
-    pairs = dealt.mapInArrow(pair_up, "a long, b long")
-    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("met"))
-    size = classes.select("node", "n", F.size("prefix").alias("p"))
-    pairs = pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("p").alias("ap")), "a")
-    pairs = pairs.join(size.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("p").alias("bp")), "b")
-    # what both hold beyond the prefix that ends first is no more than the rest of that set
-    most = F.col("met") + F.greatest(F.col("an") - F.col("ap"), F.col("bn") - F.col("bp"))
-    pairs = saved(pairs.filter((100 + percent) * most >= percent * (F.col("an") + F.col("bn"))).select("a", "b"))
+    pairs = dealt.mapInArrow(pair_up, "a long, b long, rare int, an int, bn int, ar int, br int")
+    pairs = pairs.groupBy("a", "b", "an", "bn", "ar", "br").agg(F.sum("rare").alias("met"))
+    pairs = saved(pairs.filter(_may_link(percent)).select("a", "b"))
     more = _verified(docs, pairs, nodes, k, percent)
     joined = components(saved(links.unionByName(more)))
 
@@ -235,12 +233,37 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     return rows.join(found, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _prefix(n, percent: int, pair: bool = False):
+    """Length of the prefix that a set must share a shingle of with a similar set; shorter (pair) for the smaller of two."""
+    need = -(-2 * percent * n // (100 + percent)) if pair else -(-percent * n // 100)
+    return n - need + 1
+
+
+def _may_link(percent: int) -> Column:
+    """Whether the overlap of a (smaller) and b can suffice. met: rare shingles of a's short prefix found in b's prefix.
+
+    Beyond, both hold at most the rest of the rare shingles of the one whose prefix ends first, and all common
+    shingles of the one that has fewer; where a prefix ends among rare shingles, at most the rest of that set.
+    """
+    an, bn, ar, br = (F.col(c) for c in ("an", "bn", "ar", "br"))
+    ap = an - F.ceil(2 * percent * an / (100 + percent)) + 1
+    bp = bn - F.ceil(percent * bn / 100) + 1
+    beyond = F.greatest(an - ap, bn - bp)
+    inside = F.least(an - ar, bn - br)
+    most = F.col("met") + F.when((ap > ar) & (bp > br), inside).otherwise(beyond)
+    return (100 + percent) * most >= percent * (an + bn)
+
+
 def _cross_pairs(block: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows (hash, node, size, component; by hash, then size) of one hash, of like sizes and unlike components."""
+    """Pairs of rows (hash, node, size, component, place, rare; by hash, then size) of one hash.
+
+    They have like sizes and unlike components, and the smaller has the hash in its short prefix. A pair that
+    meets at a common shingle is left out where it couldn't link without a rare one, at which it would meet too.
+    """
     n = len(block)
     if n < 2:
         return
-    h, node, size, comp = block.T
+    h, comp = block[:, 0], block[:, 3]
     new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     group = np.repeat(np.arange(len(new)), np.diff(np.append(new, n)))
     # groups within one component have nothing to add
@@ -249,7 +272,8 @@ def _cross_pairs(block: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     rows = np.flatnonzero(mixed[group])
     if not len(rows):
         return
-    h, node, size, comp, group = h[rows], node[rows], size[rows], comp[rows], group[rows]
+    _, node, size, comp, place, rare = block[rows].T
+    group = group[rows]
     # within a group sizes rise, so each row's partners are the rows after it up to a size bound
     scaled = group.astype(np.float64) * 2.0**32
     last = np.searchsorted(scaled + size, scaled + size * 100 // percent, "right")
@@ -261,10 +285,17 @@ def _cross_pairs(block: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
         many = reach[at:end]
         i = np.repeat(np.arange(at, end), many)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-        ok = comp[i] != comp[j]
-        a, b = np.minimum(node[i], node[j])[ok], np.maximum(node[i], node[j])[ok]
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        short = _prefix(size, percent, pair=True)
+        # of equal sizes either may count as the smaller; the node decides, so that every hash decides alike
+        turn = (size[i] == size[j]) & (node[i] > node[j])
+        i, j = np.where(turn, j, i), np.where(turn, i, j)
+        need = -(-percent * (size[i] + size[j]) // (100 + percent))
+        is_rare = place[i] < rare[i]
+        ok = (comp[i] != comp[j]) & (place[i] < short[i]) & (is_rare | (np.minimum(size[i] - rare[i], size[j] - rare[j]) >= need))
+        i, j, is_rare = i[ok], j[ok], is_rare[ok]
+        if len(i):
+            ints = [is_rare, size[i], size[j], rare[i], rare[j]]
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j]), *[pa.array(x.astype(np.int32)) for x in ints]], ["a", "b", "rare", "an", "bn", "ar", "br"])
         at = end
 
 
