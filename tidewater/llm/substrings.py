@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import chunks, mix, prepare, saved, windows, word_hashes, words
 
 WINDOW, SEED = 13, 4
-#: Bits of a filter: 16 MB, whatever the input; a larger cluster may pass more.
-FILTER_BITS = 1 << 27
+#: Bits of a filter of parts (8 MB) and of doc_ids (2 MB), whatever the input; a larger cluster may pass more.
+FILTER_BITS, ID_BITS = 1 << 26, 1 << 24
 
 
 class _Filter:
@@ -38,9 +38,9 @@ class _Filter:
         a, b = self._places_sql(column, bits)
         each = keys.select(F.explode(F.array(a, b)).alias("p"))
         table = each.groupBy(F.expr("p div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(cast(1 as bigint), cast(p % 64 as int))")).alias("m"))
-        got = table.toPandas()
+        got = table.toArrow()
         words_ = np.zeros(bits // 64, np.uint64)
-        words_[got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64).view(np.uint64)
+        words_[got["w"].to_numpy()] = got["m"].to_numpy().view(np.uint64)
         self.bits = bits
         self.table: Broadcast = keys.sparkSession.sparkContext.broadcast(words_)
 
@@ -124,7 +124,8 @@ def _repeated_parts(docs: DataFrame) -> DataFrame:
             s, d = s[order], d[order]
             first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
             last = np.append(first[1:], len(s)) - 1
-            return pa.RecordBatch.from_arrays([_signed(s[first]), pa.array(d[first]), pa.array(d[first] != d[last])], ["seed", "doc_id", "many"])
+            two = last[d[first] != d[last]]  # the least and the greatest doc_id tell that there are two
+            return pa.RecordBatch.from_arrays([_signed(np.concatenate([s[first], s[two]])), pa.array(np.concatenate([d[first], d[two]]))], ["seed", "doc_id"])
 
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
@@ -137,8 +138,8 @@ def _repeated_parts(docs: DataFrame) -> DataFrame:
         if size:
             yield merged()
 
-    found = docs.filter("doc_id is not null").mapInArrow(run, "seed long, doc_id long, many boolean")
-    return found.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.bool_or("many").alias("many")).filter("a < b or many").select("seed")
+    found = docs.filter("doc_id is not null").mapInArrow(run, "seed long, doc_id long")
+    return found.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("seed")
 
 
 PATHS = "path long, doc_id long, text_key long, start int, n int"
@@ -159,34 +160,35 @@ def _met_paths(docs: DataFrame, parts: _Filter, edges: bool) -> DataFrame:
                 if edges:
                     ends = np.cumsum(n)
                     flat = np.repeat(p - (ends - n), n) + np.arange(int(n.sum()))
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), _signed(w[flat])))
-                    names.append("edges")
+                    columns += [_signed(seed[ok]), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), _signed(w[flat]))]
+                    names += ["seed", "edges"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.filter("doc_id is not null").mapInArrow(run, PATHS + (", edges array<long>" if edges else ""))
+    return docs.filter("doc_id is not null").mapInArrow(run, PATHS + (", seed long, edges array<long>" if edges else ""))
 
 
 def repeated_spans(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """Spans of windows that also start in a document with a smaller doc_id: doc_id, text_key, start, n (windows),
     source (doc_id), source_start, source_key. Spans may overlap; equal neighbours on one diagonal are joined."""
     parts = _Filter(saved(_repeated_parts(docs)), "seed", bits)
-    classes = _met_paths(docs, parts, True).groupBy("path").agg(
-        F.min(F.struct("doc_id", "start", "text_key", "n", "edges")).alias("r"), F.max("doc_id").alias("last")
-    )
-    classes = saved(classes.select("path", "last", F.col("r.doc_id").alias("source"), F.col("r.start").alias("source_start"), F.col("r.text_key").alias("source_key"), "r.n", "r.edges"))
+    found = _met_paths(docs, parts, True).groupBy("path").agg(F.min(F.struct("doc_id", "start", "text_key", "seed", "edges")).alias("r"), F.max("doc_id").alias("last"))
+    classes = saved(found.select("path", "last", F.col("r.seed").alias("seed"), F.col("r.doc_id").alias("source"), F.col("r.start").alias("source_start"), F.col("r.text_key").alias("source_key"), "r.edges"))
+    place = classes.select("path", "source", "source_start", "source_key")
 
     # paths that do not branch: every later document loses the whole path
-    lost = _met_paths(docs, parts, False).join(classes.filter("last > source").select("path", "source", "source_start", "source_key"), "path")
+    repeated = classes.filter("last > source").select("path", "source", "source_start", "source_key")
+    lost = _met_paths(docs, parts, False).join(repeated, "path")
     lost = lost.filter("doc_id > source").select("doc_id", "text_key", "start", "n", "source", "source_start", "source_key")
 
-    # branching paths: edges that classes of different documents share
-    each = classes.select("source", "source_start", "source_key", F.posexplode("edges").alias("j", "edge"))
-    place = F.struct(F.col("source").alias("doc_id"), (F.col("source_start") + F.col("j")).alias("start"), F.col("source_key").alias("text_key"))
-    owners = each.groupBy("edge").agg(F.min(place).alias("o"), F.max("source").alias("last")).filter("o.doc_id < last").select("edge", "o")
-    branching = each.join(owners, "edge").filter("source > o.doc_id").select(
-        F.col("source").alias("doc_id"), F.col("source_key").alias("text_key"), (F.col("source_start") + F.col("j")).alias("start"), F.lit(1).alias("n"),
-        F.col("o.doc_id").alias("source"), F.col("o.start").alias("source_start"), F.col("o.text_key").alias("source_key"),
-    )
+    # parts in which paths branch: edges that classes of different documents share
+    branches = classes.groupBy("seed").agg(F.min("source").alias("a"), F.max("source").alias("b")).filter("a < b").select("seed")
+    each = classes.join(branches, "seed", "left_semi").select("path", "source", F.posexplode("edges").alias("j", "edge"))
+    owners = each.groupBy("edge").agg(F.min("source").alias("o"), F.max("source").alias("last")).filter("o < last").select("edge", "o")
+    met = saved(each.join(owners, "edge"))
+    first = met.filter("source = o").groupBy("edge").agg(F.min(F.struct("path", "j")).alias("f")).select("edge", F.col("f.path").alias("path"), F.col("f.j").alias("fj"))
+    first = first.join(place, "path").select("edge", "source", (F.col("source_start") + F.col("fj")).alias("source_start"), "source_key")
+    later = met.filter("source > o").select("edge", "path", "j").join(place.select("path", F.col("source").alias("doc_id"), F.col("source_start").alias("at"), F.col("source_key").alias("text_key")), "path")
+    branching = later.join(first, "edge").select("doc_id", "text_key", (F.col("at") + F.col("j")).alias("start"), F.lit(1).alias("n"), "source", "source_start", "source_key")
     return _compacted(lost.unionByName(branching))
 
 
@@ -251,12 +253,12 @@ def _filtered(docs: DataFrame, ids: _Filter, inside: bool) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-def _id_filter(ids: DataFrame, column: str, bits: int) -> _Filter:
+def _id_filter(ids: DataFrame, column: str) -> _Filter:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([_signed(_ids_hash(b.column(0).to_numpy()))], ["h"])
 
-    return _Filter(ids.select(column).distinct().mapInArrow(run, "h long"), "h", bits)
+    return _Filter(ids.select(column).distinct().mapInArrow(run, "h long"), "h", ID_BITS)
 
 
 def _hashed_rows(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -269,11 +271,11 @@ def _hashed_rows(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.
             yield first + i, int(keys[i]), h2[at[i] : at[i + 1]]
 
 
-def verified(docs: DataFrame, spans: DataFrame, bits: int) -> DataFrame:
+def verified(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """spans with `digest`: the second hash of the source's words at the source coordinates."""
     places = saved(spans.select("source", "source_key", "source_start", "n").distinct())
     by_doc = places.groupBy("source").agg(F.collect_list(F.struct("source_key", "source_start", "n")).alias("places")).withColumnRenamed("source", "doc_id")
-    sources = _filtered(docs, _id_filter(places, "source", bits), True).join(by_doc, "doc_id")
+    sources = _filtered(docs, _id_filter(places, "source"), True).join(by_doc, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,9 +304,9 @@ def _removed(spans: list[dict] | None, key: int, h2: np.ndarray) -> np.ndarray |
 
 def _with_spans(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     """Rows that may lose words, with `_spans`, and rows that don't."""
-    spans = saved(verified(_rows(docs), saved(repeated_spans(_rows(docs), bits)), bits))
+    spans = saved(verified(_rows(docs), saved(repeated_spans(_rows(docs), bits))))
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "start", "n", "digest")).alias("_spans"))
-    ids = _id_filter(spans, "doc_id", bits)
+    ids = _id_filter(spans, "doc_id")
     return _filtered(docs, ids, True).join(by_doc, "doc_id", "left"), _filtered(docs, ids, False)
 
 
