@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import OP10_SQL, op10_chat_format
 from .jaccard import op3_jaccard_join
 from .merkle import op4_merkle_fingerprints
+from .oracle import OP2_SQL, OP3_SQL
 from .packing import op9_vector_packing
 from .pii import op8_pii
 from .quality import op6_quality_classifier
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op10_chat_format": OP10_SQL}
