@@ -32,7 +32,7 @@ def with_scores(events: DataFrame, scores: DataFrame) -> DataFrame:
 
 def with_views(events: DataFrame, views: DataFrame, as_of: Column) -> DataFrame:
     counts = view_counts(views, as_of)
-    return events.join(counts, "event_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("views_total", "views_24h")})
+    return events.drop("views_total", "views_24h").join(counts, "event_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("views_total", "views_24h")})
 
 
 def needs_review(events: DataFrame, reviews: DataFrame) -> DataFrame:
