@@ -34,7 +34,7 @@ def corpus():
         docs[i] = "\n".join([" ".join(words[:50]), " ".join(words[50:])])
     for i in range(60, 80):
         docs[i] = text(20) + "  " + passage + "\t" + text(20)
-    docs |= {80: docs[3], 81: docs[3].upper(), 82: None, 83: "", 84: " \n ", 85: "one two", 86: "One  two", 87: text(9000), 88: "is on he " * 60, 89: "is on he " * 50}
+    docs |= {80: docs[3], 81: docs[3].upper(), 82: None, 83: "", 84: " \n ", 85: "one two", 86: "One  two", 87: text(9000), 88: "is on he " * 60, 89: "is on he " * 50, 90: "it is so " * 20, 91: "x " + "it is so " * 50 + "y"}
     rows = list(docs.items())
     rng.shuffle(rows)
     return rows

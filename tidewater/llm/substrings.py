@@ -175,11 +175,6 @@ def repeated_spans(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     classes = saved(found.select("path", "last", F.col("r.seed").alias("seed"), F.col("r.doc_id").alias("source"), F.col("r.start").alias("source_start"), F.col("r.text_key").alias("source_key"), "r.edges"))
     place = classes.select("path", "source", "source_start", "source_key")
 
-    # paths that do not branch: every later document loses the whole path
-    repeated = classes.filter("last > source").select("path", "source", "source_start", "source_key")
-    lost = _met_paths(docs, parts, False).join(repeated, "path")
-    lost = lost.filter("doc_id > source").select("doc_id", "text_key", "start", "n", "source", "source_start", "source_key")
-
     # parts in which paths branch: edges that classes of different documents share
     branches = classes.groupBy("seed").agg(F.min("source").alias("a"), F.max("source").alias("b")).filter("a < b").select("seed")
     each = classes.join(branches, "seed", "left_semi").select("path", "source", F.posexplode("edges").alias("j", "edge"))
@@ -187,9 +182,16 @@ def repeated_spans(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     met = saved(each.join(owners, "edge"))
     first = met.filter("source = o").groupBy("edge").agg(F.min(F.struct("path", "j")).alias("f")).select("edge", F.col("f.path").alias("path"), F.col("f.j").alias("fj"))
     first = first.join(place, "path").select("edge", "source", (F.col("source_start") + F.col("fj")).alias("source_start"), "source_key")
-    later = met.filter("source > o").select("edge", "path", "j").join(place.select("path", F.col("source").alias("doc_id"), F.col("source_start").alias("at"), F.col("source_key").alias("text_key")), "path")
-    branching = later.join(first, "edge").select("doc_id", "text_key", (F.col("at") + F.col("j")).alias("start"), F.lit(1).alias("n"), "source", "source_start", "source_key")
-    return _compacted(lost.unionByName(branching))
+    # which edges of a path its first document loses too; a path has thirteen at most
+    mark = F.struct("j", F.lit(1).alias("n"), "source", "source_start", "source_key")
+    marks = met.filter("source > o").select("edge", "path", "j").join(first, "edge").groupBy("path").agg(F.collect_list(mark).alias("marks"))
+
+    # every occurrence of a path: later documents lose all of it (nothing branches there), its first document what is marked
+    wanted = classes.select("path", "last", "source", "source_start", "source_key").join(marks, "path", "left").filter("last > source or marks is not null")
+    own = F.array(F.struct(F.lit(0).alias("j"), "n", "source", "source_start", "source_key"))
+    lost = _met_paths(docs, parts, False).join(wanted, "path").filter("doc_id > source or doc_id = source and marks is not null")
+    lost = lost.select("doc_id", "text_key", "start", F.explode(F.when(F.col("doc_id") > F.col("source"), own).otherwise(F.col("marks"))).alias("m"))
+    return _compacted(lost.select("doc_id", "text_key", (F.col("start") + F.col("m.j")).alias("start"), "m.n", "m.source", "m.source_start", "m.source_key"))
 
 
 SPANS = "doc_id long, text_key long, start int, n int, source long, source_start int, source_key long"
