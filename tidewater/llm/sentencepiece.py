@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import saved
 from .pieces import MARK, PieceTable, load_pieces
 
 #: A vocabulary has at most so many pieces to be broadcast; a larger one is joined by shuffle.
@@ -115,10 +116,14 @@ def encode(rows: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     table = load_pieces(model_path)
     rows = rows.drop("ids").withColumn("_key", F.sha2(F.col(text).cast("string"), 256))
     texts = rows.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.first(F.col(text).cast("string")).alias("_text"))
-    occurrences = texts.select("_key", F.posexplode(words_of(F.col("_text"))).alias("_pos", "word"))
+    # a number stands for the key where every word carries it; it is saved with the text, so it stays the same
+    texts = saved(texts.withColumn("_no", F.monotonically_increasing_id()))
+    occurrences = texts.select("_no", F.posexplode(words_of(F.col("_text"))).alias("_pos", "word"))
     known = word_lattice(occurrences.select("word").distinct(), table)
-    found = occurrences.join(known, "word").groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_pos", "ids"))).alias("_parts"))
-    found = found.select("_key", F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("_ids"))
+    # dealt by text before gathering, since gathering first would move lists of one
+    found = occurrences.join(known, "word").select("_no", "_pos", "ids").repartition("_no").groupBy("_no").agg(F.sort_array(F.collect_list(F.struct("_pos", "ids"))).alias("_parts"))
+    found = found.select("_no", F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("_ids"))
+    found = texts.select("_key", "_no").join(found, "_no", "left").select("_key", "_ids")
     ids = F.when(F.col(text).isNotNull(), F.coalesce("_ids", F.array().cast("array<int>")))
     return rows.join(found, "_key", "left").withColumn("ids", ids).drop("_key", "_ids")
 
