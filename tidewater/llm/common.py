@@ -49,6 +49,16 @@ def if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def least_hashed(df: DataFrame, hashed: str, rows: int) -> DataFrame:
+    """The `rows` rows of a saved table whose 64-bit hash column is least, at most.
+
+    A bound on the hash, from the number of rows, leaves little more than that for the last cut, however many
+    partitions there are. Which rows these are doesn't depend on partitioning but for ties.
+    """
+    share = min(1.0, 1.1 * rows / max(1, df.count()))
+    return df.filter(F.col(hashed) <= min(2**63 - 1, int(share * 2**64) - 2**63)).orderBy(hashed).limit(rows)
+
+
 # ---- words and their hashes -------------------------------------------------------------------
 
 _RNG = np.random.default_rng(20240229)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import least_hashed, prepare, saved
 
 # Fixed formats, in the order in which kinds are listed.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -181,7 +181,8 @@ def train(docs: DataFrame, rows: int = TRAINING_ROWS) -> dict | None:
                 h, y, x = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["h", "y", "x"])
 
-    got = docs.select("text").mapInArrow(run, "h long, y int, x array<double>").orderBy("h", "y", "x").limit(rows).toPandas()
+    found = saved(docs.select("text").mapInArrow(run, "h long, y int, x array<double>"))
+    got = least_hashed(found, "h", rows).toPandas().sort_values(["h", "y"])
     if got["y"].nunique() < 2:
         return None
     x, y, held = np.array(got["x"].tolist(), float), got["y"].to_numpy(float), got["h"].to_numpy() % 4 == 0
@@ -210,7 +211,7 @@ def spans(text: str | None, model: dict | None) -> tuple[list[tuple[str, int, in
     if model and more:
         scores = judge(model, np.array([features(text, *c) for c in more], float))
         for p, c in sorted(zip(scores, more), key=lambda z: (-z[0], z[1][1])):
-            if p >= model["thresholds"][c[0]] and not any(c[1] < e and s < c[2] for _, s, e in base + added):
+            if p >= model["thresholds"][c[0]] and not any(s <= c[1] and c[2] <= e for _, s, e in base) and not any(c[1] < e and s < c[2] for _, s, e in added):
                 added.append(c)
     return base, sorted(base + added, key=order)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, prepare, saved, word_hashes, words
+from .common import chunks, least_hashed, prepare, saved, word_hashes, words
 
 #: At most so many labelled rows train the model: those whose hashed doc_id is least.
 TRAINING_ROWS = 20_000
@@ -79,7 +79,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> dict
     """
     prepare(docs.sparkSession)
     chosen = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = least_hashed(saved(chosen.withColumn("_h", F.xxhash64("doc_id"))), "_h", rows).drop("_h")
     rows_ = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
