@@ -99,9 +99,19 @@ def common_shingles(docs: DataFrame, k: int, most: int = COMMON_SHINGLES, least:
         if ok.any():
             yield pa.RecordBatch.from_arrays([_signed(held_k[ok]), pa.array(held_n[ok])], ["s", "n"])
 
-    found = docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    rows = found.orderBy(F.desc("n"), "s").limit(most).select("s").toPandas()
-    return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
+    found = saved(docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+    # the counts' spread tells which ones to take, so that no more than `most` come to the driver
+    spread = found.groupBy(F.floor(F.log2("n") * 16).alias("g")).agg(F.count("*").alias("c"), F.min("n").alias("n")).orderBy(F.desc("g")).collect()
+    total, from_ = 0, None
+    for row in spread:  # sixteen a doubling
+        total += row["c"]
+        if total > most:
+            break
+        from_ = row["n"]
+    if from_ is None:
+        return np.zeros(0, np.uint64)
+    rows = found.filter(F.col("n") >= from_).select("s").toArrow()["s"]
+    return np.sort(rows.to_numpy().view(np.uint64))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
