@@ -16,7 +16,12 @@ from ..streaming import cycle, limits
 from ..streaming import views as V
 from . import query
 
-AS_OF = T.at(T.AS_OF)
+
+def now():
+    """The wall-clock of queries over orders; made when a query is, since columns need a session."""
+    return T.at(T.AS_OF)
+
+
 NOW = f"TIMESTAMP '{T.AS_OF}'"
 NOW_V = f"TIMESTAMP '{T.AS_OF_EVENTS}'"
 
@@ -62,7 +67,7 @@ INPUTS = f"""{EV}, {AR}, {SO}, facts AS (
 
 
 def inputs(spark, d):
-    df = A.score_inputs(T.events(spark, d), T.articles(spark, d), T.sources(spark, d), AS_OF)
+    df = A.score_inputs(T.events(spark, d), T.articles(spark, d), T.sources(spark, d), now())
     return df.withColumn("conflicts", F.col("owner_id") % 3)
 
 
@@ -70,7 +75,7 @@ def scored(spark, d):
     several, official = F.col("independent_sources") >= 2, F.col("official_sources") > 0
     return inputs(spark, d).withColumns(
         {
-            "confidence": scoring.confidence(), "relevance": scoring.relevance(AS_OF), "life_impact": scoring.life_impact(),
+            "confidence": scoring.confidence(), "relevance": scoring.relevance(now()), "life_impact": scoring.life_impact(),
             "evidence_strength": scoring.evidence_strength(), "source_reliability": scoring.source_reliability(),
             "verification": F.when(several & official, "VERIFIED").when(several | official, "UNCERTAIN").otherwise("UNVERIFIED"),
         }
@@ -119,7 +124,7 @@ def score_trending(spark, d):
         CASE WHEN article_count >= 3 THEN 10 WHEN article_count = 2 THEN 6 ELSE 2 END, -least(30, conflicts * 15)]) AS contribution FROM sv""",
 )
 def score_factors(spark, d):
-    rows = scoring.score_events(inputs(spark, d), AS_OF).filter("kind = 'confidence'")
+    rows = scoring.score_events(inputs(spark, d), now()).filter("kind = 'confidence'")
     return R.explode_factors(rows).select("event_id", "factor", "contribution")
 
 
@@ -179,7 +184,7 @@ for _o in ("recent", "relevance", "confidence", "impact"):
     f"WITH {INPUTS} SELECT event_id, country FROM sv WHERE status = 'PUBLISHED' AND category = 'economy' AND coalesce(confidence, -1) >= 60 AND date_diff('hour', last_activity_at, {NOW}) < 20000",
 )
 def events_filtered(spark, d):
-    return R.list_events(scored(spark, d), AS_OF, category="economy", since_hours=20000, min_confidence=60).select("event_id", "country")
+    return R.list_events(scored(spark, d), now(), category="economy", since_hours=20000, min_confidence=60).select("event_id", "country")
 
 
 @query(
@@ -190,8 +195,8 @@ def events_filtered(spark, d):
       CASE WHEN h < 1 THEN 'seconds' WHEN h < 24 THEN h || ' h' ELSE (h // 24) || ' d' END AS relative FROM t""",
 )
 def event_freshness(spark, d):
-    e = R.decorate(T.events(spark, d), AS_OF)
-    return e.select("event_id", "freshness", M.relative_age(F.col("last_activity_at"), AS_OF).alias("relative"))
+    e = R.decorate(T.events(spark, d), now())
+    return e.select("event_id", "freshness", M.relative_age(F.col("last_activity_at"), now()).alias("relative"))
 
 
 _HOME = {"latest": "true", "relevant": "relevance IS NOT NULL", "confident": "confidence IS NOT NULL", "impact": "life_impact IS NOT NULL"}
@@ -221,7 +226,7 @@ def home_lists(spark, d):
 def preset_lists(spark, d):
     e = scored(spark, d)
     named = [("all", None), ("category", "politics"), ("country", "NATION_3"), ("today", None)]
-    return J.concat([products.preset(e, n, AS_OF, v).select(F.lit(n).alias("list"), "event_id") for n, v in named])
+    return J.concat([products.preset(e, n, now(), v).select(F.lit(n).alias("list"), "event_id") for n, v in named])
 
 
 _ADMIT = f"""{VW}, w AS (SELECT *, lag(tm) OVER (PARTITION BY session, event_id ORDER BY tm, id) AS before,
@@ -367,7 +372,7 @@ def alert_matches(spark, d):
     r = T.rules(spark, d)
     # a notification exists for every rule and every thirteenth event
     told = e.filter("event_id % 13 = 0").select("event_id")
-    found = products.match_alerts(r, e.join(told, "event_id", "left_anti"), spark.createDataFrame([], "user_id long, rule_id long, event_id long"), AS_OF, since_hours=1440)
+    found = products.match_alerts(r, e.join(told, "event_id", "left_anti"), spark.createDataFrame([], "user_id long, rule_id long, event_id long"), now(), since_hours=1440)
     return found
 
 
@@ -398,7 +403,7 @@ def validated_rules(spark, d):
     SELECT section, rank, event_id FROM a WHERE rank <= 6 UNION ALL SELECT section, rank, event_id FROM b WHERE rank <= 6""",
 )
 def brief_sections(spark, d):
-    return products.brief_sections(scored(spark, d), AS_OF, hours=2400).select("section", "rank", "event_id")
+    return products.brief_sections(scored(spark, d), now(), hours=2400).select("section", "rank", "event_id")
 
 
 _FOLLOWS = """fo AS (SELECT c_custkey AS user_id, c_custkey % 3 AS k, CASE c_custkey % 3 WHEN 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'economy' ELSE 'politics' END WHEN 1 THEN 'NATION_' || c_nationkey ELSE c_custkey::VARCHAR END AS target FROM customer)"""
@@ -542,7 +547,7 @@ def fold_follows(spark, d):
 def stale_events(spark, d):
     e = T.events(spark, d)
     f = T.follows(spark, d).filter("kind = 'event'").select(F.col("target").cast("long").alias("event_id"))
-    return retention.stale_events(e, retention.Policy(), AS_OF, e.filter("event_id % 7 = 0"), f, e.filter("event_id % 9 = 0")).select("event_id")
+    return retention.stale_events(e, retention.Policy(), now(), e.filter("event_id % 7 = 0"), f, e.filter("event_id % 9 = 0")).select("event_id")
 
 
 @query("payload_cap", "SELECT event_id AS article_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) <= 2000 AS keep FROM events")

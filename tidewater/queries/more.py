@@ -14,7 +14,7 @@ from ..plans import annotators, enrich, graph, products, review, scoring
 from ..sources import feeds, ledgers
 from ..streaming import views as V
 from . import query
-from .events import _ADMIT, AR, AS_OF, EV, INPUTS, NOW, SO, VW, admitted, scored
+from .events import _ADMIT, AR, EV, INPUTS, NOW, SO, VW, admitted, now, scored
 
 _VIEWED = f"""{INPUTS}, {_ADMIT}, vc AS (SELECT event_id, count(*) FILTER (reason IS NULL) AS views_total FROM adm GROUP BY event_id),
   ve AS (SELECT sv.*, coalesce(views_total, 0) AS views_total FROM sv LEFT JOIN vc USING (event_id))"""
@@ -139,7 +139,7 @@ def review_resolution(spark, d):
     e = T.events(spark, d)
     k = F.col("event_id") % 4
     decisions = e.filter(k < 3).select("event_id", F.when(k == 0, "approve").when(k == 1, "reject").otherwise("override").alias("decision"), F.when(k == 2, "ARCHIVED").alias("state"))
-    after, history = review.review_resolution(e, decisions, AS_OF)
+    after, history = review.review_resolution(e, decisions, now())
     return after.select("event_id", "status").join(history.select("event_id", F.lit(True).alias("changed")), "event_id", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
 
 
@@ -189,7 +189,7 @@ def session_hashes(spark, d):
     SELECT (SELECT count(*) FROM a WHERE r <= 6) + (SELECT count(*) FROM b WHERE r <= 6) AS total, (SELECT event_id FROM a WHERE r = 1) AS first_event""",
 )
 def daily_brief(spark, d):
-    b = products.daily_brief(scored(spark, d), AS_OF, hours=2400)
+    b = products.daily_brief(scored(spark, d), now(), hours=2400)
     return b.select("total", F.element_at(F.element_at("sections", 1)["items"], 1)["event_id"].alias("first_event"))
 
 
@@ -216,7 +216,7 @@ def annotator_runs(spark, d):
         return rows.select("event_id").join(v, "event_id").select("event_id", F.lit("ok").alias("status"), F.to_json(F.struct("verdict", "groups")).alias("output"), F.lit(None).cast("int").alias("confidence"))
 
     steps = [annotators.Annotator("verification", "1", F.lit(True), check), annotators.Annotator("model", "1", F.col("category") == "war_conflict", None)]
-    return annotators.run_annotators(e, steps, AS_OF).select("event_id", "agent", "status", "reason")
+    return annotators.run_annotators(e, steps, now()).select("event_id", "agent", "status", "reason")
 
 
 @query("edges_with_titles", f"WITH {EV} SELECT a.event_id AS from_id, b.event_id AS to_id, a.event_id % 97 AS strength, b.title AS to_title FROM ev a JOIN ev b ON b.event_id = a.event_id + 1 ORDER BY strength DESC, from_id, to_id LIMIT 8")
