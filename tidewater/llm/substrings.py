@@ -188,6 +188,7 @@ def repeated_spans(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
 
     # every occurrence of a path: later documents lose all of it (nothing branches there), its first document what is marked
     wanted = classes.select("path", "last", "source", "source_start", "source_key").join(marks, "path", "left").filter("last > source or marks is not null")
+    wanted = saved(wanted)  # read plainly, so that Spark can split the occurrences of a frequent path in the join
     own = F.array(F.struct(F.lit(0).alias("j"), "n", "source", "source_start", "source_key"))
     lost = _met_paths(docs, parts, False).join(wanted, "path").filter("doc_id > source or doc_id = source and marks is not null")
     lost = lost.select("doc_id", "text_key", "start", F.explode(F.when(F.col("doc_id") > F.col("source"), own).otherwise(F.col("marks"))).alias("m"))
