@@ -106,6 +106,20 @@ def words_of(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(f"\n|{MARK}[^{MARK}\n]*|[^{MARK}\n]+"), F.lit(0)))
 
 
+def encode_texts(rows: DataFrame, model_path: str, text: str = "text") -> DataFrame:
+    """(key, no, ids) for each distinct text that isn't null: its SHA-256, a number, and its piece ids."""
+    table = load_pieces(model_path)
+    texts = rows.select(F.sha2(F.col(text).cast("string"), 256).alias("key"), F.col(text).cast("string").alias("_text")).filter("key is not null")
+    # a number stands for the key where every word carries it; it is saved with the text, so it stays the same
+    texts = saved(texts.groupBy("key").agg(F.first("_text").alias("_text")).withColumn("no", F.monotonically_increasing_id()))
+    occurrences = texts.select("no", F.posexplode(words_of(F.col("_text"))).alias("_pos", "word"))
+    known = word_lattice(occurrences.select("word").distinct(), table)
+    # dealt by text before gathering, since gathering first would move lists of one
+    found = occurrences.join(known, "word").select("no", "_pos", "ids").repartition("no").groupBy("no").agg(F.sort_array(F.collect_list(F.struct("_pos", "ids"))).alias("_parts"))
+    found = found.select("no", F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("ids"))
+    return texts.select("key", "no").join(found, "no", "left").select("key", "no", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+
+
 def encode(rows: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """rows with `ids` (array of int): the piece ids of column `text`.
 
@@ -113,38 +127,35 @@ def encode(rows: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     columns; a column named `ids` is replaced. Equal texts are encoded once and equal words once. Words are
     counted before they are joined, and Spark may split a frequent word's rows in the join.
     """
-    table = load_pieces(model_path)
+    found = encode_texts(rows, model_path, text).select(F.col("key").alias("_key"), F.col("ids").alias("_ids"))
     rows = rows.drop("ids").withColumn("_key", F.sha2(F.col(text).cast("string"), 256))
-    texts = rows.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.first(F.col(text).cast("string")).alias("_text"))
-    # a number stands for the key where every word carries it; it is saved with the text, so it stays the same
-    texts = saved(texts.withColumn("_no", F.monotonically_increasing_id()))
-    occurrences = texts.select("_no", F.posexplode(words_of(F.col("_text"))).alias("_pos", "word"))
-    known = word_lattice(occurrences.select("word").distinct(), table)
-    # dealt by text before gathering, since gathering first would move lists of one
-    found = occurrences.join(known, "word").select("_no", "_pos", "ids").repartition("_no").groupBy("_no").agg(F.sort_array(F.collect_list(F.struct("_pos", "ids"))).alias("_parts"))
-    found = found.select("_no", F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("_ids"))
-    found = texts.select("_key", "_no").join(found, "_no", "left").select("_key", "_ids")
-    ids = F.when(F.col(text).isNotNull(), F.coalesce("_ids", F.array().cast("array<int>")))
-    return rows.join(found, "_key", "left").withColumn("ids", ids).drop("_key", "_ids")
+    return rows.join(found, "_key", "left").withColumnRenamed("_ids", "ids").drop("_key")
 
 
-def decode(rows: DataFrame, model_path: str, ids: str = "ids", key: list[str] | None = None) -> DataFrame:
-    """rows with `decoded`: the text that column `ids` stands for; null ids give null.
+def decode_keyed(rows: DataFrame, model_path: str, key: str, ids: str = "ids") -> DataFrame:
+    """(key, decoded) for rows (key, ids) with distinct keys. Ids outside the table raise.
 
-    `key` names columns that tell ids apart (default: the ids themselves). Ids outside the table raise; bytes
-    that aren't UTF-8 become replacement characters. The first word's mark is dropped and other marks are spaces.
+    Rows that are dealt by the key already aren't dealt again.
     """
-    spark, table = rows.sparkSession, load_pieces(model_path)
+    table = load_pieces(model_path)
     codes = [(i, p.replace(MARK, " ").encode().hex()) for p, i, _ in table.pieces] + [(table.first_byte + b, f"{b:02x}") for b in range(256)]
-    pieces = F.broadcast(spark.createDataFrame(codes, "_id int, _code string"))
-    key_of = F.sha2(F.array_join(ids, ","), 256) if key is None else F.sha2(F.to_json(F.struct(*key)), 256)
-    rows = rows.drop("decoded").withColumn("_key", key_of)
-    each = rows.select("_key", ids).dropDuplicates(["_key"]).select("_key", F.posexplode(ids).alias("_pos", "_id"))
-    each = each.join(pieces, "_id", "left").withColumn("_code", F.coalesce("_code", F.raise_error(F.concat(F.lit("no such piece: "), F.col("_id").cast("string")))))
+    pieces = F.broadcast(rows.sparkSession.createDataFrame(codes, "_id int, _code string"))  # a vocabulary of fixed size
+    each = rows.select(key, F.posexplode_outer(ids).alias("_pos", "_id")).join(pieces, "_id", "left")
+    unknown = F.raise_error(F.concat(F.lit("no such piece: "), F.col("_id").cast("string")))
+    each = each.withColumn("_code", F.when(F.col("_id").isNull(), "").otherwise(F.coalesce("_code", unknown)))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_pos", "_code"))), lambda p: p["_code"]), "")
-    found = each.groupBy("_key").agg(F.decode(F.unhex(text), "UTF-8").alias("_text"))
-    decoded = F.when(F.col(ids).isNotNull(), F.coalesce(F.regexp_replace("_text", "^ ", ""), F.lit("")))
-    return rows.join(found, "_key", "left").withColumn("decoded", decoded).drop("_key", "_text")
+    return each.groupBy(key).agg(F.regexp_replace(F.decode(F.unhex(text), "UTF-8"), "^ ", "").alias("decoded"))
+
+
+def decode(rows: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
+    """rows with `decoded`: the text that column `ids` stands for; null ids give null.
+
+    Equal ids are decoded once. Ids outside the table raise; bytes that aren't UTF-8 become replacement
+    characters. The first word's mark is dropped and other marks are spaces.
+    """
+    rows = rows.drop("decoded").withColumn("_key", F.sha2(F.array_join(ids, ","), 256))
+    each = rows.filter(F.col(ids).isNotNull()).select("_key", F.col(ids).alias("ids")).dropDuplicates(["_key"])
+    return rows.join(decode_keyed(each, model_path, "_key"), "_key", "left").drop("_key")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,5 +164,8 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
-    out = decode(encode(rows, path), path)
-    return out.select("conv_id", "turn", F.size("ids").cast("long").alias("n_pieces"), F.array_join("ids", " ").alias("ids"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    found = encode_texts(rows, path)
+    found = found.join(decode_keyed(found, path, "no"), "no")
+    # a text that comes back has the digest that it had
+    found = found.select("key", F.size("ids").cast("long").alias("n_pieces"), F.array_join("ids", " ").alias("ids"), (F.sha2("decoded", 256) == F.col("key")).alias("round_trip"))
+    return rows.select("conv_id", "turn", F.sha2("text", 256).alias("key")).join(found, "key", "left").drop("key")
