@@ -183,6 +183,26 @@ def test_grounding(spark):
     assert enrich.run_status(c, enrich.ground_quotes(c, a)).first()["status"] == "blocked"
 
 
+def test_passages_are_grounded_in_all_documents(spark, tmp_path):
+    from tidewater.functions.text import fold_text
+    from tidewater.queries import queries
+
+    said = "the old bridge over the river was closed by the mayor on monday"
+    items = [(1, said), (2, "closed by the mayor"), (3, "bridge closed"), (4, "nobody ever wrote this line of eleven words down at all"), (5, "short"), (6, "...")]
+    # more than 40 holders, ids of every residue and far beyond 800, words cut at both ends, accents and line feeds
+    docs = [(i, f"report {i}\nwe heard {said} again") for i in range(790, 860)] + [(90_017, "BREATHE Old bridge\nover the River wás closed by the mayor on mondays"), (90_018, "the old bridge over the river was closed by the mayor"), (90_019, None), (90_020, "short"), (90_021, "A bridge closed")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [tuple(r) for r in queries()["grounded_quotes_all"](spark, str(tmp_path)).select("run_id", "article_id", "kept").collect()]
+    fold = lambda table: {r[0]: r[1] or "" for r in spark.createDataFrame(table, "k long, t string").select("k", fold_text(F.col("t"))).collect()}
+    hays, quotes = fold(docs), fold(items)
+    want = {(q, a) for q, f in quotes.items() for a, h in hays.items() if f and len(dict(items)[q].strip()) >= 12 and f in h}
+    assert {(q, a) for q, a, kept in rows if kept} == want and (1, 90_017) in want and len(want) > 80
+    assert len(rows) == len({r[:2] for r in rows}) and (1, 90_018, False) in rows and (5, 90_020, False) in rows
+    stats = {r["run_id"]: (r["proposed"], r["kept"]) for r in queries()["grounding_stats_all"](spark, str(tmp_path)).collect()}
+    assert stats[1] == (72, 71) and 4 not in stats
+
+
 def test_conflicts_keep_all_values(spark):
     a = spark.createDataFrame([(1, "Magnitude 6.1 hits", None), (1, "Magnitude 6,3 felt", None), (2, "Magnitude 5", None), (3, "1,200 dead", None), (3, "1200 killed", None)], "event_id int, title string, summary string")
     assert [(r["event_id"], r["field"], r["values"]) for r in enrich.detect_conflicts(a).collect()] == [(1, "magnitude", ["6.1", "6.3"])]

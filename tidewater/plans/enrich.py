@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.text import fold_text, is_attributed, term_match, title_case
 from ..operators.aggregates import OFFICIAL, entity_mentions, field_conflicts, first_measurements, verification_facts
 from ..operators.windows import top_n, winner
+from ..saved import saved
 
 #: Rule and place tables of at most so many rows are sent to every task.
 BROADCAST_TERMS = 50_000
+#: Windows of passages, and ids of cited articles, are sent to every task up to so many; beyond, they join by shuffle.
+BROADCAST_WINDOWS = 1_000_000
 
 
 def classify(articles: DataFrame, rules: DataFrame, declared: DataFrame | None = None) -> DataFrame:
@@ -120,13 +123,57 @@ def natural_event_facts(articles: DataFrame) -> DataFrame:
 CLAIM_KINDS = ["FACT", "STATEMENT", "CLAIMED", "MEASUREMENT", "OPINION"]
 
 
-def ground_quotes(claims: DataFrame, articles: DataFrame, most: int = 40) -> DataFrame:
+def _sent(df: DataFrame) -> DataFrame:
+    """df (narrow rows), marked for broadcast only if it has at most BROADCAST_WINDOWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else df
+
+
+def cited_passages(passages: DataFrame, articles: DataFrame, words: int = 8) -> DataFrame:
+    """(run_id, article_id): the articles that share `words` words in a row, or all inner words of a shorter one, with a passage.
+
+    passages: (run_id, quote). The first and last word of a quote may be parts of words in an article, so windows
+    are cut from the words between them; every article that holds a quote shares all of these. A quote of one or
+    two words is looked for in every article. What is found is a candidate: `ground_quotes` tests it.
+    """
+    hay = articles.select("article_id", fold_text(F.concat_ws(" ", "title", "summary")).alias("_hay"))
+
+    def windows(k: str, size: int):
+        return F.when(F.size(k) >= size, F.transform(F.sequence(F.lit(1), F.size(k) - size + 1), lambda i: F.xxhash64(F.slice(k, i, size))))
+
+    q = passages.select("run_id", fold_text(F.col("quote")).alias("_quote")).filter("_quote <> ''").withColumn("_k", F.split("_quote", " "))
+    q = saved(q.withColumn("_size", F.least(F.lit(words), F.size("_k") - 2)))
+    found = []
+    # at most `words` sizes and one for the shortest
+    for size in sorted({max(0, r["_size"]) for r in q.select("_size").distinct().collect()}):
+        if size:
+            inner = q.filter(F.col("_size") == size).select("run_id", F.slice("_k", 2, F.size("_k") - 2).alias("_k"))
+            mine = _sent(inner.select("run_id", F.explode(windows("_k", size)).alias("_w")).distinct())
+            each = hay.select("article_id", F.split("_hay", " ").alias("_k")).select("article_id", F.explode(windows("_k", size)).alias("_w"))
+            found.append(each.join(mine, "_w").select("run_id", "article_id"))
+        else:
+            found.append(hay.join(_sent(q.filter("_size <= 0").select("run_id", "_quote")), F.col("_hay").contains(F.col("_quote"))).select("run_id", "article_id"))
+    none = passages.limit(0).select("run_id").crossJoin(articles.limit(0).select("article_id"))
+    for f in found:
+        none = none.unionByName(f)
+    return none.distinct()
+
+
+def ground_passages(passages: DataFrame, articles: DataFrame) -> DataFrame:
+    """(run_id, article_id, kept, ...): each passage (run_id, quote) against every article that it shares words with; no cap."""
+    cited = saved(cited_passages(passages, articles))
+    held = articles.join(_sent(cited.select("article_id").distinct()), "article_id", "left_semi")
+    claims = cited.join(_sent(passages.select("run_id", "quote")), "run_id").withColumns({"claim_no": F.col("article_id"), "kind": F.lit("FACT")})
+    return ground_quotes(claims, held, None)
+
+
+def ground_quotes(claims: DataFrame, articles: DataFrame, most: int | None = 40) -> DataFrame:
     """claims (run_id, claim_no, article_id, quote, kind) with `kept` and `why`; the first `most` of a run are checked.
 
-    A quote must occur, folded, in the title and summary of the article that it cites.
+    A quote must occur, folded, in the title and summary of the article that it cites. With `most` None all are checked.
     """
     hay = articles.select("article_id", fold_text(F.concat_ws(" ", "title", "summary")).alias("_hay"))
-    q = top_n(claims, ["run_id"], [F.asc("claim_no")], most).join(hay, "article_id", "left")
+    q = claims if most is None else top_n(claims, ["run_id"], [F.asc("claim_no")], most)
+    q = q.join(hay, "article_id", "left")
     folded = fold_text(F.col("quote"))
     why = (
         F.when(F.col("_hay").isNull(), "no_such_article")

@@ -219,6 +219,20 @@ def grounding_stats(spark, d):
     return A.grounding_stats(grounded_quotes(spark, d))
 
 
+@query("grounded_quotes_all")
+def grounded_quotes_all(spark, d):
+    """Every benchmark passage against all documents that share words with it. The SQL of grounded_quotes states 40 documents an item."""
+    docs = T.read(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.substring(F.substring_index("text", "\n", 1), 1, 200).alias("title"), F.col("text").alias("summary"))
+    passages = T.read(spark, d, "benchmark").select(F.col("item_id").alias("run_id"), F.col("text").alias("quote"))
+    return enrich.ground_passages(passages, docs).select("run_id", "article_id", "kept")
+
+
+@query("grounding_stats_all")
+def grounding_stats_all(spark, d):
+    """As grounding_stats, over grounded_quotes_all; passages that share words with no document have no row."""
+    return A.grounding_stats(grounded_quotes_all(spark, d))
+
+
 @query("page_titles", "SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title FROM pages")
 def page_titles(spark, d):
     return T.feed_bodies(spark, d).select("page_id", F.nullif(X.strip_markup(F.regexp_extract("body", "(?s)<title>(.*?)</title>", 1)), F.lit("")).alias("title"))
