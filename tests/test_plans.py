@@ -203,6 +203,20 @@ def test_passages_are_grounded_in_all_documents(spark, tmp_path):
     assert stats[1] == (72, 71) and 4 not in stats
 
 
+def test_whole_texts_are_read(spark, tmp_path):
+    """Terms, places and names behind the first 1200 characters count."""
+    from tidewater.queries import queries
+
+    late = "words and more\n" + "so it is. " * 200 + "they heed it in erst with Orlando Vantorre and Orlando Vantorre."
+    docs = [(i, late, "en", "s") for i in range(1, 5)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda name: queries()[name](spark, str(tmp_path)).collect()
+    assert [(r["category"], r["score"]) for r in rows("classify_docs_all")] == [("politics", 2)] * 4
+    assert [(r["country"], r["place"]) for r in rows("geocode_docs_all")] == [("XB", "Erst")] * 4
+    assert {r["mentions"] for r in rows("entity_mentions") if r["name"] == "Orlando Vantorre"} == {2}
+    assert ("orlando vantorre", 4) in {tuple(r) for r in rows("common_entities")}
+
+
 def test_conflicts_keep_all_values(spark):
     a = spark.createDataFrame([(1, "Magnitude 6.1 hits", None), (1, "Magnitude 6,3 felt", None), (2, "Magnitude 5", None), (3, "1,200 dead", None), (3, "1200 killed", None)], "event_id int, title string, summary string")
     assert [(r["event_id"], r["field"], r["values"]) for r in enrich.detect_conflicts(a).collect()] == [(1, "magnitude", ["6.1", "6.3"])]

@@ -90,6 +90,12 @@ _RULE_ROWS = ", ".join(f"('{c}', '{t}', {w}, {i})" for i, (c, t, w) in enumerate
       CASE WHEN coalesce(score, 0) >= 6 AND score > runner_up THEN 'high' WHEN coalesce(score, 0) >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM t LEFT JOIN k ON k.article_id = t.article_id AND n = 1""",
 )
 def classify_docs(spark, d):
+    return enrich.classify(T.opening(T.text_articles(spark, d)), _rules(spark))
+
+
+@query("classify_docs_all")
+def classify_docs_all(spark, d):
+    """classify_docs over whole texts; its SQL states their first 1200 characters."""
     return enrich.classify(T.text_articles(spark, d), _rules(spark))
 
 
@@ -103,9 +109,13 @@ _PLACE_ROWS = ", ".join(f"('{n}', '{c}', {la}, {lo}, '{k}', {i})" for i, (n, c,
     SELECT tx.article_id, country, upper(name[1]) || name[2:] AS place, lat::DOUBLE AS lat, CASE WHEN name IS NULL THEN 'unknown' ELSE 'approximate' END AS precision FROM tx LEFT JOIN h ON h.article_id = tx.article_id AND n = 1""",
 )
 def geocode_docs(spark, d):
-    return enrich.geocode(T.text_articles(spark, d), _places(spark)).select("article_id", "country", "place", "lat", "precision")
+    return enrich.geocode(T.opening(T.text_articles(spark, d)), _places(spark)).select("article_id", "country", "place", "lat", "precision")
 
 
+@query("geocode_docs_all")
+def geocode_docs_all(spark, d):
+    """geocode_docs over whole texts; its SQL states their first 1200 characters."""
+    return enrich.geocode(T.text_articles(spark, d), _places(spark)).select("article_id", "country", "place", "lat", "precision")
 
 
 @query("entity_mentions")
