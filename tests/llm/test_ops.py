@@ -254,6 +254,24 @@ def test_counts_of_documents(spark, sf_dir, unigram):
     assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, PIECES).collect()} == {i: len(unigram(t or "")) for i, t in texts.items()}
 
 
+@pytest.mark.parametrize("most", [500_000, 3])
+def test_encoding_runs_over_documents(spark, tmp_path, unigram, monkeypatch, most):
+    """Every document, nulls and repeated rows too, with words sent to every task or joined by shuffle."""
+    monkeypatch.setattr(sp, "BROADCAST_WORDS", most)
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(1, TEXTS[1]), (0, TEXTS[0]), (None, "no id"), (99, " ".join(f"w{i % 700}" for i in range(5000)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    join = lambda t: None if t is None else " ".join(map(str, unigram(t)))
+    want = sorted([(i, None if t is None else len(unigram(t)), join(t), None if t is None else True) for i, t in rows], key=repr)
+    assert sorted([tuple(r) for r in sp.op5_sentencepiece(spark, str(tmp_path)).select("doc_id", "n_pieces", "ids", "round_trip").collect()], key=repr) == want
+
+
+def test_decoding_in_the_row_refuses_unknown_ids(spark):
+    table = sp.load_pieces(PIECES)
+    for i in (10_000_000, 0, -1):
+        with pytest.raises(Exception, match="no such piece"):
+            spark.createDataFrame([([i],)], "ids array<int>").select(sp.decoded(F.col("ids"), table)).collect()
+
+
 def test_decode_refuses_unknown_ids(spark):
     with pytest.raises(Exception, match="no such piece"):
         sp.decode(spark.createDataFrame([([10_000_000],)], "ids array<int>"), PIECES).collect()

@@ -15,6 +15,8 @@ from .pieces import MARK, PieceTable, load_pieces
 
 #: A vocabulary has at most so many pieces to be broadcast; a larger one is joined by shuffle.
 BROADCAST_PIECES = 500_000
+#: So many distinct words with their ids go to every task; more are joined by shuffle.
+BROADCAST_WORDS = 500_000
 
 
 def _piece_frame(spark: SparkSession, table: PieceTable) -> DataFrame:
@@ -106,17 +108,33 @@ def words_of(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(f"\n|{MARK}[^{MARK}\n]*|[^{MARK}\n]+"), F.lit(0)))
 
 
+def _ids_of(texts: DataFrame, key: str, table: PieceTable) -> DataFrame:
+    """(key, ids) for rows (key, _text) with distinct keys and texts that aren't null; each text is dealt once, by its key.
+
+    The table of distinct words and their ids is counted first; a small one goes to every task, so that a text's
+    words stay where the text is. A larger one meets by shuffle what each text has of distinct words.
+    """
+    known = saved(word_lattice(texts.select(F.explode(words_of(F.col("_text"))).alias("word")).distinct(), table))
+    small = known.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    each = texts.repartition(key).select(key, F.posexplode(words_of(F.col("_text"))).alias("_pos", "word"))
+    if small:
+        parts = each.join(F.broadcast(known), "word").groupBy(key).agg(F.collect_list(F.struct("_pos", "ids")).alias("_parts"))
+    else:
+        own = each.groupBy(key, "word").agg(F.collect_list("_pos").alias("_at"))
+        # dealt by text before gathering, since gathering first would move lists of one
+        own = own.join(known, "word").select(key, "_at", "ids").repartition(key).groupBy(key).agg(F.collect_list(F.struct("_at", "ids")).alias("_own"))
+        parts = own.select(key, F.flatten(F.transform("_own", lambda p: F.transform(p["_at"], lambda i: F.struct(i.alias("_pos"), p["ids"].alias("ids"))))).alias("_parts"))
+    found = parts.select(key, F.sort_array("_parts").alias("_parts"))
+    return found.select(key, F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("ids"))
+
+
 def encode_texts(rows: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """(key, no, ids) for each distinct text that isn't null: its SHA-256, a number, and its piece ids."""
     table = load_pieces(model_path)
     texts = rows.select(F.sha2(F.col(text).cast("string"), 256).alias("key"), F.col(text).cast("string").alias("_text")).filter("key is not null")
     # a number stands for the key where every word carries it; it is saved with the text, so it stays the same
     texts = saved(texts.groupBy("key").agg(F.first("_text").alias("_text")).withColumn("no", F.monotonically_increasing_id()))
-    occurrences = texts.select("no", F.posexplode(words_of(F.col("_text"))).alias("_pos", "word"))
-    known = word_lattice(occurrences.select("word").distinct(), table)
-    # dealt by text before gathering, since gathering first would move lists of one
-    found = occurrences.join(known, "word").select("no", "_pos", "ids").repartition("no").groupBy("no").agg(F.sort_array(F.collect_list(F.struct("_pos", "ids"))).alias("_parts"))
-    found = found.select("no", F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("ids"))
+    found = _ids_of(texts, "no", table)
     return texts.select("key", "no").join(found, "no", "left").select("key", "no", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 
@@ -158,14 +176,35 @@ def decode(rows: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
     return rows.join(decode_keyed(each, model_path, "_key"), "_key", "left").drop("_key")
 
 
+def codes_of(table: PieceTable) -> Column:
+    """An array whose element i + 1 is what piece i stands for, in hexadecimal; empty where i is no piece of a text."""
+    codes = [""] * (max([table.first_byte + 255, *(i for _, i, _ in table.pieces)]) + 1)
+    for p, i, _ in table.pieces:
+        codes[i] = p.replace(MARK, " ").encode().hex()
+    codes[table.first_byte : table.first_byte + 256] = [f"{b:02x}" for b in range(256)]
+    return F.split(F.lit(",".join(codes)), ",")  # folded to one constant
+
+
+def decoded(ids: Column, table: PieceTable) -> Column:
+    """The text of piece ids, looked up by position in the vocabulary, in the row itself. Ids outside it raise."""
+
+    def code(i: Column) -> Column:
+        found = F.get(codes_of(table), i)
+        return F.when(F.length(found) > 0, found).otherwise(F.raise_error(F.concat(F.lit("no such piece: "), i.cast("string"))))
+
+    return F.regexp_replace(F.decode(F.unhex(F.array_join(F.transform(ids, code), "")), "UTF-8"), "^ ", "")
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every message of `conversations`, encoded and decoded again."""
+    """Every text of `documents`, encoded and decoded again: doc_id, n_pieces, ids, round_trip; one row per input row."""
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
-    found = encode_texts(rows, path)
-    found = found.join(decode_keyed(found, path, "no"), "no")
+    table = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    # what a file's rows are numbered is the same each time; only the digest goes along to compare with
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    found = _ids_of(numbered.filter("text is not null").select("_row", F.col("text").alias("_text")), "_row", table)
+    out = numbered.select("_row", "doc_id", F.sha2("text", 256).alias("_key")).join(found, "_row", "left")
+    out = out.withColumn("ids", F.when(F.col("_key").isNotNull(), F.coalesce("ids", F.array().cast("array<int>"))))
     # a text that comes back has the digest that it had
-    found = found.select("key", F.size("ids").cast("long").alias("n_pieces"), F.array_join("ids", " ").alias("ids"), (F.sha2("decoded", 256) == F.col("key")).alias("round_trip"))
-    return rows.select("conv_id", "turn", F.sha2("text", 256).alias("key")).join(found, "key", "left").drop("key")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.array_join("ids", " ").alias("ids"), (F.sha2(decoded(F.col("ids"), table), 256) == F.col("_key")).alias("round_trip"))
