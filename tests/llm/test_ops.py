@@ -393,6 +393,23 @@ def test_pii_trees_add_named_secrets(spark):
     assert pii.train(df.limit(0)) is None and pii.train(spark.createDataFrame([(1, "words only")], "doc_id long, text string")) is None
 
 
+def test_pii_finds_secrets_whatever_the_mix(spark, monkeypatch):
+    """Few secrets in a small table, secrets among many more numbers than train, and numbers without a base format."""
+    rng = random.Random(6)
+    secret = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    named = lambda: f'set token = "{secret()}" here'
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few = frame([named() for _ in range(3)])
+    assert [r["spans"].count("secret:") for r in pii.find_pii(few, pii.train(few)).collect()] == [1, 1, 1]
+    mixed = frame([named() for _ in range(20)] + [" and ".join(f"20{rng.randint(10, 24)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}" for _ in range(40)) for _ in range(50)] + ["ask for (555) 201-4477 today"])
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(mixed, pii.train(mixed, rows=400)).collect()}
+    assert all(got[i].count("secret:") == 1 for i in range(20)) and not any("number" in got[i] for i in range(20, 70)) and got[70] == "number:8:22"
+
+
+def test_pii_long_runs_of_zeros():
+    assert pii.spans("0" * 5000 + ".0.0.1", None)[0][0][0] == "ip"
+
+
 def test_boosting_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))

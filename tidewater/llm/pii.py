@@ -2,9 +2,11 @@
 
 Base spans follow fixed formats and stay whatever the trees say. Wider generators (long tokens with digits, loose
 number runs) propose more; gradient-boosted trees over format and context features score these, and a span is
-added where its score passes a threshold calibrated on held-out candidates. No labelled personal data exist here,
-so labels come from format checks and from names assigned to values (`token = "..."`): the trees learn from
-candidates whose status such checks settle.
+added where its score passes its kind's threshold, calibrated on held-out candidates of that kind; a kind with too
+few to calibrate is judged by the check that gives its labels, so no kind is switched off. No labelled
+personal data exist here, so labels come from checks: a secret is one if a name is assigned to it (`token = "..."`),
+which the trees also see as a feature, so that they learn little beyond this form and what such values look like;
+a number is one if it has the digits and the grouping of a card or phone number, which no base format need match.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,11 +37,15 @@ _ADDRESS = re.compile(r"[A-Za-z0-9._%+@-]*")
 _TOKEN = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
 _NUMBER = re.compile(r"[+(]?[0-9][0-9().\x20-]{6,}[0-9]")
 _NAMED = re.compile(r"(token|secret|key|passw\w*|auth\w*|credential\w*)\W{0,4}[=:]\W{0,4}$", re.I)
+_CALLED = re.compile(r"(phone|mobile|tel|fax|call|ssn|contact)\W{0,4}([=:]\W{0,4})?$", re.I)
+_GROUPED = re.compile(r"(\+?[0-9]{1,3}[\x20.-])?\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}")
 _ADDRESS_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-@")
 
-#: At most so many candidates train the trees: those whose hashed place is least.
+#: At most so many candidates of each kind train the trees: those whose hashed place is least; all if fewer.
 TRAINING_ROWS = 20_000
 PRECISION = 0.99
+#: A threshold needs so many held-out candidates that pass; a kind without it is judged by the check that gives labels.
+LEAST_PASSING = 20
 
 
 def luhn(digits: str) -> bool:
@@ -53,7 +60,8 @@ def _valid(kind: str, s: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+        # a run of zeros may be longer than int() reads
+        return all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in s.split("."))
     digits = re.sub(r"[^0-9]", "", s)
     return 12 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
@@ -95,14 +103,19 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         counts["."], counts["-"], counts[" "], counts["("], float(s[0] == "+"), float("@" in s), float(12 <= len(digits) <= 19 and luhn(digits)), float(octets),
         entropy, float(bool(_NAMED.search(before))), float(before.rstrip(" \"'")[-1:] in "=:" and bool(before.strip())), float(before[-1:] in "\"'" and before != ""),
         float(before[-1:].isalnum()), float(after[:1].isalnum()), float(len(set(digits)) <= 2),
+        float(_GROUPED.fullmatch(s) is not None), float(bool(_CALLED.search(before))),
     ]
 
 
 def _settled(text: str, kind: str, start: int, end: int, valid: bool, exact: set[tuple[int, int]]) -> int:
-    """The label that format checks give a candidate."""
+    """The label that checks give a candidate; numbers have some of their own besides those of base spans."""
+    before = text[max(0, start - 32) : start]
     if kind == "secret":
-        return int(bool(_NAMED.search(text[max(0, start - 32) : start])))
-    return int(valid or kind == "number" and (start, end) in exact)
+        return int(bool(_NAMED.search(before)))
+    if kind == "number":
+        s = text[start:end]
+        return int((start, end) in exact or _GROUPED.fullmatch(s) is not None or bool(_CALLED.search(before)) and 7 <= len(_DIGIT.findall(s)) <= 15)
+    return int(valid)
 
 
 # ---- boosted trees ----------------------------------------------------------------------------
@@ -161,10 +174,10 @@ def judge(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, rows: int = TRAINING_ROWS) -> dict | None:
-    """Trees and thresholds from candidates of all documents, of which at most `rows` are kept; None without both labels.
+    """Trees and thresholds from candidates of all documents, of which at most `rows` of each kind are kept; None without any.
 
     A quarter of the candidates is held out; a kind's threshold is the least at which the precision of what
-    passes there is PRECISION, or none where fewer than 20 pass.
+    passes there is PRECISION, and None where fewer than LEAST_PASSING pass: then its check judges.
     """
     prepare(docs.sparkSession)
 
@@ -176,18 +189,19 @@ def train(docs: DataFrame, rows: int = TRAINING_ROWS) -> dict | None:
                 exact = {(s, e) for k, s, e, ok in found if ok}
                 for kind, s, e, ok in found:
                     place = hashlib.blake2b(f"{kind}:{s}:{text[max(0, s - 16) : e + 16]}".encode(), digest_size=8).digest()
-                    out.append((int.from_bytes(place, "little", signed=True), _settled(text, kind, s, e, ok, exact), features(text, kind, s, e)))
+                    out.append((KINDS.index(kind), int.from_bytes(place, "little", signed=True), _settled(text, kind, s, e, ok, exact), features(text, kind, s, e)))
             if out:
-                h, y, x = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["h", "y", "x"])
+                k, h, y, x = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(h, pa.int64()), pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["k", "h", "y", "x"])
 
-    found = saved(docs.select("text").mapInArrow(run, "h long, y int, x array<double>"))
-    got = least_hashed(found, "h", rows).toPandas().sort_values(["h", "y"])
-    if got["y"].nunique() < 2:
+    found = saved(docs.select("text").mapInArrow(run, "k int, h long, y int, x array<double>"))
+    # each kind for itself, so that the mix of kinds leaves none out
+    got = pd.concat([least_hashed(found.filter(F.col("k") == k), "h", rows).toPandas() for k in range(len(KINDS))]).sort_values(["h", "k", "y"])
+    if not len(got):
         return None
     x, y, held = np.array(got["x"].tolist(), float), got["y"].to_numpy(float), got["h"].to_numpy() % 4 == 0
     if len(set(y[~held])) < 2:
-        return None
+        return {"base": 0.0, "trees": [], "thresholds": {"secret": None, "number": None}}
     model = boost(x[~held], y[~held])
     p, thresholds = judge(model, x[held]), {}
     for kind in ("secret", "number"):
@@ -196,8 +210,8 @@ def train(docs: DataFrame, rows: int = TRAINING_ROWS) -> dict | None:
         ranked, good = p[mine][order], np.cumsum(y[held][mine][order])
         n = np.arange(1, len(ranked) + 1)
         last = np.append(ranked[1:] != ranked[:-1], True)[: len(n)]
-        ok = np.flatnonzero((good / n >= PRECISION) & (n >= 20) & last & (ranked >= 0.5)) if len(n) else []
-        thresholds[kind] = float(ranked[ok[-1]]) if len(ok) else 2.0
+        ok = np.flatnonzero((good / n >= PRECISION) & (n >= LEAST_PASSING) & last & (ranked >= 0.5)) if len(n) else []
+        thresholds[kind] = float(ranked[ok[-1]]) if len(ok) else None
     return model | {"thresholds": thresholds}
 
 
@@ -210,8 +224,12 @@ def spans(text: str | None, model: dict | None) -> tuple[list[tuple[str, int, in
     added: list[tuple[str, int, int]] = []
     if model and more:
         scores = judge(model, np.array([features(text, *c) for c in more], float))
-        for p, c in sorted(zip(scores, more), key=lambda z: (-z[0], z[1][1])):
-            if p >= model["thresholds"][c[0]] and not any(s <= c[1] and c[2] <= e for _, s, e in base) and not any(c[1] < e and s < c[2] for _, s, e in added):
+        exact = {(s, e) for _, s, e in base}
+        limits = [model["thresholds"][k] for k, _, _ in more]
+        # 1.0 or 0.0 from the check, against 1.0, where a kind has no threshold
+        scores = [float(_settled(text, *c, False, exact)) if t is None else p for p, t, c in zip(scores, limits, more)]
+        for p, t, c in sorted(zip(scores, limits, more), key=lambda z: (-z[0], z[2][1])):
+            if p >= (1.0 if t is None else t) and not any(s <= c[1] and c[2] <= e for _, s, e in base) and not any(c[1] < e and s < c[2] for _, s, e in added):
                 added.append(c)
     return base, sorted(base + added, key=order)
 
