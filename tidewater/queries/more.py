@@ -64,7 +64,17 @@ def map_points(spark, d):
 
 @query("timeline", f"WITH {AR}, {SO} SELECT ar.event_id, ar.line::BIGINT AS line, ar.source_id, source_name FROM ar LEFT JOIN so USING (source_id) WHERE event_id % 50 = 0")
 def timeline(spark, d):
-    a = T.articles(spark, d).filter("event_id % 50 = 0").withColumn("article_id", F.monotonically_increasing_id())
+    return _timeline(spark, d, T.articles(spark, d).filter("event_id % 50 = 0"))
+
+
+@query("timeline_all")
+def timeline_all(spark, d):
+    """timeline over all events; its SQL states one of 50."""
+    return _timeline(spark, d, T.articles(spark, d))
+
+
+def _timeline(spark, d, a):
+    a = a.withColumn("article_id", F.monotonically_increasing_id())
     entries = a.select("event_id", "line", "source_id", "article_id", F.col("published_at").alias("at"))
     return J.timeline_rows(entries, T.sources(spark, d).select("source_id", "source_name"), a.select("article_id", "part")).select("event_id", "line", "source_id", "source_name")
 
@@ -96,9 +106,18 @@ def health_tally(spark, d):
     SELECT id AS article_id, f AS first_article_id FROM (SELECT *, first_value(id) OVER (PARTITION BY s, p ORDER BY t, id) AS f FROM a) WHERE id <> f""",
 )
 def provider_matches(spark, d):
-    a = T.articles(spark, d).filter("part % 3 = 0")
-    one = W.top_n(a, ["event_id", "line"], [F.asc("source_id"), F.asc("part")], 1)
-    payload = feeds.payload_envelope(F.lit("p"), F.lit("raw"), F.create_map(F.lit("provider_event_id"), (F.col("part") % 200).cast("string")))
+    return _provider_matches(T.articles(spark, d).filter("part % 3 = 0"), (F.col("part") % 200).cast("string"))
+
+
+@query("provider_matches_all")
+def provider_matches_all(spark, d):
+    """provider_matches over all articles, of which two thirds have no provider id; its SQL drops these before it takes one article a line."""
+    return _provider_matches(T.articles(spark, d), F.when(F.col("part") % 3 == 0, (F.col("part") % 200).cast("string")), F.asc("published_at"))
+
+
+def _provider_matches(a, provider, *then):
+    one = W.top_n(a, ["event_id", "line"], [F.asc("source_id"), F.asc("part"), *then], 1)
+    payload = feeds.payload_envelope(F.lit("p"), F.lit("raw"), F.create_map(F.lit("provider_event_id"), provider))
     return J.provider_matches(one.select((F.col("event_id") * 8 + F.col("line")).alias("article_id"), "source_id", "published_at", payload.alias("payload")))
 
 

@@ -78,6 +78,28 @@ def title_similarity(spark, d):
     return full.select("a", "b", F.floor(J.jaccard(F.col("ka"), F.col("kb")) * 10000 + 0.5).alias("jaccard"))
 
 
+# Fixed value: the least similarity of titles.
+SIMILAR = 0.5
+
+
+@query("title_similarity_all")
+def title_similarity_all(spark, d):
+    """Pairs of titles of one language with a similarity of SIMILAR or more, short titles too; the SQL of title_similarity states three shared tokens.
+
+    Two such titles share one of the rarest n - ceil(SIMILAR * n) + 1 of their n tokens.
+    """
+    t = T.text_articles(spark, d).select(F.col("article_id").alias("id"), "lang", X.tokens(F.col("title")).alias("k")).filter("size(k) > 0")
+    df = t.select(F.explode("k").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    w = t.select("id", "lang", F.size("k").alias("n"), F.explode("k").alias("w")).join(df, "w")
+    # ceil of a product that is an integer stays one
+    rarest = w.groupBy("id", "lang", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("k"))
+    prefix = rarest.select("id", "lang", F.explode(F.slice("k", F.lit(1), (F.col("n") - F.ceil(F.col("n") * SIMILAR - 1e-9) + 1).cast("int"))).alias("s")).select("id", "lang", "s.w")
+    pairs = prefix.withColumnRenamed("id", "a").join(prefix.withColumnRenamed("id", "b"), ["w", "lang"]).filter("a < b").select("a", "b").distinct()
+    full = pairs.join(t.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(t.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+    alike = J.jaccard(F.col("ka"), F.col("kb"))
+    return full.filter(alike >= SIMILAR).select("a", "b", F.floor(alike * 10000 + 0.5).alias("jaccard"))
+
+
 _RULE_ROWS = ", ".join(f"('{c}', '{t}', {w}, {i})" for i, (c, t, w) in enumerate(RULES))
 
 
