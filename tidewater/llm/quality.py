@@ -152,6 +152,9 @@ def posteriors(found: DataFrame, prior: float) -> DataFrame:
 def score_documents(docs: DataFrame, labels: DataFrame, host: Column | str = "source", path: Column | str = "lang", threshold: float = 0.5) -> DataFrame:
     """One row per input row: doc_id, host, path, evidence, host_posterior, path_posterior, quality, keep.
 
+    documents has no URL, so by default column source stands for the host and lang for the path; the second level
+    is then source x language. A table with URLs gives its own host and path as columns.
+
     Null and empty texts are scored like other texts (they have no words). Repeated rows and null doc_ids are
     rows of their own; extra columns are left out; no rows give no rows.
     """
