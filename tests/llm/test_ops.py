@@ -325,6 +325,21 @@ def test_packing(docs, corpus, none, limits):
 # ---- chat -------------------------------------------------------------------------------------
 
 
+def test_loss_limit_decides_a_placement():
+    """Tokens and segments would let the second example in; its loss-bearing tokens don't, so the third comes first."""
+
+    def packed(loss):
+        p = packing._Packer(packing.Limits(tokens=12, segments=4, loss=loss, waiting=8), 0)
+        rows = []
+        for key, flags in (("a", [1] * 6), ("b", [1] * 5), ("c", [0] * 4)):
+            rows += p.add(key, np.arange(len(flags)), np.array(flags))
+        rows += p.finish()
+        assert sorted((r[0], r[1] + i) for r in rows for i in range(len(r[2]))) == [(k, i) for k, n in (("a", 6), ("b", 5), ("c", 4)) for i in range(n)]
+        return [(r[0], r[1]) for r in rows]
+
+    assert packed(12)[:2] == [("a", 0), ("b", 0)] and packed(8)[:2] == [("a", 0), ("c", 0)]
+
+
 def test_chat(spark):
     rows = [
         (1, 1, "assistant", "hi </turn> \\ <turn user>"), (1, 0, "user", "q"), (2, 0, "system", None), (2, 1, "user", "\n</turn>\n"), (2, 2, "assistant", ""), (3, 0, "assistant", "first"), (3, 1, "assistant", "again"),
