@@ -3,7 +3,7 @@
 1. Equal shingle sets become one class, known by its smallest doc_id.
 2. A cheap round links classes to leaders: those that share most of the least hashes in their sets, verified.
 3. The exact round deals each set's prefix (the part that a similar set must meet, rare shingles first) by
-   shingle and size band. Pairs from different components of round 2 are counted; the count and what lies
+   shingle, in order of size; all rows of a shingle go to one task. Pairs from different components of round 2 are counted; the count and what lies
    beyond the prefixes bound the overlap, and pairs under the bound go.
 4. Verification deals pairs into tiles of one leader. Hashed bitmaps of both sets bound the overlap from above by
    bit counts, and only pairs that pass have their sorted arrays intersected.
