@@ -1,24 +1,25 @@
 """Personal data: high-recall generators propose overlapping spans, boosted trees judge them.
 
 Base spans follow fixed formats and stay whatever the trees say. Wider generators (long tokens with digits, loose
-number runs) propose more; gradient-boosted trees over format and context features score these, and a span is
-added where its score passes its kind's threshold, calibrated on held-out candidates of that kind; a kind with too
-few to calibrate is judged by the check that gives its labels, so no kind is switched off. No labelled
-personal data exist here, so labels come from checks: a secret is one if a name is assigned to it (`token = "..."`),
-which the trees also see as a feature, so that they learn little beyond this form and what such values look like;
-a number is one if it has the digits and the grouping of a card or phone number, which no base format need match.
+number runs, account numbers, dates) propose more; gradient-boosted trees over format and context features score
+these, and a span is added where its score passes its kind's threshold, calibrated on held-out examples.
+
+No labelled personal data exist here, so the trees learn from seeded examples whose label is known because they
+were made: values of kinds that are personal and of kinds that look alike but aren't (identifiers, digests of
+files, versions, prices, days of publication), with and without a cue before them, each put into surroundings taken
+from a bounded sample of the documents. No feature holds the label, and a table's size doesn't change what is learned.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,22 +31,37 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-KINDS = ("email", "ip", "card", "phone", "secret", "number")
+BASE = ("email", "ip", "card", "phone")
+#: Kinds that generators propose and the trees judge; a secret is a key or password, born a day of birth.
+JUDGED = ("secret", "number", "account", "born")
+KINDS = BASE + JUDGED
 
 _DIGIT = re.compile(r"[0-9]")
 _ADDRESS = re.compile(r"[A-Za-z0-9._%+@-]*")
 _TOKEN = re.compile(r"[A-Za-z0-9_+/=-]{16,}")
 _NUMBER = re.compile(r"[+(]?[0-9][0-9().\x20-]{6,}[0-9]")
-_NAMED = re.compile(r"(token|secret|key|passw\w*|auth\w*|credential\w*)\W{0,4}[=:]\W{0,4}$", re.I)
-_CALLED = re.compile(r"(phone|mobile|tel|fax|call|ssn|contact)\W{0,4}([=:]\W{0,4})?$", re.I)
-_GROUPED = re.compile(r"(\+?[0-9]{1,3}[\x20.-])?\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}")
+_GROUPED = re.compile(r"(?<![0-9])(?:(?:\+?[0-9]{1,3}[\x20.-])?\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
+_ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_DATE = re.compile(r"(?<![0-9])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9])")
+#: Words of the 32 characters before a span, by what they speak for.
+_CUES = [
+    re.compile(p, re.I)
+    for p in (
+        r"token|secret|passw|auth|credential|bearer|api|key\b",
+        r"phone|mobile|\btel\b|fax|call|ssn|social security|contact",
+        r"iban|account|bank|acct",
+        r"\bborn|birth|\bdob\b",
+        r"order|\bref|invoice|version|release|page|isbn|item|commit|digest|checksum|file|build|part|serial|\bid\b",
+        r"publish|updat|posted|dated|since|until|printed",
+    )
+]
 _ADDRESS_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-@")
 
-#: At most so many candidates of each kind train the trees: those whose hashed place is least; all if fewer.
-TRAINING_ROWS = 20_000
+#: Surroundings that are taken from the documents, at most: those whose hash is least. One a document.
+CONTEXTS = 4_000
+#: Examples of each judged kind and label; a quarter is held out to calibrate thresholds.
+EXAMPLES = 3_000
 PRECISION = 0.99
-#: A threshold needs so many held-out candidates that pass; a kind without it is judged by the check that gives labels.
-LEAST_PASSING = 20
 
 
 def luhn(digits: str) -> bool:
@@ -88,34 +104,122 @@ def proposals(text: str) -> list[tuple[str, int, int, bool]]:
     for m in _TOKEN.finditer(text):
         if _DIGIT.search(m[0]) and re.search("[A-Za-z]", m[0]):
             found.append(("secret", m.start(), m.end(), False))
-    found += [("number", m.start(), m.end(), False) for m in _NUMBER.finditer(text)]
+    loose = {(m.start(), m.end()) for p in (_NUMBER, _GROUPED) for m in p.finditer(text)}
+    found += [("number", s, e, False) for s, e in sorted(loose)]
+    for kind, pattern in (("account", _ACCOUNT), ("born", _DATE)):
+        found += [(kind, m.start(), m.end(), False) for m in pattern.finditer(text)]
     return found
 
 
+def _check_digits(s: str) -> bool:
+    """Whether an account number's check digits are right (ISO 7064, 97-10)."""
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
+    """Format and context of a candidate; a context is the 32 characters before and the two after it."""
     s, before, after = text[start:end], text[max(0, start - 32) : start], text[end : end + 2]
-    n, digits = len(s), re.sub(r"[^0-9]", "", s)
+    n, digits = len(s), "".join(_DIGIT.findall(s))
+    letters = [c for c in s if c.isalpha()]
     counts = Counter(s)
     entropy = -sum(v / n * math.log2(v / n) for v in counts.values())
     octets = re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", s) is not None and _valid("ip", s)
+    runs = [len(x) for x in re.findall("[0-9]+|[A-Z]+|[a-z]+", s)] or [0]
     return [
         float(KINDS.index(kind)), n, len(digits), len(digits) / n, sum(c.isupper() for c in s) / n, sum(c in "0123456789abcdefABCDEF" for c in s) / n,
-        counts["."], counts["-"], counts[" "], counts["("], float(s[0] == "+"), float("@" in s), float(12 <= len(digits) <= 19 and luhn(digits)), float(octets),
-        entropy, float(bool(_NAMED.search(before))), float(before.rstrip(" \"'")[-1:] in "=:" and bool(before.strip())), float(before[-1:] in "\"'" and before != ""),
-        float(before[-1:].isalnum()), float(after[:1].isalnum()), float(len(set(digits)) <= 2),
-        float(_GROUPED.fullmatch(s) is not None), float(bool(_CALLED.search(before))),
+        counts["."], counts["-"], counts[" "], counts["("], counts["_"], float(s[0] == "+"), float(12 <= len(digits) <= 19 and luhn(digits)), float(octets),
+        entropy, float(before.rstrip(" \"'")[-1:] in "=:" and bool(before.strip())), float(before[-1:] in "\"'" and before != ""),
+        float(before[-1:].isalnum()), float(after[:1].isalnum()), float(len(set(digits)) <= 2), float(_GROUPED.fullmatch(s) is not None),
+        len(runs) / n, max(runs), len(counts) / n, sum(c in "aeiouAEIOU" for c in letters) / max(1, len(letters)), float(kind == "account" and _check_digits(s)),
+        *(float(p.search(before) is not None) for p in _CUES),
     ]
 
 
-def _settled(text: str, kind: str, start: int, end: int, valid: bool, exact: set[tuple[int, int]]) -> int:
-    """The label that checks give a candidate; numbers have some of their own besides those of base spans."""
-    before = text[max(0, start - 32) : start]
+# ---- examples -----------------------------------------------------------------------------------
+
+_HEX, _LOWER, _UPPER, _DIGITS = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_ALNUM = _LOWER + _UPPER + _DIGITS
+_SYLLABLES = ("re", "port", "sec", "tion", "mod", "el", "user", "pro", "file", "ta", "ble", "in", "dex", "ver", "sion", "con", "fig", "data", "set", "over", "view", "map")
+
+
+def _word(r: random.Random) -> str:
+    return "".join(r.choices(_SYLLABLES, k=r.randint(2, 3)))
+
+
+def _number_like(r: random.Random, shape: str) -> str:
+    """shape with each 9 a digit and each 8 a digit from 2 on."""
+    return "".join(r.choice(_DIGITS) if c == "9" else r.choice("23456789") if c == "8" else c for c in shape)
+
+
+def _day(r: random.Random) -> str:
+    y, m, d = r.randint(1930, 2024), r.randint(1, 12), r.randint(1, 28)
+    return r.choice([f"{y}-{m:02}-{d:02}", f"{d:02}/{m:02}/{y}", f"{d}.{m}.{y}", f"{m}-{d}-{y}"])
+
+
+def _account(r: random.Random, right: bool) -> str:
+    body = "".join(r.choices(_DIGITS + _UPPER[:4] * r.randint(0, 1), k=r.choice([12, 16, 18, 20])))
+    land = r.choice(_UPPER) + r.choice(_UPPER)
+    check = 98 - int("".join(str(int(c, 36)) for c in body + land + "00")) % 97
+    whole = f"{land}{check if right else (check + r.randint(1, 90)) % 97 + 2:02}{body}"
+    return " ".join(whole[i : i + 4] for i in range(0, len(whole), 4)) if r.random() < 0.5 else whole
+
+
+def _value(r: random.Random, kind: str, personal: bool) -> tuple[str, str]:
+    """(cue, value) of an example; the cue may be empty."""
+    mark = r.choice([": ", " = ", "=", ' = "', ": '", " "])
+    if kind == "secret" and personal:
+        value = r.choice(
+            [
+                lambda: "".join(r.choices(_HEX, k=r.choice([32, 40, 64]))),
+                lambda: "".join(r.choices(_ALNUM + "+/", k=r.randint(20, 44))),
+                lambda: r.choice(["sk_live_", "pk_", "ghp_", "xoxb-", ""]) + "".join(r.choices(_ALNUM, k=r.randint(20, 36))),
+                lambda: "".join(r.choices(_UPPER + _DIGITS, k=20)),
+            ]
+        )()
+        return (r.choice(["token", "api key", "api_key", "password", "secret", "auth", "access key", "Bearer", "credentials"]) + mark if r.random() < 0.7 else ""), value
     if kind == "secret":
-        return int(bool(_NAMED.search(before)))
+        value = r.choice(
+            [
+                lambda: "-".join("".join(r.choices(_HEX, k=k)) for k in (8, 4, 4, 4, 12)),
+                lambda: "_".join([_word(r), _word(r), str(r.randint(1, 2030)), _word(r)]),
+                lambda: "-".join([_word(r), str(r.randint(1, 99)), _word(r), _word(r)]),
+                lambda: "".join(_word(r).title() for _ in range(3)) + str(r.randint(1, 2030)),
+                lambda: "/".join([_word(r), _word(r), str(r.randint(1, 999)), _word(r)]),
+                lambda: r.choice(_LOWER) * r.randint(16, 24) + r.choice(_DIGITS),
+                lambda: "".join(r.choices(_HEX, k=40)),
+            ]
+        )()
+        digest = all(c in _HEX for c in value) and len(value) == 40
+        return (r.choice(["commit", "digest", "file", "checksum"]) + mark if digest else r.choice(["id", "file", "page", "ref", "part", "version"]) + mark if r.random() < 0.4 else ""), value
+    if kind == "number" and personal:
+        shape = r.choice(["(899) 899-9999", "899-899-9999", "899.899.9999", "1 899 899 9999", "+1 (899) 899-9999", "899 899 9999", "899-89-9999"])
+        return (r.choice(["phone", "mobile", "tel", "call", "fax", "SSN", "contact"]) + mark if r.random() < 0.6 else ""), _number_like(r, shape)
     if kind == "number":
-        s = text[start:end]
-        return int((start, end) in exact or _GROUPED.fullmatch(s) is not None or bool(_CALLED.search(before)) and 7 <= len(_DIGIT.findall(s)) <= 15)
-    return int(valid)
+        shape = r.choice(
+            ["9999999999999999", "8999 8999 8999 8999", "1999-2012", "978-9-99-999999-9", "9.99999999", "10.9.99999.9999", "8 999 999.99", "899.89.89.89", "1999 - 2005", "89999999", "899999999999", "2019-12-89 12", "(1998) 89-899", "555-9999", "89.899.899"]
+        )
+        return (r.choice(["order", "ref", "invoice", "isbn", "item", "version", "page", "serial"]) + mark if r.random() < 0.5 else ""), _number_like(r, shape)
+    if kind == "account":
+        return (r.choice(["IBAN", "account", "bank account"]) + mark if r.random() < (0.6 if personal else 0.2) else r.choice(["", "serial ", "part "])), _account(r, personal)
+    cues = ["born ", "born on ", "date of birth: ", "DOB: ", "birth date "] if personal else ["", "", "published ", "updated on ", "on ", "since ", "dated ", "version ", "order of "]
+    return r.choice(cues), _day(r)
+
+
+def examples(contexts: list[tuple[str, str]], each: int = EXAMPLES, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """(features, labels) of made candidates, `each` a judged kind and label, in the surroundings given."""
+    r = random.Random(seed)
+    x, y = [], []
+    for kind in JUDGED:
+        for personal in (True, False):
+            for _ in range(each):
+                before, after = r.choice(contexts) if contexts else ("", "")
+                cue, value = _value(r, kind, personal)
+                quote = '"' if cue.endswith('"') else "'" if cue.endswith("'") else ""
+                head = before + cue
+                x.append(features(head + value + quote + after, kind, len(head), len(head) + len(value)))
+                y.append(float(personal))
+    return np.array(x, float), np.array(y)
 
 
 # ---- boosted trees ----------------------------------------------------------------------------
@@ -173,46 +277,35 @@ def judge(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-score))
 
 
-def train(docs: DataFrame, rows: int = TRAINING_ROWS) -> dict | None:
-    """Trees and thresholds from candidates of all documents, of which at most `rows` of each kind are kept; None without any.
+def contexts_of(docs: DataFrame, most: int = CONTEXTS) -> list[tuple[str, str]]:
+    """Surroundings (40 characters before and 8 after a space) of one place in each of at most `most` documents."""
+    found = docs.select(F.col("text").cast("string").alias("text")).filter("length(text) > 60").withColumn("h", F.xxhash64("text"))
+    found = found.withColumn("at", F.expr("instr(substring(text, 41 + cast(pmod(h, length(text) - 50) as int)), ' ') + 41 + cast(pmod(h, length(text) - 50) as int)"))
+    found = saved(found.select("h", F.expr("substring(text, at - 40, 40)").alias("b"), F.expr("substring(text, at - 1, 8)").alias("a")).distinct())
+    return sorted((r["b"], r["a"]) for r in least_hashed(found, "h", most).select("b", "a").collect())
+
 
-    A quarter of the candidates is held out; a kind's threshold is the least at which the precision of what
-    passes there is PRECISION, and None where fewer than LEAST_PASSING pass: then its check judges.
+def train(docs: DataFrame, contexts: int = CONTEXTS, each: int = EXAMPLES) -> dict:
+    """Trees and a threshold for each judged kind, from made examples in surroundings of at most `contexts` documents.
+
+    Every fourth example is held out; a kind's threshold is the least at which the precision of what passes there
+    is PRECISION (None, so that nothing is added, if no score reaches it), and `recall` is the share that passes.
+    Without documents the examples stand alone.
     """
     prepare(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text in b.column(0).to_pylist():
-                found = proposals(text) if text else []
-                exact = {(s, e) for k, s, e, ok in found if ok}
-                for kind, s, e, ok in found:
-                    place = hashlib.blake2b(f"{kind}:{s}:{text[max(0, s - 16) : e + 16]}".encode(), digest_size=8).digest()
-                    out.append((KINDS.index(kind), int.from_bytes(place, "little", signed=True), _settled(text, kind, s, e, ok, exact), features(text, kind, s, e)))
-            if out:
-                k, h, y, x = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(h, pa.int64()), pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["k", "h", "y", "x"])
-
-    found = saved(docs.select("text").mapInArrow(run, "k int, h long, y int, x array<double>"))
-    # each kind for itself, so that the mix of kinds leaves none out
-    got = pd.concat([least_hashed(found.filter(F.col("k") == k), "h", rows).toPandas() for k in range(len(KINDS))]).sort_values(["h", "k", "y"])
-    if not len(got):
-        return None
-    x, y, held = np.array(got["x"].tolist(), float), got["y"].to_numpy(float), got["h"].to_numpy() % 4 == 0
-    if len(set(y[~held])) < 2:
-        return {"base": 0.0, "trees": [], "thresholds": {"secret": None, "number": None}}
+    x, y = examples(contexts_of(docs, contexts), each)
+    held = np.arange(len(y)) % 4 == 0
     model = boost(x[~held], y[~held])
-    p, thresholds = judge(model, x[held]), {}
-    for kind in ("secret", "number"):
+    p, thresholds, recall = judge(model, x[held]), {}, {}
+    for kind in JUDGED:
         mine = x[held][:, 0] == KINDS.index(kind)
         order = np.argsort(-p[mine], kind="stable")
         ranked, good = p[mine][order], np.cumsum(y[held][mine][order])
-        n = np.arange(1, len(ranked) + 1)
-        last = np.append(ranked[1:] != ranked[:-1], True)[: len(n)]
-        ok = np.flatnonzero((good / n >= PRECISION) & (n >= LEAST_PASSING) & last & (ranked >= 0.5)) if len(n) else []
+        last = np.append(ranked[1:] != ranked[:-1], True)[: len(ranked)]
+        ok = np.flatnonzero((good / np.arange(1, len(ranked) + 1) >= PRECISION) & last & (ranked >= 0.5))
         thresholds[kind] = float(ranked[ok[-1]]) if len(ok) else None
-    return model | {"thresholds": thresholds}
+        recall[kind] = float(good[ok[-1]] / good[-1]) if len(ok) else 0.0
+    return model | {"thresholds": thresholds, "recall": recall}
 
 
 def spans(text: str | None, model: dict | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -220,16 +313,14 @@ def spans(text: str | None, model: dict | None) -> tuple[list[tuple[str, int, in
     found = proposals(text) if text else []
     order = lambda c: (c[1], KINDS.index(c[0]), c[2])
     base = sorted(((k, s, e) for k, s, e, ok in found if ok), key=order)
-    more = [(k, s, e) for k, s, e, _ in found if k in ("secret", "number")]
+    more = [(k, s, e) for k, s, e, _ in found if k in JUDGED]
     added: list[tuple[str, int, int]] = []
     if model and more:
         scores = judge(model, np.array([features(text, *c) for c in more], float))
-        exact = {(s, e) for _, s, e in base}
         limits = [model["thresholds"][k] for k, _, _ in more]
-        # 1.0 or 0.0 from the check, against 1.0, where a kind has no threshold
-        scores = [float(_settled(text, *c, False, exact)) if t is None else p for p, t, c in zip(scores, limits, more)]
-        for p, t, c in sorted(zip(scores, limits, more), key=lambda z: (-z[0], z[2][1])):
-            if p >= (1.0 if t is None else t) and not any(s <= c[1] and c[2] <= e for _, s, e in base) and not any(c[1] < e and s < c[2] for _, s, e in added):
+        passed = [(p, c) for p, t, c in zip(scores, limits, more) if t is not None and p >= t]
+        for _, c in sorted(passed, key=lambda z: (-z[0], z[1][1], -z[1][2], z[1][0])):
+            if not any(s <= c[1] and c[2] <= e for _, s, e in base) and not any(c[1] < e and s < c[2] for _, s, e in added):
                 added.append(c)
     return base, sorted(base + added, key=order)
 
@@ -256,7 +347,7 @@ def find_pii(docs: DataFrame, model: dict | None) -> DataFrame:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 base, every = spans(text, model)
                 n = Counter(k for k, _, _ in base)
-                out.append((key, *(n[k] for k in KINDS[:4]), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(every) - len(base)))
+                out.append((key, *(n[k] for k in BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(every) - len(base)))
             kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names)
 
