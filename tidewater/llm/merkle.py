@@ -1,9 +1,11 @@
 """Document fingerprints: a Merkle tree over spans, paragraphs and sections, by built-in functions only.
 
 Leaves are spans of at most eight words that don't cross a paragraph's end; a paragraph (text between line
-feeds) hashes its leaves, a section hashes eight paragraphs, and the root hashes the sections. A fingerprint is
-the text `root;section,section,...;leaf:chars,leaf:chars,...`, so equal roots mean equal texts, differing
-sections tell where an edit lies, and shared leaves tell how much two texts have in common.
+feeds) hashes its leaves, a section hashes its paragraphs, and the root hashes the sections. A section ends with a
+paragraph whose hash says so (one in eight), so what is put in or taken out changes the section that it is in and no
+later one. A fingerprint is the text `root;section,section,...;leaf:chars,leaf:chars|leaf:chars,...`, with a bar
+between paragraphs: equal roots mean equal texts, sections and then paragraphs that the other text doesn't have tell
+where an edit lies, and shared leaves tell how much two texts have in common.
 """
 
 from __future__ import annotations
@@ -11,7 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SPAN_WORDS, SECTION_PARAGRAPHS = 8, 8
+SPAN_WORDS = 8
+#: First characters of a paragraph's hash that end a section: two of sixteen.
+ENDS_SECTION = "^[08]"
+#: Bytes of text in a range of doc_id, and ranges at most.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 4096
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -26,14 +32,10 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     names = [f"_{out}_{x}" for x in ("leaves", "paragraphs", "sections")]
     df = df.withColumn(names[0], F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda p: F.array_join(leaves(p), ",")))
     df = df.withColumn(names[1], F.transform(names[0], lambda p: F.sha2(p, 256)))
-    many = F.lit(SECTION_PARAGRAPHS)
-    df = df.withColumn(
-        names[2],
-        F.transform(F.sequence(F.lit(0), F.size(names[1]) - 1, many), lambda i: F.sha2(F.array_join(F.slice(names[1], i + 1, many), ","), 256)),
-    )
+    ended = F.array_join(F.transform(names[1], lambda p: F.concat(p, F.when(p.rlike(ENDS_SECTION), "|").otherwise(","))), "")
+    df = df.withColumn(names[2], F.transform(F.filter(F.split(ended, "[|]"), lambda s: s != ""), lambda s: F.sha2(s, 256)))
     short = F.transform(names[2], lambda s: F.substring(s, 1, 16))
-    found = F.filter(names[0], lambda p: p != "")
-    return df.withColumn(out, F.concat_ws(";", F.sha2(F.array_join(names[2], ","), 256), F.array_join(short, ","), F.array_join(found, ","))).drop(*names)
+    return df.withColumn(out, F.concat_ws(";", F.sha2(F.array_join(names[2], ","), 256), F.array_join(short, ","), F.array_join(names[0], "|"))).drop(*names)
 
 
 def root(print_: Column) -> Column:
@@ -44,7 +46,7 @@ def likeness(a: Column, b: Column) -> Column:
     """Characters in shared leaves over characters in all distinct leaves of two fingerprints; 1 where the roots agree."""
 
     def leaf_set(p: Column) -> Column:
-        return F.filter(F.array_distinct(F.split(F.substring_index(p, ";", -1), ",")), lambda x: x != "")
+        return F.filter(F.array_distinct(F.split(F.substring_index(p, ";", -1), "[,|]")), lambda x: x != "")
 
     def chars(xs: Column) -> Column:
         return F.aggregate(xs, F.lit(0).cast("long"), lambda t, x: t + F.substring_index(x, ":", -1).cast("long"))
@@ -55,29 +57,41 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def differing_sections(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the sections whose hashes differ or that only one of the texts has."""
+    """Numbers (from 0) of those sections of b that a doesn't have."""
 
     def sections(p: Column) -> Column:
         return F.split(F.substring_index(F.substring_index(p, ";", 2), ";", -1), ",")
 
-    left, right = sections(a), sections(b)
-    most = F.greatest(F.size(left), F.size(right))
-    return F.filter(F.sequence(F.lit(0), most - 1), lambda i: ~F.coalesce(F.get(left, i), F.lit("")).eqNullSafe(F.coalesce(F.get(right, i), F.lit(""))))
+    return _missing(sections(a), sections(b))
+
+
+def differing_paragraphs(a: Column, b: Column) -> Column:
+    """Numbers (from 0) of those paragraphs of b that a doesn't have; they lie in the sections that it doesn't have."""
+
+    def paragraphs(p: Column) -> Column:
+        return F.split(F.substring_index(p, ";", -1), "[|]", -1)
+
+    return _missing(paragraphs(a), paragraphs(b))
+
+
+def _missing(left: Column, right: Column) -> Column:
+    new = F.array_except(right, left)  # few where texts are alike
+    return F.filter(F.transform(right, lambda x, i: F.when(F.array_contains(new, x), i)), lambda i: i.isNotNull())
 
 
 def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """docs (doc_id, text; no null text) with next_text: the text of the next row by doc_id, then text; after the last, the first.
 
-    Rows are dealt into ranges of doc_id whose bounds come from quantiles over all rows, and each range looks
-    ahead by itself; only the first row of each range crosses to the range before. Null doc_ids come first.
+    Rows are dealt into ranges of doc_id, as many as the bytes of text ask for (RANGE_BYTES each, but a few for each
+    task at least), whose bounds come from quantiles over all rows. Each range looks ahead by itself; only the first
+    row of each range crosses to the range before. Null doc_ids come first.
     """
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    bounds = F.array(*[F.lit(int(c)).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    part = F.size(F.filter(bounds, lambda b: b <= F.col("doc_id")))
-    key = F.coalesce("doc_id", F.lit(-(2**63)))
-    docs = docs.withColumn("_key", key).withColumn("_part", part)
+    n = partitions
+    if not n:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = min(MOST_RANGES, max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES)))
+    cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))}) if n > 1 else []
+    docs = docs.withColumn("_part", _range_of(F.col("doc_id"), cuts)).withColumn("_key", F.struct(F.col("doc_id").isNotNull().alias("some"), F.coalesce("doc_id", F.lit(0)).alias("id")))
     first = docs.groupBy("_part").agg(F.min("_key").alias("_key"))  # one row per range, so it may be broadcast
     first = docs.drop("_part").join(F.broadcast(first), "_key").groupBy("_part").agg(F.min("text").alias("_first"))
     order = Window.orderBy("_part")
@@ -88,10 +102,23 @@ def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     return looked.withColumn("next_text", F.coalesce("_next", "_ahead")).drop("_key", "_part", "_next", "_ahead")
 
 
+def _range_of(doc_id: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are at most doc_id: first by every so manieth cut, then by those between; 0 for null."""
+
+    def below(xs: Column) -> Column:
+        return F.size(F.filter(xs, lambda c: c <= doc_id))
+
+    literal = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]) if xs else F.array().cast("array<long>")
+    step = max(1, int(len(cuts) ** 0.5))
+    coarse = below(literal(cuts[step - 1 :: step]))
+    groups = F.array(*[literal(cuts[i : i + step]) for i in range(0, len(cuts) + 1, step)])
+    return F.when(doc_id.isNull(), 0).otherwise(coarse * step + F.coalesce(below(F.get(groups, coarse)), F.lit(0)))
+
+
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_sections.
+    """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_sections, edited_paragraphs.
 
-    The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the
+    The last two number what the edited text has and the text hasn't. The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or all) of the
     next document. Null texts are empty; repeated rows and equal doc_ids are documents of their own, in the
     order of their texts; other columns are left out; no rows give no rows.
     """
@@ -112,6 +139,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
         differing_sections(F.col("fingerprint"), F.col("edited_fingerprint")).alias("edited_sections"),
+        differing_paragraphs(F.col("fingerprint"), F.col("edited_fingerprint")).alias("edited_paragraphs"),
     )
 
 
