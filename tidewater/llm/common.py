@@ -13,8 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of whole texts in one Arrow batch; bounds a Python worker's memory when texts are long.
-ARROW_ROWS = "512"
+#: Rows and bytes of whole texts in one Arrow batch; they bound a Python worker's memory, with long texts too.
+ARROW_ROWS, ARROW_BYTES = "512", "2m"
+#: Bytes of text that are worked on at once; numpy arrays of eight bytes a byte of text are made from a slice.
+SLICE_BYTES = 1 << 18
 
 
 def prepare(spark: SparkSession) -> None:
@@ -23,13 +25,17 @@ def prepare(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+    # the plan is made when the caller runs it, so the settings stay for the session
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a new temporary one where the session names none, as in tests."""
+    """The folder named by spark.checkpoint.dir; on one machine a new temporary one where the session names none, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -87,7 +93,7 @@ def _powers(lane: int, n: int) -> np.ndarray:
     return _POWERS[lane]
 
 
-def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a string column of about `most` bytes: first row, last row, bytes, row offsets into them.
 
     Null rows come out as rows of no bytes.
@@ -157,8 +163,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps (Kiveris et al. 2014); each round is saved to the shared folder
     and the loop ends when a round changes nothing. Null ends and self-links take no part. A node with very
-    many links is never gathered: every step is a minimum per node (combined before the shuffle) and a join
-    that Spark can split where it is skewed.
+    many links is never gathered: every step is a minimum per node (combined before the shuffle, and saved) and a
+    join of saved tables, which Spark splits where it is skewed.
     """
     e = (
         edges.filter("a is not null and b is not null")
@@ -171,11 +177,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         # large star: every neighbour above u points to the smallest of u's neighbours and u
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = if_small(saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        large = saved(large.filter("u <> v").distinct())
         # small star: u and its smaller neighbours point to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = if_small(saved(large.groupBy("u").agg(F.min("v").alias("m"))))
         small = (
             large.join(low, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))

@@ -143,14 +143,14 @@ class _Learned(dict):
 class WordEncoder:
     """Token ids of whole texts by a tokenizer that never joins words across ASCII white space.
 
-    Words are encoded once and remembered, up to `most` of them; then the memory starts anew. A word that is
+    Words are encoded once and remembered, up to `most` of them (some 50 MB); then the memory starts anew. A word that is
     letters and then closing marks, and whose lower case needs no normalising, is known by its letters: the
     tokenizer takes letters and marks apart, so its ids are those of the two parts.
     """
 
     MARKS = ".,;:!?*%&$#|"
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -207,8 +207,6 @@ class WordEncoder:
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """The ids of each text, then `end`."""
-        if len(self.index) > self.most:
-            self.clear()
         split = []
         for t in texts:
             for c in "\t\n\v\f\r":
@@ -227,6 +225,8 @@ class WordEncoder:
             ids[total] = end
             out.append(ids)
             del offsets, flat  # the arrays can't grow while they are seen
+            if len(self.index) > self.most:
+                self.clear()
         return out
 
 
@@ -280,6 +280,7 @@ def pack_documents(
         pieces = list(packer.finish())
         if pieces:
             yield table(pieces)
+        encoder.clear()  # a worker outlives its task
 
     return rows.mapInArrow(run, PIECES + (", ids array<long>" if keep_ids else ""))
 

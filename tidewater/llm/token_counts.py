@@ -27,7 +27,7 @@ class _Known(dict):
 class Counter:
     """Counts the pieces of words; remembers up to `most` words, then starts anew."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 250_000):
         import ahocorasick
 
         table = load_pieces(path)
@@ -89,6 +89,7 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
         for b in batches:
             counts = [counter.text(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
+        counter.known = _Known(counter)  # a worker outlives its task
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long")
