@@ -3,8 +3,9 @@
 1. Equal shingle sets become one class, known by its smallest doc_id.
 2. A cheap round links classes to leaders: those that share most of the least hashes in their sets, verified.
 3. The exact round deals each set's prefix (the part that a similar set must meet, rare shingles first) by
-   shingle, in order of size; all rows of a shingle go to one task. Pairs from different components of round 2 are counted; the count and what lies
-   beyond the prefixes bound the overlap, and pairs under the bound go.
+   shingle, in order of size. Rows of a shingle that very many documents hold are split into blocks, and each pair
+   of blocks is a task's work of its own. Pairs from different components of round 2 are counted; the count and
+   what lies beyond the prefixes bound the overlap, and pairs under the bound go.
 4. Verification deals pairs into tiles of one leader. Hashed bitmaps of both sets bound the overlap from above by
    bit counts, and only pairs that pass have their sorted arrays intersected.
 
@@ -29,6 +30,8 @@ COMMON_SHINGLES, COMMON_FROM = 200_000, 12
 #: Least hashes that the cheap round compares, and how many must agree.
 SKETCH, SKETCH_AGREE = 6, 3
 TILE_ROWS = 2_000
+#: A shingle in more documents than this has its rows split into blocks of about so many; into MOST_BLOCKS at most.
+BLOCK_ROWS, MOST_BLOCKS = 20_000, 64
 BITS = 2048
 
 
@@ -65,8 +68,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), _signed(flat.astype(np.uint64)))
 
 
-def common_shingles(docs: DataFrame, k: int, most: int = COMMON_SHINGLES, least: int = COMMON_FROM) -> np.ndarray:
-    """Shingles in about `least` documents or more, the `most` most frequent at most; counted over all documents.
+def common_shingles(docs: DataFrame, k: int, most: int = COMMON_SHINGLES, least: int = COMMON_FROM) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in about `least` documents or more, the `most` most frequent at most, and in how many; counted over all documents.
 
     Each task counts all its documents and reports what occurs in at least three of them and a thousandth of a
     batch; the reports are summed by Spark. A shingle missed here costs time, not links.
@@ -109,14 +112,16 @@ def common_shingles(docs: DataFrame, k: int, most: int = COMMON_SHINGLES, least:
             break
         from_ = row["n"]
     if from_ is None:
-        return np.zeros(0, np.uint64)
-    rows = found.filter(F.col("n") >= from_).select("s").toArrow()["s"]
-    return np.sort(rows.to_numpy().view(np.uint64))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rows = found.filter(F.col("n") >= from_).select("s", "n").toArrow()
+    keys = rows["s"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows["n"].to_numpy()[order]
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """Those pairs (a, b) of nodes whose sets link, by tiles of one leader a. nodes: (node, set_key)."""
-    counts = pairs.groupBy("a").agg(F.count("*").alias("_n"))
+    counts = if_small(saved(pairs.groupBy("a").agg(F.count("*").alias("_n"))))
     tiles = pairs.join(counts, "a").withColumn("_tile", F.pmod(F.hash("b"), F.ceil(F.col("_n") / TILE_ROWS).cast("int")))
     wanted = tiles.select("a", "_tile", F.col("b").alias("node"), F.lit(1).alias("member"))
     wanted = wanted.unionByName(tiles.select("a", "_tile", F.col("a").alias("node"), F.lit(0).alias("member")).distinct())
@@ -186,7 +191,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    common = common_shingles(docs, k)
+    common, common_n = common_shingles(docs, k)
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,7 +216,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # the cheap round: leaders of sketch hashes
     sketched = classes.select("node", "n", F.explode("sketch").alias("h"))
     leaders = sketched.groupBy("h").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("c")).filter("c > 1").select("h", F.col("lead.node").alias("a"), F.col("lead.n").alias("an"))
-    stars = sketched.join(leaders, "h").filter("node <> a and 100 * least(n, an) >= %d * greatest(n, an)" % percent)
+    stars = sketched.join(saved(leaders), "h").filter("node <> a and 100 * least(n, an) >= %d * greatest(n, an)" % percent)
     stars = stars.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("n", "an")).alias("small"))
     stars = saved(stars.filter(F.col("c") >= F.least(F.lit(SKETCH_AGREE), F.col("small"))).select("a", "b"))
     links = saved(_verified(docs, stars, nodes, k, percent))
@@ -220,14 +225,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # the exact round: prefixes, between components of the first
     labelled = classes.join(first, "node", "left").select("node", "n", "rare", F.coalesce("component", "node").alias("component"), "prefix")
     dealt = labelled.select(F.posexplode("prefix").alias("i", "h"), "node", F.col("n").cast("int").alias("n"), F.col("rare").cast("int").alias("rare"), "component")
-    dealt = dealt.select("h", "node", "n", "component", "i", "rare").repartition("h").sortWithinPartitions("h", "n", "node")
+    dealt = _in_blocks(dealt, common, common_n).repartition("h", "cell").sortWithinPartitions("h", "cell", "n", "node")
 
     def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for b in batches:
-            block = np.column_stack([b.column(i).to_numpy().astype(np.int64) for i in range(6)])
+            block = np.column_stack([b.column(i).to_numpy().astype(np.int64) for i in range(8)])
             block = block if rest is None else np.concatenate([rest, block])
-            cut = int(np.searchsorted(block[:, 0], block[-1, 0], "left"))
+            cut = int(np.flatnonzero((block[:, :2] == block[-1, :2]).all(1))[0])
             rest = block[cut:]
             yield from _cross_pairs(block[:cut], percent)
         if rest is not None:
@@ -243,6 +248,29 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     return rows.join(found, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _in_blocks(dealt: DataFrame, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """Rows (h, cell, node, n, component, i, rare, block). Two rows of a shingle meet in one cell, just once.
+
+    A shingle that `counts` says is in more than BLOCK_ROWS documents has its rows in blocks by node. A cell stands
+    for two blocks, whose rows are compared across (block tells them apart), or for one (block is -1).
+    """
+    rows = ["h", "cell", "node", "n", "component", "i", "rare", "block"]
+    heavy = counts > BLOCK_ROWS
+    if not heavy.any():
+        return dealt.withColumns({"cell": F.lit(0), "block": F.lit(-1)}).select(rows)
+    many = np.minimum(-(-counts[heavy] // BLOCK_ROWS), MOST_BLOCKS)
+    table = dealt.sparkSession.createDataFrame(list(zip(common[heavy].view(np.int64).tolist(), many.tolist())), "h long, blocks int")  # COMMON_SHINGLES rows at most
+    dealt = dealt.join(F.broadcast(table), "h", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    none = F.array(F.struct(F.lit(0).alias("cell"), F.lit(-1).alias("block")))
+    # cells are numbered by their two blocks
+    each = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda j: F.struct((F.least("own", j) * F.col("blocks") + F.greatest("own", j)).alias("cell"), F.when(F.col("own") == j, -1).otherwise(F.col("own")).alias("block")),
+    )
+    dealt = dealt.withColumn("c", F.explode(F.when(F.col("blocks").isNull(), none).otherwise(each)))
+    return dealt.withColumns({"cell": F.col("c.cell"), "block": F.col("c.block")}).select(rows)
+
+
 def _prefix(n, percent: int, pair: bool = False):
     """Length of the prefix that a set must share a shingle of with a similar set; shorter (pair) for the smaller of two."""
     need = -(-2 * percent * n // (100 + percent)) if pair else -(-percent * n // 100)
@@ -265,7 +293,7 @@ def _may_link(percent: int) -> Column:
 
 
 def _cross_pairs(block: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows (hash, node, size, component, place, rare; by hash, then size) of one hash.
+    """Pairs of rows (hash, cell, node, size, component, place, rare, block; by hash, cell, then size) of one hash and cell.
 
     They have like sizes and unlike components, and the smaller has the hash in its short prefix. A pair that
     meets at a common shingle is left out where it couldn't link without a rare one, at which it would meet too.
@@ -273,8 +301,8 @@ def _cross_pairs(block: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     n = len(block)
     if n < 2:
         return
-    h, comp = block[:, 0], block[:, 3]
-    new = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    h, comp = block[:, :2], block[:, 4]
+    new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]).any(1)))
     group = np.repeat(np.arange(len(new)), np.diff(np.append(new, n)))
     # groups within one component have nothing to add
     mixed = np.zeros(len(new), bool)
@@ -282,16 +310,15 @@ def _cross_pairs(block: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     rows = np.flatnonzero(mixed[group])
     if not len(rows):
         return
-    _, node, size, comp, place, rare = block[rows].T
+    _, _, node, size, comp, place, rare, own = block[rows].T
     group = group[rows]
     # within a group sizes rise, so each row's partners are the rows after it up to a size bound
     scaled = group.astype(np.float64) * 2.0**32
     last = np.searchsorted(scaled + size, scaled + size * 100 // percent, "right")
     reach = np.maximum(last - np.arange(len(rows)) - 1, 0)
-    at = 0
+    at, total = 0, np.cumsum(reach)
     while at < len(rows):  # tiles of a bounded number of pairs
-        total = np.cumsum(reach[at:])
-        end = at + max(1, int(np.searchsorted(total, 500_000, "right")))
+        end = max(at + 1, int(np.searchsorted(total, total[at] - reach[at] + 200_000, "right")))
         many = reach[at:end]
         i = np.repeat(np.arange(at, end), many)
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
@@ -301,7 +328,7 @@ def _cross_pairs(block: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
         i, j = np.where(turn, j, i), np.where(turn, i, j)
         need = -(-percent * (size[i] + size[j]) // (100 + percent))
         is_rare = place[i] < rare[i]
-        ok = (comp[i] != comp[j]) & (place[i] < short[i]) & (is_rare | (np.minimum(size[i] - rare[i], size[j] - rare[j]) >= need))
+        ok = (comp[i] != comp[j]) & ((own[i] != own[j]) | (own[i] < 0)) & (place[i] < short[i]) & (is_rare | (np.minimum(size[i] - rare[i], size[j] - rare[j]) >= need))
         i, j, is_rare = i[ok], j[ok], is_rare[ok]
         if len(i):
             ints = [is_rare, size[i], size[j], rare[i], rare[j]]
