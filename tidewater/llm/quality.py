@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, least_hashed, prepare, saved, word_hashes, words
+from .common import chunks, if_small, least_hashed, prepare, saved, word_hashes, words
 
 #: At most so many labelled rows train the model: those whose hashed doc_id is least.
 TRAINING_ROWS = 20_000
@@ -138,7 +138,8 @@ def posteriors(found: DataFrame, prior: float) -> DataFrame:
         return float(min(max(noise / spread - 1, 1.0), 1e4)) if spread > 0 else 1e4
 
     host_weight = weight(hosts, "host_good", "host_n", F.lit(rate))
-    joined = paths.join(hosts, "_host")
+    hosts = if_small(saved(hosts))
+    joined = if_small(saved(paths.join(hosts, "_host")))  # so that a large side can be split in the join
     path_weight = weight(joined, "path_good", "path_n", F.col("host_good") / F.col("host_n"))
     key = key.join(joined, ["_host", "_path"], "left")
     host_rate = (F.col("host_good") - F.col("_p") + host_weight * rate) / (F.col("host_n") - 1 + host_weight)

@@ -8,8 +8,8 @@ document lose the whole path. Where classes share some edges only (paths branch)
 Last, the paths that a document loses are joined to long spans by their source coordinates, and each span is
 compared with its source's words by a second hash before anything is removed.
 
-Filters of a fixed number of bits keep what can't repeat from being shuffled. They let some through that needn't
-be, more so the fuller they get, and never hold back what repeats.
+Filters keep what can't repeat from being shuffled. Their size follows the number of keys up to a bound; past it
+they let more through that needn't be, and never hold back what repeats.
 """
 
 from __future__ import annotations
@@ -26,14 +26,15 @@ from pyspark.sql import functions as F
 from .common import chunks, mix, prepare, saved, windows, word_hashes, words
 
 WINDOW, SEED = 13, 4
-#: Bits of a filter of parts (8 MB) and of doc_ids (2 MB), whatever the input; a larger cluster may pass more.
-FILTER_BITS, ID_BITS = 1 << 26, 1 << 24
+#: Bits that a filter has for each of its keys, and the most bits it may have (64 MB), which go to every task.
+KEY_BITS, FILTER_BITS = 16, 1 << 29
 
 
 class _Filter:
-    """Membership of 64-bit keys: two bits a key in a table of fixed size."""
+    """Membership of 64-bit keys (a saved table): two bits a key in a table of KEY_BITS a key, at most `most` bits."""
 
-    def __init__(self, keys: DataFrame, column: str, bits: int):
+    def __init__(self, keys: DataFrame, column: str, most: int):
+        bits = max(64, min(most, 1 << (KEY_BITS * keys.count()).bit_length()))
         # bits are set by aggregation; what comes to the driver is at most the table itself
         a, b = self._places_sql(column, bits)
         each = keys.select(F.explode(F.array(a, b)).alias("p"))
@@ -176,12 +177,12 @@ def repeated_spans(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     place = classes.select("path", "source", "source_start", "source_key")
 
     # parts in which paths branch: edges that classes of different documents share
-    branches = classes.groupBy("seed").agg(F.min("source").alias("a"), F.max("source").alias("b")).filter("a < b").select("seed")
+    branches = saved(classes.groupBy("seed").agg(F.min("source").alias("a"), F.max("source").alias("b")).filter("a < b").select("seed"))
     each = classes.join(branches, "seed", "left_semi").select("path", "source", F.posexplode("edges").alias("j", "edge"))
-    owners = each.groupBy("edge").agg(F.min("source").alias("o"), F.max("source").alias("last")).filter("o < last").select("edge", "o")
+    owners = saved(each.groupBy("edge").agg(F.min("source").alias("o"), F.max("source").alias("last")).filter("o < last").select("edge", "o"))
     met = saved(each.join(owners, "edge"))
     first = met.filter("source = o").groupBy("edge").agg(F.min(F.struct("path", "j")).alias("f")).select("edge", F.col("f.path").alias("path"), F.col("f.j").alias("fj"))
-    first = first.join(place, "path").select("edge", "source", (F.col("source_start") + F.col("fj")).alias("source_start"), "source_key")
+    first = saved(first.join(place, "path").select("edge", "source", (F.col("source_start") + F.col("fj")).alias("source_start"), "source_key"))
     # which edges of a path its first document loses too; a path has thirteen at most
     mark = F.struct("j", F.lit(1).alias("n"), "source", "source_start", "source_key")
     marks = met.filter("source > o").select("edge", "path", "j").join(first, "edge").groupBy("path").agg(F.collect_list(mark).alias("marks"))
@@ -261,7 +262,7 @@ def _id_filter(ids: DataFrame, column: str) -> _Filter:
         for b in batches:
             yield pa.RecordBatch.from_arrays([_signed(_ids_hash(b.column(0).to_numpy()))], ["h"])
 
-    return _Filter(ids.select(column).distinct().mapInArrow(run, "h long"), "h", ID_BITS)
+    return _Filter(saved(ids.select(column).distinct().mapInArrow(run, "h long")), "h", FILTER_BITS)
 
 
 def _hashed_rows(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -292,7 +293,7 @@ def verified(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["source", "source_key", "source_start", "n", "digest"])
 
     digests = sources.select("doc_id", "text", "places").mapInArrow(run, "source long, source_key long, source_start int, n int, digest long").distinct()
-    return spans.join(digests, ["source", "source_key", "source_start", "n"])
+    return spans.join(saved(digests), ["source", "source_key", "source_start", "n"])  # so that Spark can split a frequent place
 
 
 def _removed(spans: list[dict] | None, key: int, h2: np.ndarray) -> np.ndarray | None:
@@ -306,9 +307,12 @@ def _removed(spans: list[dict] | None, key: int, h2: np.ndarray) -> np.ndarray |
 
 
 def _with_spans(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
-    """Rows that may lose words, with `_spans`, and rows that don't."""
+    """Rows that may lose words, with their spans in a last column, and rows that don't."""
+    name = "_spans"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
     spans = saved(verified(_rows(docs), saved(repeated_spans(_rows(docs), bits))))
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "start", "n", "digest")).alias("_spans"))
+    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "start", "n", "digest")).alias(name))
     ids = _id_filter(spans, "doc_id")
     return _filtered(docs, ids, True).join(by_doc, "doc_id", "left"), _filtered(docs, ids, False)
 
@@ -345,7 +349,7 @@ def dedup_report(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return some.select("doc_id", "text", "_spans").mapInArrow(run, schema).unionByName(none.mapInArrow(run, schema))
+    return some.mapInArrow(run, schema).unionByName(none.mapInArrow(run, schema))
 
 
 def remove_repeats(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
@@ -380,7 +384,7 @@ def remove_repeats(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return some.select(*names, "_spans").mapInArrow(run, docs.schema).unionByName(none)
+    return some.select(*names, some.columns[-1]).mapInArrow(run, docs.schema).unionByName(none)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
