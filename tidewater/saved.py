@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 def saved(df: DataFrame) -> DataFrame:
     """Writes the table and reads it back: lineage ends there, and a lost executor costs no recomputation.
 
-    The folder is spark.checkpoint.dir; a new temporary one where the session names none, as in tests.
+    The folder is spark.checkpoint.dir; on one machine a new temporary one where the session names none, as in tests.
     """
     spark = df.sparkSession
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where}/{uuid.uuid4().hex}"
