@@ -67,15 +67,6 @@ def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
 
-def test_queries_over_all_rows(spark, sf_dir, duck):
-    rows = lambda name: sorted(map(tuple, QUERIES[name](spark, sf_dir).collect()), key=repr)
-    sql = lambda text: sorted(duck.sql(text).fetchall(), key=repr)
-    assert rows("timeline_all") == sql("select l_orderkey, l_linenumber::bigint, l_suppkey, s_name from lineitem left join supplier on l_suppkey = s_suppkey")
-    assert rows("subject_export_all") == sql("select c_custkey, (select count(*) from orders where o_custkey = c_custkey) from customer")
-    one = "select l_orderkey * 8 + l_linenumber as id, l_suppkey as s, case when l_partkey % 3 = 0 then l_partkey % 200 end as p, l_shipdate as t from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by l_suppkey, l_partkey, l_shipdate) = 1"
-    assert rows("provider_matches_all") == sql(f"select id, f from (select *, first_value(id) over (partition by s, p order by t, id) as f from ({one}) where p is not null) where id <> f")
-
-
 def test_all_similar_titles(spark, tmp_path):
     from itertools import combinations
 
@@ -94,7 +85,7 @@ def test_all_similar_titles(spark, tmp_path):
         (la, x), (lb, y) = k[a], k[b]
         if la == lb and x and y and len(x & y) / len(x | y) >= texts.SIMILAR:
             want.add((a, b, int(len(x & y) / len(x | y) * 10000 + 0.5)))
-    got = {tuple(r) for r in QUERIES["title_similarity_all"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in QUERIES["title_similarity"](spark, str(tmp_path)).collect()}
     assert got == want and (0, 9, 10000) in got
 
 

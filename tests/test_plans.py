@@ -1,5 +1,6 @@
 """Plans on small frames: the cases that went wrong once, and orders of decision."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -119,9 +120,12 @@ def test_graph_relations(spark):
 def test_actors_ignore_furniture(spark):
     rows = [(1, "Maria Silva"), (1, "Porto City"), (1, "Reuters"), (2, "Maria Silva"), (2, "Porto City"), (3, "Maria Silva"), (3, "Reuters")]
     e = spark.createDataFrame(rows, "event_id int, name string")
+    when = spark.createDataFrame([(1, at(0)), (2, at(3)), (3, at(4)), (4, at(400))], "id int, last_activity_at timestamp")
     none = spark.createDataFrame([], "name string, df long")
-    assert [(r["from_id"], r["to_id"], r["strength"]) for r in graph.same_actor(e, none).collect()] == [(1, 2, 64)]
-    assert graph.same_actor(e).count() == 0  # names in three of three events are common
+    assert [(r["from_id"], r["to_id"], r["strength"]) for r in graph.same_actor(e, when, none).collect()] == [(1, 2, 64)]
+    late = e.filter("event_id = 2").withColumn("event_id", F.lit(4)).unionByName(e.filter("event_id = 1"))
+    assert graph.same_actor(late, when, none).count() == 0  # too far apart in time
+    assert graph.same_actor(e, when).count() == 0  # names in three of three events are common
 
 
 def test_radius_join_over_poles_and_date_line(spark):
@@ -164,14 +168,59 @@ def test_rules(spark):
     assert products.match_alerts(r.filter("rule_id = 4"), e, found, F.lit(at(1))).count() == 0
 
 
-def test_many_rules_join_the_same_way(spark, monkeypatch):
+def test_rules_join_by_what_they_name(spark):
     cols = "user_id int, rule_id int, category string, country string, min_confidence int, min_impact int, min_relevance int, only_verified boolean, enabled boolean"
     rows = [(i, i, ["a", None][i % 2], ["PT", None][i // 2 % 2], None, None, None, False, True) for i in range(8)]
     r = spark.createDataFrame(rows, cols)
     e = spark.createDataFrame([(1, "a", "PT"), (2, "b", "PT"), (3, "b", None)], "event_id int, category string, country string").withColumns({"confidence": F.lit(1), "life_impact": F.lit(1), "relevance": F.lit(1), "verification": F.lit("x")})
-    want = {(x["rule_id"], x["event_id"]) for x in J.rule_matches(r, e).collect()}
-    monkeypatch.setattr(J, "BROADCAST_RULES", 0)
-    assert {(x["rule_id"], x["event_id"]) for x in J.rule_matches(r, e).collect()} == want and want
+    got = [(x["rule_id"], x["event_id"]) for x in J.rule_matches(r, e).collect()]
+    want = [(x["rule_id"], y["event_id"]) for x in r.collect() for y in e.collect() if all(x[c] is None or x[c] == y[c] for c in ("category", "country"))]
+    assert sorted(got) == sorted(want)
+    plan = J.rule_matches(r, e)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_rules_of_equal_criteria_and_what_was_told(spark):
+    """The newest few of each rule that it hasn't told of; rules that name nothing reach events by their confidence."""
+    rng = random.Random(3)
+    cols = "user_id int, rule_id int, name string, category string, country string, min_confidence int, min_impact int, min_relevance int, only_verified boolean, enabled boolean"
+    rules = [(i, i, "r", rng.choice(["a", "b", None]), rng.choice(["PT", None]), rng.choice([None, 20, 60]), rng.choice([None, 30]), None, rng.random() < 0.3, rng.random() < 0.9) for i in range(30)]
+    events = [(i, "PUBLISHED", rng.choice("ab"), rng.choice(["PT", "ES"]), rng.choice([None, 10, 50, 90]), rng.choice([None, 40]), None, rng.choice(["VERIFIED", "UNCERTAIN"]), at(i % 7), at(0)) for i in range(40)]
+    told = [(r[0], r[1], rng.randrange(40)) for r in rules for _ in range(6)]
+    r = spark.createDataFrame(rules, cols)
+    e = spark.createDataFrame(events, "event_id int, status string, category string, country string, confidence int, life_impact int, relevance int, verification string, published_at timestamp, last_activity_at timestamp")
+    got = {}
+    for x in products.match_alerts(r, e, spark.createDataFrame(told, "user_id int, rule_id int, event_id int"), F.lit(at(10)), per_rule=3).collect():
+        got.setdefault(x["rule_id"], set()).add(x["event_id"])
+    for u, i, _, cat, land, conf, imp, _, ver, on in rules:
+        fits = [
+            v for v in events
+            if on and cat in (None, v[2]) and land in (None, v[3]) and (v[4] if v[4] is not None else -1) >= (-1 if conf is None else conf) and (v[5] if v[5] is not None else -1) >= (-1 if imp is None else imp)
+            and (not ver or v[7] == "VERIFIED") and (u, i, v[0]) not in told
+        ]
+        fits.sort(key=lambda v: v[0])
+        fits.sort(key=lambda v: v[8], reverse=True)
+        assert got.get(i, set()) == {v[0] for v in fits[:3]}
+
+
+def test_long_chains_cluster(spark):
+    """Five hundred articles, each like the one before: every second one founds an event, as in a walk."""
+    words = [f"longword{i:04}" for i in range(503)]
+    rows = [(f"a{i:04}", "s", " ".join(words[i : i + 3]), None, "n", at(i), None, None, "PT", "{}", f"h{i}") for i in range(500)]
+    got = {r["article_id"]: (r["event_article_id"], r["how"]) for r in cluster.cluster(spark.createDataFrame(rows, ARTICLE)).collect()}
+    assert all(got[f"a{i:04}"] == ((f"a{i:04}", "new") if i % 2 == 0 else (f"a{i - 1:04}", "similar")) for i in range(500))
+
+
+def test_founders_are_those_of_a_walk(spark, monkeypatch):
+    rng = random.Random(8)
+    pairs = sorted({(b, a, at(b)) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(90)) if a < b} | {(i + 1, i, at(i + 1)) for i in range(60, 90)})
+    heads = set()
+    for i in range(100):
+        if not any(b == i and a in heads for b, a, _ in pairs):
+            heads.add(i)
+    p = spark.createDataFrame(pairs, "later int, earlier int, later_at timestamp")
+    for rounds in (0, 2, 8):
+        assert {r["id"] for r in cluster.founders(spark.range(100), p, rounds).collect()} == heads
 
 
 def test_grounding(spark):
@@ -193,13 +242,13 @@ def test_passages_are_grounded_in_all_documents(spark, tmp_path):
     docs = [(i, f"report {i}\nwe heard {said} again") for i in range(790, 860)] + [(90_017, "BREATHE Old bridge\nover the River wás closed by the mayor on mondays"), (90_018, "the old bridge over the river was closed by the mayor"), (90_019, None), (90_020, "short"), (90_021, "A bridge closed")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    rows = [tuple(r) for r in queries()["grounded_quotes_all"](spark, str(tmp_path)).select("run_id", "article_id", "kept").collect()]
+    rows = [tuple(r) for r in queries()["grounded_quotes"](spark, str(tmp_path)).select("run_id", "article_id", "kept").collect()]
     fold = lambda table: {r[0]: r[1] or "" for r in spark.createDataFrame(table, "k long, t string").select("k", fold_text(F.col("t"))).collect()}
     hays, quotes = fold(docs), fold(items)
     want = {(q, a) for q, f in quotes.items() for a, h in hays.items() if f and len(dict(items)[q].strip()) >= 12 and f in h}
     assert {(q, a) for q, a, kept in rows if kept} == want and (1, 90_017) in want and len(want) > 80
     assert len(rows) == len({r[:2] for r in rows}) and (1, 90_018, False) in rows and (5, 90_020, False) in rows
-    stats = {r["run_id"]: (r["proposed"], r["kept"]) for r in queries()["grounding_stats_all"](spark, str(tmp_path)).collect()}
+    stats = {r["run_id"]: (r["proposed"], r["kept"]) for r in queries()["grounding_stats"](spark, str(tmp_path)).collect()}
     assert stats[1] == (72, 71) and 4 not in stats
 
 
@@ -211,8 +260,8 @@ def test_whole_texts_are_read(spark, tmp_path):
     docs = [(i, late, "en", "s") for i in range(1, 5)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = lambda name: queries()[name](spark, str(tmp_path)).collect()
-    assert [(r["category"], r["score"]) for r in rows("classify_docs_all")] == [("politics", 2)] * 4
-    assert [(r["country"], r["place"]) for r in rows("geocode_docs_all")] == [("XB", "Erst")] * 4
+    assert [(r["category"], r["score"]) for r in rows("classify_docs")] == [("politics", 2)] * 4
+    assert [(r["country"], r["place"]) for r in rows("geocode_docs")] == [("XB", "Erst")] * 4
     assert {r["mentions"] for r in rows("entity_mentions") if r["name"] == "Orlando Vantorre"} == {2}
     assert ("orlando vantorre", 4) in {tuple(r) for r in rows("common_entities")}
 

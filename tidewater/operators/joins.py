@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import haversine_km, hours_between, sphere_cell
+from ..saved import if_small, saved
 from .aggregates import pivot_scores, view_counts
 from .windows import latest, top_n
 
@@ -55,15 +56,11 @@ def unreferenced(rows: DataFrame, key: str, *refs: DataFrame) -> DataFrame:
     return reduce(lambda r, ref: r.join(ref.select(F.col(ref.columns[0]).alias(key)).filter(F.col(key).isNotNull()), key, "left_anti"), refs, rows)
 
 
-#: Rules that may be sent to every task; more are joined by what they name.
-BROADCAST_RULES = 20_000
-
-
 def rule_matches(rules: DataFrame, events: DataFrame) -> DataFrame:
     """Every enabled rule with the events it accepts; a rule's null dimension accepts all.
 
-    Few rules (counted) are broadcast. Else rules join by the dimensions they name: category and country, one of
-    them, or, for rules that name neither, all events, whose number is that of the result.
+    Rules meet events by what they name: category and country, or one of them. Rules that name neither meet events
+    by their least confidence: an event is dealt to each of those thresholds (101 at most, and none) that it reaches.
     """
     r = rules.filter("enabled").select("user_id", "rule_id", F.col("category").alias("r_category"), F.upper("country").alias("r_country"), "min_confidence", "min_impact", "min_relevance", "only_verified")
     thresholds = (
@@ -73,24 +70,31 @@ def rule_matches(rules: DataFrame, events: DataFrame) -> DataFrame:
         & (~F.coalesce(F.col("only_verified"), F.lit(False)) | (F.col("verification") == "VERIFIED"))
     )
     same_category, same_country = F.col("r_category") == F.col("category"), F.col("r_country") == F.col("country")
-    if r.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES:
-        dims = (F.col("r_category").isNull() | same_category) & (F.col("r_country").isNull() | same_country)
-        return events.join(F.broadcast(r), dims & thresholds)
+    levels = F.sequence(F.lit(-1), F.least(F.lit(100), F.coalesce(F.col("confidence"), F.lit(-1))).cast("int"))
+    open_ = r.filter("r_category is null and r_country is null").withColumn("_level", F.greatest(F.lit(-1), F.coalesce("min_confidence", F.lit(-1))).cast("int"))
     parts = [
         events.join(r.filter("r_category is not null and r_country is not null"), same_category & same_country),
         events.join(r.filter("r_category is not null and r_country is null"), same_category),
         events.join(r.filter("r_category is null and r_country is not null"), same_country),
-        events.join(r.filter("r_category is null and r_country is null"), F.lit(True)),
+        events.withColumn("_level", F.explode(levels)).join(open_, "_level").drop("_level"),
     ]
     return concat(parts).filter(thresholds)
 
 
-def followed(events: DataFrame, follows: DataFrame) -> DataFrame:
-    """(user_id, event columns): events of followed categories, countries or ids; three equi-joins, each event once a user."""
-    f = lambda kind: follows.filter(F.col("kind") == kind).select("user_id", F.col("target").alias("_t"))
-    by = [("category", F.col("category")), ("country", F.col("country")), ("event", F.col("event_id").cast("string"))]
-    ids = concat([events.select("event_id", c.alias("_t")).join(f(kind), "_t").select("user_id", "event_id") for kind, c in by]).distinct()
-    return ids.join(events, "event_id")
+def followed(events: DataFrame, follows: DataFrame, order: list[Column] | None = None, n: int | None = None) -> DataFrame:
+    """(user_id, event columns): events of followed categories, countries or ids, each event once a user.
+
+    With an order and n, each category's and country's first n events only: a user's own first n are among them,
+    and what is joined doesn't grow with the events of a category times those who follow it.
+    """
+    f = lambda kind: follows.filter(F.col("kind") == kind).select("user_id", F.col("target").alias("_t")).distinct()
+    found = []
+    for kind, c in (("category", F.col("category")), ("country", F.col("country")), ("event", F.col("event_id").cast("string"))):
+        rows = events.withColumn("_t", c).filter("_t is not null")
+        if n is not None and kind != "event":
+            rows = if_small(saved(top_n(rows, ["_t"], order, n)))
+        found.append(rows.join(f(kind), "_t").drop("_t"))
+    return concat(found).dropDuplicates(["user_id", "event_id"])
 
 
 def bookmarked(bookmarks: DataFrame, events: DataFrame, n: int = 30) -> DataFrame:
@@ -135,19 +139,21 @@ def open_reviews(queue: DataFrame, events: DataFrame) -> DataFrame:
     return queue.filter("state = 'open'").join(events, "event_id")
 
 
-def radius_join(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
+def radius_join(a: DataFrame, b: DataFrame, km: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """Rows of a (id, lat, lon) and b (id, lat, lon) under `km` apart, with `km`: cells of a cube grid meet by equality.
 
+    Rows meet only where the columns `keys`, which both have, are equal too (a window of time, a category).
+
     Cells have the radius as their side, so a place's partners lie in its cell or the 26 around it; poles and the
     date line need no special case. Rows without coordinates take no part.
     """
     ok = "lat is not null and lon is not null and lat between -90 and 90 and lon between -180 and 180"
     near = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(z).alias("z")) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)])
-    left = a.filter(ok).select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), sphere_cell(F.col("lat"), F.col("lon"), km).alias("c"))
-    left = left.withColumn("d", F.explode(near)).select("a_id", "a_lat", "a_lon", *[(F.col(f"c.{k}") + F.col(f"d.{k}")).alias(k) for k in "xyz"])
-    right = b.filter(ok).select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), sphere_cell(F.col("lat"), F.col("lon"), km).alias("c")).select("b_id", "b_lat", "b_lon", "c.x", "c.y", "c.z")
+    left = a.filter(ok).select(*keys, F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), sphere_cell(F.col("lat"), F.col("lon"), km).alias("c"))
+    left = left.withColumn("d", F.explode(near)).select(*keys, "a_id", "a_lat", "a_lon", *[(F.col(f"c.{k}") + F.col(f"d.{k}")).alias(k) for k in "xyz"])
+    right = b.filter(ok).select(*keys, F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), sphere_cell(F.col("lat"), F.col("lon"), km).alias("c")).select(*keys, "b_id", "b_lat", "b_lon", "c.x", "c.y", "c.z")
     d = haversine_km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    return left.join(right, ["x", "y", "z"]).withColumn("km", d).filter(F.col("km") < km).select("a_id", "b_id", "km")
+    return left.join(right, [*keys, "x", "y", "z"]).withColumn("km", d).filter(F.col("km") < km).select("a_id", "b_id", "km")
 
 
 def concat(frames: list[DataFrame]) -> DataFrame:
@@ -188,5 +194,7 @@ def candidates(articles: DataFrame, events: DataFrame, hours: float = 48) -> Dat
 
     a = articles.select("article_id", "category", "published_at", F.explode(tokens(F.concat_ws(" ", "title", "summary"))).alias("token"))
     e = events.select("event_id", F.col("category").alias("e_category"), "last_activity_at", F.explode(tokens(F.col("title"))).alias("token"))
-    near = (hours_between(F.col("last_activity_at"), F.col("published_at")) > -hours) & ((F.col("category") == "unclassified") | (F.col("category") == F.col("e_category")))
-    return a.join(e, "token").filter(near).groupBy("article_id", "event_id").agg(F.count("*").alias("shared"))
+    near = hours_between(F.col("last_activity_at"), F.col("published_at")) > -hours
+    any_ = a.filter("category = 'unclassified'").join(e, "token")
+    own = a.join(e, (a["token"] == e["token"]) & (a["category"] == e["e_category"])).drop(e["token"]).filter("category <> 'unclassified'")
+    return any_.unionByName(own.select(any_.columns)).filter(near).groupBy("article_id", "event_id").agg(F.count("*").alias("shared"))

@@ -111,23 +111,23 @@ def search_ranked(docs: DataFrame, q: str, id_col: str = "doc_id", text_col: str
 
     The rank is this engine's own; cover density isn't imitated. Ties go to the later time, then the id.
     """
-    from pyspark.sql.functions import array_compact, split
-
-    spark = docs.sparkSession
-    wanted = spark.range(1).select(F.explode(tokens(F.lit(q))).alias("term"))
-    n = wanted.count()
-    words = docs.select(id_col, F.explode(array_compact(split(_folded(text_col), " "))).alias("term"))
-    length = F.size(F.filter(split(_folded(text_col), " "), lambda w: w != ""))
-    hits = words.join(F.broadcast(wanted), "term").groupBy(id_col).agg(F.count("*").alias("tf"), F.count_distinct("term").alias("terms")).filter(F.col("terms") == n)
-    out = hits.join(docs.select(id_col, length.alias("length"), *([at] if at else [])), id_col)
-    out = out.withColumn("rank", F.floor(F.col("tf") * 1_000_000 / F.sqrt("length")).cast("long"))
-    return out.orderBy(F.desc("rank"), *([F.desc_nulls_last(at)] if at else []), id_col).limit(most)
+    from ..functions.text import fold_text
 
+    # the question's terms are few; each is counted in the row's own words, which are folded once
+    wanted = [r["term"] for r in docs.sparkSession.range(1).select(F.explode(tokens(F.lit(q))).alias("term")).collect()]
+    if not wanted:
+        return docs.select(id_col, F.lit(0).alias("tf"), F.lit(0).cast("long").alias("rank")).limit(0)
+    words = F.filter(F.split(fold_text(F.col(text_col)), " "), lambda w: w != "")
+    rows = docs.select(id_col, *([at] if at else []), words.alias("_words"))
 
-def _folded(text_col: str) -> Column:
-    from ..functions.text import fold_text
+    def times(term: str) -> Column:
+        return F.size(F.filter("_words", lambda w: w == term))
 
-    return fold_text(F.col(text_col))
+    counts = [times(t) for t in wanted]
+    hits = rows.withColumn("_n", F.array(*counts)).withColumn("length", F.size("_words")).drop("_words").filter(F.forall("_n", lambda n: n > 0))
+    out = hits.withColumn("tf", F.aggregate("_n", F.lit(0).cast("long"), lambda a, n: a + n)).drop("_n")
+    out = out.withColumn("rank", F.floor(F.col("tf") * 1_000_000 / F.sqrt("length")).cast("long"))
+    return out.orderBy(F.desc("rank"), *([F.desc_nulls_last(at)] if at else []), id_col).limit(most)
 
 
 def pending_articles(articles: DataFrame, most: int = 500) -> DataFrame:

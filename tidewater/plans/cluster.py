@@ -3,11 +3,15 @@
 Articles walk in time order in the sequential form: each joins the best earlier event or founds one. Here pairs
 come from shared tokens; who founds an event is decided in rounds (an article with an earlier founder among its
 neighbours is none; one whose earlier neighbours are all no founders is one), which gives the same founders as
-the walk; then each other article joins its best founder. Rounds are saved to the shared folder.
+the walk, and long chains that rounds leave are walked; then each other article joins its best founder. Rounds are
+saved to the shared folder.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +19,8 @@ from ..functions.measures import haversine_km, hours_between
 from ..functions.text import tokens
 from ..operators.joins import content_dups, jaccard, provider_matches
 from ..saved import saved
+from ..streaming.limits import prepare
+from .components import components
 
 THRESHOLD, WINDOW_HOURS = 0.30, 48.0
 
@@ -39,7 +45,7 @@ def blocked() -> Column:
 
 
 def similar_pairs(articles: DataFrame, threshold: float = THRESHOLD, hours: float = WINDOW_HOURS) -> DataFrame:
-    """(later, earlier, score): pairs of articles that may form one event.
+    """(later, earlier, score, earlier_at, later_at): pairs of articles that may form one event.
 
     A pair without a shared token scores 0.10 at most, so joining on tokens loses nothing above that. Pairs are
     counted first and scored once each.
@@ -54,18 +60,33 @@ def similar_pairs(articles: DataFrame, threshold: float = THRESHOLD, hours: floa
     rows = saved(rows)
     left = rows.select(F.col("id").alias("a_id"), F.col("published_at").alias("a_at"), F.col("category").alias("a_cat"), F.explode("body_tokens").alias("token"))
     right = rows.select(F.col("id").alias("b_id"), F.col("published_at").alias("b_at"), F.col("category").alias("b_cat"), F.explode("title_tokens").alias("token"))
+    # an earlier article lies in the later one's window of time or in the one before
+    window = lambda c: F.floor(F.unix_micros(F.col(c)) / F.lit(int(hours * 3_600_000_000))).cast("long")
+    left = left.withColumn("w", window("a_at"))
+    right = right.withColumn("w", F.explode(F.array(window("b_at"), window("b_at") + 1)))
     order = F.struct("b_at", "b_id") < F.struct("a_at", "a_id")
-    near = (hours_between(F.col("a_at"), F.col("b_at")) < hours) & ((F.col("a_cat") == "unclassified") | (F.col("a_cat") == F.col("b_cat")))
-    pairs = left.join(right, "token").filter(order & near).select("a_id", "b_id").distinct()
+    near = hours_between(F.col("a_at"), F.col("b_at")) < hours
+    own = left.filter("a_cat <> 'unclassified'").withColumn("b_cat", F.col("a_cat")).join(right, ["token", "w", "b_cat"])
+    any_ = left.filter("a_cat = 'unclassified'").join(right, ["token", "w"])
+    pairs = own.unionByName(any_.select(own.columns)).filter(order & near).select("a_id", "b_id").distinct()
     side = lambda s: rows.select(*[F.col(c).alias(f"{s}_{c}") for c in rows.columns])
     full = pairs.join(side("a"), "a_id").join(side("b"), "b_id").filter(~blocked())
-    return full.withColumn("score", similarity()).filter(F.col("score") >= threshold).select(F.col("a_id").alias("later"), F.col("b_id").alias("earlier"), "score", F.col("b_published_at").alias("earlier_at"))
+    return full.withColumn("score", similarity()).filter(F.col("score") >= threshold).select(F.col("a_id").alias("later"), F.col("b_id").alias("earlier"), "score", F.col("b_published_at").alias("earlier_at"), F.col("a_published_at").alias("later_at"))
+
+
+#: Rounds before what is left undecided is walked in order.
+ROUNDS = 8
 
 
-def founders(ids: DataFrame, pairs: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id): the first maximal independent set in time order. ids: (id); pairs: (later, earlier)."""
+def founders(ids: DataFrame, pairs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(id): the first maximal independent set in time order. ids: (id); pairs: (later, earlier, later_at).
+
+    Most articles are decided in few rounds. Long chains of articles, each like the one before, settle one link a
+    round, so what is left after `rounds` is walked: each connected group of undecided articles in time order,
+    streamed through a task that holds no more than the group's founders.
+    """
     undecided = saved(ids)
-    open_pairs = saved(pairs.select("later", "earlier"))
+    open_pairs = saved(pairs.select("later", "earlier", "later_at"))
     found = None
     for _ in range(rounds):
         # no open earlier neighbour: a founder
@@ -78,7 +99,35 @@ def founders(ids: DataFrame, pairs: DataFrame, rounds: int = 100) -> DataFrame:
             return found
         rest = undecided.select("id")
         open_pairs = saved(open_pairs.join(rest.withColumnRenamed("id", "later"), "later", "left_semi").join(rest.withColumnRenamed("id", "earlier"), "earlier", "left_semi"))
-    raise RuntimeError(f"founders did not settle in {rounds} rounds")
+    walked = _walked(undecided, open_pairs)
+    return walked if found is None else found.unionByName(walked)
+
+
+def _walked(undecided: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id): founders among the undecided, each group's articles taken in time order."""
+    prepare(undecided)
+    group = saved(components(pairs.select(F.col("later").alias("a"), F.col("earlier").alias("b"))))
+    before = pairs.groupBy("later").agg(F.collect_list("earlier").alias("before"), F.min("later_at").alias("at")).withColumnRenamed("later", "id")
+    rows = undecided.join(group.withColumnRenamed("node", "id"), "id", "left").join(before, "id", "left")
+    rows = rows.select(F.coalesce("component", "id").alias("component"), F.col("at"), "id", F.coalesce("before", F.array().cast(before.schema["before"].dataType)).alias("before"))
+    # the first of a group has no earlier neighbour and so no time
+    rows = rows.repartition("component").sortWithinPartitions("component", F.asc_nulls_first("at"), "id").select("component", "id", "before")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, heads = None, set()
+        for b in batches:
+            keep = []
+            for c, i, earlier in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if c != now:
+                    now, heads = c, set()
+                first = heads.isdisjoint(earlier)
+                if first:
+                    heads.add(i)
+                keep.append(first)
+            if any(keep):
+                yield b.select(["id"]).filter(pa.array(keep))
+
+    return rows.mapInArrow(run, undecided.select("id").schema)
 
 
 def cluster(articles: DataFrame, threshold: float = THRESHOLD, hours: float = WINDOW_HOURS) -> DataFrame:

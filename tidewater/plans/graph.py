@@ -22,7 +22,9 @@ GENERIC_ENTITIES = (
     "august,september,october,november,december,live,watch,video,analysis,opinion,news,update,updates,usgs,sismo,local,"
     "earthquake,magnitude,green,notification,report,segunda,terça,quarta,quinta,sexta,sábado,domingo,reuters,ap,afp"
 ).split(",")
-GRAPH_VERSION = "1"
+GRAPH_VERSION = "2"
+#: Events further apart in time than this have no relation.
+BAND_HOURS = 168
 
 
 def linked_domains(a: Column, b: Column) -> Column:
@@ -34,13 +36,6 @@ def _edge(pairs: DataFrame, kind: str, strength: Column, basis: Column) -> DataF
     return pairs.select(F.least("a_id", "b_id").alias("from_id"), F.greatest("a_id", "b_id").alias("to_id"), F.lit(kind).alias("kind"), strength.cast("int").alias("strength"), basis.alias("basis"))
 
 
-def _self_pairs(events: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Pairs a < b of rows with equal keys, the columns of both sides prefixed."""
-    a = events.select(*keys, *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = events.select(*keys, *[F.col(c).alias(f"b_{c}") for c in columns])
-    return a.join(b, keys).filter("a_id < b_id")
-
-
 def _located(events: DataFrame) -> DataFrame:
     return events.filter(F.col("geo_precision").isin("exact", "approximate") & F.col("country").isNotNull())
 
@@ -59,24 +54,43 @@ def _with_days(events: DataFrame, hours: int) -> tuple[DataFrame, DataFrame]:
     return events.withColumn("w", w), events.withColumn("w", F.explode(F.array(w - 1, w, w + 1)))
 
 
+def event_pairs(events: DataFrame, keys: list[str], columns: list[str], max_hours: int = BAND_HOURS) -> DataFrame:
+    """Pairs a < b of events with equal keys, active within max_hours of each other: `h` and the columns of both sides, prefixed.
+
+    Events meet by the window of time that they lie in or that lies beside it, so pairs far apart in time are never made.
+    """
+    here, around = _with_days(events, max_hours)
+    columns = list(dict.fromkeys(["id", "last_activity_at", *columns]))
+    a = around.select(*keys, "w", *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = here.select(*keys, "w", *[F.col(c).alias(f"b_{c}") for c in columns])
+    return a.join(b, [*keys, "w"]).filter("a_id < b_id").withColumn("h", _hours()).filter(F.col("h") <= max_hours).drop("w")
+
+
+def _near_pairs(events: DataFrame, km: float, max_hours: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(a_id, b_id, km, h): events with reported coordinates under `km` apart, within max_hours."""
+    here, around = _with_days(_exact(events), max_hours)
+    near = radius_join(around, here, km, ("w", *keys)).filter("a_id < b_id")
+    at = lambda s: events.select(F.col("id").alias(f"{s}_id"), F.col("last_activity_at").alias(f"{s}_last_activity_at"))
+    return near.join(at("a"), "a_id").join(at("b"), "b_id").withColumn("h", _hours()).filter(F.col("h") <= max_hours)
+
+
 def same_location(events: DataFrame) -> DataFrame:
     """Reported coordinates under 300 km apart; else the same named place and country, unless both have coordinates."""
-    e = _exact(events).select("id", "lat", "lon")
-    near = radius_join(e, e, 300).filter("a_id < b_id")
+    near = _near_pairs(events, 300, BAND_HOURS)
     near = _edge(near, "same_location", rounded(F.greatest(F.lit(40.0), 95 - F.col("km") / 300 * 55)), F.concat(F.floor("km").cast("string"), F.lit(" km apart")))
     both_exact = (F.col("a_geo_precision") == "exact") & (F.col("b_geo_precision") == "exact") & F.col("a_lat").isNotNull() & F.col("b_lat").isNotNull()
-    placed = _self_pairs(_located(events).filter("place is not null"), ["country", "place"], ["id", "geo_precision", "lat"]).filter(~F.coalesce(both_exact, F.lit(False)))
+    placed = event_pairs(_located(events).filter("place is not null"), ["country", "place"], ["geo_precision", "lat"]).filter(~F.coalesce(both_exact, F.lit(False)))
     return near.unionByName(_edge(placed, "same_location", F.lit(45), F.concat_ws(", ", "place", "country")))
 
 
-def same_actor(entities: DataFrame, common: DataFrame | None = None) -> DataFrame:
+def same_actor(entities: DataFrame, events: DataFrame, common: DataFrame | None = None) -> DataFrame:
     """entities: (event_id, name). Two or more specific shared names; names common to many events are no evidence."""
     common = common_entities(entities) if common is None else common
     e = entities.filter(
         (F.length("name") >= 4) & F.col("name").rlike("^[A-ZÀ-Þ]") & ~F.col("name").rlike("^[A-Z]{2,5}$") & ~F.lower("name").isin(GENERIC_ENTITIES)
     ).select(F.col("event_id").alias("id"), F.lower("name").alias("name")).distinct()
-    e = e.join(common.select("name"), "name", "left_anti")
-    pairs = _self_pairs(e, ["name"], ["id"]).groupBy("a_id", "b_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("name")).alias("names")).filter("n >= 2")
+    e = e.join(common.select("name"), "name", "left_anti").join(events.select("id", "last_activity_at"), "id")
+    pairs = event_pairs(e, ["name"], []).groupBy("a_id", "b_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("name")).alias("names")).filter("n >= 2")
     return _edge(pairs, "same_actor", F.least(F.lit(90), 40 + F.col("n") * 12), F.array_join(F.slice("names", 1, 5), ", "))
 
 
@@ -87,9 +101,9 @@ def same_topic(events: DataFrame, idf: DataFrame | None = None, least: float = 0
     """
     known = events.filter("category <> 'unclassified' and category is not null")
     idf = idf_weights(events) if idf is None else idf
-    words = known.select("id", "category", F.explode(tokens(F.col("title"))).alias("token"))
+    words = known.select("id", "category", "last_activity_at", F.explode(tokens(F.col("title"))).alias("token"))
     rare = words.join(idf.filter("idf > 1.5").select("token"), "token")
-    pairs = _self_pairs(rare, ["category", "token"], ["id"]).groupBy("a_id", "b_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("token")).alias("names")).filter("n >= 2")
+    pairs = event_pairs(rare, ["category", "token"], []).groupBy("a_id", "b_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("token")).alias("names")).filter("n >= 2")
     plain = words.select("id", "token")
     sims = weighted_jaccard(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), plain, plain, idf.select("token", "idf"))
     out = pairs.join(sims, (F.col("a") == F.col("a_id")) & (F.col("b") == F.col("b_id"))).filter(F.col("similarity") >= least)
@@ -98,15 +112,10 @@ def same_topic(events: DataFrame, idf: DataFrame | None = None, least: float = 0
 
 def temporal_sequence(events: DataFrame, hours: int = 72) -> DataFrame:
     """One category, close but not equal in time, under 500 km apart or in one located country (not for general news)."""
-    columns = ["id", "last_activity_at"]
-    here, around = _with_days(_located(events).filter("category <> 'general_news' and category is not null"), hours)
-    a = around.select("country", "category", "w", *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = here.select("country", "category", "w", *[F.col(c).alias(f"b_{c}") for c in columns])
-    by_country = a.join(b, ["country", "category", "w"]).filter("a_id < b_id").select("a_id", "b_id", "a_last_activity_at", "b_last_activity_at")
-    e = _exact(events)
-    side = lambda s: events.select(F.col("id").alias(f"{s}_id"), F.col("category").alias(f"{s}_category"), F.col("last_activity_at").alias(f"{s}_last_activity_at"))
-    near = radius_join(e.select("id", "lat", "lon"), e.select("id", "lat", "lon"), 500).filter("a_id < b_id").join(side("a"), "a_id").join(side("b"), "b_id").filter("a_category = b_category")
-    pairs = by_country.unionByName(near.select(by_country.columns)).distinct().withColumn("h", _hours()).filter((F.col("h") > 0) & (F.col("h") <= hours))
+    known = events.filter("category <> 'general_news' and category is not null")
+    by_country = event_pairs(_located(known), ["country", "category"], [], hours).select("a_id", "b_id", "h")
+    near = _near_pairs(known, 500, hours, ("category",)).select("a_id", "b_id", "h")
+    pairs = by_country.unionByName(near).dropDuplicates(["a_id", "b_id"]).filter(F.col("h") > 0)
     return _edge(pairs, "temporal_sequence", rounded(F.greatest(F.lit(35.0), 75 - F.col("h"))), F.concat(F.floor("h").cast("string"), F.lit(" h apart")))
 
 
@@ -127,7 +136,7 @@ def relate(events: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """All edges: from_id < to_id, kind, strength, basis. events: (id, title, category, country, place, lat, lon, geo_precision, last_activity_at)."""
     parts = [same_location(events), same_topic(events), temporal_sequence(events), cross_domain(events)]
     if entities is not None:
-        parts.append(same_actor(entities))
+        parts.append(same_actor(entities, events))
     return concat(parts).withColumn("version", F.lit(GRAPH_VERSION))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import hours_between
@@ -10,6 +10,7 @@ from ..functions.text import label_of
 from ..operators.joins import concat, followed, not_notified, rule_matches
 from ..operators.rows import CATEGORY_LABELS, published
 from ..operators.windows import order_columns, top_n
+from ..saved import saved
 
 
 def describe_rule() -> Column:
@@ -41,10 +42,22 @@ def validate_rules(rules: DataFrame, per_user: int = 20) -> DataFrame:
 
 
 def match_alerts(rules: DataFrame, events: DataFrame, notifications: DataFrame, as_of: Column, since_hours: float = 48, per_rule: int = 25) -> DataFrame:
-    """(user_id, rule_id, event_id): new notifications, the newest per_rule of each rule."""
+    """(user_id, rule_id, event_id, reason): new notifications, the newest per_rule of each rule.
+
+    Rules of equal criteria are matched as one. Of its events, newest first, a rule needs per_rule and as many
+    more as it has told of already, so no more are joined to it.
+    """
     fresh = published(events).filter((hours_between(as_of, F.col("published_at")) < since_hours) & (F.col("published_at") <= as_of))
-    found = not_notified(rule_matches(rules, fresh), notifications)
-    return top_n(found, ["user_id", "rule_id"], [F.desc("published_at"), F.asc("event_id")], per_rule).select("user_id", "rule_id", "event_id")
+    criteria = ["category", "country", "min_confidence", "min_impact", "min_relevance", "only_verified"]
+    keyed = rules.filter("enabled").withColumn("_c", F.to_json(F.struct(*criteria)))
+    shared = keyed.groupBy("_c").agg(*[F.first(c).alias(c) for c in criteria]).select(F.lit(None).cast("long").alias("user_id"), F.col("_c").alias("rule_id"), F.lit(True).alias("enabled"), *criteria)
+    newest = [F.desc("published_at"), F.asc("event_id")]
+    found = rule_matches(saved(shared), fresh).select(F.col("rule_id").alias("_c"), "event_id", "published_at")
+    found = saved(found.withColumn("_no", F.row_number().over(Window.partitionBy("_c").orderBy(*newest))))
+    told = notifications.groupBy("user_id", "rule_id").agg(F.count("*").alias("_told"))
+    mine = keyed.withColumn("reason", describe_rule()).select("user_id", "rule_id", "_c", "reason").join(told, ["user_id", "rule_id"], "left")
+    mine = mine.join(found, "_c").filter(F.col("_no") <= per_rule + F.coalesce("_told", F.lit(0)))
+    return top_n(not_notified(mine, notifications), ["user_id", "rule_id"], newest, per_rule).select("user_id", "rule_id", "event_id", "reason")
 
 
 def brief_sections(events: DataFrame, as_of: Column, hours: float = 24, follows: DataFrame | None = None) -> DataFrame:
@@ -61,7 +74,8 @@ def brief_sections(events: DataFrame, as_of: Column, hours: float = 24, follows:
         section(e.filter("verification = 'DISPUTED'"), "disputed", [F.desc("last_activity_at"), F.asc("event_id")], 5),
     ]
     if follows is not None:
-        mine = top_n(followed(e, follows), ["user_id"], [F.desc("last_activity_at"), F.asc("event_id")], 8, "rank")
+        order = [F.desc("last_activity_at"), F.asc("event_id")]
+        mine = top_n(followed(e, follows, order, 8), ["user_id"], order, 8, "rank")
         parts.append(mine.select("user_id", F.lit("followed").alias("section"), "rank", "event_id"))
     return concat(parts)
 
@@ -75,25 +89,29 @@ def daily_brief(events: DataFrame, as_of: Column, hours: float = 24, follows: Da
 
 
 def personal_feed(events: DataFrame, follows: DataFrame, n: int = 40) -> DataFrame:
-    return top_n(followed(published(events), follows), ["user_id"], [F.desc("last_activity_at"), F.asc("event_id")], n, "rank").select("user_id", "rank", "event_id")
+    order = [F.desc("last_activity_at"), F.asc("event_id")]
+    return top_n(followed(published(events), follows, order, n), ["user_id"], order, n, "rank").select("user_id", "rank", "event_id")
 
 
-HOME_LISTS = {"latest": "recent", "relevant": "relevance", "confident": "confidence", "impact": "impact", "trending": "trending", "viewed": "views"}
+# The home page's lists with their order, length, and hours back or category.
+HOME_LISTS = [
+    ("breaking", "recent", 6, 12, None), ("trending", "trending", 6, None, None), ("top", "relevance", 8, None, None), ("natural", "recent", 4, None, "natural_events"),
+    ("conflict", "recent", 4, None, "war_conflict"), ("economy", "recent", 4, None, "economy"), ("technology", "recent", 4, None, "technology"),
+]
 
 
-def home_lists(events: DataFrame, n: int = 10) -> DataFrame:
-    """(list, rank, event_id) for every home list at once; scores that a list asks for must be known in it."""
-    e = published(events)
-    need = {"relevance": "relevance", "confidence": "confidence", "impact": "life_impact", "trending": "trending", "views": "views_total"}
-    parts = []
-    for name, order in HOME_LISTS.items():
-        rows = e.filter(F.col(need[order]).isNotNull()) if order in need else e
+def home_lists(events: DataFrame, as_of: Column) -> DataFrame:
+    """(list, rank, event_id) for every home list at once; unknown scores come last."""
+    e, parts = published(events), []
+    for name, order, n, hours, category in HOME_LISTS:
+        rows = e if hours is None else e.filter(hours_between(as_of, F.col("last_activity_at")) < hours)
+        rows = rows if category is None else rows.filter(F.col("category") == category)
         parts.append(top_n(rows.withColumn("list", F.lit(name)), ["list"], order_columns(order), n, "rank").select("list", "rank", "event_id"))
     return concat(parts)
 
 
 def preset(events: DataFrame, name: str, as_of: Column, value: str | None = None) -> DataFrame:
-    """Fixed lists by name: all, category, country, trending, today, breaking; unknown names raise."""
+    """Fixed lists by name: all, category, country, trending, today, breaking, viewed (in `value` hours); unknown names raise."""
     e, age = published(events), hours_between(as_of, F.col("last_activity_at"))
     rows, order, n = {
         "all": (e, "recent", 60),
@@ -102,6 +120,7 @@ def preset(events: DataFrame, name: str, as_of: Column, value: str | None = None
         "trending": (e.filter("trending is not null") if "trending" in e.columns else e.limit(0), "trending", 50),
         "today": (e.filter(age < 24), "relevance", 80),
         "breaking": (e.filter(age < 6), "recent", 40),
+        "viewed": (e.filter(age < float(value or 24)) if "views_total" in e.columns else e.limit(0), "views", 50),
     }[name]
     return rows.orderBy(*order_columns(order)).limit(n)
 

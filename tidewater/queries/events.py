@@ -199,33 +199,56 @@ def event_freshness(spark, d):
     return e.select("event_id", "freshness", M.relative_age(F.col("last_activity_at"), now()).alias("relative"))
 
 
-_HOME = {"latest": "true", "relevant": "relevance IS NOT NULL", "confident": "confidence IS NOT NULL", "impact": "life_impact IS NOT NULL"}
-_HOME_ORDER = {"latest": "", "relevant": "relevance DESC,", "confident": "confidence DESC,", "impact": "life_impact DESC,"}
+_HOME = [
+    ("breaking", f"date_diff('hour', last_activity_at, {NOW}) < 12", "", 6), ("trending", "true", "trending DESC NULLS LAST,", 6), ("top", "true", "relevance DESC NULLS LAST,", 8), ("natural", "category = 'natural_events'", "", 4),
+    ("conflict", "category = 'war_conflict'", "", 4), ("economy", "category = 'economy'", "", 4), ("technology", "category = 'technology'", "", 4),
+]
+_TREND = f"""{VW}, g AS (SELECT event_id, max(tm) AS seen_at, count(*) FILTER (NOT is_bot AND tm > {NOW_V} - INTERVAL 24 HOUR AND tm <= {NOW_V}) AS v,
+  count(*) FILTER (NOT is_bot AND tm > {NOW_V} - INTERVAL 48 HOUR AND tm <= {NOW_V} - INTERVAL 24 HOUR) AS p FROM vw GROUP BY event_id),
+  tr AS (SELECT event_id, CASE WHEN v > 0 THEN CAST(greatest(0, least(100, least(60, floor(log10(v + 1) * 30 + 0.5)) + least(25, floor(((CASE WHEN p > 0 THEN v / p::DOUBLE ELSE 2.0 END) - 1) * 20 + 0.5))
+    + CASE WHEN hours < 3 THEN 15 WHEN hours < 12 THEN 8 ELSE 0 END)) AS BIGINT) END AS trending FROM (SELECT *, greatest(0, date_diff('microsecond', seen_at, {NOW_V}) / 3600000000.0) AS hours FROM g))"""
+
+
+def _with_trending(spark, d):
+    as_of = T.at(T.AS_OF_EVENTS)
+    v = T.views(spark, d).withColumn("counted", ~F.col("is_bot"))
+    g = W.growth(v, as_of).join(v.groupBy("event_id").agg(F.max("at").alias("last_activity_at")), "event_id")
+    return scored(spark, d).join(g.select("event_id", scoring.trending(as_of).alias("trending")), "event_id", "left")
 
 
 @query(
     "home_lists",
-    f"WITH {INPUTS}, p AS (SELECT * FROM sv WHERE status = 'PUBLISHED') "
-    + " UNION ALL ".join(
-        f"SELECT '{k}' AS list, rank, event_id FROM (SELECT event_id, row_number() OVER (ORDER BY {_HOME_ORDER[k]} last_activity_at DESC, event_id) AS rank FROM p WHERE {c}) WHERE rank <= 10" for k, c in _HOME.items()
-    ),
+    f"WITH {INPUTS}, {_TREND}, p AS (SELECT * FROM sv LEFT JOIN tr USING (event_id) WHERE status = 'PUBLISHED') "
+    + " UNION ALL ".join(f"SELECT '{k}' AS list, rank, event_id FROM (SELECT event_id, row_number() OVER (ORDER BY {o} last_activity_at DESC, event_id) AS rank FROM p WHERE {c}) WHERE rank <= {n}" for k, c, o, n in _HOME),
 )
 def home_lists(spark, d):
-    e = scored(spark, d).withColumns({"trending": F.lit(None).cast("int"), "views_total": F.lit(None).cast("int")})
-    return products.home_lists(e)
+    return products.home_lists(_with_trending(spark, d), now())
+
+
+@query(
+    "most_viewed",
+    f"""WITH {INPUTS}, vt AS (SELECT event_id, count(*) AS views_total FROM vw2 GROUP BY event_id), p AS (SELECT *, coalesce(views_total, 0) AS n FROM sv LEFT JOIN vt USING (event_id) WHERE status = 'PUBLISHED' AND date_diff('hour', last_activity_at, {NOW}) < 9000)
+    SELECT event_id, n AS views_total FROM p ORDER BY n DESC, last_activity_at DESC, event_id LIMIT 50""".replace("vw2", "(SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS event_id FROM events)"),
+)
+def most_viewed(spark, d):
+    n = T.views(spark, d).groupBy("event_id").agg(F.count("*").alias("views_total"))
+    e = scored(spark, d).join(n, "event_id", "left").withColumn("views_total", F.coalesce("views_total", F.lit(0)))
+    return products.preset(e, "viewed", now(), "9000").select("event_id", "views_total")
 
 
 @query(
     "preset_lists",
-    f"""WITH {INPUTS}, p AS (SELECT * FROM sv WHERE status = 'PUBLISHED')
+    f"""WITH {INPUTS}, {_TREND}, p AS (SELECT * FROM sv WHERE status = 'PUBLISHED')
     SELECT * FROM (SELECT 'all' AS list, event_id FROM p ORDER BY last_activity_at DESC, event_id LIMIT 60) UNION ALL
     SELECT * FROM (SELECT 'category' AS list, event_id FROM p WHERE category = 'politics' ORDER BY last_activity_at DESC, event_id LIMIT 50) UNION ALL
     SELECT * FROM (SELECT 'country' AS list, event_id FROM p WHERE country = 'NATION_3' ORDER BY last_activity_at DESC, event_id LIMIT 50) UNION ALL
-    SELECT * FROM (SELECT 'today' AS list, event_id FROM p WHERE age < 24 AND last_activity_at <= {NOW} ORDER BY relevance DESC, last_activity_at DESC, event_id LIMIT 80)""",
+    SELECT * FROM (SELECT 'today' AS list, event_id FROM p WHERE age < 24 AND last_activity_at <= {NOW} ORDER BY relevance DESC, last_activity_at DESC, event_id LIMIT 80) UNION ALL
+    SELECT * FROM (SELECT 'breaking' AS list, event_id FROM p WHERE date_diff('hour', last_activity_at, {NOW}) < 6 ORDER BY last_activity_at DESC, event_id LIMIT 40) UNION ALL
+    SELECT * FROM (SELECT 'trending' AS list, event_id FROM p JOIN tr USING (event_id) WHERE trending IS NOT NULL ORDER BY trending DESC, p.last_activity_at DESC, event_id LIMIT 50)""",
 )
 def preset_lists(spark, d):
-    e = scored(spark, d)
-    named = [("all", None), ("category", "politics"), ("country", "NATION_3"), ("today", None)]
+    e = _with_trending(spark, d)
+    named = [("all", None), ("category", "politics"), ("country", "NATION_3"), ("today", None), ("breaking", None), ("trending", None)]
     return J.concat([products.preset(e, n, now(), v).select(F.lit(n).alias("list"), "event_id") for n, v in named])
 
 
@@ -364,16 +387,38 @@ _RULES = """ru AS (SELECT c_custkey AS user_id, c_custkey AS rule_id, CASE c_mkt
     "alert_matches",
     f"""WITH {INPUTS}, {_RULES}, m AS (SELECT user_id, rule_id, event_id, published_at FROM ru JOIN sv ON (r_category IS NULL OR r_category = category) AND (r_country IS NULL OR r_country = country)
       AND coalesce(confidence, -1) >= coalesce(min_confidence, -1) AND coalesce(life_impact, -1) >= coalesce(min_impact, -1) AND (NOT only_verified OR verification = 'VERIFIED')
-      WHERE status = 'PUBLISHED' AND published_at <= {NOW} AND date_diff('hour', published_at, {NOW}) < 1440 AND event_id % 13 <> 0)
+      WHERE status = 'PUBLISHED' AND published_at <= {NOW} AND date_diff('hour', published_at, {NOW}) < 1440 AND NOT (event_id % 13 = 0 AND owner_id = user_id))
     SELECT user_id, rule_id, event_id FROM m QUALIFY row_number() OVER (PARTITION BY user_id, rule_id ORDER BY published_at DESC, event_id) <= 25""",
 )
 def alert_matches(spark, d):
+    return _alerts(spark, d).select("user_id", "rule_id", "event_id")
+
+
+def _alerts(spark, d):
     e = scored(spark, d)
-    r = T.rules(spark, d)
-    # a notification exists for every rule and every thirteenth event
-    told = e.filter("event_id % 13 = 0").select("event_id")
-    found = products.match_alerts(r, e.join(told, "event_id", "left_anti"), spark.createDataFrame([], "user_id long, rule_id long, event_id long"), now(), since_hours=1440)
-    return found
+    # owners were told of every thirteenth of their events
+    told = e.filter("event_id % 13 = 0").select(F.col("owner_id").alias("user_id"), F.col("owner_id").alias("rule_id"), "event_id")
+    return products.match_alerts(T.rules(spark, d), e, told, now(), since_hours=1440)
+
+
+_LABELS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in R.CATEGORY_LABELS.items())
+_REASON = f"""coalesce(nullif(concat_ws(' · ', CASE r_category {_LABELS} END, 'country ' || r_country, CASE WHEN only_verified THEN 'only VERIFIED' END, 'confidence ≥ ' || min_confidence, 'life impact ≥ ' || min_impact), ''), 'no criteria')"""
+
+
+@query("rule_texts", f"WITH {_RULES} SELECT rule_id, {_REASON} AS reason FROM ru")
+def rule_texts(spark, d):
+    return T.rules(spark, d).filter("enabled").select("rule_id", products.describe_rule().alias("reason"))
+
+
+@query(
+    "alert_reasons",
+    f"""WITH {INPUTS}, {_RULES}, m AS (SELECT rule_id, {_REASON} AS reason FROM ru JOIN sv ON (r_category IS NULL OR r_category = category) AND (r_country IS NULL OR r_country = country)
+      AND coalesce(confidence, -1) >= coalesce(min_confidence, -1) AND coalesce(life_impact, -1) >= coalesce(min_impact, -1) AND (NOT only_verified OR verification = 'VERIFIED')
+      WHERE status = 'PUBLISHED' AND published_at <= {NOW} AND date_diff('hour', published_at, {NOW}) < 1440 AND NOT (event_id % 13 = 0 AND owner_id = user_id))
+    SELECT reason, count(DISTINCT rule_id) AS rules, sum(n)::BIGINT AS alerts FROM (SELECT reason, rule_id, least(25, count(*)) AS n FROM m GROUP BY ALL) GROUP BY reason""",
+)
+def alert_reasons(spark, d):
+    return _alerts(spark, d).groupBy("reason").agg(F.count_distinct("rule_id").alias("rules"), F.count("*").alias("alerts"))
 
 
 @query(
@@ -447,40 +492,53 @@ def search_titles(spark, d):
 
 
 def _graph_events(spark, d):
-    e = T.events(spark, d)
+    e, k = T.events(spark, d), F.col("event_id")
+    exact = k % 3 == 1
     return e.filter("status = 'PUBLISHED'").select(
-        F.col("event_id").alias("id"), "title", "category", "country", F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("place "), (F.col("owner_id") % 40).cast("string"))).alias("place"),
-        F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.when(F.col("event_id") % 5 == 0, "unknown").otherwise("approximate").alias("geo_precision"), "last_activity_at",
+        k.alias("id"), "title", "category", "country", F.when(k % 4 == 0, F.concat(F.lit("place "), (F.col("owner_id") % 40).cast("string"))).alias("place"),
+        F.when(exact, ((F.col("owner_id") * 37) % 181 - 90).cast("double")).alias("lat"), F.when(exact, ((F.col("owner_id") * 101) % 361 - 180).cast("double")).alias("lon"),
+        F.when(exact, "exact").when(k % 5 == 0, "unknown").otherwise("approximate").alias("geo_precision"), "last_activity_at",
     )
 
 
-_GE = f"""{EV}, ge AS (SELECT event_id AS id, category, country, CASE WHEN event_id % 4 = 0 THEN 'place ' || owner_id % 40 END AS place, CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE 'approximate' END AS geo, last_activity_at AS at
-  FROM ev WHERE status = 'PUBLISHED'), pr AS (SELECT a.id AS from_id, b.id AS to_id, a.category AS ac, b.category AS bc, a.place AS ap, b.place AS bp, abs(date_diff('hour', a.at, b.at)) AS h
-  FROM ge a JOIN ge b ON a.country = b.country AND a.id < b.id AND a.geo <> 'unknown' AND b.geo <> 'unknown')"""
+_GE = f"""{EV}, ge AS (SELECT event_id AS id, category, country, CASE WHEN event_id % 4 = 0 THEN 'place ' || owner_id % 40 END AS place, CASE WHEN event_id % 3 = 1 THEN 'exact' WHEN event_id % 5 = 0 THEN 'unknown' ELSE 'approximate' END AS geo,
+    CASE WHEN event_id % 3 = 1 THEN radians((owner_id * 37) % 181 - 90) END AS lat, CASE WHEN event_id % 3 = 1 THEN radians((owner_id * 101) % 361 - 180) END AS lon, last_activity_at AS at FROM ev WHERE status = 'PUBLISHED'),
+  pr AS (SELECT a.id AS from_id, b.id AS to_id, a.category AS ac, b.category AS bc, a.place AS ap, b.place AS bp, abs(date_diff('hour', a.at, b.at)) AS h, a.geo = 'exact' AND b.geo = 'exact' AS both_exact,
+    a.country = b.country AND a.geo <> 'unknown' AND b.geo <> 'unknown' AS near_,
+    12742.0 * asin(least(1.0, sqrt(pow(sin((b.lat - a.lat) / 2), 2) + cos(a.lat) * cos(b.lat) * pow(sin((b.lon - a.lon) / 2), 2)))) AS km
+  FROM ge a JOIN ge b ON a.id < b.id AND b.at BETWEEN a.at - INTERVAL 168 HOUR AND a.at + INTERVAL 168 HOUR)"""
+_SAME_LOCATION = """SELECT from_id, to_id, CASE WHEN both_exact THEN CAST(floor(greatest(40.0, 95 - km / 300 * 55) + 0.5) AS BIGINT) ELSE 45 END AS strength FROM pr
+  WHERE (both_exact AND km < 300) OR (NOT both_exact AND near_ AND ap = bp)"""
+_TEMPORAL = "SELECT from_id, to_id, CAST(floor(greatest(35.0, 75.0 - h) + 0.5) AS BIGINT) AS strength FROM pr WHERE ac = bc AND h > 0 AND h <= 72 AND (near_ OR (both_exact AND km < 500))"
+_CROSS = "SELECT from_id, to_id, CAST(floor(greatest(30.0, 65.0 - h / 2.0) + 0.5) AS BIGINT) AS strength FROM pr JOIN lk ON ac = x AND bc = y WHERE near_ AND h <= 48"
 
 
-@query("edges_same_location", f"WITH {_GE} SELECT from_id, to_id, 45::BIGINT AS strength FROM pr WHERE ap = bp")
+@query("edges_same_location", f"WITH {_GE} {_SAME_LOCATION}")
 def edges_same_location(spark, d):
     return graph.same_location(_graph_events(spark, d)).select("from_id", "to_id", "strength")
 
 
-@query("edges_temporal", f"WITH {_GE} SELECT from_id, to_id, CAST(floor(greatest(35.0, 75.0 - h) + 0.5) AS BIGINT) AS strength FROM pr WHERE ac = bc AND h > 0 AND h <= 72")
+@query("edges_temporal", f"WITH {_GE} {_TEMPORAL}")
 def edges_temporal(spark, d):
     return graph.temporal_sequence(_graph_events(spark, d)).select("from_id", "to_id", "strength")
 
 
+@query("event_pairs", f"WITH {_GE} SELECT ac AS category, count(*) AS pairs, max(h)::BIGINT AS most_hours FROM pr WHERE ac = bc GROUP BY ac")
+def event_pairs(spark, d):
+    pairs = graph.event_pairs(_graph_events(spark, d), ["category"], [])
+    return pairs.groupBy("category").agg(F.count("*").alias("pairs"), F.max("h").cast("long").alias("most_hours"))
+
+
 _LINKED = ", ".join(f"('{x}', '{y}'), ('{y}', '{x}')" for x, y in graph.LINKED_DOMAINS)
 
 
-@query("edges_cross_domain", f"WITH {_GE}, lk(x, y) AS (VALUES {_LINKED}) SELECT from_id, to_id, CAST(floor(greatest(30.0, 65.0 - h / 2.0) + 0.5) AS BIGINT) AS strength FROM pr JOIN lk ON ac = x AND bc = y WHERE h <= 48")
+@query("edges_cross_domain", f"WITH {_GE}, lk(x, y) AS (VALUES {_LINKED}) {_CROSS}")
 def edges_cross_domain(spark, d):
     return graph.cross_domain(_graph_events(spark, d)).select("from_id", "to_id", "strength")
 
 
 _EDGES = f"""{_GE}, lk(x, y) AS (VALUES {_LINKED}), eg AS (
-  SELECT from_id, to_id, 'same_location' AS kind, 45 AS strength FROM pr WHERE ap = bp UNION ALL
-  SELECT from_id, to_id, 'temporal_sequence', CAST(floor(greatest(35.0, 75.0 - h) + 0.5) AS BIGINT) FROM pr WHERE ac = bc AND h > 0 AND h <= 72 UNION ALL
-  SELECT from_id, to_id, 'cross_domain_impact', CAST(floor(greatest(30.0, 65.0 - h / 2.0) + 0.5) AS BIGINT) FROM pr JOIN lk ON ac = x AND bc = y WHERE h <= 48)"""
+  SELECT 'same_location' AS kind, * FROM ({_SAME_LOCATION}) UNION ALL SELECT 'temporal_sequence', * FROM ({_TEMPORAL}) UNION ALL SELECT 'cross_domain_impact', * FROM ({_CROSS}))"""
 
 
 def _edges(spark, d):
@@ -609,17 +667,8 @@ def top_by_articles(spark, d):
     return W.top_by_articles(scored(spark, d)).select("event_id", "article_count")
 
 
-@query(
-    "subject_export",
-    "SELECT c_custkey AS user_id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS bookmarks FROM customer WHERE c_custkey % 10 = 3",
-)
+@query("subject_export", "SELECT c_custkey AS user_id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS bookmarks FROM customer")
 def subject_export(spark, d):
-    return _subject_export(spark, d, T.rules(spark, d).filter("user_id % 10 = 3"))
-
-
-@query("subject_export_all")
-def subject_export_all(spark, d):
-    """subject_export of every user; its SQL states one of ten."""
     return _subject_export(spark, d, T.rules(spark, d))
 
 
@@ -629,13 +678,27 @@ def _subject_export(spark, d, who):
     return out.select("user_id", F.json_array_length("bookmarks").cast("long").alias("bookmarks"))
 
 
-@query("rate_limited")
+_LOG = "s AS (SELECT user_id, event_id AS id, epoch_us(ts) AS m, event_type = 'purchase' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+@query(
+    "rate_limited",
+    f"""WITH RECURSIVE {_LOG}, w AS (SELECT user_id, id, n, m AS start, 1 AS c FROM s WHERE n = 1 UNION ALL
+      SELECT s.user_id, s.id, s.n, CASE WHEN s.m - start >= 86400000000 THEN s.m ELSE start END, CASE WHEN s.m - start >= 86400000000 THEN 1 ELSE c + 1 END FROM w JOIN s ON s.user_id = w.user_id AND s.n = w.n + 1)
+    SELECT user_id, id FROM w WHERE c > 5""",
+)
 def rate_limited(spark, d):
     e = T.read(spark, d, "events").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("id"))
     return ledgers.rate_limited(e, 5, 86_400, ["user_id"]).select("user_id", "id")
 
 
-@query("lockouts")
+@query(
+    "lockouts",
+    f"""WITH RECURSIVE {_LOG}, w AS (SELECT user_id, id, n, CASE WHEN ok THEN 0 ELSE 1 END AS fails, 0::BIGINT AS until, false AS hit FROM s WHERE n = 1 UNION ALL
+      SELECT s.user_id, s.id, s.n, CASE WHEN s.m < until THEN fails WHEN ok OR fails + 1 >= 5 THEN 0 ELSE fails + 1 END, CASE WHEN s.m < until THEN until WHEN ok OR fails + 1 < 5 THEN 0 ELSE s.m + 86400000000 END, s.m < until
+      FROM w JOIN s ON s.user_id = w.user_id AND s.n = w.n + 1)
+    SELECT user_id, id FROM w WHERE hit""",
+)
 def lockouts(spark, d):
     e = T.read(spark, d, "events").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("id"), (F.col("event_type") == "purchase").alias("ok"))
     return limits.walk_lockouts(e, 5, 86_400).select("user_id", "id")

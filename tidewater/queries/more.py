@@ -62,14 +62,8 @@ def map_points(spark, d):
     return R.map_points(e).select("event_id", "lat")
 
 
-@query("timeline", f"WITH {AR}, {SO} SELECT ar.event_id, ar.line::BIGINT AS line, ar.source_id, source_name FROM ar LEFT JOIN so USING (source_id) WHERE event_id % 50 = 0")
+@query("timeline", f"WITH {AR}, {SO} SELECT ar.event_id, ar.line::BIGINT AS line, ar.source_id, source_name FROM ar LEFT JOIN so USING (source_id)")
 def timeline(spark, d):
-    return _timeline(spark, d, T.articles(spark, d).filter("event_id % 50 = 0"))
-
-
-@query("timeline_all")
-def timeline_all(spark, d):
-    """timeline over all events; its SQL states one of 50."""
     return _timeline(spark, d, T.articles(spark, d))
 
 
@@ -102,16 +96,10 @@ def health_tally(spark, d):
 
 @query(
     "provider_matches",
-    """WITH a AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_suppkey AS s, l_partkey % 200 AS p, l_shipdate AS t FROM lineitem WHERE l_partkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, l_partkey) = 1)
-    SELECT id AS article_id, f AS first_article_id FROM (SELECT *, first_value(id) OVER (PARTITION BY s, p ORDER BY t, id) AS f FROM a) WHERE id <> f""",
+    """WITH a AS (SELECT l_orderkey * 8 + l_linenumber AS id, l_suppkey AS s, CASE WHEN l_partkey % 3 = 0 THEN l_partkey % 200 END AS p, l_shipdate AS t FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_suppkey, l_partkey, l_shipdate) = 1)
+    SELECT id AS article_id, f AS first_article_id FROM (SELECT *, first_value(id) OVER (PARTITION BY s, p ORDER BY t, id) AS f FROM a WHERE p IS NOT NULL) WHERE id <> f""",
 )
 def provider_matches(spark, d):
-    return _provider_matches(T.articles(spark, d).filter("part % 3 = 0"), (F.col("part") % 200).cast("string"))
-
-
-@query("provider_matches_all")
-def provider_matches_all(spark, d):
-    """provider_matches over all articles, of which two thirds have no provider id; its SQL drops these before it takes one article a line."""
     return _provider_matches(T.articles(spark, d), F.when(F.col("part") % 3 == 0, (F.col("part") % 200).cast("string")), F.asc("published_at"))
 
 

@@ -17,9 +17,9 @@ from . import query
 # Words of the test corpus that stand for rule terms and places, since its prose is invented.
 RULES = [("politics", "heed", 2), ("economy", "queau", 3), ("crime", "idiot", 2), ("science", "erung", 3), ("culture", "disgusting", 1), ("sports", "der die", 1), ("health", "of the", 1)]
 PLACES = [("heon", "XA", 10.0, 20.0, "country"), ("erst", "XB", 30.0, 40.0, "city"), ("mente", "XC", -10.0, 5.5, "city"), ("eau", "XD", 50.0, -7.25, "country")]
-SEARCH = "the heed"
+SEARCH = "heed Erst"
 
-TX = """tx AS (SELECT doc_id AS article_id, doc_id AS event_id, source AS source_id, substr(split_part(text, chr(10), 1), 1, 200) AS title, substr(text, 1, 1200) AS summary,
+TX = """tx AS (SELECT doc_id AS article_id, doc_id AS event_id, source AS source_id, substr(split_part(text, chr(10), 1), 1, 200) AS title, text AS summary,
   'http://' || source || '.example.com/' || doc_id AS url, TIMESTAMP '2024-01-01' + INTERVAL 7 MINUTE * doc_id AS published_at, lang, text FROM documents)"""
 
 
@@ -64,27 +64,18 @@ def idf_weights(spark, d):
     return A.idf_weights(T.text_articles(spark, d)).select("token", "df", F.floor(F.col("idf") * 1_000_000 + 0.5).alias("idf_micro"))
 
 
+# Fixed value: the least similarity of titles.
+SIMILAR = 0.5
+
+
 @query(
     "title_similarity",
     f"""WITH {TX}, t AS (SELECT article_id, lang, {toks('title')} AS k FROM tx), e AS (SELECT article_id, lang, unnest(k) AS w FROM t),
-    p AS (SELECT a.article_id AS a, b.article_id AS b, count(*) AS n FROM e a JOIN e b ON a.w = b.w AND a.lang = b.lang AND a.article_id < b.article_id GROUP BY ALL HAVING count(*) >= 3)
-    SELECT a, b, CAST(floor(n * 10000.0 / (len(x.k) + len(y.k) - n) + 0.5) AS BIGINT) AS jaccard FROM p JOIN t x ON a = x.article_id JOIN t y ON b = y.article_id""",
+    p AS (SELECT a.article_id AS a, b.article_id AS b, count(*) AS n FROM e a JOIN e b ON a.w = b.w AND a.lang = b.lang AND a.article_id < b.article_id GROUP BY ALL)
+    SELECT a, b, CAST(floor(n * 10000.0 / (len(x.k) + len(y.k) - n) + 0.5) AS BIGINT) AS jaccard FROM p JOIN t x ON a = x.article_id JOIN t y ON b = y.article_id WHERE n >= 0.5 * (len(x.k) + len(y.k) - n)""",
 )
 def title_similarity(spark, d):
-    t = T.text_articles(spark, d).select(F.col("article_id").alias("id"), "lang", X.tokens(F.col("title")).alias("k"))
-    w = t.select("id", "lang", F.explode("k").alias("w"))
-    pairs = w.withColumnRenamed("id", "a").join(w.withColumnRenamed("id", "b"), ["w", "lang"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).filter("n >= 3")
-    full = pairs.join(t.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(t.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
-    return full.select("a", "b", F.floor(J.jaccard(F.col("ka"), F.col("kb")) * 10000 + 0.5).alias("jaccard"))
-
-
-# Fixed value: the least similarity of titles.
-SIMILAR = 0.5
-
-
-@query("title_similarity_all")
-def title_similarity_all(spark, d):
-    """Pairs of titles of one language with a similarity of SIMILAR or more, short titles too; the SQL of title_similarity states three shared tokens.
+    """Pairs of titles of one language with a similarity of SIMILAR or more, short titles too.
 
     Two such titles share one of the rarest n - ceil(SIMILAR * n) + 1 of their n tokens.
     """
@@ -112,12 +103,6 @@ _RULE_ROWS = ", ".join(f"('{c}', '{t}', {w}, {i})" for i, (c, t, w) in enumerate
       CASE WHEN coalesce(score, 0) >= 6 AND score > runner_up THEN 'high' WHEN coalesce(score, 0) >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM t LEFT JOIN k ON k.article_id = t.article_id AND n = 1""",
 )
 def classify_docs(spark, d):
-    return enrich.classify(T.opening(T.text_articles(spark, d)), _rules(spark))
-
-
-@query("classify_docs_all")
-def classify_docs_all(spark, d):
-    """classify_docs over whole texts; its SQL states their first 1200 characters."""
     return enrich.classify(T.text_articles(spark, d), _rules(spark))
 
 
@@ -131,21 +116,24 @@ _PLACE_ROWS = ", ".join(f"('{n}', '{c}', {la}, {lo}, '{k}', {i})" for i, (n, c,
     SELECT tx.article_id, country, upper(name[1]) || name[2:] AS place, lat::DOUBLE AS lat, CASE WHEN name IS NULL THEN 'unknown' ELSE 'approximate' END AS precision FROM tx LEFT JOIN h ON h.article_id = tx.article_id AND n = 1""",
 )
 def geocode_docs(spark, d):
-    return enrich.geocode(T.opening(T.text_articles(spark, d)), _places(spark)).select("article_id", "country", "place", "lat", "precision")
+    return enrich.geocode(T.text_articles(spark, d), _places(spark)).select("article_id", "country", "place", "lat", "precision")
 
 
-@query("geocode_docs_all")
-def geocode_docs_all(spark, d):
-    """geocode_docs over whole texts; its SQL states their first 1200 characters."""
-    return enrich.geocode(T.text_articles(spark, d), _places(spark)).select("article_id", "country", "place", "lat", "precision")
+_WORD = r"[A-ZÀ-Þ][\wÀ-ÿ''’-]+"
+_ENT = rf"""{TX}, en AS (SELECT article_id AS event_id, unnest(l) AS name, generate_subscripts(l, 1) AS pos FROM (SELECT article_id, list_filter(list_transform(
+    regexp_extract_all(title || '. ' || coalesce(summary, ''), '(?:^|[^\p{{L}}\p{{Nd}}_])({_WORD}(?:\s+(?:(?:de|da|do|of|van|von|el)\s+)?{_WORD}){{0,3}})', 1), lambda x: trim(x)), lambda x: length(x) >= 3
+    AND NOT list_contains([{", ".join(f"'{w}'" for w in X.ENTITY_STOP_WORDS)}], x) AND len(regexp_split_to_array(x, '\s+')) <= 3
+    AND len(list_distinct(regexp_split_to_array(lower(x), '\s+'))) = len(regexp_split_to_array(x, '\s+'))) AS l FROM tx)),
+  em AS (SELECT * FROM (SELECT event_id, name, count(*) AS mentions, min(pos) AS pos FROM en GROUP BY event_id, name) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY mentions DESC, pos, name) <= 15),
+  ce AS (SELECT lower(name) AS name, count(DISTINCT event_id) AS df FROM em GROUP BY 1 HAVING count(DISTINCT event_id) >= greatest(3, ceil((SELECT count(DISTINCT event_id) FROM em) * 0.03)))"""
 
 
-@query("entity_mentions")
+@query("entity_mentions", f"WITH {_ENT} SELECT event_id, name, mentions FROM em")
 def entity_mentions(spark, d):
     return enrich.extract_entities(T.text_articles(spark, d)).select("event_id", "name", "mentions")
 
 
-@query("common_entities")
+@query("common_entities", f"WITH {_ENT} SELECT name, df FROM ce")
 def common_entities(spark, d):
     return A.common_entities(enrich.extract_entities(T.text_articles(spark, d)))
 
@@ -186,29 +174,39 @@ def cluster_docs(spark, d):
     "edges_same_topic",
     f"""WITH {TX}, t AS (SELECT article_id AS id, lang, {toks('title')} AS k FROM tx), e AS (SELECT id, lang, unnest(k) AS w FROM t), n AS (SELECT count(*) AS n FROM tx),
     i AS (SELECT w, ln((SELECT n FROM n) / count(*)) AS idf FROM e GROUP BY w), r AS (SELECT e.*, idf FROM e JOIN i USING (w)), s AS (SELECT id, sum(idf) AS total FROM r GROUP BY id),
-    p AS (SELECT a.id AS from_id, b.id AS to_id, sum(a.idf) AS both_, count(*) FILTER (a.idf > 1.5) AS rare FROM r a JOIN r b ON a.w = b.w AND a.lang = b.lang AND a.id < b.id GROUP BY ALL)
+    p AS (SELECT a.id AS from_id, b.id AS to_id, sum(a.idf) AS both_, count(*) FILTER (a.idf > 1.5) AS rare FROM r a JOIN r b ON a.w = b.w AND a.lang = b.lang AND a.id < b.id AND (b.id - a.id) * 7 <= 168 * 60 GROUP BY ALL)
     SELECT from_id, to_id, CAST(least(85, floor(both_ / (x.total + y.total - both_) * 120 + 0.5)) AS BIGINT) AS strength FROM p JOIN s x ON from_id = x.id JOIN s y ON to_id = y.id WHERE rare >= 2 AND both_ / (x.total + y.total - both_) >= 0.30""",
 )
 def edges_same_topic(spark, d):
-    e = T.text_articles(spark, d).select(F.col("article_id").alias("id"), "title", F.col("lang").alias("category"))
+    e = T.text_articles(spark, d).select(F.col("article_id").alias("id"), "title", F.col("lang").alias("category"), F.col("published_at").alias("last_activity_at"))
     return graph.same_topic(e).select("from_id", "to_id", "strength")
 
 
-@query("edges_same_actor")
+_GENERIC = ", ".join(f"'{x}'" for x in graph.GENERIC_ENTITIES)
+
+
+@query(
+    "edges_same_actor",
+    rf"""WITH {_ENT}, sn AS (SELECT DISTINCT event_id AS id, lower(name) AS name FROM em WHERE length(name) >= 4 AND regexp_matches(name, '^[A-ZÀ-Þ]') AND NOT regexp_matches(name, '^[A-Z]{{2,5}}$') AND lower(name) NOT IN ({_GENERIC}) AND lower(name) NOT IN (SELECT name FROM ce)),
+    p AS (SELECT a.id AS from_id, b.id AS to_id, count(*) AS n, list_sort(list(name)) AS names FROM sn a JOIN sn b USING (name) WHERE a.id < b.id AND (b.id - a.id) * 7 <= 168 * 60 GROUP BY ALL HAVING count(*) >= 2)
+    SELECT from_id, to_id, least(90, 40 + n * 12)::BIGINT AS strength, array_to_string(names[1:5], ', ') AS basis FROM p""",
+)
 def edges_same_actor(spark, d):
-    return graph.same_actor(enrich.extract_entities(T.text_articles(spark, d))).select("from_id", "to_id", "strength", "basis")
+    a = T.text_articles(spark, d)
+    when = a.select(F.col("article_id").alias("id"), F.col("published_at").alias("last_activity_at"))
+    return graph.same_actor(enrich.extract_entities(a), when).select("from_id", "to_id", "strength", "basis")
 
 
 @query("search_substring", "SELECT doc_id AS event_id FROM documents WHERE contains(lower(text), 'heed') ORDER BY doc_id DESC LIMIT 40")
 def search_substring(spark, d):
-    e = T.text_articles(spark, d).join(T.read(spark, d, "documents").select(F.col("doc_id").alias("article_id"), "text"), "article_id").withColumn("last_activity_at", F.col("published_at"))
-    return R.search_substring(e, "Heed", fields=("text",)).select("event_id")
+    e = T.text_articles(spark, d).withColumn("last_activity_at", F.col("published_at"))
+    return R.search_substring(e, "Heed", fields=("summary",)).select("event_id")
 
 
 @query(
     "search_ranked",
-    f"""WITH w AS (SELECT doc_id, list_filter(string_split({folded('text')}, ' '), lambda x: x <> '') AS k FROM documents), h AS (SELECT doc_id, len(list_filter(k, lambda x: x = 'heed')) AS tf, len(k) AS n FROM w)
-    SELECT doc_id, tf, CAST(floor(tf * 1000000 / sqrt(n)) AS BIGINT) AS rank FROM h WHERE tf > 0 ORDER BY rank DESC, doc_id LIMIT 40""",
+    f"""WITH w AS (SELECT doc_id, list_filter(string_split({folded('text')}, ' '), lambda x: x <> '') AS k FROM documents), h AS (SELECT doc_id, len(list_filter(k, lambda x: x = 'heed')) AS a, len(list_filter(k, lambda x: x = 'erst')) AS b, a + b AS tf, len(k) AS n FROM w)
+    SELECT doc_id, tf, CAST(floor(tf * 1000000 / sqrt(n)) AS BIGINT) AS rank FROM h WHERE a > 0 AND b > 0 ORDER BY rank DESC, doc_id LIMIT 40""",
 )
 def search_ranked(spark, d):
     return R.search_ranked(T.read(spark, d, "documents"), SEARCH).select("doc_id", "tf", "rank")
@@ -228,49 +226,39 @@ def query_facets(spark, d):
     return R.facets_from_text(q, labels, names).select("query_id", "since_hours", "min_impact", "country", "category")
 
 
-@query(
-    "grounded_quotes",
-    f"""WITH a AS (SELECT doc_id, {folded("substr(split_part(text, chr(10), 1), 1, 200) || ' ' || text")} AS hay FROM documents),
-    q AS (SELECT item_id, {folded('text')} AS fq, length(trim(text)) AS n FROM benchmark)
-    SELECT item_id AS run_id, doc_id AS article_id, n >= 12 AND contains(hay, fq) AS kept FROM q JOIN a ON doc_id % 20 = item_id % 20 AND doc_id < 800""",
-)
+_CITED = rf"""a AS (SELECT doc_id, {folded("substr(split_part(text, chr(10), 1), 1, 200) || ' ' || text")} AS hay FROM documents), q AS (SELECT item_id, {folded('text')} AS fq, length(trim(text)) AS n FROM benchmark),
+  qk AS (SELECT item_id, string_split(fq, ' ') AS k FROM q), qw AS (SELECT DISTINCT item_id, array_to_string(k[i:i + 7], ' ') AS w FROM (SELECT item_id, k, unnest(range(2, len(k) - 7)) AS i FROM qk)),
+  ak AS (SELECT doc_id, string_split(hay, ' ') AS k FROM a), aw AS (SELECT DISTINCT doc_id, array_to_string(k[i:i + 7], ' ') AS w FROM (SELECT doc_id, k, unnest(range(1, len(k) - 6)) AS i FROM ak)),
+  gq AS (SELECT item_id AS run_id, doc_id AS article_id, n >= 12 AND contains(hay, fq) AS kept FROM (SELECT DISTINCT item_id, doc_id FROM qw JOIN aw USING (w)) JOIN q USING (item_id) JOIN a USING (doc_id))"""
+
+
+@query("grounded_quotes", f"WITH {_CITED} SELECT run_id, article_id, kept FROM gq")
 def grounded_quotes(spark, d):
+    """Every benchmark passage against all documents that share eight words in a row with it."""
     docs = T.read(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.substring(F.substring_index("text", "\n", 1), 1, 200).alias("title"), F.col("text").alias("summary"))
-    b = T.read(spark, d, "benchmark").withColumn("slot", F.col("item_id") % 20)
-    claims = b.join(docs.filter("article_id < 800").select("article_id", (F.col("article_id") % 20).alias("slot")), "slot")
-    claims = claims.select(F.col("item_id").alias("run_id"), F.col("article_id").alias("claim_no"), "article_id", F.col("text").alias("quote"), F.lit("FACT").alias("kind"))
-    return enrich.ground_quotes(claims, docs).select("run_id", "article_id", "kept")
+    passages = T.read(spark, d, "benchmark").select(F.col("item_id").alias("run_id"), F.col("text").alias("quote"))
+    return enrich.ground_passages(passages, docs).select("run_id", "article_id", "kept")
 
 
 @query(
     "grounding_stats",
-    f"""WITH a AS (SELECT doc_id, {folded('text')} AS hay FROM documents), k AS (SELECT item_id, contains(hay, {folded('b.text')}) AS kept FROM benchmark b JOIN a ON doc_id % 20 = item_id % 20 AND doc_id < 800)
-    SELECT item_id AS run_id, count(*) AS proposed, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS dropped, CAST(floor(count(*) FILTER (kept) * 100.0 / count(*) + 0.5) AS BIGINT) AS confidence FROM k GROUP BY item_id""",
+    f"""WITH {_CITED} SELECT run_id, count(*) AS proposed, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS dropped, CAST(floor(count(*) FILTER (kept) * 100.0 / count(*) + 0.5) AS BIGINT) AS confidence FROM gq GROUP BY run_id""",
 )
 def grounding_stats(spark, d):
     return A.grounding_stats(grounded_quotes(spark, d))
 
 
-@query("grounded_quotes_all")
-def grounded_quotes_all(spark, d):
-    """Every benchmark passage against all documents that share words with it. The SQL of grounded_quotes states 40 documents an item."""
-    docs = T.read(spark, d, "documents").select(F.col("doc_id").alias("article_id"), F.substring(F.substring_index("text", "\n", 1), 1, 200).alias("title"), F.col("text").alias("summary"))
-    passages = T.read(spark, d, "benchmark").select(F.col("item_id").alias("run_id"), F.col("text").alias("quote"))
-    return enrich.ground_passages(passages, docs).select("run_id", "article_id", "kept")
-
-
-@query("grounding_stats_all")
-def grounding_stats_all(spark, d):
-    """As grounding_stats, over grounded_quotes_all; passages that share words with no document have no row."""
-    return A.grounding_stats(grounded_quotes_all(spark, d))
-
-
 @query("page_titles", "SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title FROM pages")
 def page_titles(spark, d):
     return T.feed_bodies(spark, d).select("page_id", F.nullif(X.strip_markup(F.regexp_extract("body", "(?s)<title>(.*?)</title>", 1)), F.lit("")).alias("title"))
 
 
-@query("page_text")
+_PLAIN = r"regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', ' ', 'gis'), '<style[^>]*>.*?</style>', ' ', 'gis')"
+for _a, _b in (("<[^>]*>", None), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_a}', ' ', 'g')" if _b is None else f"replace({_PLAIN}, '{_a}', '{_b}')"
+
+
+@query("page_text", f"SELECT page_id, trim(regexp_replace({_PLAIN}, '[\\s\u00a0]+', ' ', 'g')) AS text FROM pages")
 def page_text(spark, d):
     body = F.regexp_replace("body", r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     return T.feed_bodies(spark, d).select("page_id", X.strip_markup(body).alias("text"))

@@ -5,21 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Writes the table and reads it back: lineage ends there, and a lost executor costs no recomputation.
-
-    The folder is spark.checkpoint.dir; on one machine a new temporary one where the session names none, as in tests.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; on one machine a new temporary one where the session names none, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where}/{uuid.uuid4().hex}"
+    return where
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Writes the table to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df (narrow rows, saved), marked for broadcast only if it has at most `rows` rows; else joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

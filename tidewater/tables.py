@@ -76,11 +76,6 @@ def text_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def opening(articles: DataFrame) -> DataFrame:
-    """articles with the first 1200 characters as summary, for queries whose SQL states that cut."""
-    return articles.withColumn("summary", F.substring("summary", 1, 1200))
-
-
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer")
     k, seg = F.col("c_custkey"), F.col("c_mktsegment")
