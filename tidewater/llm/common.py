@@ -1,10 +1,8 @@
-"""What the operators share: shipping the package to workers, saved tables, fast word hashes, components."""
+"""What the operators share: shipping the package to workers, bounded samples, fast word hashes."""
 
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -13,6 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.components import components as components
+from ..saved import if_small as if_small
+from ..saved import saved as saved
+from ..saved import shared_dir as shared_dir
+
 #: Rows and bytes of whole texts in one Arrow batch; they bound a Python worker's memory, with long texts too.
 ARROW_ROWS, ARROW_BYTES = "512", "2m"
 #: Bytes of text that are worked on at once; numpy arrays of eight bytes a byte of text are made from a slice.
@@ -30,31 +33,6 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; on one machine a new temporary one where the session names none, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def saved(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Writes the table to the shared folder and reads it back, so a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """df (narrow rows, saved), marked for broadcast only if it has at most `rows` rows; else joined by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def least_hashed(df: DataFrame, hashed: str, rows: int) -> DataFrame:
     """The `rows` rows of a saved table whose 64-bit hash column is least, at most.
 
@@ -153,49 +131,3 @@ def windows(hashes: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
     for j in range(k):
         out = out * _ODD[lane, 1] + hashes[j : j + n]
     return mix(out)
-
-
-# ---- connected components ---------------------------------------------------------------------
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that links (a, b) reach, for each node that has a link.
-
-    Alternates large-star and small-star steps (Kiveris et al. 2014); each round is saved to the shared folder
-    and the loop ends when a round changes nothing. Null ends and self-links take no part. A node with very
-    many links is never gathered: every step is a minimum per node (combined before the shuffle, and saved) and a
-    join of saved tables, which Spark splits where it is skewed.
-    """
-    e = (
-        edges.filter("a is not null and b is not null")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .filter("u <> v")
-        .distinct()
-    )
-    e = saved(e)
-    before = None
-    for _ in range(rounds):
-        # large star: every neighbour above u points to the smallest of u's neighbours and u
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = if_small(saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = saved(large.filter("u <> v").distinct())
-        # small star: u and its smaller neighbours point to the smallest of them
-        low = if_small(saved(large.groupBy("u").agg(F.min("v").alias("m"))))
-        small = (
-            large.join(low, "u")
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
-            .select("p.u", "p.v")
-            .filter("u <> v")
-            .distinct()
-        )
-        e = saved(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    nodes = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return nodes.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
