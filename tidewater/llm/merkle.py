@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPAN_WORDS = 8
-#: First characters of a paragraph's hash that end a section: two of sixteen.
-ENDS_SECTION = "^[08]"
+#: First characters of paragraphs' hashes that end a section: two of sixteen.
+ENDS_SECTION = "08"
 #: Bytes of text in a range of doc_id, and ranges at most.
 RANGE_BYTES, MOST_RANGES = 32 << 20, 4096
 
@@ -32,8 +32,8 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     names = [f"_{out}_{x}" for x in ("leaves", "paragraphs", "sections")]
     df = df.withColumn(names[0], F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), lambda p: F.array_join(leaves(p), ",")))
     df = df.withColumn(names[1], F.transform(names[0], lambda p: F.sha2(p, 256)))
-    ended = F.array_join(F.transform(names[1], lambda p: F.concat(p, F.when(p.rlike(ENDS_SECTION), "|").otherwise(","))), "")
-    df = df.withColumn(names[2], F.transform(F.filter(F.split(ended, "[|]"), lambda s: s != ""), lambda s: F.sha2(s, 256)))
+    ended = F.array_join(F.transform(names[1], lambda p: F.concat(p, F.when(F.substring(p, 1, 1).isin(*ENDS_SECTION), "|").otherwise(","))), "")
+    df = df.withColumn(names[2], F.transform(F.filter(F.split(ended, r"\|"), lambda s: s != ""), lambda s: F.sha2(s, 256)))
     short = F.transform(names[2], lambda s: F.substring(s, 1, 16))
     return df.withColumn(out, F.concat_ws(";", F.sha2(F.array_join(names[2], ","), 256), F.array_join(short, ","), F.array_join(names[0], "|"))).drop(*names)
 
@@ -46,14 +46,14 @@ def likeness(a: Column, b: Column) -> Column:
     """Characters in shared leaves over characters in all distinct leaves of two fingerprints; 1 where the roots agree."""
 
     def leaf_set(p: Column) -> Column:
-        return F.filter(F.array_distinct(F.split(F.substring_index(p, ";", -1), "[,|]")), lambda x: x != "")
+        return F.filter(F.array_distinct(F.split(F.replace(F.substring_index(p, ";", -1), F.lit("|"), F.lit(",")), ",")), lambda x: x != "")
 
     def chars(xs: Column) -> Column:
         return F.aggregate(xs, F.lit(0).cast("long"), lambda t, x: t + F.substring_index(x, ":", -1).cast("long"))
 
     left, right = leaf_set(a), leaf_set(b)
     both, all_ = chars(F.array_intersect(left, right)), chars(F.array_union(left, right))
-    return F.when(root(a) == root(b), F.lit(1.0)).when(all_ == 0, F.lit(0.0)).otherwise(both.cast("double") / all_)
+    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(F.coalesce(both.cast("double") / F.nullif(all_, F.lit(0)), F.lit(0.0)))
 
 
 def differing_sections(a: Column, b: Column) -> Column:
@@ -69,14 +69,20 @@ def differing_paragraphs(a: Column, b: Column) -> Column:
     """Numbers (from 0) of those paragraphs of b that a doesn't have; they lie in the sections that it doesn't have."""
 
     def paragraphs(p: Column) -> Column:
-        return F.split(F.substring_index(p, ";", -1), "[|]", -1)
+        return F.split(F.substring_index(p, ";", -1), r"\|", -1)
 
     return _missing(paragraphs(a), paragraphs(b))
 
 
 def _missing(left: Column, right: Column) -> Column:
-    new = F.array_except(right, left)  # few where texts are alike
-    return F.filter(F.transform(right, lambda x, i: F.when(F.array_contains(new, x), i)), lambda i: i.isNotNull())
+    """Places in `right` of what `left` doesn't have. The fold carries the difference, so that it is formed once."""
+    start = F.struct(F.array_except(right, left).alias("new"), F.array().cast("array<int>").alias("at"), F.lit(0).alias("i"))
+
+    def step(a: Column, x: Column) -> Column:
+        at = F.when(F.array_contains(a["new"], x), F.concat(a["at"], F.array(a["i"]))).otherwise(a["at"])
+        return F.struct(a["new"].alias("new"), at.alias("at"), (a["i"] + 1).alias("i"))
+
+    return F.aggregate(right, start, step, lambda a: a["at"])
 
 
 def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
