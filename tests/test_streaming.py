@@ -56,3 +56,59 @@ def test_due(spark):
     c = spark.createDataFrame([("r", "2024-01-01 00:00:00")], "job string, t string").select("job", F.to_timestamp("t").alias("last_run"))
     due = lambda job, t: cycle.due(c, job, F.to_timestamp(F.lit(t))).first()["due"]
     assert due("r", "2024-01-02 00:00:00") and not due("r", "2024-01-01 23:00:00") and due("never", "2024-01-01 00:00:00")
+
+
+def by_files(spark, frames, files=1):
+    """A stream of one file a frame, in order, at most so many files a micro-batch."""
+    path = tempfile.mkdtemp(prefix="spark-") + "/x"
+    for df in frames:
+        df.coalesce(1).write.mode("append").parquet(path)
+    return cycle.capped(spark, path, ", ".join(f"{c} {t}" for c, t in frames[0].dtypes), files)
+
+
+def test_lockouts_outlive_a_day(spark):
+    """Failures days apart count in a row, as in the batch form, and a success between them starts anew."""
+    days = [0, 3, 6, 9]
+    rows = [[(u, f"2024-01-{1 + day:02} 00:00:00", 10 * day + u, u == 3 and day == 3) for u in (1, 2, 3)] for day in days] + [[(1, "2024-01-10 00:05:00", 900, True), (3, "2024-01-10 00:05:00", 902, True)]]
+    frames = [spark.createDataFrame(r, "user_id int, t string, id int, ok boolean").select("user_id", F.to_timestamp("t").alias("at"), "id", "ok") for r in rows]
+    batch = frames[0]
+    for f in frames[1:]:
+        batch = batch.unionByName(f)
+    want = {r["id"] for r in limits.walk_lockouts(batch, 4, 900).collect()}
+    got = {r["id"] for r in drained(spark, limits.lockouts_stream(by_files(spark, frames), 4, 900)).collect()}
+    assert got == want == {900}
+
+
+def test_long_windows_outlive_a_day(spark):
+    frames = [spark.createDataFrame([(1, f"2024-01-{d:02} 00:00:00", d)], "user_id int, t string, id int").select("user_id", F.to_timestamp("t").alias("at"), "id") for d in (1, 3, 5, 12)]
+    got = {r["id"] for r in drained(spark, limits.rate_limited_stream(by_files(spark, frames), 2, 7 * 86_400, "user_id")).collect()}
+    assert got == {5}
+
+
+def test_capped_micro_batches(spark):
+    seen = []
+    s = by_files(spark, [spark.range(3), spark.range(4), spark.range(5)])
+    cycle.run(s, lambda df, i: seen.append(df.count()), tempfile.mkdtemp(prefix="spark-"), every=None).awaitTermination(120)
+    assert sorted(seen) == [3, 4, 5]
+
+
+def test_late_articles_are_left_out(spark):
+    """Counts by day close behind the watermark; an article that comes 48 hours late finds its day closed."""
+    frame = lambda t: spark.createDataFrame([(t,)], "t string").select(F.to_timestamp("t").alias("published_at"))
+    frames = [frame(t) for t in ("2024-01-01 05:00:00", "2024-01-10 05:00:00", "2024-01-10 06:00:00", "2024-01-01 06:00:00", "2024-01-20 00:00:00", "2024-01-20 01:00:00")]
+    s = cycle.late_articles(by_files(spark, frames)).groupBy(F.window("published_at", "1 day")).agg(F.count("*").alias("n"))
+    got = {str(r["window"]["start"])[:10]: r["n"] for r in drained(spark, s).collect()}
+    assert got["2024-01-01"] == 1 and got["2024-01-10"] == 2
+    two = spark.createDataFrame([("2024-01-05 00:00:00", "2024-01-03 00:00:01"), ("2024-01-05 00:00:00", "2024-01-02 00:00:00"), ("2024-01-05 00:00:00", "2024-02-01 00:00:00")], "a string, e string")
+    joins = two.select(cycle.may_join(F.to_timestamp("a"), F.to_timestamp("e")).alias("j")).collect()
+    assert [r["j"] for r in joins] == [True, False, True]
+
+
+def test_feed_bodies_are_read_whole(spark, tmp_path):
+    from tidewater.sources import feeds
+
+    for n in range(2):
+        (tmp_path / f"f{n}.xml").write_text(f"<rss><item>\n<title>T{n}</title><link>https://n.example/{n}</link></item></rss>")
+    bodies = feeds.read_feed_bodies(spark, str(tmp_path))
+    assert sorted(r["title"] for r in feeds.parse_feed(bodies, F.current_timestamp()).collect()) == ["T0", "T1"]
+    assert drained(spark, feeds.read_feed_bodies(spark, str(tmp_path), stream=True)).count() == 2

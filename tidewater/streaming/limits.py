@@ -75,7 +75,11 @@ def walk_lockouts(attempts: DataFrame, failures: int = 5, seconds: int = 900, ke
 HITS = "key string, id long, micros long"
 
 
-def _stream(df: DataFrame, key: str, at: str, tie: str, extra: str | None, delay: str, step: Callable) -> DataFrame:
+def _stream(df: DataFrame, key: str, at: str, tie: str, extra: str | None, delay: str, step: Callable, until: Callable) -> DataFrame:
+    """until(state): microseconds of event time up to which a state matters; None if it matters until it changes.
+
+    A key's rows of one micro-batch are sorted in memory; the cap on a micro-batch bounds them.
+    """
     prepare(df)
     rows = df.withWatermark(at, delay).select(
         F.col(key).cast("string").alias("key"), F.col(tie).cast("long").alias("id"), F.unix_micros(F.col(at)).alias("micros"), F.col(at), (F.col(extra) if extra else F.lit(True)).alias("ok")
@@ -93,7 +97,8 @@ def _stream(df: DataFrame, key: str, at: str, tie: str, extra: str | None, delay
             if hit:
                 hits.append((k[0], int(r.id), int(r.micros)))
         state.update(s)
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows_["micros"].max()) // 1000) + 86_400_000)
+        if (end := until(s)) is not None:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), end // 1000) + 1)
         yield pd.DataFrame(hits, columns=["key", "id", "micros"])
 
     return rows.groupBy("key").applyInPandasWithState(run, HITS, "a long, b long", "append", GroupStateTimeout.EventTimeTimeout)
@@ -101,8 +106,9 @@ def _stream(df: DataFrame, key: str, at: str, tie: str, extra: str | None, delay
 
 def rate_limited_stream(requests: DataFrame, limit: int, seconds: int, key: str, at: str = "at", tie: str = "id", delay: str = "1 hour") -> DataFrame:
     """As walk_windows, over a stream: (key, id, micros) of requests over the limit; a micro-batch is taken in event-time order."""
-    return _stream(requests, key, at, tie, None, delay, lambda s, m, _: window_step(s, m, limit, seconds))
+    return _stream(requests, key, at, tie, None, delay, lambda s, m, _: window_step(s, m, limit, seconds), lambda s: s[0] + seconds * 1_000_000)
 
 
 def lockouts_stream(attempts: DataFrame, failures: int = 5, seconds: int = 900, key: str = "user_id", at: str = "at", tie: str = "id", ok: str = "ok", delay: str = "1 hour") -> DataFrame:
-    return _stream(attempts, key, at, tie, ok, delay, lambda s, m, x: lockout_step(s, m, x, failures, seconds))
+    """As walk_lockouts, over a stream; failures are remembered until a success or a lock, however long that takes."""
+    return _stream(attempts, key, at, tie, ok, delay, lambda s, m, x: lockout_step(s, m, x, failures, seconds), lambda s: s[1] if s[0] == 0 else None)

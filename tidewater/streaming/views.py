@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,14 +37,14 @@ def admit_views_stream(views: DataFrame, minutes: float = 30, limit: int = 60, h
             state.remove()
             return
         last_events, last_times, times = state.get if state.exists else ([], [], [])
-        last, times, out = dict(zip(last_events, last_times)), list(times), []
+        last, times, out = dict(zip(last_events, last_times)), sorted(times), []
         rows_ = pd.concat(list(frames)).sort_values(["micros", "id"])
         for r in rows_.itertuples():
             m = int(r.micros)
-            recent = sum(m - window < t < m for t in times)
+            recent = bisect_left(times, m) - bisect_right(times, m - window)
             reason = "bot_pattern" if r.bot else "dedupe_window" if r.event_id in last and m - last[r.event_id] < reach else "rate_limit" if recent >= limit else None
             last[r.event_id] = m
-            times.append(m)
+            insort(times, m)
             out.append((key[0], int(r.id), r.event_id, m, reason))
         newest = max(times)
         last = {k: t for k, t in last.items() if newest - t < reach}
