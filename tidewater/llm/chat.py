@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import freeing, prepare
 
 
 @dataclass(frozen=True)
@@ -109,7 +109,7 @@ def format_conversations(df: DataFrame, template: Template = CHAT) -> DataFrame:
         if out:
             yield batch(out)
 
-    return rows.mapInArrow(run, SEGMENTS)
+    return rows.mapInArrow(freeing(run), SEGMENTS)
 
 
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
@@ -169,7 +169,7 @@ def read_back(segments: DataFrame, template: Template = CHAT, ordered: bool = Fa
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
 
-    return segments.mapInArrow(run, READ)
+    return segments.mapInArrow(freeing(run), READ)
 
 
 #: Fixed by the contract: a conversation whose texts imitate control strings.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, components, if_small, prepare, saved, windows, word_hashes, words
+from .common import chunks, components, freeing, if_small, prepare, saved, windows, word_hashes, words
 
 #: Shingles put last in prefixes: at most so many, each in at least so many documents.
 COMMON_SHINGLES, COMMON_FROM = 200_000, 12
@@ -102,7 +102,7 @@ def common_shingles(docs: DataFrame, k: int, most: int = COMMON_SHINGLES, least:
         if ok.any():
             yield pa.RecordBatch.from_arrays([_signed(held_k[ok]), pa.array(held_n[ok])], ["s", "n"])
 
-    found = saved(docs.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+    found = saved(docs.select("text").mapInArrow(freeing(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
     # the counts' spread tells which ones to take, so that no more than `most` come to the driver
     spread = found.groupBy(F.floor(F.log2("n") * 16).alias("g")).agg(F.count("*").alias("c"), F.min("n").alias("n")).orderBy(F.desc("g")).collect()
     total, from_ = 0, None
@@ -161,9 +161,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, perce
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    arrays = rows.mapInArrow(sets, "a long, _tile int, member int, node long, shingles binary")
+    arrays = rows.mapInArrow(freeing(sets), "a long, _tile int, member int, node long, shingles binary")
     arrays = arrays.repartition("a", "_tile").sortWithinPartitions("a", "_tile", "member", "node")
-    return arrays.mapInArrow(compare, "a long, b long")
+    return arrays.mapInArrow(freeing(compare), "a long, b long")
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
@@ -206,7 +206,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(keys, pa.binary()), _lists(sketch), _lists(prefix)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "rare", "set_key", "sketch", "prefix"])
 
-    signed = docs.mapInArrow(signatures, "doc_id long, n_shingles long, rare long, set_key binary, sketch array<long>, prefix array<long>")
+    signed = docs.mapInArrow(freeing(signatures), "doc_id long, n_shingles long, rare long, set_key binary, sketch array<long>, prefix array<long>")
     signed = saved(signed)
     rows = signed.select("doc_id", "n_shingles", "set_key")
     classes = signed.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "rare", "sketch", "prefix")).alias("r"))
@@ -238,7 +238,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         if rest is not None:
             yield from _cross_pairs(rest, percent)
 
-    pairs = dealt.mapInArrow(pair_up, "a long, b long, rare int, an int, bn int, ar int, br int")
+    pairs = dealt.mapInArrow(freeing(pair_up), "a long, b long, rare int, an int, bn int, ar int, br int")
     pairs = pairs.groupBy("a", "b", "an", "bn", "ar", "br").agg(F.sum("rare").alias("met"))
     pairs = saved(pairs.filter(_may_link(percent)).select("a", "b"))
     more = _verified(docs, pairs, nodes, k, percent)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import freeing, prepare
 
 
 @dataclass(frozen=True)
@@ -282,7 +282,7 @@ def pack_documents(
             yield table(pieces)
         encoder.clear()  # a worker outlives its task
 
-    return rows.mapInArrow(run, PIECES + (", ids array<long>" if keep_ids else ""))
+    return rows.mapInArrow(freeing(run), PIECES + (", ids array<long>" if keep_ids else ""))
 
 
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import least_hashed, prepare, saved
+from .common import freeing, least_hashed, prepare, saved
 
 # Fixed formats, in the order in which kinds are listed.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -352,7 +352,7 @@ def find_pii(docs: DataFrame, model: dict | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, FOUND)
+    return rows.mapInArrow(freeing(run), FOUND)
 
 
 def redact(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -379,7 +379,7 @@ def redact(docs: DataFrame, model: dict | None) -> DataFrame:
             columns[at] = pa.array([clean(t) for t in columns[at].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, if_small, least_hashed, prepare, saved, word_hashes, words
+from .common import chunks, freeing, if_small, least_hashed, prepare, saved, word_hashes, words
 
 #: At most so many labelled rows train the model: those whose hashed doc_id is least.
 TRAINING_ROWS = 20_000
@@ -87,7 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> dict
             x = _features(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.float64()), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
 
-    got = rows_.mapInArrow(run, "y double, x array<double>").toPandas()
+    got = rows_.mapInArrow(freeing(run), "y double, x array<double>").toPandas()
     y = got["y"].to_numpy(float) if len(got) else np.zeros(0)
     if len(set(y)) < 2:
         return {"mean": np.zeros(len(FEATURES)), "scale": np.ones(len(FEATURES)), "weights": np.append(np.zeros(len(FEATURES)), 4.0), "prior": 0.9820138}
@@ -106,7 +106,7 @@ def evidence(docs: DataFrame, model: dict, host: Column, path: Column) -> DataFr
             odds = z @ model["weights"][:-1] + model["weights"][-1]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(odds, pa.float64())], ["doc_id", "host", "path", "evidence"])
 
-    return rows.mapInArrow(run, "doc_id long, host string, path string, evidence double")
+    return rows.mapInArrow(freeing(run), "doc_id long, host string, path string, evidence double")
 
 
 def posteriors(found: DataFrame, prior: float) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, mix, prepare, saved, windows, word_hashes, words
+from .common import chunks, freeing, mix, prepare, saved, windows, word_hashes, words
 
 WINDOW, SEED = 13, 4
 #: Bits that a filter has for each of its keys, and the most bits it may have (64 MB), which go to every task.
@@ -139,7 +139,7 @@ def _repeated_parts(docs: DataFrame) -> DataFrame:
         if size:
             yield merged()
 
-    found = docs.filter("doc_id is not null").mapInArrow(run, "seed long, doc_id long")
+    found = docs.filter("doc_id is not null").mapInArrow(freeing(run), "seed long, doc_id long")
     return found.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("seed")
 
 
@@ -165,7 +165,7 @@ def _met_paths(docs: DataFrame, parts: _Filter, edges: bool) -> DataFrame:
                     names += ["seed", "edges"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.filter("doc_id is not null").mapInArrow(run, PATHS + (", seed long, edges array<long>" if edges else ""))
+    return docs.filter("doc_id is not null").mapInArrow(freeing(run), PATHS + (", seed long, edges array<long>" if edges else ""))
 
 
 def repeated_spans(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
@@ -231,7 +231,7 @@ def _compacted(spans: DataFrame) -> DataFrame:
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).cast(k) for c, k in zip(held.T, kinds)], names)
 
-    return dealt.drop("_d").mapInArrow(run, SPANS)
+    return dealt.drop("_d").mapInArrow(freeing(run), SPANS)
 
 
 def _span_digest(h2: np.ndarray, start: int, n: int) -> int:
@@ -254,7 +254,7 @@ def _filtered(docs: DataFrame, ids: _Filter, inside: bool) -> DataFrame:
             if keep.any():
                 yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freeing(run), docs.schema)
 
 
 def _id_filter(ids: DataFrame, column: str) -> _Filter:
@@ -262,7 +262,7 @@ def _id_filter(ids: DataFrame, column: str) -> _Filter:
         for b in batches:
             yield pa.RecordBatch.from_arrays([_signed(_ids_hash(b.column(0).to_numpy()))], ["h"])
 
-    return _Filter(saved(ids.select(column).distinct().mapInArrow(run, "h long")), "h", FILTER_BITS)
+    return _Filter(saved(ids.select(column).distinct().mapInArrow(freeing(run), "h long")), "h", FILTER_BITS)
 
 
 def _hashed_rows(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -292,7 +292,7 @@ def verified(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["source", "source_key", "source_start", "n", "digest"])
 
-    digests = sources.select("doc_id", "text", "places").mapInArrow(run, "source long, source_key long, source_start int, n int, digest long").distinct()
+    digests = sources.select("doc_id", "text", "places").mapInArrow(freeing(run), "source long, source_key long, source_start int, n int, digest long").distinct()
     return spans.join(saved(digests), ["source", "source_key", "source_start", "n"])  # so that Spark can split a frequent place
 
 
@@ -349,7 +349,7 @@ def dedup_report(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    return some.mapInArrow(run, schema).unionByName(none.mapInArrow(run, schema))
+    return some.mapInArrow(freeing(run), schema).unionByName(none.mapInArrow(freeing(run), schema))
 
 
 def remove_repeats(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
@@ -384,7 +384,7 @@ def remove_repeats(docs: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return some.select(*names, some.columns[-1]).mapInArrow(run, docs.schema).unionByName(none)
+    return some.select(*names, some.columns[-1]).mapInArrow(freeing(run), docs.schema).unionByName(none)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

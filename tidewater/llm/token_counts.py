@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import freeing, prepare
 from .pieces import MARK, load_pieces
 
 
@@ -92,7 +92,7 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
         counter.known = _Known(counter)  # a worker outlives its task
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long")
+    return rows.mapInArrow(freeing(run), "doc_id long, n_tokens long")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

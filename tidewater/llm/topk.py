@@ -19,7 +19,7 @@ from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import if_small, least_hashed, prepare, saved
+from .common import freeing, if_small, least_hashed, prepare, saved
 
 SHARD_ROWS, LEAF_ROWS, BLOCK = 8192, 64, 256
 #: Pivots at most, bytes of all pivots at most, and rows of the sample (by least hash) that they are fitted on.
@@ -143,7 +143,7 @@ def _search(dealt: DataFrame, k: int, scored: Accumulator | None = None) -> Data
         yield from answer()
 
     dealt = dealt.select("shard", "kind", "id", "v", "floor").repartition("shard").sortWithinPartitions("shard", "kind", "id")
-    return dealt.mapInArrow(run, FOUND)
+    return dealt.mapInArrow(freeing(run), FOUND)
 
 
 class _Cells:
@@ -202,7 +202,7 @@ def _in_cells(vectors: DataFrame, cells: _Cells) -> DataFrame:
                     cell[at], far[at] = cells.nearest(np.array(b.column(1).take(pa.array(at)).to_pylist(), float))
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(cell, pa.int32()), pa.array(far), b.column(0), b.column(1)], ["size", "cell", "radius", "id", "v"])
 
-    return vectors.select("id", "v", F.size("v").alias("size")).mapInArrow(run, "size int, cell int, radius double, id long, v array<long>")
+    return vectors.select("id", "v", F.size("v").alias("size")).mapInArrow(freeing(run), "size int, cell int, radius double, id long, v array<long>")
 
 
 def _sent(asked: DataFrame, cells: _Cells, wave: int) -> DataFrame:
@@ -231,7 +231,7 @@ def _sent(asked: DataFrame, cells: _Cells, wave: int) -> DataFrame:
                 part = b.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(np.ones(len(rows), np.int32)), *part.columns], ["shard", "kind", "id", "v", "floor"])
 
-    return asked.select("id", "v", "floor").mapInArrow(run, "shard string, kind int, id long, v array<long>, floor double")
+    return asked.select("id", "v", "floor").mapInArrow(freeing(run), "shard string, kind int, id long, v array<long>, floor double")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scored: Accumulator | None = None) -> DataFrame:
