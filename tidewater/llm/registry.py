@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP10_SQL, op10_chat_format
 from .jaccard import op3_jaccard_join
+from .manifest import OP11_SQL, op11_dataset_manifest
 from .merkle import op4_merkle_fingerprints
 from .oracle import OP2_SQL, OP3_SQL
 from .packing import op9_vector_packing
@@ -31,8 +32,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_vector_packing": op9_vector_packing,
         "op10_chat_format": op10_chat_format,
+        "op11_dataset_manifest": op11_dataset_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op10_chat_format": OP10_SQL}
+    return {"op1_exact_topk": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op10_chat_format": OP10_SQL, "op11_dataset_manifest": OP11_SQL}
