@@ -18,6 +18,7 @@ from .sentencepiece import op5_sentencepiece
 from .substrings import op2_substring_dedup
 from .token_counts import op7_token_counts
 from .topk import OP1_SQL, op1_exact_topk
+from .variants import OP13_SQL, op13_spelling_variants
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -33,8 +34,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_vector_packing": op9_vector_packing,
         "op10_chat_format": op10_chat_format,
         "op11_dataset_manifest": op11_dataset_manifest,
+        "op13_spelling_variants": op13_spelling_variants,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op3_jaccard_join": OP3_SQL, "op10_chat_format": OP10_SQL, "op11_dataset_manifest": OP11_SQL}
+    return {
+        "op1_exact_topk": OP1_SQL,
+        "op2_substring_dedup": OP2_SQL,
+        "op3_jaccard_join": OP3_SQL,
+        "op10_chat_format": OP10_SQL,
+        "op11_dataset_manifest": OP11_SQL,
+        "op13_spelling_variants": OP13_SQL,
+    }
