@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP10_SQL, op10_chat_format
 from .jaccard import op3_jaccard_join
+from .language import op12_language_id
 from .manifest import OP11_SQL, op11_dataset_manifest
 from .merkle import op4_merkle_fingerprints
 from .oracle import OP2_SQL, OP3_SQL
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_vector_packing": op9_vector_packing,
         "op10_chat_format": op10_chat_format,
         "op11_dataset_manifest": op11_dataset_manifest,
+        "op12_language_id": op12_language_id,
         "op13_spelling_variants": op13_spelling_variants,
     }
 
