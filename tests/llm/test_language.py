@@ -43,7 +43,7 @@ def test_path_as_plain_viterbi():
 
 
 def test_words_are_runs_of_letters_of_one_script():
-    w = L.Words(["L'état, été 2x", "", "слово日本ご", "́ 9", None or ""])
+    w = L.Words(["L'état, été 2x", "", "слово日本ご", "\u0301 9"])
     found = [(int(t), int(a), int(b), L.NAMES[s], int(n)) for t, a, b, s, n in zip(w.text, w.start, w.end, w.script, w.letters)]
     assert found == [
         (0, 0, 1, "latin", 1), (0, 2, 6, "latin", 4), (0, 8, 13, "latin", 3), (0, 15, 16, "latin", 1),
@@ -60,8 +60,9 @@ UK = "кішка і собака пішли до хати зі своїми др
 
 @pytest.fixture(scope="module")
 def model(spark):
-    rows = [(i, t, lang) for i in range(40) for t, lang in ((EN, "en"), (DE, "de"), (RU, "ru"), (UK, "uk"))] + [(1, None, "xx"), (None, EN, "yy"), (2, EN, None)]
-    docs = spark.createDataFrame([(4 * i + k, t, lang) if d is not None else (d, t, lang) for k, (d, t, lang) in enumerate(rows) for i in [d or 0]], "doc_id long, text string, lang string")
+    rows = [(t, lang) for _ in range(40) for t, lang in ((EN, "en"), (DE, "de"), (RU, "ru"), (UK, "uk"))]
+    rows = [(i, *r) for i, r in enumerate(rows)] + [(-1, None, "xx"), (None, EN, "yy"), (-2, EN, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     return L.train(docs, docs_a_language=30)
 
 

@@ -183,7 +183,7 @@ def train(docs: DataFrame, docs_a_language: int = TRAINING_DOCS, languages: int
     if names:
         table[np.searchsorted(names, counts.column(0).to_numpy(zero_copy_only=False).astype(str)), counts.column(1).to_numpy()] = counts.column(2).to_numpy()
     letters = table[:, _BUCKETS:]
-    grams = table[:, :_BUCKETS].reshape(len(names), len(ORDERS), -1)
+    grams = table[:, :_BUCKETS].reshape(len(names), len(ORDERS), 1 << BITS)
     # a bucket's share, smoothed toward an even share; scores of orders are averaged, so that no gram counts thrice
     share = (grams + 0.05) / (grams.sum(2, keepdims=True) + 0.05 * grams.shape[2]) if names else grams
     score = (np.log(share) / len(ORDERS)).reshape(len(names), _BUCKETS).T.astype(np.float32).copy()
