@@ -22,17 +22,33 @@ def streamed(spark, df):
     return spark.readStream.schema(df.schema).parquet(path)
 
 
-def test_views_stream(spark, sf_dir):
+def dealt(spark, df, batches=10, at="at", seed=3):
+    """df's rows dealt at random over so many micro-batches, and a last row so late that all others are told."""
+    r = df.withColumn("_n", F.floor(F.rand(seed) * batches).cast("int")).cache()
+    frames = [r.filter(F.col("_n") == n).drop("_n") for n in range(batches)]
+    last = df.limit(1).withColumns({at: F.to_timestamp(F.lit("2099-01-01 00:00:00")), "id": F.lit(-1).cast(df.schema["id"].dataType)})
+    return by_files(spark, [*frames, last.select(df.columns)])
+
+
+def test_views_stream_in_any_order(spark, sf_dir):
     v = T.views(spark, sf_dir).filter("session < 8")
     batch = views.admit_views(v, F.col("is_bot"), minutes=5 * 1440, limit=5, hours=24)
     want = {(r["id"], r["reason"]) for r in batch.select("id", "reason").collect()}
-    got = {(r["id"], r["reason"]) for r in drained(spark, views.admit_views_stream(streamed(spark, v), 5 * 1440, 5, 24, delay="60 days")).collect()}
-    assert got == want
+    got = [(r["id"], r["reason"]) for r in drained(spark, views.admit_views_stream(dealt(spark, v), 5 * 1440, 5, 24, delay="60 days")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert len({r for _, r in want}) > 2
+
+
+def test_view_that_comes_late_is_judged_by_its_time(spark):
+    frame = lambda *ts: spark.createDataFrame([(1, "e", f"2024-01-01 {t}", i, False) for i, t in ts], "session int, event_id string, t string, id long, is_bot boolean").select("session", "event_id", F.to_timestamp("t").alias("at"), "id", "is_bot")
+    s = by_files(spark, [frame((1, "10:50:00")), frame((2, "10:00:00"), (3, "11:10:00")), frame((4, "23:59:59"))])
+    got = {r["id"]: r["reason"] for r in drained(spark, views.admit_views_stream(s, 30, delay="2 hours")).collect()}
+    assert got == {2: None, 1: None, 3: "dedupe_window"}
 
 
-def test_limits_stream(spark, sf_dir):
+def test_limits_streams_in_any_order(spark, sf_dir):
     e = T.read(spark, sf_dir, "events").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("id"), (F.col("event_type") == "purchase").alias("ok")).filter("user_id < 8")
-    s = streamed(spark, e)
+    s = dealt(spark, e)
     want = {r["id"] for r in limits.walk_windows(e, 5, 86_400, ["user_id"]).collect()}
     assert {r["id"] for r in drained(spark, limits.rate_limited_stream(s, 5, 86_400, "user_id", delay="60 days")).collect()} == want and want
     want = {r["id"] for r in limits.walk_lockouts(e, 3, 86_400).collect()}
@@ -69,7 +85,7 @@ def by_files(spark, frames, files=1):
 def test_lockouts_outlive_a_day(spark):
     """Failures days apart count in a row, as in the batch form, and a success between them starts anew."""
     days = [0, 3, 6, 9]
-    rows = [[(u, f"2024-01-{1 + day:02} 00:00:00", 10 * day + u, u == 3 and day == 3) for u in (1, 2, 3)] for day in days] + [[(1, "2024-01-10 00:05:00", 900, True), (3, "2024-01-10 00:05:00", 902, True)]]
+    rows = [[(u, f"2024-01-{1 + day:02} 00:00:00", 10 * day + u, u == 3 and day == 3) for u in (1, 2, 3)] for day in days] + [[(1, "2024-01-10 00:05:00", 900, True), (3, "2024-01-10 00:05:00", 902, True)], [(9, "2024-02-01 00:00:00", 903, True)]]
     frames = [spark.createDataFrame(r, "user_id int, t string, id int, ok boolean").select("user_id", F.to_timestamp("t").alias("at"), "id", "ok") for r in rows]
     batch = frames[0]
     for f in frames[1:]:
@@ -80,7 +96,7 @@ def test_lockouts_outlive_a_day(spark):
 
 
 def test_long_windows_outlive_a_day(spark):
-    frames = [spark.createDataFrame([(1, f"2024-01-{d:02} 00:00:00", d)], "user_id int, t string, id int").select("user_id", F.to_timestamp("t").alias("at"), "id") for d in (1, 3, 5, 12)]
+    frames = [spark.createDataFrame([(1, f"2024-01-{d:02} 00:00:00", d)], "user_id int, t string, id int").select("user_id", F.to_timestamp("t").alias("at"), "id") for d in (1, 3, 5, 12, 20)]
     got = {r["id"] for r in drained(spark, limits.rate_limited_stream(by_files(spark, frames), 2, 7 * 86_400, "user_id")).collect()}
     assert got == {5}
 

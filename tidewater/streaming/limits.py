@@ -6,11 +6,9 @@ import os
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def prepare(df: DataFrame) -> None:
@@ -75,40 +73,23 @@ def walk_lockouts(attempts: DataFrame, failures: int = 5, seconds: int = 900, ke
 HITS = "key string, id long, micros long"
 
 
-def _stream(df: DataFrame, key: str, at: str, tie: str, extra: str | None, delay: str, step: Callable, until: Callable) -> DataFrame:
-    """until(state): microseconds of event time up to which a state matters; None if it matters until it changes.
+def _hits(df: DataFrame, key: str, at: str, tie: str, extra: str | None, delay: str, step: Callable, until: Callable) -> DataFrame:
+    """(key, id, micros) of rows for which step(state, micros, extra) says so, as the watermark passes them."""
+    from .ordered import Walk, in_order, keyed
 
-    A key's rows of one micro-batch are sorted in memory; the cap on a micro-batch bounds them.
-    """
-    prepare(df)
-    rows = df.withWatermark(at, delay).select(
-        F.col(key).cast("string").alias("key"), F.col(tie).cast("long").alias("id"), F.unix_micros(F.col(at)).alias("micros"), F.col(at), (F.col(extra) if extra else F.lit(True)).alias("ok")
-    )
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        s = tuple(state.get) if state.exists else None
-        rows_ = pd.concat(list(frames)).sort_values(["micros", "id"])  # one key's rows of one micro-batch
-        hits = []
-        for r in rows_.itertuples():
-            s, hit = step(s, int(r.micros), bool(r.ok))
-            if hit:
-                hits.append((k[0], int(r.id), int(r.micros)))
-        state.update(s)
-        if (end := until(s)) is not None:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), end // 1000) + 1)
-        yield pd.DataFrame(hits, columns=["key", "id", "micros"])
-
-    return rows.groupBy("key").applyInPandasWithState(run, HITS, "a long, b long", "append", GroupStateTimeout.EventTimeTimeout)
+    def judged(k: str, state: tuple, row: tuple) -> tuple:
+        state, hit = step(state, row[0], bool(row[2]))
+        return state, (k, row[1], row[0]) if hit else None
+
+    walk = Walk("a long, b long", lambda s: s, judged, lambda s: s, lambda s: until(s) if s else 0)
+    return in_order(keyed(df, key, at, tie, ok=F.col(extra) if extra else F.lit(True)), "at", walk, HITS, delay)
 
 
 def rate_limited_stream(requests: DataFrame, limit: int, seconds: int, key: str, at: str = "at", tie: str = "id", delay: str = "1 hour") -> DataFrame:
-    """As walk_windows, over a stream: (key, id, micros) of requests over the limit; a micro-batch is taken in event-time order."""
-    return _stream(requests, key, at, tie, None, delay, lambda s, m, _: window_step(s, m, limit, seconds), lambda s: s[0] + seconds * 1_000_000)
+    """As walk_windows, over a stream: (key, id, micros) of requests over the limit, in whatever order they come within the delay."""
+    return _hits(requests, key, at, tie, None, delay, lambda s, m, _: window_step(s, m, limit, seconds), lambda s: s[0] + seconds * 1_000_000)
 
 
 def lockouts_stream(attempts: DataFrame, failures: int = 5, seconds: int = 900, key: str = "user_id", at: str = "at", tie: str = "id", ok: str = "ok", delay: str = "1 hour") -> DataFrame:
     """As walk_lockouts, over a stream; failures are remembered until a success or a lock, however long that takes."""
-    return _stream(attempts, key, at, tie, ok, delay, lambda s, m, x: lockout_step(s, m, x, failures, seconds), lambda s: s[1] if s[0] == 0 else None)
+    return _hits(attempts, key, at, tie, ok, delay, lambda s, m, x: lockout_step(s, m, x, failures, seconds), lambda s: s[1] if s[0] == 0 else None)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import deque
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.windows import cooldown, hourly_rate
-from .limits import prepare
+from .ordered import Walk, in_order, keyed
 
 
 def admit_views(views: DataFrame, bot: Column, minutes: float = 30, limit: int = 60, hours: float = 1, at: str = "at", tie: str = "id") -> DataFrame:
@@ -27,30 +25,32 @@ ADMITTED = "session string, id long, event_id string, micros long, reason string
 
 
 def admit_views_stream(views: DataFrame, minutes: float = 30, limit: int = 60, hours: float = 1, at: str = "at", tie: str = "id", delay: str = "1 hour") -> DataFrame:
-    """The same over a stream of (event_id, session, at, id, is_bot), keyed by session; state keeps times in reach only."""
-    prepare(views)
-    rows = views.withWatermark(at, delay).select(F.col("session").cast("string"), F.col(tie).cast("long").alias("id"), F.col("event_id").cast("string"), F.unix_micros(at).alias("micros"), at, F.coalesce("is_bot", F.lit(False)).alias("bot"))
+    """The same over a stream of (event_id, session, at, id, is_bot), keyed by session, in whatever order rows come within the delay.
+
+    State keeps times in reach only.
+    """
     reach, window = int(minutes * 60_000_000), int(hours * 3_600_000_000)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last_events, last_times, times = state.get if state.exists else ([], [], [])
-        last, times, out = dict(zip(last_events, last_times)), sorted(times), []
-        rows_ = pd.concat(list(frames)).sort_values(["micros", "id"])
-        for r in rows_.itertuples():
-            m = int(r.micros)
-            recent = bisect_left(times, m) - bisect_right(times, m - window)
-            reason = "bot_pattern" if r.bot else "dedupe_window" if r.event_id in last and m - last[r.event_id] < reach else "rate_limit" if recent >= limit else None
-            last[r.event_id] = m
-            insort(times, m)
-            out.append((key[0], int(r.id), r.event_id, m, reason))
-        newest = max(times)
-        last = {k: t for k, t in last.items() if newest - t < reach}
-        state.update((list(last), list(last.values()), [t for t in times if newest - t < window]))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), newest // 1000) + max(reach, window) // 1000 + 1)
-        yield pd.DataFrame(out, columns=["session", "id", "event_id", "micros", "reason"])
-
-    schema = "events array<string>, event_times array<long>, times array<long>"
-    return rows.groupBy("session").applyInPandasWithState(run, ADMITTED, schema, "append", GroupStateTimeout.EventTimeTimeout)
+    def load(stored: tuple | None) -> tuple[dict, deque]:
+        events, at_, times = stored or ([], [], [])
+        return dict(zip(events, at_)), deque(times)
+
+    def step(session: str, state: tuple[dict, deque], row: tuple) -> tuple[tuple[dict, deque], tuple]:
+        (last, times), (m, i, event, bot) = state, row
+        while times and times[0] <= m - window:
+            times.popleft()
+        recent = bisect_left(times, m)  # those at the same time don't count
+        reason = "bot_pattern" if bot else "dedupe_window" if event in last and m - last[event] < reach else "rate_limit" if recent >= limit else None
+        last[event] = m
+        times.append(m)
+        return state, (session, i, event, m, reason)
+
+    def dump(state: tuple[dict, deque]) -> tuple[list, list, list]:
+        last, times = state
+        newest = times[-1] if times else 0
+        kept = {e: t for e, t in last.items() if newest - t < reach}
+        return list(kept), list(kept.values()), list(times)
+
+    walk = Walk("events array<string>, event_times array<long>, times array<long>", load, step, dump, lambda s: s[1][-1] + max(reach, window) if s[1] else 0)
+    rows = keyed(views, "session", at, tie, event_id=F.col("event_id").cast("string"), bot=F.coalesce("is_bot", F.lit(False)))
+    return in_order(rows, "at", walk, ADMITTED, delay)
