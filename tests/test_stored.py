@@ -21,7 +21,7 @@ def files(path):
     found = {}
     for p in Path(path, "rows").glob("_bucket=*/*.parquet"):
         s = os.stat(p)
-        found.setdefault(int(p.parent.name.split("=")[1]), set()).add((p.name, s.st_mtime_ns, s.st_ino))
+        found.setdefault(p.parent.name.split("=")[1], set()).add((p.name, s.st_mtime_ns, s.st_ino))
     return found
 
 

@@ -18,21 +18,23 @@ from pyspark.sql import functions as F
 from ..functions.measures import haversine_km, hours_between
 from ..functions.text import tokens
 from ..operators.joins import content_dups, jaccard, provider_matches
-from ..saved import saved
+from ..saved import if_small, saved
 from ..streaming.limits import prepare
 from .components import components
 
 THRESHOLD, WINDOW_HOURS = 0.30, 48.0
+#: What sharing two strong words adds to a similarity, and what a place can.
+STRONG, LOCATED, SAME_COUNTRY = 0.12, 0.10, 0.06
 
 
 def similarity() -> Column:
     """Of an article (columns prefixed a_) and an earlier one standing for an event (b_)."""
     both = F.array_intersect("a_title_tokens", "b_title_tokens")
-    strong = F.size(F.filter(both, lambda t: (F.length(t) >= 7) | t.rlike("[0-9]"))) >= 2
+    strong = F.size(F.filter(both, is_strong)) >= 2
     located = F.col("a_lat").isNotNull() & F.col("b_lat").isNotNull()
-    place = F.when(located, 0.10).when(F.col("a_country") == F.col("b_country"), 0.06).otherwise(0.0)
+    place = F.when(located, LOCATED).when(F.col("a_country") == F.col("b_country"), SAME_COUNTRY).otherwise(0.0)
     base = F.greatest(jaccard(F.col("a_title_tokens"), F.col("b_title_tokens")), jaccard(F.col("a_body_tokens"), F.col("b_title_tokens")) * 0.9)
-    return base + F.when(strong, 0.12).otherwise(0.0) + place
+    return base + F.when(strong, STRONG).otherwise(0.0) + place
 
 
 def blocked() -> Column:
@@ -44,34 +46,106 @@ def blocked() -> Column:
     return F.coalesce(far, F.lit(False)) | F.coalesce(abroad, F.lit(False)) | F.coalesce(other, F.lit(False))
 
 
-def similar_pairs(articles: DataFrame, threshold: float = THRESHOLD, hours: float = WINDOW_HOURS) -> DataFrame:
-    """(later, earlier, score, earlier_at, later_at): pairs of articles that may form one event.
-
-    A pair without a shared token scores 0.10 at most, so joining on tokens loses nothing above that. Pairs are
-    counted first and scored once each.
-    """
-    if threshold <= 0.10:
-        raise ValueError("a threshold of 0.10 or less needs pairs without shared tokens")
+def describe(articles: DataFrame) -> DataFrame:
+    """What similarity needs of articles: id, published_at, category, place, provider's id, words of title and of title and body."""
     body = F.concat_ws(" ", F.col("title"), F.substring(F.coalesce("summary", F.lit("")), 1, 400))
-    rows = articles.select(
+    return articles.select(
         F.col("article_id").alias("id"), "published_at", "category", "lat", "lon", F.col("geo_country").alias("country"),
         F.get_json_object("payload", "$.measurements.provider_event_id").alias("provider"), tokens(F.col("title")).alias("title_tokens"), tokens(body).alias("body_tokens"),
     )
-    rows = saved(rows)
-    left = rows.select(F.col("id").alias("a_id"), F.col("published_at").alias("a_at"), F.col("category").alias("a_cat"), F.explode("body_tokens").alias("token"))
-    right = rows.select(F.col("id").alias("b_id"), F.col("published_at").alias("b_at"), F.col("category").alias("b_cat"), F.explode("title_tokens").alias("token"))
+
+
+def token_counts(rows: DataFrame) -> DataFrame:
+    """(token, df) over titles. It only orders words, the rarest first, so any table of counts gives the same pairs."""
+    return rows.select(F.explode("title_tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+
+#: Sets of 2 ** k to 2 ** (k + 1) - 1 words are of size k; a set has fewer than 2 ** SIZES words.
+SIZES = 16
+
+
+def meeting_words(rows: DataFrame, counts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(id, published_at, category, reach, role, token, place, n, own, other): words of described rows by which alike pairs meet.
+
+    A pair scores its likeness, 0.12 for two shared strong words and at most 0.10 for its place, so it is alike in
+    one of three ways, each with words of its own: titles as alike as `threshold` less the place asks (role T), a body
+    and a title likewise (B for the body, b for the title), or two strong words in common (S). Sets of n and m words of
+    likeness t share t / (1 + t) * (n + m) words, and so one of all but the most frequent so many less one of each.
+    How many these are depends on the other's size, so a row has its words for each size that the other may have:
+    own and other are the two. place is a word's place among the row's n, the rarest first; reach is what the row's
+    place can add.
+    """
+    reach = F.when(F.col("lat").isNotNull(), LOCATED).when(F.col("country").isNotNull(), SAME_COUNTRY).otherwise(0.0)
+    each = [rows.select("id", F.lit(k).alias("kind"), F.explode(c).alias("token")) for k, c in (("t", "title_tokens"), ("b", "body_tokens"))]
+    seen = each[0].unionByName(each[1]).join(if_small(counts), "token", "left")
+    words = seen.groupBy("id", "kind").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))), lambda x: x["token"]).alias("words"))
+    words = words.join(rows.select("id", "published_at", "category", reach.alias("reach")), "id").withColumn("n", F.size("words"))
+    ways = F.when(F.col("kind") == "b", F.array(_way("B", F.lit(threshold) - F.col("reach"), 0.9))).otherwise(F.array(_way("T", F.lit(threshold) - F.col("reach"), 1.0), _way("b", F.lit(threshold) - F.col("reach"), 0.9)))
+    size = F.floor(F.log2("n")).cast("int")
+    # words that are shared, at the least, with a set of the smallest of each size
+    shared = F.ceil(F.col("way.t") / (1 + F.col("way.t")) * (F.col("n") + F.pow(2, F.col("other"))) - 1e-9)
+    alike = words.select("*", F.explode(ways).alias("way")).select("*", F.explode(F.sequence(F.lit(0), F.lit(SIZES - 1))).alias("other"))
+    alike = alike.withColumn("shared", F.greatest(shared, F.lit(1))).filter((F.col("shared") <= F.col("n")) & (F.col("shared") < F.pow(2, F.col("other") + 1)))
+    columns = ["id", "published_at", "category", "reach"]
+    alike = alike.select(*columns, F.col("way.role").alias("role"), F.posexplode(F.slice("words", F.lit(1), (F.col("n") - F.col("shared") + 1).cast("int"))).alias("place", "token"), "n", size.alias("own"), "other")
+    strong = words.filter("kind = 't'").withColumn("strong", F.filter("words", is_strong)).filter("size(strong) >= 2")
+    strong = strong.select(*columns, F.lit("S").alias("role"), F.posexplode(F.slice("strong", F.lit(1), F.size("strong") - 1)).alias("place", "token"), "n", F.lit(0).alias("own"), F.lit(0).alias("other"))
+    return alike.unionByName(strong)
+
+
+def _way(role: str, least: Column, share: float) -> Column:
+    return F.struct(F.lit(role).alias("role"), (least / share).alias("t"))
+
+
+def is_strong(token: Column) -> Column:
+    return (F.length(token) >= 7) | token.rlike("[0-9]")
+
+
+def window_of(at: Column, hours: float) -> Column:
+    return F.floor(F.unix_micros(at) / F.lit(int(hours * 3_600_000_000))).cast("long")
+
+
+def meetings(left: DataFrame, right: DataFrame, threshold: float, near: Column) -> DataFrame:
+    """(a_id, b_id) once: pairs of `left` (later or new) and `right` that share a meeting word and may be alike.
+
+    Both have meeting words and `w`, a window of time in which they meet; near holds for their columns prefixed a_ and
+    b_. Articles without a category meet all others. At the rarest word that a pair shares, it can't share more than
+    what either has from there on, which bounds the likeness once more.
+    """
+    names = ("id", "published_at", "category", "reach", "place", "n")
+    a = left.filter("role <> 'b'").select(*[F.col(c).alias(f"a_{c}") for c in names], "token", "w", F.when(F.col("role") == "B", "b").otherwise(F.col("role")).alias("role"), F.col("own").alias("a_size"), F.col("other").alias("b_size"))
+    b = right.filter("role <> 'B'").select(*[F.col(c).alias(f"b_{c}") for c in names], "token", "w", "role", F.col("own").alias("b_size"), F.col("other").alias("a_size"))
+    keys = ["token", "w", "role", "a_size", "b_size"]
+    known = a.filter("a_category <> 'unclassified'").withColumn("b_category", F.col("a_category")).join(b, [*keys, "b_category"])
+    open_ = a.filter("a_category = 'unclassified'").join(b, keys)
+    least = F.lit(threshold) - F.least("a_reach", "b_reach")
+    least = F.when(F.col("role") == "b", least / 0.9).otherwise(least)
+    left_over = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    enough = (F.col("role") == "S") | (left_over >= least / (1 + least) * (F.col("a_n") + F.col("b_n")) - 1e-9)
+    return known.unionByName(open_.select(known.columns)).filter(near & enough).select("a_id", "b_id").distinct()
+
+
+def scored(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a_id, b_id) with `score`, as columns a_ and b_ of both described sides; those not blocked that reach the threshold."""
+    side = lambda rows, s: rows.select(*[F.col(c).alias(f"{s}_{c}") for c in rows.columns])
+    full = pairs.join(side(left, "a"), "a_id").join(side(right, "b"), "b_id").filter(~blocked())
+    return full.withColumn("score", similarity()).filter(F.col("score") >= threshold)
+
+
+def similar_pairs(articles: DataFrame, threshold: float = THRESHOLD, hours: float = WINDOW_HOURS) -> DataFrame:
+    """(later, earlier, score, earlier_at, later_at): pairs of articles that may form one event.
+
+    Pairs meet by their rarest words (meeting_words), are counted once and then scored.
+    """
+    if threshold <= STRONG + LOCATED:
+        raise ValueError("at such a threshold pairs are alike by their bonuses alone")
+    rows = saved(describe(articles))
+    words = saved(meeting_words(rows, saved(token_counts(rows)), threshold))
     # an earlier article lies in the later one's window of time or in the one before
-    window = lambda c: F.floor(F.unix_micros(F.col(c)) / F.lit(int(hours * 3_600_000_000))).cast("long")
-    left = left.withColumn("w", window("a_at"))
-    right = right.withColumn("w", F.explode(F.array(window("b_at"), window("b_at") + 1)))
-    order = F.struct("b_at", "b_id") < F.struct("a_at", "a_id")
-    near = hours_between(F.col("a_at"), F.col("b_at")) < hours
-    own = left.filter("a_cat <> 'unclassified'").withColumn("b_cat", F.col("a_cat")).join(right, ["token", "w", "b_cat"])
-    any_ = left.filter("a_cat = 'unclassified'").join(right, ["token", "w"])
-    pairs = own.unionByName(any_.select(own.columns)).filter(order & near).select("a_id", "b_id").distinct()
-    side = lambda s: rows.select(*[F.col(c).alias(f"{s}_{c}") for c in rows.columns])
-    full = pairs.join(side("a"), "a_id").join(side("b"), "b_id").filter(~blocked())
-    return full.withColumn("score", similarity()).filter(F.col("score") >= threshold).select(F.col("a_id").alias("later"), F.col("b_id").alias("earlier"), "score", F.col("b_published_at").alias("earlier_at"), F.col("a_published_at").alias("later_at"))
+    own = window_of(F.col("published_at"), hours)
+    near = (F.struct("b_published_at", "b_id") < F.struct("a_published_at", "a_id")) & (hours_between(F.col("a_published_at"), F.col("b_published_at")) < hours)
+    pairs = saved(meetings(words.withColumn("w", own), words.withColumn("w", F.explode(F.array(own, own + 1))), threshold, near))
+    return scored(pairs, rows, rows, threshold).select(F.col("a_id").alias("later"), F.col("b_id").alias("earlier"), "score", F.col("b_published_at").alias("earlier_at"), F.col("a_published_at").alias("later_at"))
 
 
 #: Rounds before what is left undecided is walked in order.

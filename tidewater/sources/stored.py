@@ -1,4 +1,6 @@
-"""Tables that jobs update: rows are dealt into buckets by their key, and an upsert rewrites only the buckets it touches.
+"""Tables that jobs update: rows are dealt into buckets, and an upsert rewrites only the buckets it touches.
+
+A bucket is a share of the hashed keys, or a value of an expression over them such as a day or a window of time.
 
 A table is a folder in the shared store: `rows` (Parquet, one folder a bucket), `staged` (buckets of an upsert that
 is under way) and `done` (one small file for each batch that is in). An upsert first writes its buckets whole to
@@ -13,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructType
+from pyspark.sql.types import LongType, StringType, StructType
 
 BUCKET = "_bucket"
 Merge = Callable[[DataFrame, DataFrame], DataFrame]
@@ -37,32 +39,41 @@ def replace_rows(keys: list[str]) -> Merge:
 class StoredTable:
     """Rows by key. One writer at a time; readers see whole buckets."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | StructType, keys: list[str], buckets: int = 64):
-        """buckets is fixed when the table is first written: enough that a bucket fits a task, thousands for a large table."""
+    def __init__(self, spark: SparkSession, path: str, schema: str | StructType, keys: list[str], buckets: int = 64, by: str | None = None):
+        """buckets is fixed when the table is first written: enough that a bucket fits a task, thousands for a large table.
+
+        by: an SQL expression whose values are the buckets, in place of hashed keys; rows of a key must agree on it.
+        """
         self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), keys, buckets
+        self.by = by or f"pmod(xxhash64({', '.join(keys)}), {buckets})"
         self.schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
         self.rows_path, self.staged, self.done = (f"{self.path}/{x}" for x in ("rows", "staged", "done"))
-        if exists(spark, f"{self.path}/layout"):
+        if exists(spark, f"{self.path}/layout/_SUCCESS"):
             was = spark.read.json(f"{self.path}/layout").first()
-            if was["buckets"] != buckets or was["keys"] != keys:
-                raise ValueError(f"{path} has {was['buckets']} buckets by {was['keys']}")
+            if was["by"] != self.by or was["keys"] != keys:
+                raise ValueError(f"{path} has buckets by {was['by']} and keys {was['keys']}")
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        return F.coalesce(F.expr(self.by).cast("string"), F.lit("none"))
 
-    def read(self) -> DataFrame:
-        """All rows; empty before the first upsert."""
-        return self._buckets(None).select(self.schema.names)
+    def read(self, where: Callable[[Column], Column] | None = None) -> DataFrame:
+        """All rows, or those in buckets whose name (a string) is `where`; empty before the first upsert."""
+        df = self._buckets(None)
+        return (df.filter(where(F.col(BUCKET))) if where else df).select(self.schema.names)
 
     def lookup(self, keys: DataFrame) -> DataFrame:
         """Rows of some keys: only their buckets are read."""
-        wanted = keys.select(*self.keys).distinct()
-        return self._buckets(self._touched(wanted)).join(wanted, self.keys, "left_semi").select(self.schema.names)
+        return self.lookup_by(keys.select(*self.keys))
+
+    def lookup_by(self, some: DataFrame) -> DataFrame:
+        """Rows that agree with `some` in its columns, which decide the bucket: only their buckets are read."""
+        wanted = some.distinct()
+        return self._buckets(self._touched(wanted)).join(wanted, some.columns, "left_semi").select(self.schema.names)
 
     def is_done(self, batch: int) -> bool:
         return exists(self.spark, f"{self.done}/batch={batch}/_SUCCESS")
 
-    def upsert(self, batch: int, rows: DataFrame, merge: Merge | None = None) -> list[int]:
+    def upsert(self, batch: int, rows: DataFrame, merge: Merge | None = None) -> list[str]:
         """Merges rows into the table, once for each batch number; the buckets that were rewritten.
 
         merge(old, new) gets a bucket's old rows and the new ones and returns all that stands after it, each key in the
@@ -70,8 +81,8 @@ class StoredTable:
         """
         if self.is_done(batch):
             return []
-        if not exists(self.spark, f"{self.path}/layout"):
-            self.spark.createDataFrame([(self.buckets, self.keys)], "buckets long, keys array<string>").coalesce(1).write.mode("overwrite").json(f"{self.path}/layout")
+        if not exists(self.spark, f"{self.path}/layout/_SUCCESS"):
+            self.spark.createDataFrame([(self.by, self.keys)], "by string, keys array<string>").coalesce(1).write.mode("overwrite").json(f"{self.path}/layout")
         stage = f"{self.staged}/batch={batch}"
         if not exists(self.spark, f"{stage}/_SUCCESS"):
             rows = rows.select(self.schema.names)
@@ -88,12 +99,12 @@ class StoredTable:
         return sorted(touched)
 
     def _with_bucket(self) -> StructType:
-        return StructType([*self.schema.fields]).add(BUCKET, IntegerType())
+        return StructType([*self.schema.fields]).add(BUCKET, StringType())
 
-    def _touched(self, rows: DataFrame) -> list[int]:
+    def _touched(self, rows: DataFrame) -> list[str]:
         return [r[0] for r in rows.select(self.bucket().alias("b")).distinct().collect()]  # at most one a bucket
 
-    def _buckets(self, wanted: list[int] | None) -> DataFrame:
+    def _buckets(self, wanted: list[str] | None) -> DataFrame:
         if not exists(self.spark, self.rows_path):
             return self.spark.createDataFrame([], self._with_bucket())
         df = self.spark.read.schema(self._with_bucket()).parquet(self.rows_path)
