@@ -156,8 +156,10 @@ def train(docs: DataFrame, docs_a_language: int = TRAINING_DOCS, languages: int
     prepare(docs.sparkSession)
     labelled = docs.filter("doc_id is not null and text is not null and lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = saved(labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages))
-    # ranked by numbers only, and cut before the shuffle; the texts of what was chosen, with all rows of an id, follow
-    chosen = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(known.select("lang")), "lang")
+    # a bound on the hash, from the language's count, leaves little more than is wanted for the last cut, so that no task
+    # ranks a language's rows; the texts of what was chosen, with all rows of an id, follow
+    chosen = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).join(F.broadcast(known), "lang")
+    chosen = chosen.filter(F.col("h") / F.lit(2.0**64) + 0.5 <= F.lit(1.2 * docs_a_language) / F.col("n"))
     chosen = chosen.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("k") <= docs_a_language)
     chosen = if_small(saved(chosen.select("lang", "doc_id").distinct()), docs_a_language * languages)
     rows = labelled.join(chosen, ["lang", "doc_id"]).select("lang", "text")
