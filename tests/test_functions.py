@@ -61,7 +61,7 @@ def test_entities(spark):
 
 
 def test_numeric_claims(spark):
-    claim = lambda f, t: one(spark, X.numeric_claim(F.col("t"), X.CLAIM_PATTERNS[f]), t=t)
+    claim = lambda f, t: one(spark, X.numeric_claim(F.col("t"), f), t=t)
     assert claim("magnitude", "a magnitude 6,1 quake") == "6.1"
     assert claim("fatalities", "1,200 people killed") == "1200" == claim("fatalities", "1200 dead")
     assert claim("depth_km", "depth of 10 km") == "10"

@@ -136,9 +136,14 @@ def parse_date(text: Column, as_of: Column) -> Column:
 
 # Small words that stand inside a name, and the words at which a report states a number.
 NAME_PARTICLES = ("de", "da", "do", "of", "van", "von", "el")
-MAGNITUDE_WORDS = ("magnitude", r"mag\.?", "m")
-DEAD_WORDS = ("killed", "dead", "deaths", "mortos", "mortes", "v[ií]timas mortais")
-HURT_WORDS = ("injured", "wounded", "feridos")
+CLAIM_WORDS = {
+    "magnitude": ("magnitude", "mag.", "mag", "m"),
+    "fatalities": ("killed", "dead", "deaths", "mortos", "mortes", "vítimas mortais", "vitimas mortais"),
+    "injured": ("injured", "wounded", "feridos"),
+    "depth_km": ("depth", "depth of"),
+}
+#: Whether a field's words stand before its number.
+WORDS_FIRST = {"magnitude": True, "fatalities": False, "injured": False, "depth_km": True}
 
 
 def _either(words: tuple[str, ...]) -> str:
@@ -166,29 +171,40 @@ def entity_candidates(text: Column) -> Column:
     return F.filter(found, kept)
 
 
-def _measure_after(words: tuple[str, ...], unit: str = "") -> str:
-    """A decimal number behind one of the words."""
-    return rf"(?i)\b{_either(words)}\s*([0-9]+(?:[.,][0-9]+)?){unit}"
-
-
-def _count_before(words: tuple[str, ...], between: str = "") -> str:
-    """A count before one of the words."""
-    return rf"(?i)\b([0-9][0-9.,]*)\s*{between}{_either(words)}\b"
+def _spoken(text: Column) -> Column:
+    """A text's numbers (with commas and points inside), words and other signs, in order and lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[0-9]+(?:[.,][0-9]+)*|\p{L}+(?:\.(?=\s*[0-9]))?|[^\s0-9\p{L}]"), F.lit(0))
 
 
-CLAIM_PATTERNS = {
-    "magnitude": _measure_after(MAGNITUDE_WORDS),
-    "fatalities": _count_before(DEAD_WORDS, r"(?:people\s+)?"),
-    "injured": _count_before(HURT_WORDS),
-    "depth_km": _measure_after(("depth", "depth of"), r"\s*km\b"),
-}
-
+def numeric_claim(text: Column, field: str) -> Column:
+    """The first number that a text states for a field, without thousands commas and with a decimal point; null if there is none.
 
-def numeric_claim(text: Column, pattern: str) -> Column:
-    """The first number that a pattern finds, without thousands commas and with a decimal point; null if there is none."""
-    raw = F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-    plain = F.regexp_replace(raw, ",(?=[0-9]{3}(?:[^0-9]|$))", "")
-    return F.regexp_replace(F.replace(plain, F.lit(","), F.lit(".")), r"\.$", "")
+    A number is stated for a field if the field's words stand right beside it, before or after it as the field has it.
+    Deaths may name people between, and a depth is one in km.
+    """
+    said = _spoken(text)
+    near = CLAIM_WORDS[field]
+
+    def words(first: Column, n: int) -> Column:
+        return F.array_join(F.slice(said, first, F.lit(n)), " ")
+
+    def stated(i: Column) -> Column:
+        found = F.lit(False)
+        for w in near:
+            n = w.count(" ") + 1
+            if WORDS_FIRST[field]:
+                found = found | ((i > n) & (words(F.greatest(i - n, F.lit(1)), n) == w))
+            else:
+                found = found | (words(i + 1, n) == w)
+                if field == "fatalities":
+                    found = found | (words(i + 1, n + 1) == f"people {w}")
+        if field == "depth_km":
+            found = found & (words(i + 1, 1) == "km")
+        return found & F.element_at(said, i).rlike("^[0-9]")
+
+    at = F.filter(F.sequence(F.lit(1), F.size(said)), stated)
+    raw = F.when(F.size(said) > 0, F.element_at(said, F.get(at, F.lit(0))))
+    return F.replace(F.regexp_replace(raw, ",(?=[0-9]{3}(?:[^0-9]|$))", ""), F.lit(","), F.lit("."))
 
 
 def is_attributed(text: Column) -> Column:

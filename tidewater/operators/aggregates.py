@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import hours_between
-from ..functions.text import CLAIM_PATTERNS, entity_candidates, numeric_claim, tokens
+from ..functions.text import CLAIM_WORDS, entity_candidates, numeric_claim, tokens
 
 SCORE_KINDS = ["confidence", "relevance", "life_impact", "trending", "source_reliability", "evidence_strength"]
 OFFICIAL = ["official", "scientific"]
@@ -141,7 +141,7 @@ def first_measurements(articles: DataFrame) -> DataFrame:
 def field_conflicts(articles: DataFrame) -> DataFrame:
     """(event_id, field, values): numbers of one kind that articles of an event state differently; all are kept."""
     text = F.concat(F.col("title"), F.lit(" "), F.coalesce("summary", F.lit("")))
-    stated = F.array(*[F.struct(F.lit(f).alias("field"), numeric_claim(text, p).alias("value")) for f, p in CLAIM_PATTERNS.items()])
+    stated = F.array(*[F.struct(F.lit(f).alias("field"), numeric_claim(text, f).alias("value")) for f in CLAIM_WORDS])
     each = articles.select("event_id", F.explode(stated).alias("c")).select("event_id", "c.field", "c.value").filter("value is not null")
     return each.groupBy("event_id", "field").agg(F.sort_array(F.collect_set("value")).alias("values")).filter(F.size("values") > 1)
 

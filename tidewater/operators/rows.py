@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.measures import age_hours, freshness, hours_between
 from ..functions.text import label_of, tokens, url_host
+from ..saved import if_small, saved
+from .dictionary import contained_in
 
 # Category keys and their labels.
 CATEGORY_LABELS = {
@@ -99,10 +101,16 @@ def facets_from_text(queries: DataFrame, categories: DataFrame, countries: DataF
             "rest": F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("query", impact, " "), today, " "), r"\s+", " ")),
         }
     )
-    low = F.concat(F.lit(" "), F.lower("query"), F.lit(" "))
-    # label tables have one row a category or country, so they may be broadcast
-    c = q.join(F.broadcast(categories), low.contains(F.lower("label")) | low.contains(F.lower("key"))).groupBy("query_id").agg(F.min_by("key", "ordinal").alias("category"))
-    n = q.join(F.broadcast(countries), low.contains(F.lower("name"))).groupBy("query_id").agg(F.min_by("country", "ordinal").alias("country"))
+    texts = q.select(F.col("query_id").alias("id"), F.concat(F.lit(" "), F.lower("query"), F.lit(" ")).alias("text"))
+
+    def first(table: DataFrame, names: list[str], value: str) -> DataFrame:
+        """The value of the first row, by ordinal, one of whose names a query has."""
+        rows = saved(table.select(F.explode(F.array(*[F.lower(n) for n in names])).alias("name"), value, "ordinal"))
+        found = contained_in(texts, rows.select(F.col("name").alias("name_id"), "name").distinct())
+        return found.join(if_small(rows), F.col("name_id") == F.col("name")).groupBy("id").agg(F.min_by(value, "ordinal").alias(value)).withColumnRenamed("id", "query_id")
+
+    c = first(categories, ["label", "key"], "key").withColumnRenamed("key", "category")
+    n = first(countries, ["name"], "country")
     return q.join(c, "query_id", "left").join(n, "query_id", "left")
 
 

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fold_text, is_attributed, term_match, title_case
 from ..operators.aggregates import OFFICIAL, entity_mentions, field_conflicts, first_measurements, verification_facts
+from ..operators.dictionary import contained_in, named_in
 from ..operators.windows import top_n, winner
-from ..saved import saved
+from ..saved import if_small, saved
 
-#: Rule and place tables of at most so many rows are sent to every task.
-BROADCAST_TERMS = 50_000
 #: Windows of passages, and ids of cited articles, are sent to every task up to so many; beyond, they join by shuffle.
 BROADCAST_WINDOWS = 1_000_000
 
@@ -22,21 +21,16 @@ def classify(articles: DataFrame, rules: DataFrame, declared: DataFrame | None =
     rules: (category, term, weight, ordinal); each term that occurs as a word adds its weight. declared: (source_id,
     category) of sources with exactly one category, worth 2. The highest sum wins, the smaller ordinal on ties,
     and rules come before declared categories; without any the category is `unclassified`.
-    Single-word terms meet the text's distinct words in an equi-join; only phrases and terms with other characters
-    are tested by pattern, against a table whose size is checked.
+    Terms meet texts by their words (named_in), however many they are.
     """
     text = F.lower(F.concat_ws(" ", F.lit(""), F.col("title"), F.col("summary"), F.lit("")))
-    rules = rules.withColumn("term", F.lower(F.trim("term"))).filter("term <> ''")
-    word = F.col("term").rlike("^[a-z0-9]+$")
+    rules = saved(rules.withColumn("term", F.lower(F.trim("term"))).filter("term <> ''").select("category", "term", "weight", "ordinal"))
     # words as the boundary rule sees them: runs of letters and digits, à to ÿ among them
-    words = articles.select("article_id", F.explode(F.array_distinct(F.split(text, "[^a-zà-ÿ0-9]+"))).alias("term"))
-    by_word = words.join(rules.filter(word), "term").select("article_id", "category", "weight", "ordinal")
-    phrases = rules.filter(~word)
-    n = phrases.limit(BROADCAST_TERMS + 1).count()
-    if n > BROADCAST_TERMS:
-        raise ValueError(f"more than {BROADCAST_TERMS} phrases: split the rules")
-    by_phrase = articles.select("article_id", text.alias("_text")).join(F.broadcast(phrases), term_match(F.col("_text"), F.col("term"))).select("article_id", "category", "weight", "ordinal")
-    hits = by_word.unionByName(by_phrase) if n else by_word
+    texts, names = articles.select(F.col("article_id").alias("id"), text.alias("text")), rules.select(F.col("term").alias("name_id"), F.col("term").alias("name")).distinct()
+    # an accented letter at a term's edge asks for no boundary there, so such terms may stand inside a word
+    inside = F.col("name").rlike("^[à-ÿ]|[à-ÿ]$")
+    found = named_in(texts, names.filter(~inside), "a-zà-ÿ0-9", term_match).unionByName(contained_in(texts, names.filter(inside), term_match))
+    hits = found.join(if_small(rules), F.col("name_id") == F.col("term")).select(F.col("id").alias("article_id"), "category", "weight", "ordinal")
     if declared is not None:
         own = articles.join(declared, "source_id").select("article_id", declared["category"], F.lit(2).alias("weight"), F.lit(1_000_000).alias("ordinal"))
         hits = hits.unionByName(own)
@@ -56,17 +50,18 @@ def classify(articles: DataFrame, rules: DataFrame, declared: DataFrame | None =
 def geocode(articles: DataFrame, gazetteer: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """(article_id, country, place, lat, lon, precision): the first place by ordinal, cities before countries.
 
-    gazetteer: (name, country, lat, lon, kind, ordinal), of checked size. Without a place a two-letter source
-    country stands, without coordinates; a place found is always approximate.
+    gazetteer: (name, country, lat, lon, kind, ordinal), of any size: places meet texts by their words (named_in).
+    Without a place a two-letter source country stands, without coordinates; a place found is always approximate.
     """
-    if gazetteer.limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS:
-        raise ValueError(f"more than {BROADCAST_TERMS} places: split the gazetteer")
     text = F.concat(F.lit(" "), F.lower(F.concat_ws(" ", "title", "summary")), F.lit(" "))
-    quoted = F.regexp_replace("name", r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    named = F.regexp_like(F.col("_text"), F.concat(F.lit("(^|[^a-zà-ÿ])"), quoted, F.lit("([^a-zà-ÿ]|$)")))
+    quote = lambda name: F.regexp_replace(name, r"([.*+?^${}()|\[\]\\])", r"\\$1")
+    named = lambda text, name: F.regexp_like(text, F.concat(F.lit("(^|[^a-zà-ÿ])"), quote(name), F.lit("([^a-zà-ÿ]|$)")))
+    places = saved(gazetteer.select("name", "country", "lat", "lon", "kind", "ordinal"))
     first = F.struct((F.col("kind") != "city").cast("int").alias("k"), F.col("ordinal"))
-    hits = articles.select("article_id", text.alias("_text")).join(F.broadcast(gazetteer), named)
-    best = hits.groupBy("article_id").agg(F.min_by(F.struct("name", "country", "lat", "lon"), first).alias("g"))
+    names = places.select(F.col("name").alias("name_id"), "name").distinct()
+    found = named_in(articles.select(F.col("article_id").alias("id"), text.alias("text")), names, "a-zà-ÿ", named)
+    hits = found.join(if_small(places), F.col("name_id") == F.col("name"))
+    best = hits.groupBy("id").agg(F.min_by(F.struct("name", "country", "lat", "lon"), first).alias("g")).withColumnRenamed("id", "article_id")
     out = articles.join(best, "article_id", "left")
     own = F.lit(None).cast("string")
     if sources is not None:
