@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.text import conflict_id
 
 
-def append_ledger(rows: DataFrame, path: str, at: str = "at") -> None:
-    """Appends rows to a ledger that is partitioned by day."""
-    rows.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").parquet(path)
+def append_ledger(rows: DataFrame, path: str, at: str = "at", batch: int | None = None) -> None:
+    """Appends rows to a ledger that is partitioned by day; with a batch number, a batch that is written again stands once."""
+    days = rows.withColumn("day", F.to_date(at))
+    if batch is None:
+        days.write.mode("append").partitionBy("day").parquet(path)
+    else:
+        days.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
 
 
 def upsert_conflicts(old: DataFrame, found: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
-"""Micro-batch cycle."""
+"""Micro-batch cycle (T1-T4, T6-T8, T11, T12), and a job of stages that each take a batch once."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.measures import hours_between
 from ..functions.text import article_id
 from ..operators.joins import needs_review, not_notified
+from ..sources.stored import StoredTable, append_once, exists, read_ledger
 
 
 def run(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = "10 minutes") -> StreamingQuery:
@@ -57,3 +60,64 @@ def due(control: DataFrame, job: str, as_of: Column, hours: float = 24) -> DataF
     """One row with `due`: whether the job's last run (job, last_run) lies so far back, or it never ran."""
     last = control.filter(F.col("job") == job).agg(F.max("last_run").alias("last_run"))
     return last.select(F.coalesce(hours_between(as_of, F.col("last_run")) >= hours, F.lit(True)).alias("due"))
+
+
+@dataclass(frozen=True)
+class Stage:
+    """A step of a job. work(rows, batch) writes what belongs to the batch under its number and may return counts.
+
+    An optional stage that fails is reported, and the others go on; it isn't tried again for that batch.
+    """
+
+    name: str
+    work: Callable[[DataFrame, int], dict[str, int] | None]
+    optional: bool = False
+
+
+class Cycle:
+    """Stages in order over micro-batches, with a ledger of what is done.
+
+    Spark gives a batch that died again, with the same number and rows. Stages that the ledger has are left out then, and
+    the one that died runs again; so each stage's writes must replace what the same batch wrote before
+    (StoredTable.upsert, append_once), and all tables hold a batch once.
+    """
+
+    SAID = "stage string, status string, counts string"
+
+    def __init__(self, spark: SparkSession, path: str, stages: list[Stage]):
+        if len({s.name for s in stages}) < len(stages):
+            raise ValueError("two stages of one name")
+        self.spark, self.path, self.stages = spark, path.rstrip("/"), stages
+
+    def _ledger(self, stage: Stage) -> str:
+        return f"{self.path}/stages/stage={stage.name}"
+
+    def __call__(self, rows: DataFrame, batch: int) -> None:
+        for stage in self.stages:
+            if exists(self.spark, f"{self._ledger(stage)}/batch={batch}/_SUCCESS"):
+                continue
+            status = "done"
+            try:
+                counts = stage.work(rows, batch) or {}
+            except Exception as e:
+                if not stage.optional:
+                    raise
+                counts, status = {}, f"failed: {type(e).__name__}"
+            append_once(self.spark.createDataFrame([(status, json.dumps(counts, sort_keys=True))], "status string, counts string"), self._ledger(stage), batch)
+
+    def run(self, stream: DataFrame, every: str | None = "10 minutes") -> StreamingQuery:
+        return run(stream, self, f"{self.path}/checkpoint", every)
+
+    def reports(self) -> DataFrame:
+        """(batch, report): JSON of each stage's status and counts, by stage; one row a batch that has begun."""
+        said = read_ledger(self.spark, f"{self.path}/stages", "stage string, status string, counts string")
+        stages = F.map_from_entries(F.sort_array(F.collect_list(F.struct("stage", F.struct("status", "counts")))))  # a row a stage
+        return said.groupBy("batch").agg(F.to_json(stages).alias("report"))
+
+
+def notify(matches: DataFrame, table: StoredTable, batch: int) -> DataFrame:
+    """Stores new matches (user_id, rule_id, event_id, ...), each once ever, and returns those of this batch."""
+    keys = ["user_id", "rule_id", "event_id"]
+    new = notify_once(matches, table.lookup(matches.select(*keys)))
+    table.upsert(batch, new.withColumn("batch", F.lit(batch).cast("long")))
+    return table.read().filter(F.col("batch") == batch)
