@@ -60,10 +60,16 @@ def match_alerts(rules: DataFrame, events: DataFrame, notifications: DataFrame,
     return top_n(not_notified(mine, notifications), ["user_id", "rule_id"], newest, per_rule).select("user_id", "rule_id", "event_id", "reason")
 
 
-def brief_sections(events: DataFrame, as_of: Column, hours: float = 24, follows: DataFrame | None = None) -> DataFrame:
-    """(user_id, section, rank, event_id): what mattered since publication; user_id is null in general sections."""
+def brief_sections(events: DataFrame, as_of: Column, hours: float = 24, follows: DataFrame | None = None, conflicts: DataFrame | None = None) -> DataFrame:
+    """(user_id, section, rank, event_id): what mattered since publication; user_id is null in general sections.
+
+    conflicts: (event_id, resolved); an event with an open one is disputed. Without them the verdict DISPUTED says so.
+    """
     e = published(events).filter((hours_between(as_of, F.col("published_at")) < hours) & (F.col("published_at") <= as_of))
 
+    newest = [F.desc("published_at"), F.asc("event_id")]
+    disputed = e.filter("verification = 'DISPUTED'") if conflicts is None else e.join(conflicts.filter("not resolved").select("event_id").distinct(), "event_id", "left_semi")
+
     def section(rows: DataFrame, name: str, order: list[Column], n: int) -> DataFrame:
         ranked = top_n(rows.withColumn("_all", F.lit(1)), ["_all"], order, n, "rank")
         return ranked.select(F.lit(None).cast("long").alias("user_id"), F.lit(name).alias("section"), "rank", "event_id")
@@ -71,18 +77,18 @@ def brief_sections(events: DataFrame, as_of: Column, hours: float = 24, follows:
     parts = [
         section(e.filter("life_impact is not null"), "impact", [F.desc("life_impact"), F.desc("last_activity_at"), F.asc("event_id")], 6),
         section(e.filter("independent_sources >= 2"), "corroborated", [F.desc("independent_sources"), F.desc_nulls_last("confidence"), F.asc("event_id")], 6),
-        section(e.filter("verification = 'DISPUTED'"), "disputed", [F.desc("last_activity_at"), F.asc("event_id")], 5),
+        section(disputed, "disputed", newest, 5),
     ]
     if follows is not None:
-        order = [F.desc("last_activity_at"), F.asc("event_id")]
+        order = newest
         mine = top_n(followed(e, follows, order, 8), ["user_id"], order, 8, "rank")
         parts.append(mine.select("user_id", F.lit("followed").alias("section"), "rank", "event_id"))
     return concat(parts)
 
 
-def daily_brief(events: DataFrame, as_of: Column, hours: float = 24, follows: DataFrame | None = None) -> DataFrame:
+def daily_brief(events: DataFrame, as_of: Column, hours: float = 24, follows: DataFrame | None = None, conflicts: DataFrame | None = None) -> DataFrame:
     """(user_id, sections, total): general sections, and for followers theirs first; empty sections don't show."""
-    s = brief_sections(events, as_of, hours, follows)
+    s = brief_sections(events, as_of, hours, follows, conflicts)
     each = s.groupBy("user_id", "section").agg(F.array_sort(F.collect_list(F.struct("rank", "event_id"))).alias("items"))  # eight items at most
     order = F.create_map(*[F.lit(x) for kv in (("followed", 0), ("impact", 1), ("corroborated", 2), ("disputed", 3)) for x in kv])
     return each.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(order[F.col("section")].alias("o"), "section", "items"))).alias("sections"), F.sum(F.size("items")).alias("total"))
@@ -101,41 +107,84 @@ HOME_LISTS = [
 
 
 def home_lists(events: DataFrame, as_of: Column) -> DataFrame:
-    """(list, rank, event_id) for every home list at once; unknown scores come last."""
-    e, parts = published(events), []
-    for name, order, n, hours, category in HOME_LISTS:
-        rows = e if hours is None else e.filter(hours_between(as_of, F.col("last_activity_at")) < hours)
-        rows = rows if category is None else rows.filter(F.col("category") == category)
-        parts.append(top_n(rows.withColumn("list", F.lit(name)), ["list"], order_columns(order), n, "rank").select("list", "rank", "event_id"))
-    return concat(parts)
+    """(list, rank, event_id) for every home list at once; unknown scores come last.
+
+    One pass: an event goes to each list that takes it with the score that the list is ordered by, and one window
+    ranks all lists, cut before the shuffle to the longest.
+    """
+    e = published(events)
+    age = hours_between(as_of, F.col("last_activity_at"))
+    taken = []
+    for name, order, _, hours, category in HOME_LISTS:
+        fits = F.lit(True) if hours is None else age < hours
+        fits = fits if category is None else fits & (F.col("category") == category)
+        score = F.lit(None).cast("double") if order == "recent" else F.col(order).cast("double")
+        taken.append(F.when(fits, F.struct(F.lit(name).alias("list"), score.alias("score"))))
+    rows = e.select("event_id", "last_activity_at", F.explode(F.filter(F.array(*taken), lambda x: x.isNotNull())).alias("l")).select("event_id", "last_activity_at", "l.list", "l.score")
+    lengths = F.create_map(*[F.lit(x) for name, _, n, _, _ in HOME_LISTS for x in (name, n)])
+    ranked = top_n(rows, ["list"], [F.desc_nulls_last("score"), F.desc_nulls_last("last_activity_at"), F.asc("event_id")], max(n for _, _, n, _, _ in HOME_LISTS), "rank")
+    return ranked.filter(F.col("rank") <= lengths[F.col("list")]).select("list", "rank", "event_id")
 
 
 def preset(events: DataFrame, name: str, as_of: Column, value: str | None = None) -> DataFrame:
-    """Fixed lists by name: all, category, country, trending, today, breaking, viewed (in `value` hours); unknown names raise."""
+    """Fixed lists by name: all, category, country, trending, today, breaking, viewed (in `value` hours).
+
+    Unknown names raise, and so do trending and viewed for events without the column `trending` or `views_total`.
+    """
+    needs = {"trending": "trending", "viewed": "views_total"}.get(name)
+    if needs and needs not in events.columns:
+        raise ValueError(f"the list {name} needs the column {needs}")
     e, age = published(events), hours_between(as_of, F.col("last_activity_at"))
     rows, order, n = {
         "all": (e, "recent", 60),
         "category": (e.filter(F.col("category") == value), "recent", 50),
         "country": (e.filter(F.col("country") == value), "recent", 50),
-        "trending": (e.filter("trending is not null") if "trending" in e.columns else e.limit(0), "trending", 50),
+        "trending": (e.filter("trending is not null") if name == "trending" else e, "trending", 50),
         "today": (e.filter(age < 24), "relevance", 80),
         "breaking": (e.filter(age < 6), "recent", 40),
-        "viewed": (e.filter(age < float(value or 24)) if "views_total" in e.columns else e.limit(0), "views", 50),
+        "viewed": (e.filter(age < float(value or 24)) if name == "viewed" else e, "views", 50),
     }[name]
     return rows.orderBy(*order_columns(order)).limit(n)
 
 
-def event_detail(ids: DataFrame, children: dict[str, tuple[DataFrame, list[Column], int]]) -> DataFrame:
-    """ids with one array column a child: (rows with event_id, order, cap); each is cut per event, then gathered."""
+def event_detail(ids: DataFrame, children: dict[str, tuple[DataFrame, list[Column], int | None]]) -> DataFrame:
+    """ids with one array column a child: (rows with event_id, order, cap or None for all); cut per event, then gathered.
+
+    A child without a cap is as long as its event has rows: a page shows them all.
+    """
     out = ids
     for name, (rows, order, cap) in children.items():
-        mine = top_n(rows.join(ids.select("event_id"), "event_id", "left_semi"), ["event_id"], order, cap, "_no")
+        mine = rows.join(ids.select("event_id"), "event_id", "left_semi")
+        mine = mine.withColumn("_no", F.row_number().over(Window.partitionBy("event_id").orderBy(*order))) if cap is None else top_n(mine, ["event_id"], order, cap, "_no")
         rest = [c for c in rows.columns if c != "event_id"]
         packed = mine.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("_no", *rest))).alias(name))
         out = out.join(packed, "event_id", "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(packed.schema[name].dataType)))
     return out
 
 
+def page_children(
+    articles: DataFrame, timeline: DataFrame, conflicts: DataFrame, scores: DataFrame, changes: DataFrame, runs: DataFrame, reviews: DataFrame, states: DataFrame, related: DataFrame, agreement: DataFrame
+) -> dict[str, tuple[DataFrame, list[Column], int | None]]:
+    """The ten children of an event's page for event_detail, in the order and length that the page shows.
+
+    Each has event_id and id; articles published_at, timeline at, conflicts resolved, scores (the latest of each kind)
+    kind, changes, reviews and states at, runs started_at, related strength, agreement publisher_group (one row a group).
+    """
+    newest = lambda at: [F.desc(at), F.desc("id")]
+    return {
+        "articles": (articles, [F.asc_nulls_last("published_at"), F.asc("id")], None),
+        "timeline": (timeline, [F.asc("at"), F.asc("id")], None),
+        "conflicts": (conflicts.filter("not resolved"), [F.asc("id")], None),
+        "scores": (scores, [F.asc("kind")], None),
+        "score_changes": (changes, newest("at"), 10),
+        "agent_runs": (runs, newest("started_at"), 20),
+        "supervisor": (reviews, newest("at"), 1),
+        "state_history": (states, newest("at"), 20),
+        "related": (related, [F.desc("strength"), F.asc("id")], 8),
+        "source_agreement": (agreement, [F.asc("publisher_group")], None),
+    }
+
+
 def sitemap_export(events: DataFrame, base: str, most: int = 5000) -> DataFrame:
     """Text lines of a sitemap: published events, newest first."""
     rows = published(events).orderBy(F.desc("last_activity_at"), "event_id").limit(most)

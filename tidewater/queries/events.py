@@ -440,15 +440,23 @@ def validated_rules(spark, d):
     return products.validate_rules(r).select("rule_id", "error")
 
 
+#: Briefs look at events that were published some hours before their last activity.
+BRIEFED = f"p0 AS (SELECT * REPLACE (published_at - INTERVAL 1 HOUR * (event_id * 7 % 59) AS published_at) FROM sv), p AS (SELECT * FROM p0 WHERE status = 'PUBLISHED' AND published_at <= {NOW} AND epoch_us({NOW}) - epoch_us(published_at) < 2400 * 3600000000)"
+
+
+def briefed(spark, d):
+    return scored(spark, d).withColumn("published_at", F.timestamp_micros(F.unix_micros("published_at") - F.col("event_id") * 7 % 59 * 3_600_000_000))
+
+
 @query(
     "brief_sections",
-    f"""WITH {INPUTS}, p AS (SELECT * FROM sv WHERE status = 'PUBLISHED' AND published_at <= {NOW} AND date_diff('hour', published_at, {NOW}) < 2400), a AS (
+    f"""WITH {INPUTS}, {BRIEFED}, a AS (
       SELECT 'impact' AS section, event_id, row_number() OVER (ORDER BY life_impact DESC, last_activity_at DESC, event_id) AS rank FROM p WHERE life_impact IS NOT NULL), b AS (
       SELECT 'corroborated' AS section, event_id, row_number() OVER (ORDER BY independent_sources DESC, confidence DESC NULLS LAST, event_id) AS rank FROM p WHERE independent_sources >= 2)
     SELECT section, rank, event_id FROM a WHERE rank <= 6 UNION ALL SELECT section, rank, event_id FROM b WHERE rank <= 6""",
 )
 def brief_sections(spark, d):
-    return products.brief_sections(scored(spark, d), now(), hours=2400).select("section", "rank", "event_id")
+    return products.brief_sections(briefed(spark, d), now(), hours=2400).select("section", "rank", "event_id")
 
 
 _FOLLOWS = """fo AS (SELECT c_custkey AS user_id, c_custkey % 3 AS k, CASE c_custkey % 3 WHEN 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'economy' ELSE 'politics' END WHEN 1 THEN 'NATION_' || c_nationkey ELSE c_custkey::VARCHAR END AS target FROM customer)"""

@@ -14,7 +14,7 @@ from ..plans import annotators, enrich, graph, products, review, scoring
 from ..sources import feeds, ledgers
 from ..streaming import views as V
 from . import query
-from .events import _ADMIT, AR, EV, INPUTS, NOW, SO, VW, admitted, now, scored
+from .events import _ADMIT, AR, BRIEFED, EV, INPUTS, NOW, SO, VW, admitted, briefed, now, scored
 
 _VIEWED = f"""{INPUTS}, {_ADMIT}, vc AS (SELECT event_id, count(*) FILTER (reason IS NULL) AS views_total FROM adm GROUP BY event_id),
   ve AS (SELECT sv.*, coalesce(views_total, 0) AS views_total FROM sv LEFT JOIN vc USING (event_id))"""
@@ -190,13 +190,13 @@ def session_hashes(spark, d):
 
 @query(
     "daily_brief",
-    f"""WITH {INPUTS}, p AS (SELECT * FROM sv WHERE status = 'PUBLISHED' AND published_at <= {NOW} AND date_diff('hour', published_at, {NOW}) < 2400),
+    f"""WITH {INPUTS}, {BRIEFED},
       a AS (SELECT event_id, row_number() OVER (ORDER BY life_impact DESC, last_activity_at DESC, event_id) AS r FROM p WHERE life_impact IS NOT NULL),
       b AS (SELECT event_id, row_number() OVER (ORDER BY independent_sources DESC, confidence DESC NULLS LAST, event_id) AS r FROM p WHERE independent_sources >= 2)
     SELECT (SELECT count(*) FROM a WHERE r <= 6) + (SELECT count(*) FROM b WHERE r <= 6) AS total, (SELECT event_id FROM a WHERE r = 1) AS first_event""",
 )
 def daily_brief(spark, d):
-    b = products.daily_brief(scored(spark, d), now(), hours=2400)
+    b = products.daily_brief(briefed(spark, d), now(), hours=2400)
     return b.select("total", F.element_at(F.element_at("sections", 1)["items"], 1)["event_id"].alias("first_event"))
 
 

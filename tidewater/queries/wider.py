@@ -18,7 +18,7 @@ from ..saved import shared_dir
 from ..sources import feeds, ledgers
 from ..streaming import cycle
 from . import query
-from .events import _ADMIT, _FOLLOWS, AR, EV, INPUTS, NOW, NOW_V, SC, SO, VW, _urls, admitted, now, scored
+from .events import _ADMIT, _FOLLOWS, AR, BRIEFED, EV, INPUTS, NOW, NOW_V, SC, SO, VW, _urls, admitted, briefed, now, scored
 from .more import _measured
 from .texts import TX, toks
 
@@ -75,9 +75,9 @@ def cycle_report(spark, d):
     return products.cycle_report({"events": o, "articles": T.read(spark, d, "lineitem")}, o.filter("o_orderstatus <> 'F'").select(F.col("o_orderstatus").alias("reason")))
 
 
-@query("jobs_due", f"SELECT event_type AS job, date_diff('microsecond', max(ts), {NOW_V}) / 3600000000.0 >= 6 AS due FROM events WHERE user_id % 50 = 7 GROUP BY 1 UNION ALL SELECT 'never', true")
+@query("jobs_due", f"SELECT event_type AS job, date_diff('microsecond', max(ts), {NOW_V}) / 3600000000.0 >= 6 AS due FROM events GROUP BY 1 UNION ALL SELECT 'never', true")
 def jobs_due(spark, d):
-    control = T.read(spark, d, "events").filter("user_id % 50 = 7").select(F.col("event_type").alias("job"), F.col("ts").alias("last_run"))
+    control = T.read(spark, d, "events").select(F.col("event_type").alias("job"), F.col("ts").alias("last_run"))
     names = ["click", "error", "purchase", "signup", "view", "never"]
     each = J.concat([cycle.due(control, n, T.at(T.AS_OF_EVENTS), 6).select(F.lit(n).alias("job"), "due", F.lit(n == "never").alias("_x")) for n in names])
     known = control.select("job").distinct()
@@ -239,27 +239,38 @@ def published_without_article(spark, d):
 
 @query(
     "event_pages",
-    f"""WITH {EV}, {AR}, {SC}, {VW}, a AS (SELECT event_id, source_id, row_number() OVER (PARTITION BY event_id ORDER BY published_at DESC, line, part, source_id) AS no FROM ar),
-      s AS (SELECT event_id, id, row_number() OVER (PARTITION BY event_id ORDER BY computed_at DESC, id DESC) AS no FROM sc), v AS (SELECT event_id, id, row_number() OVER (PARTITION BY event_id ORDER BY tm DESC, id DESC) AS no FROM vw),
-      h AS (SELECT user_id AS event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS no FROM events), g AS (SELECT event_id - 1 AS event_id, event_id AS other FROM ev),
-      x AS (SELECT event_id, string_agg(source_id, ',' ORDER BY no) AS articles FROM a WHERE no <= 100 GROUP BY 1), y AS (SELECT event_id, string_agg(id, ',' ORDER BY no) AS scores FROM s WHERE no <= 12 GROUP BY 1),
-      z AS (SELECT event_id, string_agg(id, ',' ORDER BY no) AS views FROM v WHERE no <= 5 GROUP BY 1), w AS (SELECT event_id, string_agg(event_type, ',' ORDER BY no) AS states FROM h WHERE no <= 20 GROUP BY 1)
-    SELECT ev.event_id, coalesce(articles, '') AS articles, coalesce(scores, '') AS scores, coalesce(views, '') AS views, coalesce(states, '') AS states, coalesce(other::VARCHAR, '') AS related
-    FROM ev LEFT JOIN x USING (event_id) LEFT JOIN y USING (event_id) LEFT JOIN z USING (event_id) LEFT JOIN w USING (event_id) LEFT JOIN g USING (event_id) WHERE status = 'PUBLISHED'""",
+    f"""WITH {EV}, {AR}, {SO}, {SC}, p AS (SELECT event_id FROM ev WHERE status = 'PUBLISHED'),
+      art AS (SELECT event_id, source_id * 10 + line AS id, published_at FROM ar), a AS (SELECT event_id, string_agg(id, ',' ORDER BY published_at NULLS LAST, id) AS articles, string_agg(id, ',' ORDER BY published_at + INTERVAL 1 DAY * (id % 3), id) AS timeline FROM art GROUP BY 1),
+      c AS (SELECT event_id, string_agg(line, ',' ORDER BY line) AS conflicts FROM (SELECT DISTINCT event_id, line FROM ar WHERE part % 5 = 0 AND line % 3 <> 0) GROUP BY 1),
+      sl AS (SELECT event_id, kind, id FROM sc QUALIFY row_number() OVER (PARTITION BY event_id, kind ORDER BY computed_at DESC, id DESC) = 1), s AS (SELECT event_id, string_agg(id, ',' ORDER BY kind) AS scores FROM sl GROUP BY 1),
+      ch AS (SELECT event_id, id, row_number() OVER (PARTITION BY event_id ORDER BY computed_at DESC, id DESC) AS no FROM (SELECT *, lag(value) OVER w AS old, row_number() OVER w AS k FROM sc WINDOW w AS (PARTITION BY event_id, kind ORDER BY computed_at, id)) WHERE k = 1 OR value IS DISTINCT FROM old),
+      ru AS (SELECT event_id, id, row_number() OVER (PARTITION BY event_id ORDER BY computed_at DESC, id DESC) AS no FROM sc),
+      st AS (SELECT user_id AS event_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS no FROM events),
+      g AS (SELECT event_id - k AS event_id, event_id AS id, row_number() OVER (PARTITION BY event_id - k ORDER BY event_id * 13 % 90 DESC, event_id) AS no FROM ev, range(1, 11) r(k)),
+      ag AS (SELECT event_id, string_agg(publisher_group, ',' ORDER BY publisher_group) AS source_agreement FROM (SELECT DISTINCT event_id, publisher_group FROM ar JOIN so USING (source_id)) GROUP BY 1)
+    SELECT p.event_id, {", ".join(f"coalesce({c}, '') AS {c}" for c in ("articles", "timeline", "conflicts", "scores", "score_changes", "agent_runs", "supervisor", "state_history", "related", "source_agreement"))}
+    FROM p LEFT JOIN a USING (event_id) LEFT JOIN c USING (event_id) LEFT JOIN s USING (event_id)
+    LEFT JOIN (SELECT event_id, string_agg(id, ',' ORDER BY no) AS score_changes FROM ch WHERE no <= 10 GROUP BY 1) USING (event_id)
+    LEFT JOIN (SELECT event_id, string_agg(id, ',' ORDER BY no) AS agent_runs FROM ru WHERE no <= 20 GROUP BY 1) USING (event_id)
+    LEFT JOIN (SELECT event_id, string_agg(id, ',' ORDER BY no) AS supervisor FROM ru WHERE no <= 1 GROUP BY 1) USING (event_id)
+    LEFT JOIN (SELECT event_id, string_agg(id, ',' ORDER BY no) AS state_history FROM st WHERE no <= 20 GROUP BY 1) USING (event_id)
+    LEFT JOIN (SELECT event_id, string_agg(id, ',' ORDER BY no) AS related FROM g WHERE no <= 8 GROUP BY 1) USING (event_id) LEFT JOIN ag USING (event_id)""",
 )
 def event_pages(spark, d):
-    """Published events with their articles, scores, views, states and neighbours, each cut to what a page shows."""
-    newest = lambda at: [F.desc(at), F.desc("id")]
-    children = {
-        "articles": (T.articles(spark, d), [F.desc("published_at"), F.asc("line"), F.asc("part"), F.asc("source_id")], 100),
-        "scores": (T.scores(spark, d), newest("computed_at"), 12),
-        "views": (T.views(spark, d), newest("at"), 5),
-        "states": (T.states(spark, d), newest("at"), 20),
-        "related": (T.events(spark, d).select((F.col("event_id") - 1).alias("event_id"), F.col("event_id").alias("other_id")), [F.asc("other_id")], 8),
-    }
+    """Published events with the ten children of a page; scores stand for runs and reviews too, and made neighbours for edges."""
+    a, s = T.articles(spark, d), T.scores(spark, d)
+    rows = a.select("event_id", (F.col("source_id") * 10 + F.col("line")).alias("id"), "published_at")
+    timeline = rows.select("event_id", "id", F.timestamp_micros(F.unix_micros("published_at") + F.col("id") % 3 * 86_400_000_000).alias("at"))
+    conflicts = a.filter("part % 5 = 0").select("event_id", F.col("line").alias("id"), (F.col("line") % 3 == 0).alias("resolved")).distinct()
+    changes = W.score_changes(s).select("event_id", "id", F.col("computed_at").alias("at"))
+    edges = T.events(spark, d).select(F.col("event_id").alias("id"), (F.col("event_id") * 13 % 90).alias("strength"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("k")).select((F.col("id") - F.col("k")).alias("event_id"), "id", "strength")
+    groups = A.source_agreement(a, T.sources(spark, d)).select("event_id", F.explode(F.map_keys("groups")).alias("publisher_group")).withColumn("id", F.col("publisher_group"))
+    children = products.page_children(
+        rows, timeline, conflicts, W.latest(s, ["event_id", "kind"], "computed_at", "id"), changes, s.select("event_id", "id", F.col("computed_at").alias("started_at")), s.select("event_id", "id", F.col("computed_at").alias("at")),
+        T.states(spark, d), edges, groups,
+    )
     out = products.event_detail(R.published(T.events(spark, d)).select("event_id"), children)
-    shown = {"articles": "source_id", "scores": "id", "views": "id", "states": "state", "related": "other_id"}
-    return out.select("event_id", *[F.array_join(F.expr(f"transform({k}, x -> cast(x.{c} as string))"), ",").alias(k) for k, c in shown.items()])
+    return out.select("event_id", *[F.array_join(F.expr(f"transform({k}, x -> cast(x.id as string))"), ",").alias(k) for k in children])
 
 
 @query(
@@ -348,25 +359,27 @@ def retained_tables(spark, d):
     return J.concat([*counts, blank])
 
 
-_FOLLOWED = """m AS (SELECT user_id, event_id, last_activity_at FROM fo JOIN p ON k = 0 AND target = category UNION SELECT user_id, event_id, last_activity_at FROM fo JOIN p ON k = 1 AND target = country UNION
+_FOLLOWED = """m AS (SELECT user_id, event_id, published_at FROM fo JOIN p ON k = 0 AND target = category UNION SELECT user_id, event_id, published_at FROM fo JOIN p ON k = 1 AND target = country UNION
   SELECT user_id, event_id, last_activity_at FROM fo JOIN p ON k = 2 AND target = event_id::VARCHAR)"""
 
 
 @query(
     "brief_followed",
-    f"""WITH {INPUTS}, {_FOLLOWS}, p AS (SELECT * FROM sv WHERE status = 'PUBLISHED' AND published_at <= {NOW} AND date_diff('hour', published_at, {NOW}) < 2400), {_FOLLOWED}
-    SELECT user_id, rank, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_activity_at DESC, event_id) AS rank FROM m) WHERE rank <= 8""",
+    f"""WITH {INPUTS}, {_FOLLOWS}, {BRIEFED}, {_FOLLOWED}
+    SELECT user_id, rank, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY published_at DESC, event_id) AS rank FROM m) WHERE rank <= 8""",
 )
 def brief_followed(spark, d):
     """What followers see first in their brief."""
-    return products.brief_sections(scored(spark, d), now(), hours=2400, follows=T.follows(spark, d)).filter("section = 'followed'").select("user_id", "rank", "event_id")
+    return products.brief_sections(briefed(spark, d), now(), hours=2400, follows=T.follows(spark, d)).filter("section = 'followed'").select("user_id", "rank", "event_id")
 
 
 @query(
     "brief_disputed",
-    f"""WITH {INPUTS}, p AS (SELECT * FROM sv WHERE status = 'PUBLISHED' AND published_at <= {NOW} AND date_diff('hour', published_at, {NOW}) < 2400 AND conflicts = 2)
-    SELECT rank, event_id FROM (SELECT event_id, row_number() OVER (ORDER BY last_activity_at DESC, event_id) AS rank FROM p) WHERE rank <= 5""",
+    f"""WITH {INPUTS}, {BRIEFED}
+    SELECT rank, event_id FROM (SELECT event_id, row_number() OVER (ORDER BY published_at DESC, event_id) AS rank FROM p WHERE conflicts = 2 AND event_id % 4 <> 0) WHERE rank <= 5""",
 )
 def brief_disputed(spark, d):
-    e = scored(spark, d).withColumn("verification", F.when(F.col("conflicts") == 2, "DISPUTED").otherwise(F.col("verification")))
-    return products.brief_sections(e, now(), hours=2400).filter("section = 'disputed'").select("rank", "event_id")
+    """Events with an open conflict; every fourth conflict is resolved."""
+    e = briefed(spark, d)
+    conflicts = e.filter("conflicts = 2").select("event_id", (F.col("event_id") % 4 == 0).alias("resolved"))
+    return products.brief_sections(e, now(), hours=2400, conflicts=conflicts).filter("section = 'disputed'").select("rank", "event_id")
