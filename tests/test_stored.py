@@ -104,3 +104,47 @@ def test_ledgers_append_a_batch_once(spark):
         append_once(spark.range(3), path, 0)
     append_once(spark.range(2), path, 1)
     assert sorted(tuple(r) for r in read_ledger(spark, path, "id long").groupBy("batch").count().collect()) == [(0, 3), (1, 2)]
+
+
+def test_retention_drops_days_and_rewrites_the_mixed_one(spark):
+    """Thirty days of runs; the newest run of an event stays however old it is."""
+    from datetime import datetime
+
+    from tidewater.operators.windows import latest
+    from tidewater.plans.retention import expire
+
+    path = place()
+    t = StoredTable(spark, path, "run_id long, event_id long, at timestamp", ["run_id", "at"], by="date(at)")
+    rows = spark.range(720).select(F.col("id").alias("run_id"), F.when(F.col("id") == 50, 99).otherwise(F.col("id") % 3).cast("long").alias("event_id"), F.expr("timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, int(id))").alias("at"))
+    t.upsert(0, rows)
+    before = files(path)
+    assert len(before) == 30
+    # a dry look: nothing is old enough
+    assert expire(t, 1, "at", datetime(2023, 1, 1)) == {"dropped": [], "rewritten": []} and files(path) == before
+    cutoff = datetime(2024, 1, 11, 6)
+    newest = lambda table: latest(table, ["event_id"], "at", "run_id")
+    done = expire(t, 2, "at", cutoff, newest)
+    after = files(path)
+    days = [f"2024-01-{d:02}" for d in range(1, 31)]
+    assert done == {"dropped": [d for d in days[:10] if d != "2024-01-03"], "rewritten": ["2024-01-03", "2024-01-11"]}
+    assert sorted(after) == ["2024-01-03", *days[10:]]
+    assert {d for d in after if after[d] != before[d]} == {"2024-01-03", "2024-01-11"}
+    want = {r["run_id"] for r in rows.filter(F.col("at") >= F.lit(cutoff)).collect()} | {50}
+    assert {r["run_id"] for r in t.read().collect()} == want
+    expire(t, 2, "at", cutoff, newest)
+    assert files(path) == after
+
+
+def test_an_annotator_fails_on_one_event_of_a_thousand(spark):
+    from tidewater.plans.annotators import Annotator, failures, run_annotators
+
+    def step(row):
+        if row["event_id"] == 7:
+            raise ValueError("no")
+        return {"status": "ok", "output": "{}", "confidence": 1000 // (row["n"] or 1)} if row["event_id"] != 8 else {"status": "ok", "confidence": "much"}
+
+    events = spark.range(1000).select(F.col("id").alias("event_id"), (F.col("id") % 5).alias("n"))
+    runs = run_annotators(events, [Annotator("a", "1", F.lit(True), each=step), Annotator("b", "1", F.col("n") == 0)], F.current_timestamp()).cache()
+    got = {tuple(r) for r in runs.groupBy("agent", "status", "reason").count().collect()}
+    assert got == {("a", "ok", None, 998), ("a", "unavailable", "error", 2), ("b", "unavailable", "not_configured", 200)}
+    assert {r["event_id"] for r in failures(runs).collect()} == {7, 8}

@@ -115,18 +115,24 @@ def neighbours(edges: DataFrame, events: DataFrame, n: int = 8) -> DataFrame:
 
 
 def content_dups(articles: DataFrame) -> DataFrame:
-    """(article_id, first_article_id) of articles whose content hash an earlier article has."""
-    first = articles.groupBy("content_hash").agg(F.min(F.struct("published_at", "article_id")).alias("_f"), F.count("*").alias("_n")).filter("_n > 1")
-    dup = articles.join(first.select("content_hash", F.col("_f.article_id").alias("first_article_id")), "content_hash")
-    return dup.filter("article_id <> first_article_id").select("article_id", "first_article_id")
+    """(article_id, first_article_id) of articles whose content hash an earlier article has.
+
+    Hashes are formed once and saved, as is the side of repeated hashes, so that Spark can split a hash that very many have.
+    """
+    rows = saved(articles.select("article_id", "content_hash", "published_at"))
+    first = rows.groupBy("content_hash").agg(F.min(F.struct("published_at", "article_id")).alias("_f"), F.count("*").alias("_n")).filter("_n > 1")
+    first = if_small(saved(first.select("content_hash", F.col("_f.article_id").alias("first_article_id"))))
+    return rows.join(first, "content_hash").filter("article_id <> first_article_id").select("article_id", "first_article_id")
 
 
 def provider_matches(articles: DataFrame) -> DataFrame:
     """(article_id, first_article_id) by source and the provider's event id in the payload, earliest first."""
     keyed = articles.withColumn("provider_event_id", F.get_json_object("payload", "$.measurements.provider_event_id")).filter("provider_event_id is not null")
     keys = ["source_id", "provider_event_id"]
-    first = keyed.groupBy(*keys).agg(F.min(F.struct("published_at", "article_id")).alias("_f"))
-    return keyed.join(first, keys).select("article_id", F.col("_f.article_id").alias("first_article_id")).filter("article_id <> first_article_id")
+    keyed = saved(keyed.select(*keys, "article_id", "published_at"))
+    first = keyed.groupBy(*keys).agg(F.min(F.struct("published_at", "article_id")).alias("_f"), F.count("*").alias("_n")).filter("_n > 1")
+    first = if_small(saved(first.select(*keys, F.col("_f.article_id").alias("first_article_id"))))
+    return keyed.join(first, keys).filter("article_id <> first_article_id").select("article_id", "first_article_id")
 
 
 def edges_with_titles(edges: DataFrame, events: DataFrame, n: int = 8) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from ..operators.aggregates import archive_audit
 from ..operators.joins import unreferenced
 from ..operators.rows import ARCHIVED, unarchived_payloads
 from ..operators.windows import newest_overall, protect_latest
+from ..saved import saved
+from ..sources.stored import StoredTable
 
 
 @dataclass(frozen=True)
@@ -96,3 +100,25 @@ def retain(tables: dict[str, DataFrame], as_of: Column, policy: Policy = Policy(
         "review": t["review"].join(reviews.select("review_id"), "review_id", "left_anti"),
     }
     return report, after
+
+
+def expire(table: StoredTable, batch: int, at: str, cutoff: datetime, protect: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, list[str]]:
+    """Takes rows with `at` before the cutoff (UTC) out of a table whose buckets are the days of `at`.
+
+    Days that end before the cutoff are dropped by name, the day that holds it is rewritten, and later ones aren't
+    touched. protect(rows of the table) gives rows that stay however old they are (all columns): the old days that
+    hold any are rewritten with these alone. Returns what was dropped and what was rewritten.
+    """
+    day = cutoff.date().isoformat()
+    old = [n for n in table.bucket_names() if n < day]
+    kept = None if protect is None else saved(protect(table.read()).filter(F.col(at) < F.lit(cutoff)).select(table.schema.names))
+    held = set() if kept is None else {r[0] for r in kept.select(table.bucket().alias("b")).distinct().collect()}  # at most one a day
+    mixed = [n for n in table.bucket_names() if n == day or (n < day and n in held)]
+
+    def left(rows: DataFrame) -> DataFrame:
+        young = rows.filter(F.col(at) >= F.lit(cutoff))
+        return young if kept is None else young.unionByName(kept)
+
+    dropped = sorted(set(old) - held)
+    table.rewrite(batch, mixed, left, dropped)
+    return {"dropped": dropped, "rewritten": sorted(mixed)}

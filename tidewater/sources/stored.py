@@ -74,29 +74,46 @@ class StoredTable:
         return exists(self.spark, f"{self.done}/batch={batch}/_SUCCESS")
 
     def upsert(self, batch: int, rows: DataFrame, merge: Merge | None = None) -> list[str]:
-        """Merges rows into the table, once for each batch number; the buckets that were rewritten.
+        """Merges rows into the table, once for each batch number; the buckets that were rewritten or emptied.
 
         merge(old, new) gets a bucket's old rows and the new ones and returns all that stands after it, each key in the
         bucket that it was in. By default new rows replace old ones.
         """
         if self.is_done(batch):
             return []
+        rows = rows.select(self.schema.names)
+        touched = self._touched(rows)
+        return self._write(batch, touched, lambda: (merge or replace_rows(self.keys))(self._buckets(touched).select(self.schema.names), rows))
+
+    def rewrite(self, batch: int, buckets: list[str], keep: Callable[[DataFrame], DataFrame], drop: list[str] | None = None) -> list[str]:
+        """Puts keep(rows) in the place of some buckets' rows, and drops other buckets unread, once for each batch number; all these."""
+        return [] if self.is_done(batch) else self._write(batch, [*buckets, *(drop or [])], lambda: keep(self._buckets(buckets).select(self.schema.names)))
+
+    def _write(self, batch: int, touched: list[str], merged: Callable[[], DataFrame]) -> list[str]:
         if not exists(self.spark, f"{self.path}/layout/_SUCCESS"):
             self.spark.createDataFrame([(self.by, self.keys)], "by string, keys array<string>").coalesce(1).write.mode("overwrite").json(f"{self.path}/layout")
         stage = f"{self.staged}/batch={batch}"
         if not exists(self.spark, f"{stage}/_SUCCESS"):
-            rows = rows.select(self.schema.names)
-            old = self._buckets(self._touched(rows)).select(self.schema.names)
-            merged = (merge or replace_rows(self.keys))(old, rows).select(self.schema.names)
             # rows of a bucket come together, so that it is one file
-            merged.withColumn(BUCKET, self.bucket()).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(stage)
+            merged().select(self.schema.names).withColumn(BUCKET, self.bucket()).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(stage)
         staged = self.spark.read.schema(self._with_bucket()).parquet(stage)
-        touched = [r[0] for r in staged.select(BUCKET).distinct().collect()]  # at most one a bucket
-        if touched:
+        filled = [r[0] for r in staged.select(BUCKET).distinct().collect()]  # at most one a bucket
+        if filled:
             staged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.rows_path)
+        # a bucket that nothing is left of goes by its name
+        for name in set(touched) - set(filled):
+            remove(self.spark, f"{self.rows_path}/{BUCKET}={name}")
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.done}/batch={batch}")
         remove(self.spark, stage)
-        return sorted(touched)
+        return sorted({*touched, *filled})
+
+    def bucket_names(self) -> list[str]:
+        """Names of the buckets there are, by listing their folders; one a bucket."""
+        if not exists(self.spark, self.rows_path):
+            return []
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.rows_path)
+        found = [f.getPath().getName() for f in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p)]
+        return sorted(n.split("=", 1)[1] for n in found if n.startswith(f"{BUCKET}="))
 
     def _with_bucket(self) -> StructType:
         return StructType([*self.schema.fields]).add(BUCKET, StringType())
