@@ -60,7 +60,7 @@ def rule_matches(rules: DataFrame, events: DataFrame) -> DataFrame:
     """Every enabled rule with the events it accepts; a rule's null dimension accepts all.
 
     Rules meet events by what they name: category and country, or one of them. Rules that name neither meet events
-    by their least confidence: an event is dealt to each of those thresholds (101 at most, and none) that it reaches.
+    by their least confidence, in steps of ten: an event is dealt to each step that it reaches (11 at most, and none).
     """
     r = rules.filter("enabled").select("user_id", "rule_id", F.col("category").alias("r_category"), F.upper("country").alias("r_country"), "min_confidence", "min_impact", "min_relevance", "only_verified")
     thresholds = (
@@ -70,8 +70,9 @@ def rule_matches(rules: DataFrame, events: DataFrame) -> DataFrame:
         & (~F.coalesce(F.col("only_verified"), F.lit(False)) | (F.col("verification") == "VERIFIED"))
     )
     same_category, same_country = F.col("r_category") == F.col("category"), F.col("r_country") == F.col("country")
-    levels = F.sequence(F.lit(-1), F.least(F.lit(100), F.coalesce(F.col("confidence"), F.lit(-1))).cast("int"))
-    open_ = r.filter("r_category is null and r_country is null").withColumn("_level", F.greatest(F.lit(-1), F.coalesce("min_confidence", F.lit(-1))).cast("int"))
+    step = lambda c: F.floor(F.greatest(F.lit(-1), F.least(F.lit(100), F.coalesce(c, F.lit(-1)))) / F.lit(10)).cast("int")
+    levels = F.sequence(F.lit(-1), step(F.col("confidence")))
+    open_ = r.filter("r_category is null and r_country is null").withColumn("_level", step(F.col("min_confidence")))
     parts = [
         events.join(r.filter("r_category is not null and r_country is not null"), same_category & same_country),
         events.join(r.filter("r_category is not null and r_country is null"), same_category),

@@ -45,7 +45,8 @@ def match_alerts(rules: DataFrame, events: DataFrame, notifications: DataFrame,
     """(user_id, rule_id, event_id, reason): new notifications, the newest per_rule of each rule.
 
     Rules of equal criteria are matched as one. Of its events, newest first, a rule needs per_rule and as many
-    more as it has told of already, so no more are joined to it.
+    more as it has told of already, so of each criterion's events the first per_rule and as many as any rule has told
+    of are kept, cut before the shuffle, and no more are saved or joined.
     """
     fresh = published(events).filter((hours_between(as_of, F.col("published_at")) < since_hours) & (F.col("published_at") <= as_of))
     criteria = ["category", "country", "min_confidence", "min_impact", "min_relevance", "only_verified"]
@@ -53,8 +54,9 @@ def match_alerts(rules: DataFrame, events: DataFrame, notifications: DataFrame,
     shared = keyed.groupBy("_c").agg(*[F.first(c).alias(c) for c in criteria]).select(F.lit(None).cast("long").alias("user_id"), F.col("_c").alias("rule_id"), F.lit(True).alias("enabled"), *criteria)
     newest = [F.desc("published_at"), F.asc("event_id")]
     found = rule_matches(saved(shared), fresh).select(F.col("rule_id").alias("_c"), "event_id", "published_at")
-    found = saved(found.withColumn("_no", F.row_number().over(Window.partitionBy("_c").orderBy(*newest))))
-    told = notifications.groupBy("user_id", "rule_id").agg(F.count("*").alias("_told"))
+    told = saved(notifications.groupBy("user_id", "rule_id").agg(F.count("*").alias("_told")))
+    most = told.agg(F.max("_told")).first()[0] or 0
+    found = saved(top_n(found, ["_c"], newest, per_rule + most, "_no"))
     mine = keyed.withColumn("reason", describe_rule()).select("user_id", "rule_id", "_c", "reason").join(told, ["user_id", "rule_id"], "left")
     mine = mine.join(found, "_c").filter(F.col("_no") <= per_rule + F.coalesce("_told", F.lit(0)))
     return top_n(not_notified(mine, notifications), ["user_id", "rule_id"], newest, per_rule).select("user_id", "rule_id", "event_id", "reason")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import tables as T
@@ -11,6 +13,8 @@ from ..operators import joins as J
 from ..operators import rows as R
 from ..operators import windows as W
 from ..plans import cluster, enrich, graph
+from ..plans.postings import Postings
+from ..saved import shared_dir
 from ..sources import feeds
 from . import query
 
@@ -212,6 +216,56 @@ def search_ranked(spark, d):
     return R.search_ranked(T.read(spark, d, "documents"), SEARCH).select("doc_id", "tf", "rank")
 
 
+#: Each passage asks for its second and third word, and for the first five letters of its second word.
+_ASKED = f"aq AS (SELECT item_id AS query_id, string_split({folded('text')}, ' ') AS k FROM benchmark)"
+
+
+def _questions(spark, d):
+    k = F.split(X.fold_text(F.col("text")), " ")
+    b = T.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), k.alias("k"))
+    return b.select("query_id", F.concat_ws(" ", F.get("k", F.lit(1)), F.get("k", F.lit(2))).alias("q")), b.select("query_id", F.substring(F.get("k", F.lit(1)), 1, 5).alias("q"))
+
+
+def _postings(spark, d):
+    p = Postings(spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", buckets=16)
+    a = T.text_articles(spark, d)
+    p.add(0, a.select(F.col("article_id").alias("doc_id"), F.col("summary").alias("text"), F.col("published_at").alias("at"), "title"), ("title",))
+    return p
+
+
+@query(
+    "search_table",
+    f"""WITH {_ASKED}, t AS (SELECT query_id, list_distinct(list_filter(k[2:3], lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w))) AS terms FROM aq), e AS (SELECT query_id, len(terms) AS n, unnest(terms) AS term FROM t),
+    w AS (SELECT doc_id, list_filter(string_split({folded('text')}, ' '), lambda x: x <> '') AS k FROM documents), p AS (SELECT doc_id, len(k) AS length, unnest(k) AS term FROM w), c AS (SELECT doc_id, length, term, count(*) AS tf FROM p GROUP BY ALL),
+    h AS (SELECT query_id, n, doc_id, length, count(*) AS held, sum(tf)::BIGINT AS tf FROM e JOIN c USING (term) GROUP BY ALL HAVING count(*) = n)
+    SELECT query_id, doc_id, tf, CAST(floor(tf * 1000000 / sqrt(length)) AS BIGINT) AS rank FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY floor(tf * 1000000 / sqrt(length)) DESC, doc_id) <= 40""",
+)
+def search_table(spark, d):
+    """A table of questions at once over stored postings of all documents."""
+    return _postings(spark, d).ranked(_questions(spark, d)[0])
+
+
+@query(
+    "search_titles_table",
+    f"""WITH {TX}, {_ASKED}, q AS (SELECT query_id, substr(k[2], 1, 5) AS needle FROM aq WHERE length(k[2]) >= 2)
+    SELECT query_id, article_id AS doc_id FROM q JOIN tx ON contains(lower(title), needle) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY published_at DESC, article_id) <= 40""",
+)
+def search_titles_table(spark, d):
+    return _postings(spark, d).containing(_questions(spark, d)[1])
+
+
+@query(
+    "search_linked",
+    f"""WITH {TX}, e AS (SELECT event_id, max(published_at) AS t, min(title) AS title FROM (SELECT article_id // 5 AS event_id, published_at, title FROM tx) GROUP BY 1)
+    SELECT event_id FROM e WHERE contains(lower(title), 'er') OR event_id IN (SELECT article_id // 5 FROM tx WHERE contains(lower(title), 'er')) ORDER BY t DESC, event_id LIMIT 40""",
+)
+def search_linked(spark, d):
+    """Events of five articles each, by their own title or by a linked article's."""
+    a = T.text_articles(spark, d).withColumn("event_id", F.floor(F.col("article_id") / 5))
+    e = a.groupBy("event_id").agg(F.max("published_at").alias("last_activity_at"), F.min("title").alias("title"))
+    return R.search_substring(e, "er", a, fields=("title",)).select("event_id")
+
+
 @query(
     "query_facets",
     """SELECT c_custkey AS query_id, CASE WHEN c_custkey % 2 = 0 THEN 24 END::BIGINT AS since_hours, (10 + c_custkey % 80)::BIGINT AS min_impact, 'NATION_' || c_nationkey AS country, CASE WHEN c_custkey % 3 = 0 THEN 'economy' END AS category FROM customer""",
