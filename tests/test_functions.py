@@ -93,3 +93,11 @@ def test_freshness(spark):
     assert state("natural_events", "2024-01-01 04:00:00") == "RECENT" and state("science", "2024-01-01 04:00:00") == "FRESH"
     assert state("natural_events", "2024-02-01 00:00:00") == "EXPIRED" and state("anything", "2023-01-01 00:00:00") == "FRESH"
     assert one(spark, M.relative_age(at, F.to_timestamp(F.lit("2024-01-03 03:00:00")))) == "2 d"
+
+
+def test_claims_are_whole_words_and_numbers(spark):
+    claim = lambda f, t: one(spark, X.numeric_claim(F.col("t"), f), t=t)
+    assert claim("magnitude", "M6.5, Mag. 7") == "6.5" and claim("magnitude", "item 5 ham 3") is None
+    assert claim("fatalities", "12 Vítimas  mortais") == "12" and claim("fatalities", "3,450 deaths") == "3450" and claim("fatalities", "5 deadlines") is None
+    assert claim("depth_km", "depth 10 km, then depth 12 km") == "10" and claim("depth_km", "depth 10 kmh") is None
+    assert claim("injured", "2,5 injured") == "2.5" and claim("injured", "1,234,567 wounded") == "1234567"

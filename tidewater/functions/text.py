@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -171,39 +172,26 @@ def entity_candidates(text: Column) -> Column:
     return F.filter(found, kept)
 
 
-def _spoken(text: Column) -> Column:
-    """A text's numbers (with commas and points inside), words and other signs, in order and lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[0-9]+(?:[.,][0-9]+)*|\p{L}+(?:\.(?=\s*[0-9]))?|[^\s0-9\p{L}]"), F.lit(0))
+#: A number as reports write it: thousands in groups with commas, or digits with one decimal mark.
+NUMBER = "[0-9]{1,3}(?:,[0-9]{3})+(?:[.][0-9]+)?|[0-9]+(?:[.,][0-9]+)?"
 
 
 def numeric_claim(text: Column, field: str) -> Column:
     """The first number that a text states for a field, without thousands commas and with a decimal point; null if there is none.
 
-    A number is stated for a field if the field's words stand right beside it, before or after it as the field has it.
-    Deaths may name people between, and a depth is one in km.
+    A number is stated for a field if the field's words stand right beside it, before or after it as the field has it;
+    words and numbers are whole ones. Deaths may name people between, and a depth is one in km.
     """
-    said = _spoken(text)
-    near = CLAIM_WORDS[field]
-
-    def words(first: Column, n: int) -> Column:
-        return F.array_join(F.slice(said, first, F.lit(n)), " ")
-
-    def stated(i: Column) -> Column:
-        found = F.lit(False)
-        for w in near:
-            n = w.count(" ") + 1
-            if WORDS_FIRST[field]:
-                found = found | ((i > n) & (words(F.greatest(i - n, F.lit(1)), n) == w))
-            else:
-                found = found | (words(i + 1, n) == w)
-                if field == "fatalities":
-                    found = found | (words(i + 1, n + 1) == f"people {w}")
-        if field == "depth_km":
-            found = found & (words(i + 1, 1) == "km")
-        return found & F.element_at(said, i).rlike("^[0-9]")
-
-    at = F.filter(F.sequence(F.lit(1), F.size(said)), stated)
-    raw = F.when(F.size(said) > 0, F.element_at(said, F.get(at, F.lit(0))))
+    # longer words come first, so that one isn't taken for the beginning of another
+    words = _either(tuple(re.escape(w).replace("\\ ", r"\s+") for w in sorted(CLAIM_WORDS[field], key=len, reverse=True)))
+    apart = "[\\p{L}\\p{N}]"
+    if WORDS_FIRST[field]:
+        unit = rf"\s*km(?!{apart})" if field == "depth_km" else ""
+        pattern = rf"(?iu)(?<!{apart}){words}\s*({NUMBER}){unit}"
+    else:
+        people = r"(?:people\s+)?" if field == "fatalities" else ""
+        pattern = rf"(?iu)(?<![\p{{L}}\p{{N}}.,])({NUMBER})\s*{people}{words}(?!{apart})"
+    raw = F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
     return F.replace(F.regexp_replace(raw, ",(?=[0-9]{3}(?:[^0-9]|$))", ""), F.lit(","), F.lit("."))
 
 
