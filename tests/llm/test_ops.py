@@ -600,3 +600,35 @@ def test_quality_edges(spark, docs, none):
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(40)], "doc_id long, quality int")
     assert quality.score_documents(docs, labels).count() == docs.count()
     assert quality.score_documents(none, labels.limit(0)).count() == 0
+
+
+def test_quality_sites_turn_decisions(spark):
+    """The same weak evidence is kept on a good host's path and rejected on a bad one's; a sparse path follows its host."""
+    rows = [(i, "good", f"p{i % 3}", 3.0) for i in range(300)] + [(1000 + i, "bad", f"p{i % 3}", -3.0) for i in range(300)]
+    rows += [(2000, "good", "p0", -0.5), (2001, "bad", "p0", 0.5), (2002, "good", "rare", -0.5), (2003, "bad", "rare", 0.5), (2004, "good", "p1", -6.0), (2005, "bad", "p1", 6.0)]
+    found = spark.createDataFrame(rows, "doc_id long, host string, path string, evidence double")
+    got = {r["doc_id"]: r for r in quality.posteriors(found, 0.5).collect()}
+    turned = {i for i in got if (got[i]["quality"] >= 0.5) != (got[i]["evidence"] >= 0)}
+    # strong evidence stands whatever the site says
+    assert turned == {2000, 2001, 2002, 2003}
+
+
+def test_counts_of_repeated_rows_and_null_ids(spark):
+    rows = [(None, "is on he"), (None, "is on he"), (7, "is on he"), (7, "he"), (8, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("a clashing name"))
+    got = sorted(map(tuple, token_counts.count_tokens(df, PIECES).collect()), key=repr)
+    one, two = (token_counts.Counter(PIECES).text(t) for t in ("is on he", "he"))
+    assert got == sorted([(None, one), (None, one), (7, one), (7, two), (8, 0), (8, 0)], key=repr)
+
+
+def test_packing_repeated_rows_and_null_ids(spark):
+    """Rows of one id, or of none, are documents of their own: each is covered, none twice."""
+    rows = [(None, "one two three"), (None, "one two three"), (7, "one two three"), (7, "four"), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("offset", F.lit("a clashing name"))
+    got = packing.pack_documents(df, WORDS, keep_ids=True, partitions=2).collect()
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    want = sorted((repr(i), tok) for i, x in rows for tok in [*t.encode(x or "", add_special_tokens=False).ids, 2])
+    assert sorted((repr(r["doc_id"]), tok) for r in got for tok in r["ids"]) == want
+    assert sum(r["length"] == r["doc_tokens"] for r in got if r["doc_id"] is None) <= 2 and len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
