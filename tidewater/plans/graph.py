@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import hours_between, rounded
 from ..functions.text import tokens
 from ..operators.aggregates import common_entities, idf_weights
 from ..operators.joins import concat, radius_join, weighted_jaccard
+from ..operators.windows import top_n
+from ..saved import if_small, saved
 
 # Pairs of categories that are taken to affect one another, in either order.
 LINKED_DOMAINS = [
@@ -94,42 +96,158 @@ def same_actor(entities: DataFrame, events: DataFrame, common: DataFrame | None
     return _edge(pairs, "same_actor", F.least(F.lit(90), 40 + F.col("n") * 12), F.array_join(F.slice("names", 1, 5), ", "))
 
 
+def topic_words(events: DataFrame, idf: DataFrame) -> DataFrame:
+    """(id, category, last_activity_at, token, w, rare, left, total, rares_left) of titles: `left` and `rares_left` are weight and rare tokens from a token on.
+
+    Tokens of a title are ordered from the heaviest, ties by the token, which is one order for all titles.
+    """
+    words = events.select("id", "category", "last_activity_at", F.explode(tokens(F.col("title"))).alias("token"))
+    words = words.join(idf.select("token", "idf"), "token", "left")
+    words = words.withColumns({"w": F.coalesce("idf", F.lit(1.0)), "rare": F.coalesce(F.col("idf") > 1.5, F.lit(False))}).drop("idf")
+    title = Window.partitionBy("id")
+    rest = title.orderBy(F.desc("w"), "token").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return words.withColumns({"left": F.sum("w").over(rest), "rares_left": F.count_if("rare").over(rest), "total": F.sum("w").over(title)})
+
+
+def topic_meetings(words: DataFrame, least: float = 0.30) -> DataFrame:
+    """(a_id, b_id, bound): titles of one category that meet by a heavy token, and whether they can still be alike.
+
+    The first token that two alike titles share, in the order of `topic_words`, is followed in both by no less than what
+    they share, and by another rare token. So only tokens with enough weight after them meet (a title's prefix), and a
+    meeting at which what follows can't suffice for both is none.
+    """
+    heads = words.filter(F.col("rare") & (F.col("rares_left") >= 2) & (F.col("left") >= least * F.col("total") - 1e-9))
+    met = event_pairs(heads, ["category", "token"], ["left", "total"])
+    enough = F.least("a_left", "b_left") >= least / (1 + least) * (F.col("a_total") + F.col("b_total")) - 1e-9
+    return met.select("a_id", "b_id", enough.alias("bound"))
+
+
 def same_topic(events: DataFrame, idf: DataFrame | None = None, least: float = 0.30) -> DataFrame:
     """Alike titles in one category: weighted similarity and at least two shared tokens of idf above 1.5.
 
-    Pairs come from sharing two such tokens, so tokens that occur everywhere join nothing.
+    Pairs come from the heavy part of both titles (see `topic_meetings`); no others are formed.
     """
     known = events.filter("category <> 'unclassified' and category is not null")
-    idf = idf_weights(events) if idf is None else idf
-    words = known.select("id", "category", "last_activity_at", F.explode(tokens(F.col("title"))).alias("token"))
-    rare = words.join(idf.filter("idf > 1.5").select("token"), "token")
-    pairs = event_pairs(rare, ["category", "token"], []).groupBy("a_id", "b_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("token")).alias("names")).filter("n >= 2")
+    idf = saved((idf_weights(events) if idf is None else idf).select("token", "idf"))
+    words = saved(topic_words(known, idf))
+    pairs = saved(topic_meetings(words, least).filter("bound").select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct())
     plain = words.select("id", "token")
-    sims = weighted_jaccard(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), plain, plain, idf.select("token", "idf"))
-    out = pairs.join(sims, (F.col("a") == F.col("a_id")) & (F.col("b") == F.col("b_id"))).filter(F.col("similarity") >= least)
+    alike = saved(weighted_jaccard(pairs, plain, plain, idf).filter(F.col("similarity") >= least))
+    rare = words.filter("rare").select("id", "token")
+    names = alike.join(rare.withColumnRenamed("id", "a"), "a").join(rare.withColumnRenamed("id", "b"), ["b", "token"])
+    names = names.groupBy("a", "b", "similarity").agg(F.sort_array(F.collect_list("token")).alias("names")).filter(F.size("names") >= 2)
+    out = names.withColumns({"a_id": F.col("a"), "b_id": F.col("b")})
     return _edge(out, "same_topic", F.least(F.lit(85), rounded(F.col("similarity") * 120)), F.array_join(F.slice("names", 1, 5), ", "))
 
 
+def _in_sequence(pairs: DataFrame) -> DataFrame:
+    return _edge(pairs, "temporal_sequence", rounded(F.greatest(F.lit(35.0), 75 - F.col("h"))), F.concat(F.floor("h").cast("string"), F.lit(" h apart")))
+
+
+def _across_domains(pairs: DataFrame) -> DataFrame:
+    """Of pairs with both categories, which the basis names in the order of the ids."""
+    basis = F.when(F.col("a_id") < F.col("b_id"), F.concat_ws(" / ", "a_category", "b_category")).otherwise(F.concat_ws(" / ", "b_category", "a_category"))
+    return _edge(pairs, "cross_domain_impact", rounded(F.greatest(F.lit(30.0), 65 - F.col("h") / 2)), basis)
+
+
+def _in_order(events: DataFrame) -> DataFrame:
+    return events.filter("category <> 'general_news' and category is not null")
+
+
+def _links(spark: SparkSession) -> DataFrame:
+    """(a_category, b_category): linked categories, both ways; a fixed table, small enough for every task."""
+    return F.broadcast(spark.createDataFrame([(x, y) for p in LINKED_DOMAINS for x, y in (p, p[::-1])], "a_category string, b_category string"))
+
+
 def temporal_sequence(events: DataFrame, hours: int = 72) -> DataFrame:
     """One category, close but not equal in time, under 500 km apart or in one located country (not for general news)."""
-    known = events.filter("category <> 'general_news' and category is not null")
+    known = _in_order(events)
     by_country = event_pairs(_located(known), ["country", "category"], [], hours).select("a_id", "b_id", "h")
     near = _near_pairs(known, 500, hours, ("category",)).select("a_id", "b_id", "h")
-    pairs = by_country.unionByName(near).dropDuplicates(["a_id", "b_id"]).filter(F.col("h") > 0)
-    return _edge(pairs, "temporal_sequence", rounded(F.greatest(F.lit(35.0), 75 - F.col("h"))), F.concat(F.floor("h").cast("string"), F.lit(" h apart")))
+    return _in_sequence(by_country.unionByName(near).dropDuplicates(["a_id", "b_id"]).filter(F.col("h") > 0))
 
 
 def cross_domain(events: DataFrame, hours: int = 48) -> DataFrame:
     """Linked categories in one located country within the time: a correlation, not a cause."""
     here, around = _with_days(_located(events).filter("category is not null"), hours)
-    columns = ["id", "category", "last_activity_at"]
     # each linked pair of categories is an equality too: the partner's category is exploded on one side
-    spark = events.sparkSession
-    links = spark.createDataFrame([(x, y) for p in LINKED_DOMAINS for x, y in (p, p[::-1])], "a_category string, category string")
-    a = around.select("country", "w", *[F.col(c).alias(f"a_{c}") for c in columns]).join(F.broadcast(links), "a_category")  # a fixed table
-    b = here.select("country", "w", "category", F.col("id").alias("b_id"), F.col("last_activity_at").alias("b_last_activity_at"))
-    pairs = a.join(b, ["country", "w", "category"]).filter("a_id < b_id").withColumn("h", _hours()).filter(F.col("h") <= hours)
-    return _edge(pairs, "cross_domain_impact", rounded(F.greatest(F.lit(30.0), 65 - F.col("h") / 2)), F.concat_ws(" / ", "a_category", "category"))
+    a = around.select("country", "w", *[F.col(c).alias(f"a_{c}") for c in ("id", "category", "last_activity_at")]).join(_links(events.sparkSession), "a_category")
+    b = here.select("country", "w", *[F.col(c).alias(f"b_{c}") for c in ("id", "category", "last_activity_at")])
+    return _across_domains(a.join(b, ["country", "w", "b_category"]).filter("a_id < b_id").withColumn("h", _hours()).filter(F.col("h") <= hours))
+
+
+#: Hours within which the nearest partners of an event are looked for; beyond the last one, all of the relation's time.
+REACHES = (2, 4, 8, 16, 32)
+
+
+def _cell(time: str, hours: Column | int) -> Column:
+    width = (F.lit(hours) if isinstance(hours, int) else hours).cast("long") * F.lit(3_600_000_000)
+    return F.floor(F.unix_micros(F.col(time).cast("timestamp")) / width).cast("long")
+
+
+def nearest_pairs(a: DataFrame, b: DataFrame, keys: list[str], n: int, hours: int, slack: int, flat: float) -> DataFrame:
+    """(a_id, b_id, h and both categories): for each row of a its partners in b of equal keys, as far off as its n strongest are.
+
+    a and b: (keys, id, category, last_activity_at). A relation's strength falls with the hours between two events: by 1
+    or more over `slack` hours, and not any more from `flat` hours on. Among equally strong partners the newest come first,
+    then the smallest id. So:
+
+    - of partners active at one time, only the first n + 1 by id can be among anyone's n (one may be the event itself);
+    - if an event's cell of 2, 4, ... hours holds more than 2n of these, n of them lie at another time and within that
+      reach, and no partner further off than the reach and the slack is as strong;
+    - events of one reach meet partners in cells of twice its width; those without one meet all within `hours`.
+    """
+    side = lambda df, s: df.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in ("id", "category", "last_activity_at")])
+    reaches = [r for r in REACHES if r + slack < min(flat, hours)]
+    b = saved(top_n(side(b, "b"), [*keys, "b_last_activity_at"], [F.asc("b_id")], n + 1))
+    crowd = b.withColumn("_reach", F.explode(F.array(*map(F.lit, reaches)))).withColumn("_c", _cell("b_last_activity_at", F.col("_reach")))
+    crowd = saved(crowd.groupBy(*keys, "_reach", "_c").agg(F.count("*").alias("_n")).filter(F.col("_n") > 2 * n).drop("_n"))
+    a, few = side(a, "a"), if_small(crowd)
+    for r in reaches:
+        full = few.filter(F.col("_reach") == r).select(*keys, "_c", F.col("_reach").alias(f"_r{r}"))
+        a = a.withColumn("_c", _cell("a_last_activity_at", r)).join(full, [*keys, "_c"], "left").drop("_c")
+    a = a.withColumn("_reach", F.coalesce(*[F.col(f"_r{r}") for r in reaches])).drop(*[f"_r{r}" for r in reaches])
+    a = a.withColumn("_width", F.coalesce(2 * F.col("_reach"), F.lit(2 * hours)))
+    c = _cell("a_last_activity_at", F.col("_width"))
+    a = saved(a.withColumn("_c", F.explode(F.array(c - 1, c, c + 1))))
+    b = b.withColumn("_width", F.explode(F.array(*[F.lit(2 * r) for r in reaches], F.lit(2 * hours)))).withColumn("_c", _cell("b_last_activity_at", F.col("_width")))
+    met = a.join(b, [*keys, "_width", "_c"]).filter("a_id <> b_id").withColumn("h", _hours())
+    return met.filter(F.col("h") <= F.coalesce(F.col("_reach") + slack, F.lit(hours))).drop("_width", "_c", "_reach")
+
+
+def _shown(events: DataFrame, shown: Column | None) -> DataFrame:
+    return events if shown is None else events.filter(shown)
+
+
+def nearest_sequence(events: DataFrame, n: int = 8, hours: int = 72, shown: Column | None = None) -> DataFrame:
+    """Edges of `temporal_sequence`, among them the n strongest of each event (the newest first on ties), without all pairs of a country.
+
+    Only events for which `shown` holds (by default all) count among the n.
+    """
+    known = _in_order(events)
+    located = _located(known)
+    country = nearest_pairs(located, _shown(located, shown), ["country", "category"], n, hours, 1, 39.5).select("a_id", "b_id", "h")
+    near = _near_pairs(known, 500, hours, ("category",)).select("a_id", "b_id", "h")
+    return _in_sequence(country.unionByName(near).filter(F.col("h") > 0)).dropDuplicates(["from_id", "to_id"])
+
+
+def nearest_domains(events: DataFrame, n: int = 8, hours: int = 48, shown: Column | None = None) -> DataFrame:
+    """Edges of `cross_domain`, among them the n strongest of each event and linked category, as in `nearest_sequence`."""
+    located = _located(events.filter("category is not null"))
+    linked = located.join(_links(events.sparkSession), F.col("category") == F.col("a_category")).drop("a_category").withColumnRenamed("b_category", "partner")
+    there = _shown(located, shown).withColumn("partner", F.col("category"))
+    return _across_domains(nearest_pairs(linked, there, ["country", "partner"], n, hours, 2, 70)).dropDuplicates(["from_id", "to_id"])
+
+
+def relate_nearest(events: DataFrame, n: int = 8, entities: DataFrame | None = None, shown: Column | None = None) -> DataFrame:
+    """Edges among which are, of every event, the n that `neighbours` shows: enough for related events, with no pair table.
+
+    Places, topics and actors are related in full, since their strength doesn't follow from time.
+    """
+    parts = [same_location(events), same_topic(events), nearest_sequence(events, n, shown=shown), nearest_domains(events, n, shown=shown)]
+    if entities is not None:
+        parts.append(same_actor(entities, events))
+    return concat(parts).withColumn("version", F.lit(GRAPH_VERSION))
 
 
 def relate(events: DataFrame, entities: DataFrame | None = None) -> DataFrame:
