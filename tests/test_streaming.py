@@ -128,3 +128,18 @@ def test_feed_bodies_are_read_whole(spark, tmp_path):
     bodies = feeds.read_feed_bodies(spark, str(tmp_path))
     assert sorted(r["title"] for r in feeds.parse_feed(bodies, F.current_timestamp()).collect()) == ["T0", "T1"]
     assert drained(spark, feeds.read_feed_bodies(spark, str(tmp_path), stream=True)).count() == 2
+
+
+def test_landed_items_go_on_where_they_stopped(spark, tmp_path):
+    item = "<item><title>T{0}</title><link>https://n.example/{0}</link><pubDate>Tue, 0{1} Jan 2024 10:00:00 GMT</pubDate></item>"
+    landing, ledger = tmp_path / "landing", str(tmp_path / "items")
+    landing.mkdir()
+    for n in range(3):
+        (landing / f"f{n}.xml").write_text(item.format(n, 2) + item.format(0, 2))
+    take = lambda: sorted((r["title"], r["batch"]) for r in cycle.landed_items(spark, str(landing), ledger, F.to_timestamp(F.lit("2024-01-05")), files=2).collect())
+    first = take()
+    assert [t for t, _ in first] == ["T0", "T1", "T2"]  # the one in all three files once
+    assert take() == first  # nothing new, nothing twice
+    (landing / "f3.xml").write_text(item.format(3, 3) + item.format(1, 2) + "<item><title>no link</title></item>")
+    again = take()
+    assert [t for t, _ in again] == ["T0", "T1", "T2", "T3"] and again[:3] == first

@@ -28,14 +28,17 @@ def view_counts(views: DataFrame, as_of: Column) -> DataFrame:
 
 def score_inputs(events: DataFrame, articles: DataFrame, sources: DataFrame, as_of: Column, conflicts: DataFrame | None = None, views: DataFrame | None = None, timeline: DataFrame | None = None) -> DataFrame:
     """What the scores are computed from: aggregates per event, made before the joins; counts without rows are 0."""
-    a = articles.filter("event_id is not null").join(sources.select("source_id", "publisher_group", "origin_type", "reliability_score"), "source_id")
+    # one row an event, source and country before anything is joined; sets are bounded by the tables of sources and countries
+    n, distinct = F.col("_n"), lambda c: F.size(F.collect_set(c)).cast("long")
+    a = articles.filter("event_id is not null").groupBy("event_id", "source_id", "geo_country").agg(F.count("*").alias("_n"))
+    a = a.join(sources.select("source_id", "publisher_group", "origin_type", "reliability_score"), "source_id")
     facts = a.groupBy("event_id").agg(
-        F.count("*").alias("article_count"),
-        F.count_distinct("publisher_group").alias("independent_sources"),
-        F.count_distinct(F.when(F.col("origin_type").isin(OFFICIAL), F.col("source_id"))).alias("official_sources"),
+        F.sum("_n").alias("article_count"),
+        distinct("publisher_group").alias("independent_sources"),
+        distinct(F.when(F.col("origin_type").isin(OFFICIAL), F.col("source_id"))).alias("official_sources"),
         F.max("reliability_score").alias("max_reliability"),
-        F.avg("reliability_score").alias("avg_reliability"),
-        F.count_distinct("geo_country").alias("countries"),
+        F.try_divide(F.sum(F.col("reliability_score") * n), F.sum(F.when(F.col("reliability_score").isNotNull(), n))).cast("double").alias("avg_reliability"),
+        distinct("geo_country").alias("countries"),
     )
     out = events.join(facts, "event_id", "left")
     counts = {"article_count", "independent_sources", "official_sources", "countries"}

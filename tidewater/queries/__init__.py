@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import events, more, texts, wider  # noqa: F401
+    from . import events, landed, more, texts, wider  # noqa: F401
 
     return dict(_QUERIES)
 

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.measures import hours_between
 from ..functions.text import article_id
 from ..operators.joins import needs_review, not_notified
+from ..sources.feeds import extract_feed_geo, extract_measurements, parse_feed, read_feed_bodies
 from ..sources.stored import StoredTable, append_once, exists, read_ledger
 
 
@@ -32,6 +33,19 @@ def new_items(stream: DataFrame, at: str = "published_at", delay: str = "48 hour
     return stream.withColumn("article_id", article_id(F.col(link))).withWatermark(at, delay).dropDuplicatesWithinWatermark(["article_id"])
 
 
+def landed_items(spark: SparkSession, landing: str, ledger: str, as_of: Column, files: int = 64, delay: str = "48 hours") -> DataFrame:
+    """Items of all feed files in a landing folder, each once: a stream over what is there, kept batch by batch in `ledger`.
+
+    A micro-batch takes at most `files` files. The stream's checkpoint lies beside the ledger, so a run that dies goes on
+    where it stopped, a batch that is run again stands once, and a later run takes only files that arrived since. Items
+    that lie further back than `delay` behind the newest are late and left out.
+    """
+    stream = read_feed_bodies(spark, landing, stream=True, files=files)
+    items = new_items(extract_measurements(extract_feed_geo(parse_feed(stream, as_of))), delay=delay)
+    run(items, lambda df, n: append_once(df, ledger, n), f"{ledger}-checkpoint", every=None).awaitTermination()
+    return read_ledger(spark, ledger, items.schema)
+
+
 def changed_events(events: DataFrame, reviews: DataFrame, n: int = 400) -> DataFrame:
     """The next events to analyse: active since their last review, newest first."""
     return needs_review(events, reviews).orderBy(F.desc_nulls_last("last_activity_at"), "event_id").limit(n)
