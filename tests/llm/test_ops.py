@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat, jaccard, merkle, packing, pii, quality, substrings, token_counts, topk
+from tidewater.llm import chat, common, jaccard, merkle, packing, pii, quality, substrings, token_counts, topk
 from tidewater.llm import sentencepiece as sp
 from tidewater.llm.common import components
 
@@ -116,6 +116,12 @@ def test_topk_large_magnitudes_keep_ties():
     assert ids[0].tolist() == [0, 1, 2, 3, 4] and len(set(best[0])) == 1
 
 
+def test_topk_refuses_what_doubles_cannot_hold():
+    tree = topk.BallTree(np.arange(2), np.array([[2**27, 0], [0, 1]]))
+    with pytest.raises(ValueError, match="too long"):
+        tree.search(np.array([-1]), np.array([[2**26, 0]]), np.array([-np.inf]), 1)
+
+
 # ---- repeats and near copies ------------------------------------------------------------------
 
 
@@ -200,6 +206,15 @@ def test_jaccard_finds_links_that_the_cheap_round_misses(docs, corpus, monkeypat
     assert got == {k: v[1] for k, v in brute_links(corpus).items()}
 
 
+def test_jaccard_pairs_of_one_hash_in_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SKETCH_AGREE", 99)
+    monkeypatch.setattr(common, "ARROW_ROWS", 3)
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = spark.createDataFrame([(i, f"{words} own{i}") for i in range(40)] + [(99, "other words of no one else at all")], "doc_id long, text string").repartition(1)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(rows).collect()}
+    assert got == {**dict.fromkeys(range(40), 0), 99: 99}
+
+
 def test_jaccard_repeated_and_null_ids(spark):
     rows = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "A B c d e f"), (7, "a  b c d e f"), (None, "q"), (8, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard.jaccard_components(rows).collect()))

@@ -30,8 +30,8 @@ COMMON_SHINGLES, COMMON_FROM = 200_000, 12
 #: Least hashes that the cheap round compares, and how many must agree.
 SKETCH, SKETCH_AGREE = 6, 3
 TILE_ROWS = 2_000
-#: A shingle in more documents than this has its rows split into blocks of about so many; into MOST_BLOCKS at most.
-BLOCK_ROWS, MOST_BLOCKS = 20_000, 64
+#: A shingle in more documents than this has its rows split into blocks of about so many.
+BLOCK_ROWS = 20_000
 BITS = 2048
 
 
@@ -150,7 +150,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, perce
                 if member == 0:
                     leader, tile, lset, lbits = a, t, s, bits
                     continue
-                assert (leader, tile) == (a, t)
+                if (leader, tile) != (a, t):
+                    raise ValueError(f"node {node} is to be compared with node {a}, whose text wasn't found: was the table changed while it was read?")
                 need = -(-percent * (len(s) + len(lset)) // (100 + percent))
                 # each shared shingle sets a shared bit; a set's other shingles can hide behind few bits
                 hidden = min(len(s) - _ones(bits), len(lset) - _ones(lbits))
@@ -228,15 +229,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     dealt = _in_blocks(dealt, common, common_n).repartition("h", "cell").sortWithinPartitions("h", "cell", "n", "node")
 
     def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        held = []  # batches of the last hash and cell so far, put together once
         for b in batches:
+            if not b.num_rows:
+                continue
             block = np.column_stack([b.column(i).to_numpy().astype(np.int64) for i in range(8)])
-            block = block if rest is None else np.concatenate([rest, block])
+            if held and (block[-1, :2] == held[0][0, :2]).all():
+                held.append(block)
+                continue
+            block = np.concatenate([*held, block])
             cut = int(np.flatnonzero((block[:, :2] == block[-1, :2]).all(1))[0])
-            rest = block[cut:]
+            held = [block[cut:]]
             yield from _cross_pairs(block[:cut], percent)
-        if rest is not None:
-            yield from _cross_pairs(rest, percent)
+        if held:
+            yield from _cross_pairs(np.concatenate(held), percent)
 
     pairs = dealt.mapInArrow(freeing(pair_up), "a long, b long, rare int, an int, bn int, ar int, br int")
     pairs = pairs.groupBy("a", "b", "an", "bn", "ar", "br").agg(F.sum("rare").alias("met"))
@@ -258,14 +264,14 @@ def _in_blocks(dealt: DataFrame, common: np.ndarray, counts: np.ndarray) -> Data
     heavy = counts > BLOCK_ROWS
     if not heavy.any():
         return dealt.withColumns({"cell": F.lit(0), "block": F.lit(-1)}).select(rows)
-    many = np.minimum(-(-counts[heavy] // BLOCK_ROWS), MOST_BLOCKS)
-    table = dealt.sparkSession.createDataFrame(list(zip(common[heavy].view(np.int64).tolist(), many.tolist())), "h long, blocks int")  # COMMON_SHINGLES rows at most
-    dealt = dealt.join(F.broadcast(table), "h", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    none = F.array(F.struct(F.lit(0).alias("cell"), F.lit(-1).alias("block")))
+    many = -(-counts[heavy] // BLOCK_ROWS)
+    table = dealt.sparkSession.createDataFrame(list(zip(common[heavy].view(np.int64).tolist(), many.tolist())), "h long, blocks long")  # COMMON_SHINGLES rows at most
+    dealt = dealt.join(F.broadcast(table), "h", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("long"))
+    none = F.array(F.struct(F.lit(0).cast("long").alias("cell"), F.lit(-1).cast("long").alias("block")))
     # cells are numbered by their two blocks
     each = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda j: F.struct((F.least("own", j) * F.col("blocks") + F.greatest("own", j)).alias("cell"), F.when(F.col("own") == j, -1).otherwise(F.col("own")).alias("block")),
+        F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
+        lambda j: F.struct((F.least("own", j) * F.col("blocks") + F.greatest("own", j)).alias("cell"), F.when(F.col("own") == j, F.lit(-1).cast("long")).otherwise(F.col("own")).alias("block")),
     )
     dealt = dealt.withColumn("c", F.explode(F.when(F.col("blocks").isNull(), none).otherwise(each)))
     return dealt.withColumns({"cell": F.col("c.cell"), "block": F.col("c.block")}).select(rows)

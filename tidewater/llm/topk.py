@@ -24,7 +24,7 @@ from .common import freeing, if_small, least_hashed, prepare, saved
 SHARD_ROWS, LEAF_ROWS, BLOCK = 8192, 64, 256
 #: Pivots at most, bytes of all pivots at most, and rows of the sample (by least hash) that they are fitted on.
 MOST_PIVOTS, PIVOT_BYTES, SAMPLE_ROWS = 1024, 8 << 20, 16_384
-#: Part of a bound that covers rounding of centres and radii; scores themselves are exact integers.
+#: Part of a bound that covers rounding of centres and radii; scores themselves are exact integers, as all below 2^53 are in doubles.
 SLACK = 1e-9
 
 
@@ -59,12 +59,15 @@ class BallTree:
 
         grow(np.arange(len(self.ids)))
         self.centres, self.radii = np.array(centres), np.array(radii)
+        self.longest = float(np.sqrt((self.x**2).sum(1)).max())
         #: pairs of a query and a row whose product was formed
         self.scored = 0
 
     def search(self, qids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Scores and ids (m x k, -inf where there are fewer) that reach `floor`, ties to smaller ids; a query's own id is left out."""
         m, q = len(q), q.astype(np.float64)
+        if m and float(np.sqrt((q**2).sum(1)).max()) * self.longest >= 2**53:
+            raise ValueError("vectors are too long to be scored exactly: the product of two lengths must be below 2^53")
         best = np.full((m, k), -np.inf)
         ids = np.full((m, k), np.iinfo(np.int64).max)
         kth = floor.astype(np.float64).copy()
@@ -240,7 +243,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scored: Accumulato
     Both inputs: (id, v array of long). Null or empty vectors and null ids take no part, nor do vectors of another
     length than the query's. Rows with the query's id aren't its candidates; repeated ids and vectors are
     candidates of their own, and a repeated query id counts once. Fewer candidates than k give as many rows; no
-    rows give none. What no bound leaves out is scored exactly. `scored`, if given, counts the pairs that are
+    rows give none. What no bound leaves out is scored exactly; the job fails where two lengths multiply to 2^53 or more. `scored`, if given, counts the pairs that are
     scored; where vectors lie in no clusters, bounds leave out little and that is all pairs.
     """
     spark = vectors.sparkSession
