@@ -60,6 +60,12 @@ def test_entities(spark):
     assert "Rio de Janeiro" in got and "Maria Silva" in got and "The" not in got and not any(e.startswith("Go Go") for e in got)
 
 
+def test_entities_keep_their_ends(spark):
+    text = "Key0 met, Key11 met, Key2222 met"
+    assert one(spark, X.entity_candidates(F.col("t")), t=text) == ["Key0", "Key11", "Key2222"]
+    assert one(spark, X.entity_candidates(F.col("t")), t="xAbc 1Abc _Abc \u00d7abc e\u0301Abc Ab\x0bCd") == ["\u00d7abc", "Abc Ab"]
+
+
 def test_numeric_claims(spark):
     claim = lambda f, t: one(spark, X.numeric_claim(F.col("t"), f), t=t)
     assert claim("magnitude", "a magnitude 6,1 quake") == "6.1"

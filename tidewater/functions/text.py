@@ -151,10 +151,14 @@ def _either(words: tuple[str, ...]) -> str:
     return f"(?:{'|'.join(words)})"
 
 
+#: White space between the words of a name; a vertical tab is none.
+SPACE = r"[ \t\n\f\r]+"
+
+
 def _names() -> str:
-    """A capitalised word and up to three more, with a particle before any of them."""
+    """A capitalised word that follows no letter, digit or underscore, and up to three more, with a particle before any of them."""
     word = r"[A-ZÀ-Þ][\wÀ-ÿ'’-]+"
-    return rf"\b{word}(?:\s+(?:{_either(NAME_PARTICLES)}\s+)?{word}){{0,3}}"
+    return rf"(?<![\p{{L}}\p{{Nd}}_]){word}(?:{SPACE}(?:{_either(NAME_PARTICLES)}{SPACE})?{word}){{0,3}}"
 
 
 ENTITY = _names()
@@ -163,10 +167,11 @@ ENTITY = _names()
 def entity_candidates(text: Column) -> Column:
     """Runs of capitalised words, with particles between: at least three characters, at most three words, none twice."""
     stop = F.array(*[F.lit(w) for w in ENTITY_STOP_WORDS])
-    found = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), F.trim)
+    # a lambda, since transform would pass F.trim the place in the array as the characters to trim
+    found = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), lambda e: F.trim(e))
 
     def kept(e: Column) -> Column:
-        ws = F.split(F.lower(e), r"\s+")
+        ws = F.split(F.lower(e), SPACE)
         return (F.length(e) >= 3) & ~F.array_contains(stop, e) & (F.size(ws) <= 3) & (F.size(F.array_distinct(ws)) == F.size(ws))
 
     return F.filter(found, kept)
