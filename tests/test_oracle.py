@@ -89,6 +89,13 @@ def test_all_similar_titles(spark, tmp_path):
     assert got == want and (0, 9, 10000) in got
 
 
+def test_shared_names_keep_their_digits(spark, tmp_path):
+    docs = [(i, f"alpha.\nso Amber0 met, Bolt11 met, Coral222 met {i}.", "en", "s") for i in range(2)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["edges_same_actor"](spark, str(tmp_path)).collect()]
+    assert got == [(0, 1, 76, "amber0, bolt11, coral222")]
+
+
 def test_entry_and_names():
     import __spark_entry__ as e
 
