@@ -27,3 +27,17 @@ def test_questions_read_their_buckets_only(spark, sf_dir):
     for r in p.containing(q).collect():
         told.setdefault(r["query_id"], set()).add(r["doc_id"])
     assert {i: set(v) for i, v in hits.items() if v} == told and told
+
+
+def test_an_index_holds_one_row_a_document_and_bucket(spark):
+    """What is stored grows with the texts: no value beside each of its runs, no row for each word, no words where none are asked for."""
+    title = "a long title of many words, which has some hundred runs of two and three characters"
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.timestamp_micros(F.col("id")).alias("at"), F.lit(title).alias("title"))
+    p = Postings(spark, tempfile.mkdtemp(prefix="spark-") + "/p", buckets=4)
+    p.add(0, docs.unionByName(docs), ("title",))
+    assert p.grams.read().count() <= 80 and "value" not in p.grams.read().columns and p.words.read().count() == 0
+    p.add(1, docs.withColumn("text", F.concat(F.col("title"), F.lit(" Words words"))))
+    assert p.words.read().count() <= 80
+    q = spark.createDataFrame([(1, "words"), (2, "w")], "query_id int, q string")
+    assert {(r["doc_id"], r["tf"], r["rank"]) for r in p.ranked(q).collect()} == {(i, 3, 707106) for i in range(20)}
+    assert {r["doc_id"] for r in p.containing(q).collect()} == set(range(20))

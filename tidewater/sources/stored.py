@@ -4,7 +4,7 @@ A bucket is a share of the hashed keys, or a value of an expression over them su
 
 A table is a folder in the shared store: `rows` (Parquet, one folder a bucket), `staged` (buckets of an upsert that
 is under way) and `done` (one small file for each batch that is in). An upsert first writes its buckets whole to
-`staged` and then puts them in the place of the old ones, so a job that dies at any point is run again with the
+`staged` and then moves them to the place of the old ones, so a job that dies at any point is run again with the
 same batch number: what was staged is put in place, what wasn't is computed anew from rows that nobody has changed,
 and a batch that is done changes nothing.
 """
@@ -12,6 +12,7 @@ and a batch that is done changes nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,21 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Moves a folder to the place of another one."""
+    a, b = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jvm.org.apache.hadoop.fs.Path(to)
+    remove(spark, to)
+    fs = b.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(n for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p) if (n := f.getPath().getName()).startswith(f"{BUCKET}="))
+
+
 def replace_rows(keys: list[str]) -> Merge:
     """New rows over old ones of the same key; of several new rows of a key, which must agree, one."""
     return lambda old, new: old.join(new.select(*keys), keys, "left_anti").unionByName(new.dropDuplicates(keys))
@@ -82,6 +98,9 @@ class StoredTable:
         if self.is_done(batch):
             return []
         rows = rows.select(self.schema.names)
+        if merge is None and not exists(self.spark, self.rows_path):
+            # into an empty table rows are dealt once, and repeated keys go where they lie
+            return self._write(batch, [], lambda: self._dealt(rows).dropDuplicates([BUCKET, *self.keys]))
         touched = self._touched(rows)
         return self._write(batch, touched, lambda: (merge or replace_rows(self.keys))(self._buckets(touched).select(self.schema.names), rows))
 
@@ -92,28 +111,34 @@ class StoredTable:
     def _write(self, batch: int, touched: list[str], merged: Callable[[], DataFrame]) -> list[str]:
         if not exists(self.spark, f"{self.path}/layout/_SUCCESS"):
             self.spark.createDataFrame([(self.by, self.keys)], "by string, keys array<string>").coalesce(1).write.mode("overwrite").json(f"{self.path}/layout")
-        stage = f"{self.staged}/batch={batch}"
-        if not exists(self.spark, f"{stage}/_SUCCESS"):
-            # rows of a bucket come together, so that it is one file
-            merged().select(self.schema.names).withColumn(BUCKET, self.bucket()).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(stage)
-        staged = self.spark.read.schema(self._with_bucket()).parquet(stage)
-        filled = [r[0] for r in staged.select(BUCKET).distinct().collect()]  # at most one a bucket
-        if filled:
-            staged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.rows_path)
+        stage, names = f"{self.staged}/batch={batch}", f"{self.staged}/names={batch}"
+        if not exists(self.spark, f"{names}/_SUCCESS"):
+            if not exists(self.spark, f"{stage}/_SUCCESS"):
+                rows = merged()
+                rows = rows if BUCKET in rows.columns else self._dealt(rows.select(self.schema.names))
+                rows.write.mode("overwrite").option("compression", "zstd").partitionBy(BUCKET).parquet(stage)
+            # the folders' names are kept before any of them is moved; at most one a bucket
+            self.spark.createDataFrame([(n,) for n in _folders(self.spark, stage)], "name string").coalesce(1).write.mode("overwrite").json(names)
+        folders = [r["name"] for r in self.spark.read.schema("name string").json(names).collect()]
+        for name in folders:
+            if exists(self.spark, f"{stage}/{name}"):
+                move(self.spark, f"{stage}/{name}", f"{self.rows_path}/{name}")
+        filled = [unquote(n.split("=", 1)[1]) for n in folders]
         # a bucket that nothing is left of goes by its name
         for name in set(touched) - set(filled):
             remove(self.spark, f"{self.rows_path}/{BUCKET}={name}")
         self.spark.range(1).write.mode("overwrite").parquet(f"{self.done}/batch={batch}")
         remove(self.spark, stage)
+        remove(self.spark, names)
         return sorted({*touched, *filled})
 
     def bucket_names(self) -> list[str]:
         """Names of the buckets there are, by listing their folders; one a bucket."""
-        if not exists(self.spark, self.rows_path):
-            return []
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.rows_path)
-        found = [f.getPath().getName() for f in p.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(p)]
-        return sorted(n.split("=", 1)[1] for n in found if n.startswith(f"{BUCKET}="))
+        return sorted(n.split("=", 1)[1] for n in _folders(self.spark, self.rows_path)) if exists(self.spark, self.rows_path) else []
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows of a bucket together, so that it is one file."""
+        return rows.withColumn(BUCKET, self.bucket()).repartition(BUCKET)
 
     def _with_bucket(self) -> StructType:
         return StructType([*self.schema.fields]).add(BUCKET, StringType())
