@@ -79,3 +79,16 @@ def test_topics_meet_by_heavy_words(spark):
     met = graph.topic_meetings(graph.topic_words(events, idf_weights(events)))
     assert met.count() * 10 < meet  # formed before the bound, against what meets by any rare token
     assert met.filter("bound").count() < met.count()
+
+
+def test_pairs_are_counted_by_their_times(spark):
+    """Counts are those of the pairs, and of many events at one time one row a time is joined."""
+    rows = [(i, f"t{i}", "economy" if i % 3 else "politics", "XA" if i % 4 else "XB", None, i % 5 / 10 if i % 2 else None, 20.0 if i % 2 else None, "exact" if i % 2 else "approximate", datetime(2024, 1, 1 + i % 10), "PUBLISHED") for i in range(80)]
+    events = spark.createDataFrame(rows, EVENT).cache()
+    each = graph.event_pairs(events, ["category"], []).groupBy("category", "h").count()
+    assert {tuple(r) for r in graph.pair_counts(events, ["category"]).select("category", "h", "n").collect()} == {tuple(r) for r in each.collect()}
+    assert graph._moments(events, ["category"]).count() <= 20
+    edges = joins.concat([graph.same_location(events), graph.temporal_sequence(events), graph.cross_domain(events)])
+    want = {tuple(r) for r in edges.groupBy("kind", "strength").count().collect()}
+    assert {tuple(r) for r in graph.edge_counts(events).select("kind", "strength", "n").collect()} == want and len({k for k, *_ in want}) == 3
+    assert edges.count() == edges.select("from_id", "to_id", "kind").distinct().count()
