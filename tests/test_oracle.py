@@ -111,6 +111,13 @@ def test_shared_names_keep_their_digits(spark, tmp_path):
     assert got == [(0, 1, 76, "amber0, bolt11, coral222")]
 
 
+def test_letters_beyond_the_first_plane_share_no_names(spark, tmp_path):
+    docs = [(i, f"alpha.\nso \U0001d400Amber met, Bolt met, Coral met {i}.", "en", "s") for i in range(2)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in QUERIES["edges_same_actor"](spark, str(tmp_path)).collect()]
+    assert got == [(0, 1, 64, "bolt, coral")]
+
+
 def test_entry_and_names():
     import __spark_entry__ as e
 

@@ -158,7 +158,8 @@ SPACE = r"[ \t\n\f\r]+"
 def _names() -> str:
     """A capitalised word that follows no letter, digit or underscore, and up to three more, with a particle before any of them."""
     word = r"[A-ZÀ-Þ][\wÀ-ÿ'’-]+"
-    return rf"(?<![\p{{L}}\p{{Nd}}_]){word}(?:{SPACE}(?:{_either(NAME_PARTICLES)}{SPACE})?{word}){{0,3}}"
+    # a letter beyond U+FFFF in the pattern makes Java look behind by whole characters, not by halves of pairs
+    return rf"(?<![\p{{L}}\p{{Nd}}_{chr(0x10000)}]){word}(?:{SPACE}(?:{_either(NAME_PARTICLES)}{SPACE})?{word}){{0,3}}"
 
 
 ENTITY = _names()
