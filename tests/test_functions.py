@@ -66,6 +66,22 @@ def test_entities_keep_their_ends(spark):
     assert one(spark, X.entity_candidates(F.col("t")), t="xAbc 1Abc _Abc \u00d7abc e\u0301Abc Ab\x0bCd") == ["\u00d7abc", "Abc Ab"]
 
 
+def test_letters_beyond_the_first_plane_stand_before_no_entity(spark):
+    assert one(spark, X.entity_candidates(F.col("t")), t="\U0001d400Abc \U00020000Def \U0001f600Ghi met") == ["Ghi"]
+
+
+def test_folding_in_one_pass(spark):
+    """No pass for each kind of character, and a hash that folds no more of a long text than it takes."""
+    texts = ["", "!!", "  a  b", "\u00e9\u00e1b \u00c7", "the The x1 y2 123 abc\n\tdef", "a" * 399 + "!b", "a" * 1600 + " b", "! " * 900 + "tail word", "ab " * 133 + "x yz"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    slow = F.trim(F.regexp_replace(F.regexp_replace(F.lower(X.strip_accents(F.col("t"))), "[^a-z0-9 ]+", " "), r"\s+", " "))
+    hashed = F.sha1(F.concat(F.lit("|"), F.substring(F.coalesce(slow, F.lit("")), 1, 400)))
+    got = df.select(X.fold_text(F.col("t")).eqNullSafe(slow).alias("a"), (X.content_hash(F.lit(""), F.col("t")) == hashed).alias("b")).collect()
+    assert all(r["a"] and r["b"] for r in got)
+    plan = df.select(X.tokens(F.col("t")), X.fold_text(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "array_contains" not in plan
+
+
 def test_numeric_claims(spark):
     claim = lambda f, t: one(spark, X.numeric_claim(F.col("t"), f), t=t)
     assert claim("magnitude", "a magnitude 6,1 quake") == "6.1"

@@ -42,15 +42,20 @@ def strip_accents(text: Column) -> Column:
     return F.translate(text, _FROM, _TO)
 
 
+def _pieces(text: Column) -> Column:
+    """Folded words in order, from one pass over the text; the first and the last may be empty."""
+    return F.split(F.lower(strip_accents(text)), "[^a-z0-9]+")
+
+
 def fold_text(text: Column) -> Column:
     """Accents off, lower case, all but a-z, 0-9 and space as one space, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(strip_accents(text)), "[^a-z0-9 ]+", " "), r"\s+", " "))
+    return F.trim(F.array_join(_pieces(text), " "))
 
 
 def tokens(text: Column) -> Column:
     """Distinct folded words of more than two characters that aren't stop words, in order."""
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
-    return F.array_distinct(F.filter(F.split(fold_text(text), " "), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w)))
+    # isin of constants is a lookup in a set
+    return F.array_distinct(F.filter(_pieces(text), lambda w: (F.length(w) > 2) & ~w.isin(*dict.fromkeys(STOP_WORDS))))
 
 
 def slugify(title: Column) -> Column:
@@ -66,8 +71,15 @@ def event_id(seed: Column, when: Column) -> Column:
     return F.concat(F.lit("EVT-"), F.date_format(when, "yyyy-MM-dd"), F.lit("-"), F.upper(F.substring(F.sha1(seed), 1, 8)))
 
 
+def folded_head(text: Column, n: int) -> Column:
+    """The first n characters of a folded text; the whole is folded only where its first 4 n characters fold to fewer."""
+    head = fold_text(F.substring(text, 1, 4 * n))
+    # the last character of what is folded may be one that the next would have kept: a space
+    return F.substring(F.when(F.length(head) > n, head).otherwise(fold_text(text)), 1, n)
+
+
 def content_hash(title: Column, summary: Column) -> Column:
-    return F.sha1(F.concat(fold_text(title), F.lit("|"), F.substring(fold_text(F.coalesce(summary, F.lit(""))), 1, 400)))
+    return F.sha1(F.concat(fold_text(title), F.lit("|"), folded_head(F.coalesce(summary, F.lit("")), 400)))
 
 
 def conflict_id(event: Column, field: Column) -> Column:
