@@ -59,3 +59,17 @@ def test_a_million_names(spark):
     found = enrich.geocode(a, places)
     assert {r["article_id"]: r["place"] for r in found.collect()} == {1: "Place Hhhhhh", 2: None}
     assert "NestedLoop" not in plan_of(found) and "Cartesian" not in plan_of(found)
+
+
+def test_names_that_begin_alike_leave_no_task_unless_they_occur(spark, monkeypatch):
+    from tidewater.operators import dictionary
+
+    kept = []
+    monkeypatch.setattr(dictionary, "saved", lambda df, f=dictionary.saved: kept.append(out := f(df)) or out)
+    names = spark.createDataFrame([(f"nation_{i}", f"nation_{i}") for i in range(20)], "name_id string, name string")
+    texts = spark.createDataFrame([(i, " in nation_13 ") for i in range(30)], "id long, text string")
+    found = sorted(tuple(r) for r in dictionary.contained_in(texts, names).collect())
+    assert found == sorted((i, n) for i in range(30) for n in ("nation_1", "nation_13"))
+    assert max(df.count() for df in kept) == 20
+    monkeypatch.setattr(dictionary, "SENT", 0)
+    assert sorted(tuple(r) for r in dictionary.contained_in(texts, names).collect()) == found

@@ -11,6 +11,8 @@ from ..saved import if_small, saved
 
 #: A name is looked up by so many of its first words, or characters, at most.
 WORDS, CHARACTERS = 3, 3
+#: Names that may stand inside a word go to every task up to so many.
+SENT = 200_000
 Verify = Callable[[Column, Column], Column]
 
 
@@ -61,7 +63,7 @@ def named_in(texts: DataFrame, names: DataFrame, letters: str, verify: Verify) -
 
 def contained_in(texts: DataFrame, names: DataFrame, verify: Verify = lambda text, name: text.contains(name)) -> DataFrame:
     """(id, name_id) once for each name that a text contains, wherever, and that verify allows; names meet texts by their first characters, as many as three."""
-    key = saved(names.filter("name <> ''").select("name_id", F.least(F.length("name"), F.lit(CHARACTERS)).alias("n"), F.substring("name", 1, CHARACTERS).alias("gram")))
+    key = saved(names.filter("name <> ''").select("name_id", "name", F.least(F.length("name"), F.lit(CHARACTERS)).alias("n"), F.substring("name", 1, CHARACTERS).alias("gram")))
     lengths = sorted(r[0] for r in key.select("n").distinct().collect())  # 1 to CHARACTERS
     if not lengths:
         return texts.select("id").crossJoin(names.select("name_id")).limit(0)
@@ -70,8 +72,12 @@ def contained_in(texts: DataFrame, names: DataFrame, verify: Verify = lambda tex
         at = F.sequence(F.lit(1), F.length("text") - n + 1)
         return F.when(F.length("text") >= n, F.array_distinct(F.transform(at, lambda i: F.substring(F.col("text"), i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
-    said = texts.select("id", F.explode(F.concat(*[grams(n) for n in lengths])).alias("gram"))
-    hits = saved(said.join(if_small(key, 1_000_000), "gram").select("id", "name_id"))
+    each = F.explode(F.concat(*[grams(n) for n in lengths])).alias("gram")
+    if key.limit(SENT + 1).count() <= SENT:
+        # names are tried where the text lies: of names that begin alike, only those that occur leave the task
+        met = texts.select("id", "text", each).join(F.broadcast(key.select("name_id", "name", "gram")), "gram")
+        return met.filter(verify(F.col("text"), F.col("name"))).select("id", "name_id").distinct()
+    hits = saved(texts.select("id", each).join(if_small(key.select("name_id", "gram"), 1_000_000), "gram").select("id", "name_id"))
     return _verified(hits, texts, names, verify)
 
 
