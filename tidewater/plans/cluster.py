@@ -46,9 +46,13 @@ def blocked() -> Column:
     return F.coalesce(far, F.lit(False)) | F.coalesce(abroad, F.lit(False)) | F.coalesce(other, F.lit(False))
 
 
+#: So much of a body is read for its words.
+BODY = 400
+
+
 def describe(articles: DataFrame) -> DataFrame:
     """What similarity needs of articles: id, published_at, category, place, provider's id, words of title and of title and body."""
-    body = F.concat_ws(" ", F.col("title"), F.substring(F.coalesce("summary", F.lit("")), 1, 400))
+    body = F.concat_ws(" ", F.col("title"), F.substring(F.coalesce("summary", F.lit("")), 1, BODY))
     return articles.select(
         F.col("article_id").alias("id"), "published_at", "category", "lat", "lon", F.col("geo_country").alias("country"),
         F.get_json_object("payload", "$.measurements.provider_event_id").alias("provider"), tokens(F.col("title")).alias("title_tokens"), tokens(body).alias("body_tokens"),
@@ -117,12 +121,14 @@ def meetings(left: DataFrame, right: DataFrame, threshold: float, near: Column)
     b = right.filter("role <> 'B'").select(*[F.col(c).alias(f"b_{c}") for c in names], "token", "w", "role", F.col("own").alias("b_size"), F.col("other").alias("a_size"))
     keys = ["token", "w", "role", "a_size", "b_size"]
     known = a.filter("a_category <> 'unclassified'").withColumn("b_category", F.col("a_category")).join(b, [*keys, "b_category"])
-    open_ = a.filter("a_category = 'unclassified'").join(b, keys)
+    is_open = a.filter("a_category = 'unclassified'")
     least = F.lit(threshold) - F.least("a_reach", "b_reach")
     least = F.when(F.col("role") == "b", least / 0.9).otherwise(least)
     left_over = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
     enough = (F.col("role") == "S") | (left_over >= least / (1 + least) * (F.col("a_n") + F.col("b_n")) - 1e-9)
-    return known.unionByName(open_.select(known.columns)).filter(near & enough).select("a_id", "b_id").distinct()
+    # the other side isn't dealt again for nothing
+    met = known if is_open.isEmpty() else known.unionByName(is_open.join(b, keys).select(known.columns))
+    return met.filter(near & enough).select("a_id", "b_id").distinct()
 
 
 def scored(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -211,7 +217,9 @@ def cluster(articles: DataFrame, threshold: float = THRESHOLD, hours: float = WI
     content_hash). Rows without a publish time found events of their own or follow exact duplicates.
     """
     dups = saved(content_dups(articles))
-    kept = articles.join(dups.select("article_id"), "article_id", "left_anti")
+    # what follows reads so much of an article, and hashes are formed once, above
+    slim = articles.select("article_id", "source_id", "title", F.substring("summary", 1, BODY).alias("summary"), "category", "published_at", "lat", "lon", "geo_country", "payload")
+    kept = slim.join(dups.select("article_id"), "article_id", "left_anti")
     provider = saved(provider_matches(kept))
     left = saved(kept.join(provider.select("article_id"), "article_id", "left_anti"))
     pairs = saved(similar_pairs(left, threshold, hours))
