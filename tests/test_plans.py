@@ -352,3 +352,13 @@ def test_events_alike_are_cut_before_rules_meet_them(spark, monkeypatch):
     assert sorted(r["event_id"] for r in got if r["rule_id"] == 1) == [i for i in range(28) if i not in (0, 3, 5)]
     assert sorted(r["event_id"] for r in got if r["rule_id"] == 2) == list(range(25))
     assert met == [28]
+
+
+def test_conflicts_deal_an_article_once(spark):
+    from tidewater.plans import enrich
+
+    rows = [(1, "magnitude 5, 3 killed"), (1, "magnitude 6, 3 killed"), (2, "magnitude 5"), (None, "magnitude 5"), (None, "magnitude 6"), (3, "3 injured"), (3, None), (3, "4 injured")]
+    df = spark.createDataFrame(rows, "event_id long, title string").withColumn("summary", F.lit(None).cast("string"))
+    found = enrich.detect_conflicts(df)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "magnitude", ["5", "6"]), (3, "injured", ["3", "4"])]
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
