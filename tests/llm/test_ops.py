@@ -1,6 +1,7 @@
 """Operators against brute force on small tables, with nulls, empty and long texts, ties, repeats and extra columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import chat, common, jaccard, merkle, packing, pii, quality, substrings, token_counts, topk
+from tidewater.llm import chat, common, jaccard, lattice, merkle, packing, pii, quality, substrings, token_counts, topk
 from tidewater.llm import sentencepiece as sp
 from tidewater.llm.common import components
 
@@ -338,6 +339,45 @@ def test_encoding_runs_over_documents(spark, tmp_path, unigram, monkeypatch, mos
     assert sorted([tuple(r) for r in sp.op5_sentencepiece(spark, str(tmp_path)).select("doc_id", "n_pieces", "ids", "round_trip").collect()], key=repr) == want
 
 
+def test_encoding_shuffles_and_saves_nothing(spark, tmp_path, unigram):
+    """Distinct words without end take no disk, whatever their number; every word is another."""
+    texts = [" ".join(f"w{i}x{j * 7919 % 100_003}é" for j in range(400)) for i in range(8)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    shared = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
+    got = sp.op5_sentencepiece(spark, str(tmp_path))
+    rows = {r["doc_id"]: r for r in got.collect()}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan and set(os.listdir(shared)) == before
+    for i, t in enumerate(texts):
+        want = None if t is None else unigram(t)
+        assert (rows[i]["ids"], rows[i]["round_trip"]) == ((None, None) if t is None else (" ".join(map(str, want)), True))
+
+
+@pytest.mark.parametrize("few, fields", [(0, 1 << 25), (0, 0), (1 << 30, 0)])
+def test_paths_of_many_words_and_of_few(spark, sf_dir, unigram, monkeypatch, few, fields):
+    """Both folds give the other library's path, for words of unlike length beside one another too, with either table."""
+    monkeypatch.setattr(lattice, "FEW_WORDS", few)
+    monkeypatch.setattr(lattice, "DENSE_FIELDS", fields)
+    words = {w for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60).collect() for w in sp.words_of(r["text"] or "")} - {""}
+    words |= {"▁日本語", "▁﷽x🎉", "x" * 400, "▁" + "🎉" * 50, "é" * 33, "\n", "▁", "▁a▁b", "▁the" * 30, "日本" * 90 + "z", "\0a\0", "▁\r\t", "\U0010ffff" * 2}
+    found = {}
+    for part, counts, ids in lattice.Lattice(sp.load_pieces(PIECES)).paths(words):
+        ends = np.cumsum(counts)
+        assert ends[-1] == len(ids)
+        found |= {w: ids[e - n : e].tolist() for w, n, e in zip(part, counts, ends, strict=True)}
+    before = unigram("\n")  # a mark and a line feed; a word without a mark stands behind a line feed
+    assert set(found) == words
+    assert all(found[w] == (unigram(w[1:]) if w[0] == "▁" and len(w) > 1 else unigram("\n" + w)[len(before) :]) for w in words)
+
+
+def test_encoding_of_bytes_that_are_no_text(spark):
+    rows = spark.createDataFrame([(b"ok \xff\xfe!",), (b"fine",), (None,)], "raw binary").select(F.col("raw").cast("string").alias("text"))
+    got = [r["ids"] for r in sp.encode(rows, PIECES).select("ids").collect()]
+    want = [r["ids"] for r in sp.encode(spark.createDataFrame([("ok \ufffd\ufffd!",), ("fine",), (None,)], "text string"), PIECES).collect()]
+    assert got == want and got[2] is None and got[0] and got[1]
+
+
 def test_decoding_in_the_row_refuses_unknown_ids(spark):
     table = sp.load_pieces(PIECES)
     for i in (10_000_000, 0, -1):

@@ -1,153 +1,100 @@
-"""SentencePiece encoding and decoding as relations.
+"""SentencePiece encoding and decoding.
 
-Texts fall into words at spaces' marks and line feeds, which no piece spans. For each distinct word, substrings
-of bounded length are exploded and equi-joined to the piece table (a vocabulary of fixed size, broadcast); the
-edges found are grouped by word, and higher-order aggregates fold them to the best path and trace it back.
+Texts fall into words at spaces' marks and line feeds, which no piece spans. A batch's distinct words that aren't known
+yet meet the piece table by their substrings, and the best path of each is folded and traced in columns (`lattice`). The
+words of a text get their ids where the text lies: nothing is shuffled, whatever the number of distinct words.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import freeing, prepare
+from .lattice import Lattice
 from .pieces import MARK, PieceTable, load_pieces
 
-#: A vocabulary has at most so many pieces to be broadcast; a larger one is joined by shuffle.
-BROADCAST_PIECES = 500_000
-#: So many distinct words with their ids go to every task; more are joined by shuffle.
-BROADCAST_WORDS = 500_000
-
-
-def _piece_frame(spark: SparkSession, table: PieceTable) -> DataFrame:
-    frame = spark.createDataFrame(table.pieces, "piece string, id int, score double")
-    return F.broadcast(frame) if len(table.pieces) <= BROADCAST_PIECES else frame
-
+#: So many distinct words go with a task, with their ids; then it starts anew with those of the batch at hand.
+BROADCAST_WORDS = 250_000
+_LATTICES: dict[str, Lattice] = {}
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text, marks included, in order, with empty ones between; none for an empty text."""
+    return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ") if text else []
+
+
+class _Words:
+    """The ids of distinct words."""
+
+    def __init__(self, lattice: Lattice, most: int):
+        self.lattice, self.most = lattice, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.at = {"": 0}  # of each word
+        self.counts, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def add(self, words: set[str]) -> None:
+        counts, ids = [self.counts], [self.ids]
+        for part, n, found in self.lattice.paths(words):
+            self.at.update(zip(part, range(len(self.at), len(self.at) + len(part)), strict=True))
+            counts.append(n)
+            ids.append(found)
+        self.counts, self.ids = np.concatenate(counts), np.concatenate(ids)
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """A list of ids for each text, null for null."""
+        each = [words_of(t) if t is not None else [] for t in texts.to_pylist()]
+        words = list(chain.from_iterable(each))
+        distinct = set(words)
+        new = distinct - self.at.keys()
+        if len(self.at) + len(new) > self.most:
+            self.clear()
+            new = distinct - {""}
+        if new:
+            self.add(new)
+        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        counts = self.counts[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        first = np.cumsum(self.counts) - self.counts
+        ids = self.ids[np.repeat(first[at] - ends[:-1], counts) + np.arange(ends[-1])]
+        offsets = ends[np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()), mask=texts.is_null())
+
+
+def encoded(spark: SparkSession, text: Column, model_path: str) -> Column:
+    """The piece ids of a text: an array of int, null for a null text. The model is read on the driver only."""
+    prepare(spark)
+    table = load_pieces(model_path)
+    key, most, sent = hashlib.sha256(repr(table).encode()).hexdigest(), BROADCAST_WORDS, spark.sparkContext.broadcast(table)
 
-def word_lattice(words: DataFrame, table: PieceTable) -> DataFrame:
-    """(word, ids) for distinct, non-empty words (column `word`).
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if key not in _LATTICES:
+            _LATTICES[key] = Lattice(sent.value)
+        words = _Words(_LATTICES[key], most)
+        for b in batches:
+            yield words.encode(b)
+        words.clear()
 
-    A word without matches is all unknown characters, that is its bytes. The work in a word grows with its
-    length (times the longest piece), and that of cutting substrings with the length's square.
-    """
-    spark = words.sparkSession
-    starts = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(table.longest), F.length("word") - F.col("start") + 1))
-    parts = starts.select("word", "start", F.explode(sizes).alias("size"))
-    parts = parts.withColumn("piece", F.expr("substring(word, start, size)"))
-    edges = parts.join(_piece_frame(spark, table), "piece", "left").filter("id is not null or size = 1")
-    edge = F.struct(
-        (F.col("start") + F.col("size") - 1).alias("end"),
-        (-F.col("size")).alias("minus"),
-        F.coalesce("id", F.lit(-1)).alias("id"),
-        F.coalesce("score", F.lit(table.unknown_score)).alias("score"),
-    )
-    lattice = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-
-    # best: scores of the last positions (`longest` of them and the current); now: the best edge at the current end
-    empty = F.lit(float("-inf"))
-    start = F.struct(
-        F.array(F.lit(0.0)).alias("best"),
-        F.array().cast("array<struct<size:int,id:int>>").alias("back"),
-        F.lit(1).alias("end"),
-        empty.alias("score"),
-        F.lit(0).alias("size"),
-        F.lit(-1).alias("id"),
-    )
-
-    def settle(a: Column) -> tuple[Column, Column]:
-        best = F.concat(F.when(F.size(a["best"]) >= table.longest, F.slice(a["best"], -(table.longest - 1), table.longest - 1)).otherwise(a["best"]), F.array(a["score"]))
-        return best, F.concat(a["back"], F.array(F.struct(a["size"].alias("size"), a["id"].alias("id"))))
-
-    def better(score: Column, size: Column, id_: Column, best: Column, back: Column, end: Column, old: Column | None) -> Column:
-        new = F.struct(best.alias("best"), back.alias("back"), end.alias("end"), score.alias("score"), size.alias("size"), id_.alias("id"))
-        return new if old is None else F.when(score > old["score"], new).otherwise(old)
-
-    def step(a: Column, e: Column) -> Column:
-        size = -e["minus"]
-        # element_at from the end: the start of the edge lies `size` positions back
-        same = better(F.element_at(a["best"], -size) + e["score"], size, e["id"], a["best"], a["back"], a["end"], a)
-        best, back = settle(a)
-        moved = better(F.element_at(best, -size) + e["score"], size, e["id"], best, back, e["end"], None)
-        return F.when(e["end"] == a["end"], same).otherwise(moved)
-
-    folded = lattice.select("word", F.aggregate("edges", start, step, lambda a: settle(a)[1]).alias("back"))
-    trace = F.aggregate(
-        F.reverse(F.sequence(F.lit(1), F.size("back"))),
-        F.struct(F.size("back").alias("at"), F.array().cast("array<struct<start:int,size:int,id:int>>").alias("path")),
-        lambda a, i: F.when(
-            a["at"] == i,
-            F.struct(
-                (i - F.element_at(F.col("back"), i)["size"]).alias("at"),
-                F.concat(
-                    F.array(
-                        F.struct(
-                            (i - F.element_at(F.col("back"), i)["size"] + 1).alias("start"),
-                            F.element_at(F.col("back"), i)["size"].alias("size"),
-                            F.element_at(F.col("back"), i)["id"].alias("id"),
-                        )
-                    ),
-                    a["path"],
-                ).alias("path"),
-            ),
-        ).otherwise(a),
-        lambda a: a["path"],
-    )
-
-    def with_bytes(p: Column) -> Column:
-        code = F.hex(F.encode(F.substring(F.col("word"), p["start"], p["size"]), "UTF-8"))
-        each = F.transform(F.sequence(F.lit(1), F.length(code) - 1, F.lit(2)), lambda i: F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int") + table.first_byte)
-        return F.when(p["id"] >= 0, F.array(p["id"])).otherwise(each)
-
-    return folded.select("word", trace.alias("path")).select("word", F.flatten(F.transform("path", with_bytes)).alias("ids"))
-
-
-def words_of(text: Column) -> Column:
-    """The words of a non-empty text, marks included, in order; none for an empty one."""
-    marked = F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(f"\n|{MARK}[^{MARK}\n]*|[^{MARK}\n]+"), F.lit(0)))
-
-
-def _ids_of(texts: DataFrame, key: str, table: PieceTable) -> DataFrame:
-    """(key, ids) for rows (key, _text) with distinct keys and texts that aren't null; each text is dealt once, by its key.
-
-    The table of distinct words and their ids is counted first; a small one goes to every task, so that a text's
-    words stay where the text is. A larger one meets by shuffle what each text has of distinct words.
-    """
-    known = saved(word_lattice(texts.select(F.explode(words_of(F.col("_text"))).alias("word")).distinct(), table))
-    small = known.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    each = texts.repartition(key).select(key, F.posexplode(words_of(F.col("_text"))).alias("_pos", "word"))
-    if small:
-        parts = each.join(F.broadcast(known), "word").groupBy(key).agg(F.collect_list(F.struct("_pos", "ids")).alias("_parts"))
-    else:
-        own = each.groupBy(key, "word").agg(F.collect_list("_pos").alias("_at"))
-        # dealt by text before gathering, since gathering first would move lists of one
-        own = own.join(known, "word").select(key, "_at", "ids").repartition(key).groupBy(key).agg(F.collect_list(F.struct("_at", "ids")).alias("_own"))
-        parts = own.select(key, F.flatten(F.transform("_own", lambda p: F.transform(p["_at"], lambda i: F.struct(i.alias("_pos"), p["ids"].alias("ids"))))).alias("_parts"))
-    found = parts.select(key, F.sort_array("_parts").alias("_parts"))
-    return found.select(key, F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("ids"))
-
-
-def encode_texts(rows: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """(key, no, ids) for each distinct text that isn't null: its SHA-256, a number, and its piece ids."""
-    table = load_pieces(model_path)
-    texts = rows.select(F.sha2(F.col(text).cast("string"), 256).alias("key"), F.col(text).cast("string").alias("_text")).filter("key is not null")
-    # a number stands for the key where every word carries it; it is saved with the text, so it stays the same
-    texts = saved(texts.groupBy("key").agg(F.first("_text").alias("_text")).withColumn("no", F.monotonically_increasing_id()))
-    found = _ids_of(texts, "no", table)
-    return texts.select("key", "no").join(found, "no", "left").select("key", "no", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    # bytes that aren't UTF-8 count as replacement characters
+    return F.arrow_udf(freeing(run), "array<int>")(F.make_valid_utf8(text.cast("string")))
 
 
 def encode(rows: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """rows with `ids` (array of int): the piece ids of column `text`.
 
     Null texts have null ids, empty ones an empty array. Every input row stays, repeated ones too, with all its
-    columns; a column named `ids` is replaced. Equal texts are encoded once and equal words once. Words are
-    counted before they are joined, and Spark may split a frequent word's rows in the join.
+    columns; a column named `ids` is replaced. Equal words of a task are encoded once, as far as they are remembered.
+    No shuffle.
     """
-    found = encode_texts(rows, model_path, text).select(F.col("key").alias("_key"), F.col("ids").alias("_ids"))
-    rows = rows.drop("ids").withColumn("_key", F.sha2(F.col(text).cast("string"), 256))
-    return rows.join(found, "_key", "left").withColumnRenamed("_ids", "ids").drop("_key")
+    return rows.withColumn("ids", encoded(rows.sparkSession, F.col(text), model_path))
 
 
 def decode_keyed(rows: DataFrame, model_path: str, key: str, ids: str = "ids") -> DataFrame:
@@ -199,12 +146,7 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of `documents`, encoded and decoded again: doc_id, n_pieces, ids, round_trip; one row per input row."""
     import public_tokenizers
 
-    table = load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    # what a file's rows are numbered is the same each time; only the digest goes along to compare with
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    found = _ids_of(numbered.filter("text is not null").select("_row", F.col("text").alias("_text")), "_row", table)
-    out = numbered.select("_row", "doc_id", F.sha2("text", 256).alias("_key")).join(found, "_row", "left")
-    out = out.withColumn("ids", F.when(F.col("_key").isNotNull(), F.coalesce("ids", F.array().cast("array<int>"))))
-    # a text that comes back has the digest that it had
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.array_join("ids", " ").alias("ids"), (F.sha2(decoded(F.col("ids"), table), 256) == F.col("_key")).alias("round_trip"))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), path)
+    ids = F.col("ids")
+    return rows.select("doc_id", F.size(ids).cast("long").alias("n_pieces"), F.array_join(ids, " ").alias("ids"), (decoded(ids, load_pieces(path)) == F.col("text")).alias("round_trip"))
