@@ -92,3 +92,46 @@ def test_pairs_are_counted_by_their_times(spark):
     want = {tuple(r) for r in edges.groupBy("kind", "strength").count().collect()}
     assert {tuple(r) for r in graph.edge_counts(events).select("kind", "strength", "n").collect()} == want and len({k for k, *_ in want}) == 3
     assert edges.count() == edges.select("from_id", "to_id", "kind").distinct().count()
+
+
+def scattered(spark, rng, n=600):
+    """Events at the poles, the date line, in a city, at one spot, on a grid and nowhere, of named places, with countries or none, dense and sparse in time."""
+    spots = [
+        lambda: (rng.choice([90.0, 89.9, 89.5, 88.6, -90.0]), rng.uniform(-180, 180)), lambda: (rng.uniform(-2, 2), rng.choice([179.9, -179.9, 180.0, -180.0, 178.5])),
+        lambda: (40 + rng.uniform(0, 0.2), 20 + rng.uniform(0, 0.2)), lambda: (40.0, 20.0), lambda: (float(rng.randrange(36, 45)), float(rng.randrange(16, 26))), lambda: (95.0, 10.0), lambda: (None, None),
+    ]
+    rows = []
+    for i in range(n):
+        lat, lon = rng.choice(spots)()
+        precision = rng.choice(["exact", "exact", "exact", "approximate", "unknown", None])
+        hours = rng.choice([rng.randrange(24 * 40), rng.randrange(24 * 4), 24 * rng.randrange(12), 168 * rng.randrange(4), rng.uniform(0, 24 * 12)])
+        when = None if i % 97 == 0 else START + timedelta(hours=hours)
+        category = rng.choice(["energy", "economy", "politics", "general_news", None])
+        rows.append((i, f"t {i}", category, rng.choice(["A", "A", "B", "C", None]), rng.choice(["p", "q", None]), lat, lon, precision, when, "PUBLISHED" if rng.random() < 0.7 else "CLUSTERED"))
+    return spark.createDataFrame(rows, EVENT)
+
+
+def test_related_events_are_the_strongest_of_all_edges(spark):
+    events, published = scattered(spark, random.Random(11)).cache(), F.col("status") == "PUBLISHED"
+    edges = joins.concat([graph.same_location(events), graph.temporal_sequence(events), graph.cross_domain(events)]).cache()
+    assert edges.count() == edges.select("from_id", "to_id", "kind").distinct().count()
+    for n in (1, 3, 8):
+        want = shown_edges(edges, events, n)
+        got = sorted(map(tuple, graph.related(events, n, published).select("event_id", "other_id", "kind", "strength").collect()))
+        assert got == want and {k for *_, k, _ in want} == set(graph.RELATED_KINDS)
+    few = events.filter(published)  # all that are there are shown
+    want = shown_edges(joins.concat([graph.same_location(few), graph.temporal_sequence(few), graph.cross_domain(few)]), few, 8)
+    assert sorted(map(tuple, graph.related(few).collect())) == want
+
+
+def test_crowded_spots_and_places_form_few_pairs(spark):
+    """Reports of one week from fifty spots of one region, and as many that name one place: no table of all pairs."""
+    at = lambda i: datetime(2024, 1, 4) + timedelta(hours=i % 7 * 24)
+    rows = [(i, "t", None, "A", None, 40 + i % 10 / 10, 20 + i // 10 % 5 / 10, "exact", at(i), "PUBLISHED") for i in range(1000)]
+    rows += [(i, "t", None, "A", "p", None, None, "approximate", at(i), "PUBLISHED") for i in range(1000, 2000)]
+    events = spark.createDataFrame(rows, EVENT).cache()
+    lists = graph.moment_partners(events).cache()
+    all_pairs = graph.same_location(events).count()
+    near, placed = graph._near_partners(events, lists, 8, None).count(), graph._place_partners(events, lists, 8, None).count()
+    assert placed <= 9 * 1000 and (near + placed) * 5 < 2 * all_pairs  # an edge is a partner at both its ends
+    assert sorted(map(tuple, graph.related(events).collect())) == shown_edges(graph.same_location(events), events, 8)
